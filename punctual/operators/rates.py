@@ -40,20 +40,18 @@ def trailing_stat(
     if stat == "mean":
         daily = history.groupBy(key, date).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
         spread = daily.select(key, "_s", "_n", after).join(wanted, "_day", "left_semi")
-        own = spread.groupBy(key, "_day").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("n"))
-        prior = own.groupBy("_day").agg((F.sum("_s") / F.sum("n")).alias("_prior"))
-        own = own.select(key, "_day", (F.col("_s") / F.col("n")).alias("_own"), "n")
+        own = spread.groupBy(key, "_day").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+        prior = own.groupBy("_day").agg((F.sum("_s") / F.sum("_n")).alias("_prior"))
+        own = own.select(key, "_day", (F.col("_s") / F.col("_n")).alias("_own"), "_n")
     else:
         counted = history.groupBy(key, date, value).agg(F.count(F.lit(1)).alias("_n"))
         spread = counted.select(key, value, "_n", after).join(wanted, "_day", "left_semi")
-        own = exact_quantiles(spread, [key, "_day"], value, {"_own": 0.5}, weight="_n", few_values=few_values)
+        own = exact_quantiles(spread, [key, "_day"], value, {"_own": 0.5}, weight="_n", few_values=few_values).withColumnRenamed("n", "_n")
         prior = exact_quantiles(spread, ["_day"], value, {"_prior": 0.5}, weight="_n", few_values=few_values).drop("n")
     m = float(smoothing)
-    table = own.filter(F.col(key).isNotNull()).join(prior, "_day")
-    table = table.select(key, "_day", ((F.col("n") * F.col("_own") + m * F.col("_prior")) / (F.col("n") + m)).alias("_own"))
-    keyed = targets.withColumn("_day", F.col(date))
-    looked_up = keyed.join(table, [key, "_day"], "left").join(prior, "_day", "left")
-    return looked_up.withColumn(name, F.coalesce("_own", "_prior")).drop("_day", "_own", "_prior")
+    shrunk = (F.col("_n") * F.col("_own") + m * F.col("_prior")) / (F.col("_n") + m)
+    looked_up = targets.withColumn("_day", F.col(date)).join(own, [key, "_day"], "left").join(prior, "_day", "left")
+    return looked_up.withColumn(name, F.coalesce(shrunk, "_prior")).drop("_day", "_own", "_prior", "_n")
 
 
 def group_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float], *, few_values: bool = False) -> DataFrame:

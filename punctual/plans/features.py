@@ -11,6 +11,7 @@ from punctual.functions.text import route_label
 from punctual.operators import asof, rates
 from punctual.operators.keep import keep_best, latest_wins, nth_distinct
 from punctual.plans.clean import training_rows
+from punctual.session import written
 from punctual.settings import FeatureSet, FeatureSettings
 
 SCHEDULED = "scheduled_datetime"
@@ -82,9 +83,13 @@ def add_rates(targets: DataFrame, context: DataFrame, s: FeatureSettings = Featu
 
 
 def build_features(targets: DataFrame, context: DataFrame, s: FeatureSettings = FeatureSettings()) -> DataFrame:
-    """Every feature of the departures in `targets`, looked up among all flights of `context`."""
-    out = add_rotation(add_calendar(targets), context, s)
-    return add_rates(add_congestion(out, context), context, s)
+    """Every feature of the departures in `targets`, looked up among all flights of `context`.
+
+    Both are read several times: pass stored tables. Rates come first, so that finding the dates
+    they are wanted for reads the bare targets.
+    """
+    out = add_congestion(add_rates(add_calendar(targets), context, s), context)
+    return add_rotation(out, context, s)
 
 
 def model_frame(flights: DataFrame, s: FeatureSettings = FeatureSettings(), airports: list[str] | None = None) -> DataFrame:
@@ -117,9 +122,8 @@ def scoring_frame(requests: DataFrame, context: DataFrame, s: FeatureSettings =
     known = context.filter("flight_type = 'Domestic Departure'").select(*keys, F.struct(*stored).alias("_stored"))
     found = requests.join(known, keys, "left").withColumn("matched_flight", F.col("_stored").isNotNull())
     filled = found.withColumns({c: F.when(F.col("matched_flight"), F.col(f"_stored.{c}")).otherwise(F.col(c)) for c in stored})
-    targets = filled.drop("_stored").withColumns(
-        {"flight_type": F.lit("Domestic Departure"), "direction": F.lit("departure")}
-    )
+    fixed = {"flight_type": F.lit("Domestic Departure"), "direction": F.lit("departure")}
+    targets = written(filled.drop("_stored").withColumns(fixed), "requests")
     # requests naming the same unknown flight, or none at the same time, count once in the context
     own = keep_best(targets.filter("not matched_flight"), keys, [F.asc("request_id")])
     full = context.unionByName(own.select(*[c for c in own.columns if c in context.columns]), allowMissingColumns=True)

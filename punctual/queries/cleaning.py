@@ -33,7 +33,7 @@ _SHOWN = [
     {feeds.sql_stamp('actual_datetime')} FROM flights""",
 )
 def flights_cleaned(spark, sf_dir):
-    return feeds.cleaned(spark, sf_dir).select(*_SHOWN, feeds.stamp("scheduled_datetime"), feeds.stamp("actual_datetime"))
+    return clean.clean_flights(feeds.raw_boards(spark, sf_dir), "seen").select(*_SHOWN, feeds.stamp("scheduled_datetime"), feeds.stamp("actual_datetime"))
 
 
 @query(
@@ -42,7 +42,7 @@ def flights_cleaned(spark, sf_dir):
     count(delay_minutes) AS delays, round(avg(delay_minutes), 6) AS mean_delay FROM flights GROUP BY ALL""",
 )
 def flight_states(spark, sf_dir):
-    grouped = feeds.cleaned(spark, sf_dir).groupBy("status", F.coalesce("actual_source", F.lit("-")).alias("actual_source"))
+    grouped = clean.clean_flights(feeds.raw_boards(spark, sf_dir), "seen").groupBy("status", F.coalesce("actual_source", F.lit("-")).alias("actual_source"))
     return grouped.agg(
         F.count(F.lit(1)).alias("n"), F.count("delay_minutes").alias("delays"), F.round(F.avg("delay_minutes"), 6).alias("mean_delay")
     )
@@ -61,7 +61,7 @@ def flight_states(spark, sf_dir):
 )
 def cleaning_audit(spark, sf_dir):
     raw = clean.raw_audit(feeds.raw_boards(spark, sf_dir))
-    return raw.unionByName(clean.training_audit(feeds.cleaned(spark, sf_dir))).select("step", "n")
+    return raw.unionByName(clean.training_audit(clean.clean_flights(feeds.raw_boards(spark, sf_dir), "seen"))).select("step", "n")
 
 
 @query(

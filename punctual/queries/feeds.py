@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from punctual.functions.numeric import hash_uniform
 from punctual.plans.clean import clean_flights, training_rows
 from punctual.queries.registry import table
+from punctual.session import written
 
 AIRLINES = ["ماهان", "آتا", "كيش اير", "قشم  ایر", "معراج", "وارش"]
 AIRPORTS = ["فرودگاه مهرآباد", "فرودگاه مشهد", "فرودگاه شيراز", "فرودگاه  تبريز ", "فرودگاه کرمان"]
@@ -70,11 +71,12 @@ def raw_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_flights(raw_boards(spark, sf_dir), "seen")
+    """The cleaned flights as a stored table, as jobs after cleaning read them."""
+    return written(clean_flights(raw_boards(spark, sf_dir), "seen"), "flights")
 
 
 def departed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_rows(cleaned(spark, sf_dir))
+    return training_rows(clean_flights(raw_boards(spark, sf_dir), "seen"))
 
 
 def _sql_list(values: list[str]) -> str:
