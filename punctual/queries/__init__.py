@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from punctual.queries import cleaning, features
+from punctual.queries import cleaning, features, loading
 from punctual.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

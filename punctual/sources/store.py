@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from punctual.operators.keep import keep_best, upsert_actions
 from punctual.operators.ranks import position_ids
-from punctual.session import cut_lineage
+from punctual.session import written
 
 KEYS = ["flight_number", "scheduled_datetime", "airport_id"]
 COMPARED = ["status", "counter", "actual_datetime", "register", "aircraft", "is_international", "place", "airline"]
@@ -42,18 +42,22 @@ def last_per_key(rows: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
 
 
 def load_actions(stored: DataFrame, rows: DataFrame, ordinal: str, now: Column) -> tuple[DataFrame, DataFrame]:
-    """The table after a load, with each row's action, and the load's counters (action, reason, n).
+    """The table after a load, with each row's action, and the rows that could not be loaded.
 
-    `rows` come from `prepare_rows` with `airport_id`, all of one table. Rows that overwrite another
-    row of the same batch count as inserted or changed only once per key.
+    `rows` come from `prepare_rows` with `airport_id`, all of one table, and are read twice. Rows of
+    one key in the same batch count once.
     """
     good = rows.filter(F.col("skip_reason").isNull() & ~too_long())
     after = upsert_actions(stored, last_per_key(good, KEYS, ordinal), KEYS, COMPARED, "updated_at", now)
     rejected = rows.filter(F.col("skip_reason").isNotNull() | too_long())
-    bad = rejected.select(F.when(F.col("skip_reason").isNotNull(), "skipped").otherwise("failed").alias("action"), F.col("skip_reason").alias("reason"))
+    action = F.when(F.col("skip_reason").isNotNull(), "skipped").otherwise("failed")
+    return after, rejected.select(action.alias("action"), F.col("skip_reason").alias("reason"))
+
+
+def load_counters(after: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(action, reason, n) of one load."""
     done = after.filter("action <> 'kept'").select("action", F.lit(None).cast("string").alias("reason"))
-    counters = done.unionByName(bad).groupBy("action", "reason").agg(F.count(F.lit(1)).alias("n"))
-    return after, counters
+    return done.unionByName(rejected).groupBy("action", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -77,20 +81,18 @@ STORE_SCHEMA = (
 def load_batch(spark: SparkSession, path: str, rows: DataFrame, ordinal: str, now: Column) -> DataFrame:
     """Upsert prepared rows into the table at `path`; returns the load's counters.
 
-    The merged dates are checkpointed, then swapped in by a dynamic partition overwrite, so a retry
-    reads either the old or the new rows and loading a batch again changes nothing.
+    The batch is staged, the merged dates are written aside and then swapped in by a dynamic
+    partition overwrite, so a retry reads either the old or the new rows and loading a batch again
+    changes nothing.
     """
-    rows = rows.withColumn("flight_date", F.to_date("scheduled_datetime"))
+    rows = written(rows.withColumn("flight_date", F.to_date("scheduled_datetime")), "staged")
     touched = [r["flight_date"] for r in rows.filter("flight_date is not null").select("flight_date").distinct().collect()]
     stored = read_store(spark, path, STORE_SCHEMA).filter(F.col("flight_date").isin(touched))
-    after, counters = load_actions(stored, rows, ordinal, now)
-    merged = cut_lineage(after.withColumn("flight_date", F.to_date("scheduled_datetime")))
-    kept = counters.filter("action in ('skipped', 'failed')")
-    done = merged.filter("action <> 'kept'").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
-    result = cut_lineage(kept.unionByName(done.select("action", F.lit(None).cast("string").alias("reason"), "n")))
+    after, rejected = load_actions(stored, rows, ordinal, now)
+    merged = written(after.withColumn("flight_date", F.to_date("scheduled_datetime")), "merged")
     writer = merged.drop("action").repartition("flight_date").write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy("flight_date").parquet(path)
-    return result
+    return load_counters(merged, rejected)
 
 
 def load_summary(counters: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def scan_flights(
 
     def side(df: DataFrame, word: str) -> DataFrame:
         kind = F.when(F.col("is_international"), f"International {word}").otherwise(f"Domestic {word}")
-        return df.withColumn("flight_type", kind)
+        return df.select(*KEYS, *COMPARED, kind.alias("flight_type"))
 
     both = side(arrivals, "Arrival").unionByName(side(departures, "Departure"))
     t = F.col("scheduled_datetime")
