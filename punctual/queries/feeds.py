@@ -196,7 +196,7 @@ def model_outputs(df: DataFrame, seed: int, prefix: str = "") -> DataFrame:
         (F.col("_u") * 40 + F.col("_v") * 20).alias(f"{prefix}p50"),
         (F.col("_u") * 10 - 5).alias(f"{prefix}p10"),
         (F.col("_u") * 40 + F.col("_v") * 20 + 60).alias(f"{prefix}p90"),
-        F.col("_v").alias(f"{prefix}p"),
+        (F.col("_v") * 0.9731 + 0.0123457).alias(f"{prefix}p"),
     )
 
 
@@ -204,6 +204,82 @@ def model_outputs_sql(source: str, seed: int, prefix: str = "") -> str:
     when = "strftime(scheduled_datetime, '%Y-%m-%d %H:%M')"
     u, v = (uniform_sql(s, "flight_number", when) for s in (seed, seed + 1))
     return f"""(SELECT * EXCLUDE (_u, _v), _u * 40 + _v * 20 AS {prefix}p50, _u * 10 - 5 AS {prefix}p10,
-      _u * 40 + _v * 20 + 60 AS {prefix}p90, _v AS {prefix}p
+      _u * 40 + _v * 20 + 60 AS {prefix}p90, _v * 0.9731 + 0.0123457 AS {prefix}p
     FROM (SELECT *, round({u}, 4) AS _u,
         round({v} * 0.5 + least(greatest(coalesce(delay_minutes, 20.0), 0.0), 100.0) / 200, 3) AS _v FROM {source}))"""
+
+
+# ------------------------------------------------------------------ prediction log
+
+TRAITS = ["client", "replay", "loadtest"]
+
+
+def _prediction_rows(flights: DataFrame) -> DataFrame:
+    """Two predictions by each of two model versions for every domestic departure."""
+    rows = flights.filter("flight_type = 'Domestic Departure'").withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1))))
+    when = F.date_format("scheduled_datetime", "yyyy-MM-dd HH:mm")
+    key = F.concat_ws("|", "airport", "flight_number", when)
+    rows = rows.withColumn("own_key", key)
+    versions = [model_outputs(rows, seed).withColumn("model_version", F.lit(v)) for v, seed in (("1", 7), ("2", 17))]
+    both = versions[0].unionByName(versions[1])
+    shift = F.when(F.col("attempt") == 0, 3.0).otherwise(0.0)
+    digest = F.md5(F.concat_ws("|", "own_key", "model_version", F.col("attempt").cast("string")))
+    u, t = hash_uniform(21, F.col("own_key")), hash_uniform(22, F.col("own_key"), F.col("model_version"))
+    inbound = F.when(u < 0.4, '"1.0"').when(u < 0.8, '"0.0"').when(u < 0.9, "null").otherwise('"x"')
+    quoted = F.concat(F.lit('"'), F.coalesce("airline", F.lit("nan")), F.lit('"'))
+    hour = F.hour("scheduled_datetime").cast("string")
+    turn = F.when(u < 0.7, F.floor(u * 200).cast("string")).otherwise("null")
+    return both.select(
+        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("id"),
+        F.when(t < 0.1, "loadtest").when(t < 0.4, "replay").otherwise("client").alias("traffic_source"),
+        F.when(u >= 0.05, F.col("own_key")).alias("flight_key"),
+        "airport",
+        F.col("scheduled_datetime").alias("scheduled_time"),
+        "model_version",
+        F.col("p").alias("p_delay"),
+        (F.col("p") >= 0.5).alias("likely_delayed"),
+        (F.col("p10") + shift).alias("q10"),
+        (F.col("p50") + shift).alias("q50"),
+        (F.col("p90") + shift).alias("q90"),
+        F.concat(
+            F.lit('{"has_inbound":'), inbound, F.lit(',"Scheduled_Hour_of_Day":'), hour, F.lit(',"scheduled_turnaround_min":'), turn,
+            F.lit(',"airline":'), quoted, F.lit("}"),
+        ).alias("features"),
+        (F.col("scheduled_datetime") - F.make_dt_interval(hours=F.when(F.col("attempt") == 0, 5).otherwise(2))).alias("created_at"),
+    )
+
+
+def prediction_log(flights: DataFrame) -> DataFrame:
+    return written(_prediction_rows(flights), "log")
+
+
+def _versions_sql() -> str:
+    parts = [f"SELECT *, '{v}' AS model_version FROM {model_outputs_sql('pr', seed)}" for v, seed in (("1", 7), ("2", 17))]
+    return " UNION ALL ".join(parts)
+
+
+LOG = f"""{FLIGHTS},
+pr AS (SELECT *, airport || '|' || flight_number || '|' || strftime(scheduled_datetime, '%Y-%m-%d %H:%M') AS own_key
+  FROM flights, (VALUES (0), (1)) AS s(attempt) WHERE flight_type = 'Domestic Departure'),
+pv AS (SELECT *, {uniform_sql(21, 'own_key')} AS u, {uniform_sql(22, 'own_key', 'model_version')} AS tr FROM ({_versions_sql()})),
+log AS (SELECT CAST(('0x' || substr(md5(own_key || '|' || model_version || '|' || attempt), 1, 15)) AS BIGINT) AS id,
+    CASE WHEN tr < 0.1 THEN 'loadtest' WHEN tr < 0.4 THEN 'replay' ELSE 'client' END AS traffic_source,
+    CASE WHEN u >= 0.05 THEN own_key END AS flight_key, airport, airline, scheduled_datetime AS scheduled_time, model_version, p AS p_delay, p >= 0.5 AS likely_delayed,
+    p10 + CASE WHEN attempt = 0 THEN 3 ELSE 0 END AS q10, p50 + CASE WHEN attempt = 0 THEN 3 ELSE 0 END AS q50, p90 + CASE WHEN attempt = 0 THEN 3 ELSE 0 END AS q90,
+    CASE WHEN u < 0.4 THEN '1.0' WHEN u < 0.8 THEN '0.0' WHEN u < 0.9 THEN NULL ELSE 'x' END AS has_inbound,
+    CASE WHEN u < 0.7 THEN CAST(floor(u * 200) AS DOUBLE) END AS turn, hour(scheduled_datetime) AS hour,
+    scheduled_datetime - to_hours(CASE WHEN attempt = 0 THEN 5 ELSE 2 END) AS created_at FROM pv),
+actual AS (SELECT airport || '|' || flight_number || '|' || strftime(scheduled_datetime, '%Y-%m-%d %H:%M') AS flight_key, min(delay_minutes) AS delay
+  FROM flights WHERE flight_type = 'Domestic Departure' AND status = 'departed' AND delay_minutes IS NOT NULL GROUP BY 1),
+outcomes AS (SELECT id AS prediction_id, delay AS actual_delay_min FROM log JOIN actual USING (flight_key) WHERE scheduled_time < TIMESTAMP '2024-01-22'),
+scored AS (SELECT log.*, o.actual_delay_min FROM log LEFT JOIN outcomes o ON o.prediction_id = log.id WHERE flight_key IS NOT NULL AND traffic_source <> 'loadtest'
+  AND scheduled_time >= TIMESTAMP '2024-01-08' AND scheduled_time < TIMESTAMP '2024-01-24'),
+latest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY model_version, flight_key ORDER BY created_at DESC, id DESC) = 1),
+daily AS (SELECT CAST(scheduled_time AS DATE) AS day, model_version, count(*) AS predicted_flights, count(actual_delay_min) AS matched_flights,
+    CASE WHEN count(actual_delay_min) >= 30 THEN avg(abs(q50 - actual_delay_min)) END AS mae,
+    CASE WHEN count(actual_delay_min) >= 30 THEN avg(CASE WHEN actual_delay_min IS NOT NULL THEN (p_delay - CASE WHEN actual_delay_min > 15 THEN 1 ELSE 0 END) ** 2 END) END AS brier,
+    CASE WHEN count(actual_delay_min) >= 30 THEN avg(CASE WHEN actual_delay_min IS NOT NULL THEN CASE WHEN actual_delay_min BETWEEN q10 AND q90 THEN 1.0 ELSE 0.0 END END) END AS coverage,
+    avg(CASE WHEN actual_delay_min IS NULL THEN 1.0 ELSE 0.0 END) AS no_outcome_share,
+    avg(CASE WHEN coalesce(TRY_CAST(has_inbound AS DOUBLE), 0) = 0 THEN 1.0 ELSE 0.0 END) AS no_inbound_share FROM latest GROUP BY ALL),
+offline AS (SELECT model_version, avg(abs(q50 - actual_delay_min)) * 0.75 AS offline_mae, avg(CASE WHEN actual_delay_min BETWEEN q10 AND q90 THEN 1.0 ELSE 0.0 END) AS offline_coverage
+  FROM latest WHERE actual_delay_min IS NOT NULL GROUP BY 1)"""

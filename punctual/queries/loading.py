@@ -310,8 +310,8 @@ _ONTIME = f"""{feeds.FACTS}, rec AS (SELECT *, ['ATL', 'JFK', 'LAX', 'ORD', 'DFW
     CASE WHEN m = 0 THEN sched + INTERVAL 1 DAY ELSE sched END AS leaves,
     date_trunc('day', sched) + to_minutes(CASE WHEN (m + 95) % 1440 = 0 THEN 1440 ELSE (m + 95) % 1440 END) AS l0 FROM rec),
   arr AS (SELECT *, CASE WHEN l0 < leaves - INTERVAL 2 HOUR THEN l0 + INTERVAL 1 DAY ELSE l0 END AS lands FROM port),
-  sides AS (SELECT event_id, user_id, cx, dv, o AS airport, d AS other, 'departure' AS direction, leaves AS t, CASE WHEN NOT cx THEN delay * 2.0 END AS late FROM arr
-    UNION ALL SELECT event_id, user_id, cx, dv, d, o, 'arrival', lands, CASE WHEN NOT cx AND NOT dv THEN delay * 2.0 - 5 END FROM arr),
+  sides AS (SELECT event_id, user_id, cx, dv, o AS airport, d AS other, 'departure' AS direction, leaves AS t, CASE WHEN NOT cx THEN CAST(delay * 2 AS DOUBLE) END AS late FROM arr
+    UNION ALL SELECT event_id, user_id, cx, dv, d, o, 'arrival', lands, CASE WHEN NOT cx AND NOT dv THEN CAST(delay * 2 - 5 AS DOUBLE) END FROM arr),
   typed AS (SELECT *, ['DL', 'AA', 'UA'][user_id % 3 + 1] AS airline, late IS NOT NULL AND NOT cx AND NOT dv AS ok FROM sides),
   ontime AS (SELECT *, airline || (user_id * 7 + event_id % 3) AS num FROM typed
     QUALIFY row_number() OVER (PARTITION BY airport, direction, airline || (user_id * 7 + event_id % 3), t ORDER BY event_id) = 1)"""
