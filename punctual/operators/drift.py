@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.operators.ranks import interpolated, running_sum
+from punctual.session import written
 
 # Floor of a bin's share, bin labels, number of categories and of numeric bins
 EPSILON = 1e-4
@@ -98,7 +99,7 @@ def detect_drift(
     reference: DataFrame, current: DataFrame, numerical: list[str], categorical: list[str], threshold: float = 0.25
 ) -> tuple[DataFrame, DataFrame]:
     """Summary per feature and the bin shares behind it."""
-    counts = value_counts(reference, current, numerical, categorical)
+    counts = written(value_counts(reference, current, numerical, categorical), "value_counts")
     shares = bin_shares(counts, reference_bins(counts, numerical))
     rows = counts.groupBy("feature").agg(F.sum("ref").alias("reference_rows"), F.sum("cur").alias("current_rows"))
     kind = F.when(F.col("feature").isin(*numerical), "numerical").otherwise("categorical")

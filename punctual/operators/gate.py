@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.operators.metrics import interval, mean_draws
+from punctual.operators.rates import single_row
 from punctual.settings import GateSettings
 
 
@@ -33,7 +34,8 @@ def gate_numbers(df: DataFrame, row_id: str, samples: int, seed: int, champion:
     terms = {f"vs_{m}": error("challenger") - error(m) for m in others}
     draws = mean_draws(df, row_id, terms, samples, seed)
     spans = draws.agg(*[c.alias(f"{m}_{c_name}") for m in terms for c, c_name in zip(interval(m, confidence), ("low", "high"))])
-    return point.withColumns({c: spans.select(c).scalar() for c in spans.columns}).withColumns(
+    row = single_row(spans)
+    return point.withColumns({c: row[c] for c in spans.columns}).withColumns(
         {f"change_{m}": F.col("challenger_mae") - F.col(f"{m}_mae") for m in others}
     )
 

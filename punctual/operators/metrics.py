@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from punctual.functions.numeric import hash_hex, poisson_weight
 from punctual.operators.ranks import exact_quantiles, running_sum
+from punctual.session import written
 
 QUANTILES = (0.1, 0.5, 0.9)
 # name -> lower is better
@@ -181,7 +182,10 @@ def _ranked(df: DataFrame, models: Models, y: str, by: list[str], weight: str |
 
 
 def estimates(df: DataFrame, row_id: str, y: str, models: Models, samples: int, seed: int, ranked: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Point values (model, metric, value) and draws (b, model, metric, value) of the task's metrics."""
+    """Point values (model, metric, value) and draws (b, model, metric, value) of the task's metrics.
+
+    Both are small and read several times, so they are stored.
+    """
     terms, names = {}, {}
     for name, cols in models.columns.items():
         for metric, term in TERMS[models.task](F.col(y), *[F.col(c) for c in cols]).items():
@@ -194,7 +198,7 @@ def estimates(df: DataFrame, row_id: str, y: str, models: Models, samples: int,
         drawn = replicates(df.select(*inputs), row_id, samples, seed)
         points = reduce(DataFrame.unionByName, [points, *_ranked(df, models, y, [], None)])
         draws = reduce(DataFrame.unionByName, [draws, *_ranked(drawn, models, y, ["b"], "w")])
-    return points, draws
+    return written(points, "points"), written(draws, "draws")
 
 
 def summarize(points: DataFrame, draws: DataFrame, confidence: float = 0.95) -> DataFrame:

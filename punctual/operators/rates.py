@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.operators.keep import null_safe_join
@@ -64,12 +64,18 @@ def group_rate(df: DataFrame, groups: list[str], label: str, name: str = "rate")
     return df.groupBy(*groups).agg(F.avg(F.col(label).cast("double")).alias(name), F.count(F.lit(1)).alias("n"))
 
 
+def single_row(df: DataFrame) -> Column:
+    """The only row of `df` as a struct, read once by a scalar subquery."""
+    return df.select(F.struct("*")).scalar()
+
+
 def lookup_or_global(targets: DataFrame, stats: DataFrame, overall: DataFrame, groups: list[str], names: list[str]) -> DataFrame:
     """Attach a group's statistics, or the overall ones to groups not seen. Null groups match null.
 
-    `overall` is one row, read through scalar subqueries.
+    `overall` is one row.
     """
-    fallback = {n: overall.select(n).scalar() for n in names}
+    row = single_row(overall)
+    fallback = {n: row[n] for n in names}
     if not groups:
         return targets.withColumns(fallback)
     joined = null_safe_join(targets, stats.select(*groups, *names), groups)

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from punctual.queries import cleaning, evaluation, features, loading
+from punctual.queries import cleaning, evaluation, features, loading, monitoring
 from punctual.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

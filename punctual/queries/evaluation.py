@@ -55,7 +55,7 @@ def scored_test(spark, sf_dir):
     fit, test = frame.filter("split <> 'test'"), frame.filter("split = 'test'")
     rename = {f"g_{n}": p for n, p in PROBS.items()}
     overall = rates.group_quantiles(fit, [], "delay_minutes", rename, few_values=True)
-    test = test.withColumns({f"all_{n}": overall.select(f"g_{n}").scalar() for n in PROBS})
+    test = test.withColumns({f"all_{n}": rates.single_row(overall)[f"g_{n}"] for n in PROBS})
     grouped = rates.group_quantiles(fit, GROUPS, "delay_minutes", rename, few_values=True)
     test = rates.lookup_or_global(test, grouped, overall, GROUPS, list(rename))
     rate = rates.group_rate(fit, ["airline"], "is_delayed", "airline_rate")
