@@ -191,9 +191,14 @@ def predict_probability(model, encoder: Encoder, df: DataFrame, name: str) -> Da
 # ------------------------------------------------------------------ out of fold, choices, bundle
 
 
-def out_of_fold(df: DataFrame, folds: int, fit_predict) -> DataFrame:
+def fold_encoders(df: DataFrame, features: FeatureSet, folds: int) -> dict[int, Encoder]:
+    """The encoder of each fold's training rows, shared by every model tried on the fold."""
+    return {i: Encoder.fit(df.filter(F.col("fold") < i), features) for i in range(1, folds + 1)}
+
+
+def out_of_fold(df: DataFrame, encoders: dict[int, Encoder], fit_predict) -> DataFrame:
     """Predictions for every fold by a model fitted on the folds before it. `df` has `fold`."""
-    parts = [fit_predict(df.filter(F.col("fold") < i), df.filter(F.col("fold") == i)) for i in range(1, folds + 1)]
+    parts = [fit_predict(e, df.filter(F.col("fold") < i), df.filter(F.col("fold") == i)) for i, e in encoders.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -248,16 +253,15 @@ def fit_bundle(
     """
     inputs = prepare_input(frame, features, [key, time, target, label])
     rows = written(rolling_folds(inputs, time, key, folds), "folds")
+    encoders = fold_encoders(rows, features, folds)
 
     def ranges(settings: TreeSettings) -> DataFrame:
-        def step(fit: DataFrame, test: DataFrame) -> DataFrame:
-            model = LeafQuantiles.fit(fit, Encoder.fit(fit, features), target, settings)
-            return model.predict(test).select(key, target, *PROBS)
+        def step(encoder: Encoder, fit: DataFrame, test: DataFrame) -> DataFrame:
+            return LeafQuantiles.fit(fit, encoder, target, settings).predict(test).select(key, target, *PROBS)
 
-        return written(out_of_fold(rows, folds, step), "oof-ranges")
+        return written(out_of_fold(rows, encoders, step), "oof-ranges")
 
-    def probabilities(fit: DataFrame, test: DataFrame) -> DataFrame:
-        encoder = Encoder.fit(fit, features)
+    def probabilities(encoder: Encoder, fit: DataFrame, test: DataFrame) -> DataFrame:
         return predict_probability(fit_classifier(fit, encoder, label, boost), encoder, test, "raw").select(key, label, "raw")
 
     tried = {t: ranges(replace(tree, transform=t)) for t in transforms}
@@ -268,7 +272,7 @@ def fit_bundle(
     bands = tried[chosen].select(target, low.alias("low"), high.alias("high"))
     margin = conformal_margin(bands, target, "low", "high", coverage)
 
-    raw = written(out_of_fold(rows, folds, probabilities), "oof-raw")
+    raw = written(out_of_fold(rows, encoders, probabilities), "oof-raw")
     calibrator = Calibrator.fit(raw, label, "raw", calibration)
     threshold = choose_threshold(calibrator.transform(raw, "raw", "p"), label, "p", precision).first()["threshold"]
 
@@ -288,18 +292,18 @@ def tune(frame: DataFrame, features: FeatureSet, folds: int, grid: dict[str, lis
     """
     settings = {"range": TreeSettings, "boost": BoostSettings, "logistic": LogisticSettings}[kind]
     results = []
+    encoders = fold_encoders(frame, features, folds)
     for values in product(*grid.values()):
         candidate = settings(**dict(zip(grid, values)))
 
-        def step(fit: DataFrame, test: DataFrame, c=candidate) -> DataFrame:
-            encoder = Encoder.fit(fit, features)
+        def step(encoder: Encoder, fit: DataFrame, test: DataFrame, c=candidate) -> DataFrame:
             if kind == "range":
                 scored = LeafQuantiles.fit(fit, encoder, target, c).predict(test)
                 return scored.select("fold", F.abs(F.col(target) - F.col("q50")).alias("loss"))
             scored = predict_probability(fit_classifier(fit, encoder, label, c), encoder, test, "_p")
             return scored.select("fold", F.pow(F.col("_p") - F.col(label), 2).alias("loss"))
 
-        by_fold = out_of_fold(frame, folds, step).groupBy("fold").agg(F.avg("loss").alias("loss"))
+        by_fold = out_of_fold(frame, encoders, step).groupBy("fold").agg(F.avg("loss").alias("loss"))
         score = by_fold.agg(F.avg("loss").alias("score")).first()["score"]
         results.append((", ".join(f"{k}={v}" for k, v in zip(grid, values)), float(score)))
     return frame.sparkSession.createDataFrame(results, "candidate string, score double").orderBy("score", "candidate")

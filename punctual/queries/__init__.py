@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from punctual.queries import cleaning, evaluation, exploration, features, loading, models, monitoring
+from punctual.queries import cleaning, evaluation, exploration, features, loading, models, monitoring, streams
 from punctual.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -90,12 +90,11 @@ def rolling_origin_predictions(spark, sf_dir):
     rows = modelling.prepare_input(model_rows(spark, sf_dir), features, ["row_number", TIME, "is_delayed"])
     rows = written(splits.rolling_folds(rows, TIME, "row_number", 3), "folds")
 
-    def step(fit, test):
-        encoder = modelling.Encoder.fit(fit, features)
+    def step(encoder, fit, test):
         model = modelling.fit_classifier(fit, encoder, "is_delayed", modelling.LogisticSettings())
         return modelling.predict_probability(model, encoder, test, "p").select("row_number", "fold", "is_delayed", "p")
 
-    return modelling.out_of_fold(rows, 3, step)
+    return modelling.out_of_fold(rows, modelling.fold_encoders(rows, features, 3), step)
 
 
 @query("tuning_scores")
@@ -180,10 +179,7 @@ def learning_curve(spark, sf_dir):
     return out
 
 
-@query(
-    "platt_calibrated",
-    None,
-)
+@query("platt_calibrated")
 def platt_calibrated(spark, sf_dir):
     rows = written(base_frame(spark, sf_dir).select("row_id", "split", "is_delayed", "p"), "probabilities")
     fitted = calibration.Calibrator.fit(rows.filter("split <> 'test'"), "is_delayed", "p", "sigmoid")
