@@ -117,27 +117,27 @@ def calibration_error(df: DataFrame, by: list[str], y: str, p: str, bins: int =
 
 
 def replicates(df: DataFrame, row_id: str, samples: int, seed: int) -> DataFrame:
-    """Each row once per replicate `b` it is drawn in, with its count `w`.
+    """Each row once per `replicate` it is drawn in, with its count `times`.
 
     Counts are Poisson(1) draws from a hash of the row's id, so every model is scored on the same
     draws, on any partitioning and after any retry. One hash serves four replicates. The rows are
-    streamed into an aggregation by `b`; nothing of this size is shuffled.
+    streamed into an aggregation by replicate; nothing of this size is shuffled.
     """
     per_hash = F.explode(F.sequence(F.lit(0), F.lit(math.ceil(samples / 4) - 1))).alias("_k")
     hashed = df.select("*", per_hash).withColumn("_h", hash_hex(seed, F.col(row_id), F.col("_k")))
     draws = F.array(*[poisson_weight(F.substring("_h", 1 + 8 * i, 8)) for i in range(4)])
-    drawn = hashed.select("*", F.posexplode(draws).alias("_i", "w")).filter("w > 0")
-    return drawn.withColumn("b", F.col("_k") * 4 + F.col("_i")).filter(F.col("b") < samples).drop("_k", "_h", "_i")
+    drawn = hashed.select("*", F.posexplode(draws).alias("_i", "times")).filter("times > 0")
+    return drawn.withColumn("replicate", F.col("_k") * 4 + F.col("_i")).filter(F.col("replicate") < samples).drop("_k", "_h", "_i")
 
 
 def weighted_mean(term: str) -> Column:
-    return F.sum(F.col("w") * F.col(term)) / F.sum(F.when(F.col(term).isNotNull(), F.col("w")))
+    return F.sum(F.col("times") * F.col(term)) / F.sum(F.when(F.col(term).isNotNull(), F.col("times")))
 
 
 def mean_draws(df: DataFrame, row_id: str, terms: dict[str, Column], samples: int, seed: int) -> DataFrame:
     """One row per replicate with the weighted mean of every term."""
     narrow = df.select(row_id, *[c.alias(n) for n, c in terms.items()])
-    return replicates(narrow, row_id, samples, seed).groupBy("b").agg(*[weighted_mean(n).alias(n) for n in terms])
+    return replicates(narrow, row_id, samples, seed).groupBy("replicate").agg(*[weighted_mean(n).alias(n) for n in terms])
 
 
 def interval(column: str, confidence: float = 0.95) -> list[Column]:
@@ -182,7 +182,7 @@ def _ranked(df: DataFrame, models: Models, y: str, by: list[str], weight: str |
 
 
 def estimates(df: DataFrame, row_id: str, y: str, models: Models, samples: int, seed: int, ranked: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Point values (model, metric, value) and draws (b, model, metric, value) of the task's metrics.
+    """Point values (model, metric, value) and draws (replicate, model, metric, value) of the task's metrics.
 
     Both are small and read several times, so they are stored.
     """
@@ -192,12 +192,12 @@ def estimates(df: DataFrame, row_id: str, y: str, models: Models, samples: int,
             key = f"c{len(terms)}"
             terms[key], names[key] = term, (name, metric)
     points = _long(df.agg(*[F.avg(t).alias(k) for k, t in terms.items()]), names, "value", [])
-    draws = _long(mean_draws(df, row_id, terms, samples, seed), names, "value", ["b"])
+    draws = _long(mean_draws(df, row_id, terms, samples, seed), names, "value", ["replicate"])
     if ranked and models.task != "intervals":
         inputs = [row_id, y, *dict.fromkeys(c for cols in models.columns.values() for c in cols)]
         drawn = replicates(df.select(*inputs), row_id, samples, seed)
         points = reduce(DataFrame.unionByName, [points, *_ranked(df, models, y, [], None)])
-        draws = reduce(DataFrame.unionByName, [draws, *_ranked(drawn, models, y, ["b"], "w")])
+        draws = reduce(DataFrame.unionByName, [draws, *_ranked(drawn, models, y, ["replicate"], "times")])
     return written(points, "points"), written(draws, "draws")
 
 
@@ -224,8 +224,8 @@ def compare_with_best(points: DataFrame, draws: DataFrame, models: Models, confi
     )
     point = compared.filter(~is_base).join(best, "metric")
     point = point.select("model", "baseline", "metric", (F.col("value") - F.col("base_point")).alias("difference"))
-    base_draws = draws.select(F.col("model").alias("baseline"), "metric", "b", F.col("value").alias("_base"))
-    diffs = draws.join(point.select("model", "baseline", "metric"), ["model", "metric"]).join(base_draws, ["baseline", "metric", "b"])
+    base_draws = draws.select(F.col("model").alias("baseline"), "metric", "replicate", F.col("value").alias("_base"))
+    diffs = draws.join(point.select("model", "baseline", "metric"), ["model", "metric"]).join(base_draws, ["baseline", "metric", "replicate"])
     spans = (
         diffs.withColumn("d", F.col("value") - F.col("_base"))
         .filter("d is not null and not isnan(d)")

@@ -230,8 +230,8 @@ def offline_lookup(spark, sf_dir):
 )
 def bootstrap_draws(spark, sf_dir):
     ids = base_frame(spark, sf_dir).filter("split = 'test'").select("row_id")
-    drawn = metrics.replicates(ids, "row_id", SAMPLES, SEED).groupBy("b")
-    return drawn.agg(F.sum("w").alias("rows_drawn"), F.count(F.lit(1)).alias("distinct_rows"), F.max("w").alias("most"))
+    drawn = metrics.replicates(ids, "row_id", SAMPLES, SEED).groupBy(F.col("replicate").alias("b"))
+    return drawn.agg(F.sum("times").alias("rows_drawn"), F.count(F.lit(1)).alias("distinct_rows"), F.max("times").alias("most"))
 
 
 # ------------------------------------------------------------------ baselines
