@@ -19,10 +19,9 @@ HALF_DAY = 12 * 3600
 
 def clock_minutes(text: Column, pattern: str = r"(\d{1,2}):(\d{1,2})") -> Column:
     """Minutes after midnight of the first `H:MM` in `text`; null if there is none or it is no valid clock."""
-    found = F.regexp_extract(text, pattern, 0)
     hour = F.regexp_extract(text, pattern, 1).try_cast("int")
     minute = F.regexp_extract(text, pattern, 2).try_cast("int")
-    return F.when((found != "") & (hour < 24) & (minute < 60), hour * 60 + minute)
+    return F.when((hour < 24) & (minute < 60), hour * 60 + minute)
 
 
 def parse_timestamp(text: Column) -> Column:

@@ -11,14 +11,20 @@ LETTERS_FROM = "يك‌‏‎"
 LETTERS_TO = "یک "
 # Persian and Arabic-Indic digits
 FOREIGN_DIGITS = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩"
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+# Every white space character a name may be split by, the plain space last
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000 "
 TAIL_PATTERN = "^(N?[0-9A-Z]{2,6})$"
 
 
 def normalize_text(c: Column) -> Column:
-    """One spelling per name: unified letters, single spaces, null when nothing is left."""
-    spaced = F.regexp_replace(F.translate(c, LETTERS_FROM, LETTERS_TO), WHITESPACE, " ")
-    return F.nullif(F.trim(spaced), F.lit(""))
+    """One spelling per name: unified letters, single spaces, null when nothing is left.
+
+    Letters and white space are mapped in one pass; only text with a run of spaces is matched again.
+    """
+    marks = LETTERS_FROM[len(LETTERS_TO) :]
+    source = LETTERS_FROM[: len(LETTERS_TO)] + WHITESPACE + marks
+    plain = F.translate(c, source, LETTERS_TO + " " * len(WHITESPACE))
+    return F.nullif(F.trim(F.when(plain.contains("  "), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)), F.lit(""))
 
 
 def fold_digits(c: Column) -> Column:
@@ -26,7 +32,7 @@ def fold_digits(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.regexp_replace(c, r"^(?U)[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit(""))
+    return F.nullif(F.trim(c, F.lit(WHITESPACE)), F.lit(""))
 
 
 def flight_key(airport: Column, number: Column, scheduled: Column) -> Column:

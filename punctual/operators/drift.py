@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctual.operators.ranks import interpolated, running_sum
+from punctual.operators.ranks import interpolated, running_sum, slice_edges
 from punctual.session import written
 
 # Floor of a bin's share, bin labels, number of categories and of numeric bins
@@ -36,18 +36,18 @@ def value_counts(reference: DataFrame, current: DataFrame, numerical: list[str],
     return known.groupBy("feature", "num", "txt").agg(*sides)
 
 
-def reference_bins(counts: DataFrame, numerical: list[str], bins: int = BINS) -> DataFrame:
+def reference_bins(counts: DataFrame, numerical: list[str], bins: int = BINS, edges: list[float] | None = None) -> DataFrame:
     """Per feature: inner decile edges if it is numeric with more than `bins` values, else its common values."""
     seen = counts.filter("ref > 0 and txt is not null")
     distinct = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("values"))
     numbers = seen.filter("num is not null").select("feature", "num", F.col("ref").alias("n"))
-    ranked = running_sum(numbers, ["feature"], "num", ["n"])
+    ranked = running_sum(numbers, ["feature"], "num", ["n"], edges=edges)
     picks = [interpolated(i / bins, F.col("num")) for i in range(bins + 1)]
-    edges = ranked.groupBy("feature").agg(F.array_distinct(F.array(*picks)).alias("edges"))
+    deciles = ranked.groupBy("feature").agg(F.array_distinct(F.array(*picks)).alias("edges"))
     top = Window.partitionBy("feature").orderBy(F.desc("ref"), "txt")
     common = seen.withColumn("_rn", F.row_number().over(top)).filter(F.col("_rn") <= MAX_CATEGORIES)
     common = common.groupBy("feature").agg(F.collect_set("txt").alias("common"))  # MAX_CATEGORIES values at most
-    table = distinct.join(edges, "feature", "left").join(common, "feature", "left")
+    table = distinct.join(deciles, "feature", "left").join(common, "feature", "left")
     binned = F.col("feature").isin(*numerical) & (F.col("values") > bins)
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
     return table.select("feature", F.when(binned, inner).alias("inner"), "common")
@@ -85,10 +85,10 @@ def kolmogorov_tail(statistic: Column, n: Column, m: Column) -> Column:
     return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0)))
 
 
-def ks_test(counts: DataFrame) -> DataFrame:
+def ks_test(counts: DataFrame, edges: list[float] | None = None) -> DataFrame:
     """(feature, ks, ks_pvalue) over known values of numeric features; null where a side has none."""
     known = counts.filter("num is not null").select("feature", "num", "ref", "cur")
-    ranked = running_sum(known, ["feature"], "num", ["ref", "cur"])
+    ranked = running_sum(known, ["feature"], "num", ["ref", "cur"], edges=edges)
     gap = F.max(F.abs(F.col("run_ref") / F.col("all_ref") - F.col("run_cur") / F.col("all_cur")))
     both = ranked.filter("all_ref > 0 and all_cur > 0").groupBy("feature")
     found = both.agg(gap.alias("ks"), F.max("all_ref").cast("double").alias("_n"), F.max("all_cur").cast("double").alias("_m"))
@@ -100,10 +100,11 @@ def detect_drift(
 ) -> tuple[DataFrame, DataFrame]:
     """Summary per feature and the bin shares behind it."""
     counts = written(value_counts(reference, current, numerical, categorical), "value_counts")
-    shares = bin_shares(counts, reference_bins(counts, numerical))
+    edges = slice_edges(counts, "num")
+    shares = bin_shares(counts, reference_bins(counts, numerical, edges=edges))
     rows = counts.groupBy("feature").agg(F.sum("ref").alias("reference_rows"), F.sum("cur").alias("current_rows"))
     kind = F.when(F.col("feature").isin(*numerical), "numerical").otherwise("categorical")
-    summary = psi(shares).join(ks_test(counts), "feature", "left").join(rows, "feature")
+    summary = psi(shares).join(ks_test(counts, edges), "feature", "left").join(rows, "feature")
     return summary.withColumn("kind", kind).withColumn("drifted", F.col("psi") >= threshold), shares
 
 

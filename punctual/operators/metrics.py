@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.functions.numeric import hash_hex, poisson_weight
-from punctual.operators.ranks import exact_quantiles, running_sum
+from punctual.operators.ranks import exact_quantiles, running_sum, slice_edges
 from punctual.session import written
 
 QUANTILES = (0.1, 0.5, 0.9)
@@ -74,9 +74,9 @@ def range_terms(y: Column, low: Column, mid: Column, high: Column) -> dict[str,
 # ------------------------------------------------------------------ metrics that need ranks or bins
 
 
-def median_error(df: DataFrame, by: list[str], y: str, pred: str, weight: str | None = None, few_values: bool = False) -> DataFrame:
+def median_error(df: DataFrame, by: list[str], y: str, pred: str, weight: str | None = None, edges: list[float] | None = None) -> DataFrame:
     errors = df.withColumn("_e", F.abs(F.col(y) - F.col(pred)))
-    return exact_quantiles(errors, by, "_e", {"medae": 0.5}, weight=weight, few_values=few_values).select(*by, "medae")
+    return exact_quantiles(errors, by, "_e", {"medae": 0.5}, weight=weight, edges=edges).select(*by, "medae")
 
 
 def score_curve(df: DataFrame, by: list[str], y: str, score: str, weight: str | None = None, edges: list[float] | None = None) -> DataFrame:
@@ -166,19 +166,23 @@ def _long(df: DataFrame, names: dict[str, tuple[str, str]], value: str, keep: li
     return df.selectExpr(*keep, f"stack({len(names)}, {pairs}) as (model, metric, {value})")
 
 
-def _ranked(df: DataFrame, models: Models, y: str, by: list[str], weight: str | None) -> list[DataFrame]:
-    out = []
-    for name, cols in models.columns.items():
-        found = []
-        if models.task == "regression":
-            found = [("medae", median_error(df, by, y, cols[0], weight))]
-        elif models.task == "classification":
-            found = [
-                ("pr_auc", average_precision(df, by, y, cols[1], weight)),
-                ("ece", calibration_error(df, by, y, cols[1], weight=weight)),
-            ]
-        out += [t.select(*by, F.lit(name).alias("model"), F.lit(k).alias("metric"), F.col(k).alias("value")) for k, t in found]
-    return out
+def _per_model(df: DataFrame, models: Models, y: str, keep: list[str]) -> DataFrame:
+    """One row per row and model: y and the model's outputs."""
+    names = ["pred"] if models.task == "regression" else ["label", "p"]
+    each = [F.struct(F.lit(m).alias("model"), *[F.col(c).alias(n) for n, c in zip(names, cols)]) for m, cols in models.columns.items()]
+    return df.select(*keep, F.col(y).alias("y"), F.inline(F.array(*each)))
+
+
+def _ranked(long: DataFrame, task: str, by: list[str], weight: str | None, edges: list[float]) -> list[DataFrame]:
+    """Metrics that need ranks or bins, all models in one pass: (by..., metric, value)."""
+    if task == "regression":
+        found = {"medae": median_error(long, by, "y", "pred", weight, edges)}
+    else:
+        found = {
+            "pr_auc": average_precision(long, by, "y", "p", weight, edges),
+            "ece": calibration_error(long, by, "y", "p", weight=weight),
+        }
+    return [t.select(*by, F.lit(k).alias("metric"), F.col(k).alias("value")) for k, t in found.items()]
 
 
 def estimates(df: DataFrame, row_id: str, y: str, models: Models, samples: int, seed: int, ranked: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -196,8 +200,12 @@ def estimates(df: DataFrame, row_id: str, y: str, models: Models, samples: int,
     if ranked and models.task != "intervals":
         inputs = [row_id, y, *dict.fromkeys(c for cols in models.columns.values() for c in cols)]
         drawn = replicates(df.select(*inputs), row_id, samples, seed)
-        points = reduce(DataFrame.unionByName, [points, *_ranked(df, models, y, [], None)])
-        draws = reduce(DataFrame.unionByName, [draws, *_ranked(drawn, models, y, ["replicate"], "times")])
+        long = _per_model(df, models, y, [])
+        ranked_by = F.abs(F.col("y") - F.col("pred")) if models.task == "regression" else F.col("p")
+        edges = slice_edges(long.select(ranked_by.alias("v")), "v")  # draws repeat these values, so their slices do too
+        points = reduce(DataFrame.unionByName, [points, *_ranked(long, models.task, ["model"], None, edges)])
+        drawn = _per_model(drawn, models, y, ["replicate", "times"])
+        draws = reduce(DataFrame.unionByName, [draws, *_ranked(drawn, models.task, ["replicate", "model"], "times", edges)])
     return written(points, "points"), written(draws, "draws")
 
 

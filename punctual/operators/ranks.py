@@ -119,19 +119,27 @@ def rank_values(df: DataFrame, value: str, ranks: list[int], edges: list[float]
 def cut_points(df: DataFrame, time: str, tie: str, ranks: list[int]) -> list[tuple]:
     """The (time, tie) pairs at the given 0-based ranks of the order (time, tie).
 
-    Only distinct times are ranked; ties are ranked inside the few times that hold a wanted rank.
+    Distinct times are ranked first; ties are ranked only inside the few times that hold a wanted
+    rank. A row per rank reaches the driver.
     """
     micros = df.select(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(tie).cast("long").alias("tie"))
     counts = micros.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_sum(counts, [], "t", ["n"])
-    points = []
-    for rank in ranks:
-        at = ranked.filter((F.col("run_n") > rank) & (F.col("run_n") - F.col("n") <= rank)).first()
-        inside = rank - (at["run_n"] - at["n"])
-        same_time = micros.filter(F.col("t") == at["t"])
-        found = same_time.first()["tie"] if at["n"] == 1 else rank_values(same_time, "tie", [inside]).first()["value"]
-        points.append((at["t"], found))
-    return points
+    before = F.col("run_n") - F.col("n")
+    held = F.filter(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda r: (r >= before) & (r < F.col("run_n")))
+    ranked = running_sum(counts, [], "t", ["n"]).withColumn("rank", F.explode(held))
+    found = ranked.select("rank", "t", (F.col("rank") - before).alias("inside")).collect()
+    times = sorted({r["t"] for r in found})
+    same = micros.filter(F.col("t").isin(times)).groupBy("t", "tie").agg(F.count(F.lit(1)).alias("n"))
+    order = running_sum(same, ["t"], "tie", ["n"])
+    hit = F.lit(False)
+    for r in found:
+        hit = hit | ((F.col("t") == r["t"]) & (F.col("run_n") - F.col("n") <= r["inside"]) & (F.col("run_n") > r["inside"]))
+    rows = order.filter(hit).collect()
+    points = {}
+    for r in found:
+        at = (x for x in rows if x["t"] == r["t"] and x["run_n"] - x["n"] <= r["inside"] < x["run_n"])
+        points[r["rank"]] = (r["t"], next(at)["tie"])
+    return [points[r] for r in ranks]
 
 
 def position_ids(df: DataFrame, key: str, after: int = 0, name: str = "id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.operators.keep import null_safe_join
-from punctual.operators.ranks import exact_quantiles
+from punctual.operators.ranks import exact_quantiles, slice_edges
 
 
 def count_lookup(targets: DataFrame, rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -46,8 +46,9 @@ def trailing_stat(
     else:
         counted = history.groupBy(key, date, value).agg(F.count(F.lit(1)).alias("_n"))
         spread = counted.select(key, value, "_n", after).join(wanted, "_day", "left_semi")
-        own = exact_quantiles(spread, [key, "_day"], value, {"_own": 0.5}, weight="_n", few_values=few_values).withColumnRenamed("n", "_n")
-        prior = exact_quantiles(spread, ["_day"], value, {"_prior": 0.5}, weight="_n", few_values=few_values).drop("n")
+        middle = {"weight": "_n", "few_values": few_values, "edges": None if few_values else slice_edges(history, value)}
+        own = exact_quantiles(spread, [key, "_day"], value, {"_own": 0.5}, **middle).withColumnRenamed("n", "_n")
+        prior = exact_quantiles(spread, ["_day"], value, {"_prior": 0.5}, **middle).drop("n")
     m = float(smoothing)
     shrunk = (F.col("_n") * F.col("_own") + m * F.col("_prior")) / (F.col("_n") + m)
     looked_up = targets.withColumn("_day", F.col(date)).join(own, [key, "_day"], "left").join(prior, "_day", "left")

@@ -9,6 +9,7 @@ from punctual.operators import quality
 from punctual.plans import clean
 from punctual.queries import feeds
 from punctual.queries.registry import query, table
+from punctual.session import spread
 
 
 @query(
@@ -17,7 +18,7 @@ from punctual.queries.registry import query, table
 )
 def text_normalized(spark, sf_dir):
     text = normalize_text(F.col("text"))
-    docs = table(spark, sf_dir, "documents").withColumn("t", text)
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("t", text)
     return docs.select("doc_id", F.md5(F.coalesce("t", F.lit(""))).alias("digest"), F.length("t").cast("long").alias("n_chars"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from punctual.functions.numeric import hash_uniform
 from punctual.plans.clean import clean_flights, training_rows
 from punctual.queries.registry import table
-from punctual.session import written
+from punctual.session import spread, written
 
 AIRLINES = ["ماهان", "آتا", "كيش اير", "قشم  ایر", "معراج", "وارش"]
 AIRPORTS = ["فرودگاه مهرآباد", "فرودگاه مشهد", "فرودگاه شيراز", "فرودگاه  تبريز ", "فرودگاه کرمان"]
@@ -30,7 +30,7 @@ def _facts(events: DataFrame) -> DataFrame:
 
 
 def flight_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(table(spark, sf_dir, "events"))
+    return _facts(spread(table(spark, sf_dir, "events")))
 
 
 def raw_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
