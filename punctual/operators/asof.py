@@ -38,15 +38,10 @@ def asof_join(
     keys = [*by, "_t"]
     known = " and ".join(f"`{c}` is not null" for c in keys)
     asked = left.select(*by, micros(left_time).alias("_t")).filter(known).distinct()
-    found = (
-        right.select(*by, micros(right_time).alias("_t"), F.struct(right_time, *values).alias("_v"))
-        .filter(known)
-        .groupBy(*keys)
-        .agg(F.max("_v").alias("_v"))
-    )
+    found = right.select(*by, micros(right_time).alias("_t"), F.struct(right_time, *values).alias("_v")).filter(known)
     cell = F.floor(F.col("_t") / width)
-    own = found.withColumn("_cell", cell)
-    last = own.groupBy(*by, "_cell").agg(F.max(F.struct("_t", "_v")).alias("_last"))
+    own = found.groupBy(*keys).agg(F.max("_v").alias("_v")).withColumn("_cell", cell)
+    last = found.groupBy(*by, cell.alias("_cell")).agg(F.max(F.struct("_t", "_v")).alias("_last"))
     carried = last.select(
         *by,
         F.col("_last._t").alias("_t"),

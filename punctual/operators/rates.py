@@ -27,24 +27,30 @@ def trailing_stat(
     smoothing: float = 20,
     stat: str = "mean",
     few_values: bool = True,
+    weight: str | None = None,
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Add a statistic of `history` values with the target's key over the `days` before its date.
 
     Shrunk towards the statistic over all keys: (n * own + m * prior) / (n + m). A key not seen in
     the window gets the prior; an empty window gives null. History is reduced to one row per (key,
     day) for a mean and per (key, day, value) for a median before it is repeated for each of the
-    days it counts for.
+    days it counts for. `weight` counts the rows a history row stands for; `wanted` (_day) lists the
+    dates asked for, if they are known already.
     """
-    wanted = targets.select(F.col(date).alias("_day")).distinct()
+    if wanted is None:
+        wanted = targets.select(F.col(date).alias("_day")).distinct()
     after = F.explode(F.sequence(F.date_add(date, 1), F.date_add(date, days))).alias("_day")
+    rows = F.lit(1) if weight is None else F.col(weight)
     if stat == "mean":
-        daily = history.groupBy(key, date).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+        known = F.when(F.col(value).isNotNull(), rows)
+        daily = history.groupBy(key, date).agg(F.sum(F.col(value) * rows).alias("_s"), F.sum(known).alias("_n"))
         spread = daily.select(key, "_s", "_n", after).join(wanted, "_day", "left_semi")
         own = spread.groupBy(key, "_day").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
         prior = own.groupBy("_day").agg((F.sum("_s") / F.sum("_n")).alias("_prior"))
         own = own.select(key, "_day", (F.col("_s") / F.col("_n")).alias("_own"), "_n")
     else:
-        counted = history.groupBy(key, date, value).agg(F.count(F.lit(1)).alias("_n"))
+        counted = history.groupBy(key, date, value).agg(F.sum(rows).alias("_n"))
         spread = counted.select(key, value, "_n", after).join(wanted, "_day", "left_semi")
         middle = {"weight": "_n", "few_values": few_values, "edges": None if few_values else slice_edges(history, value)}
         own = exact_quantiles(spread, [key, "_day"], value, {"_own": 0.5}, **middle).withColumnRenamed("n", "_n")

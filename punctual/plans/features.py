@@ -73,11 +73,15 @@ def add_rates(targets: DataFrame, context: DataFrame, s: FeatureSettings = Featu
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumns({"_date": F.to_date(SCHEDULED), "_route": route_label(F.col("airport"), F.col("destination_or_origin"))})
 
-    late = keyed(history).withColumn("_late", late_flag(F.col("delay_minutes")).cast("double"))
-    window = {"days": s.rate_window_days, "smoothing": s.rate_smoothing}
-    out = rates.trailing_stat(keyed(targets), late, "airline", "_date", "_late", "airline_delay_rate_7d", **window)
+    asked = keyed(targets)
+    wanted = written(asked.select(F.col("_date").alias("_day")).distinct(), "days")
+    # one scan of the history: all four statistics need only counts per airline, route, day and delay
+    counts = keyed(history).groupBy("airline", "_route", "_date", "delay_minutes").agg(F.count(F.lit(1)).alias("_rows"))
+    past = written(counts.withColumn("_late", late_flag(F.col("delay_minutes")).cast("double")), "history")
+    window = {"days": s.rate_window_days, "smoothing": s.rate_smoothing, "weight": "_rows", "wanted": wanted}
+    out = rates.trailing_stat(asked, past, "airline", "_date", "_late", "airline_delay_rate_7d", **window)
     out = rates.trailing_stat(
-        out, late, "_route", "_date", "delay_minutes", "route_median_delay_7d", stat="median", few_values=True, **window
+        out, past, "_route", "_date", "delay_minutes", "route_median_delay_7d", stat="median", few_values=True, **window
     )
     return out.drop("_date", "_route")
 
