@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -68,8 +69,16 @@ def rolling_folds(df: DataFrame, time: str, tie: str, folds: int) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
-    """At most `rows` rows, the same ones whatever the partitioning."""
-    return df.orderBy(hash_hex(seed, F.col(key)), key).limit(rows)
+    """At most `rows` rows, those with the smallest hashes, the same ones whatever the partitioning.
+
+    Only rows below a hash that a little more than enough rows fall under are sorted. Should they
+    be too few, all rows are.
+    """
+    n = df.count()
+    share = (rows + 6 * math.sqrt(rows) + 50) / max(n, 1)
+    near = df.filter(hash_uniform(seed, F.col(key)) < share) if share < 1 else df
+    enough = share >= 1 or near.limit(rows).count() == rows
+    return (near if enough else df).orderBy(hash_hex(seed, F.col(key)), key).limit(rows)
 
 
 def sample_share(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:

@@ -59,10 +59,12 @@ def stream_sightings(spark, sf_dir):
     """The most advanced state per flight, kept as state of a stream over typed sightings."""
     incoming, out = scratch_path(spark, "sightings"), scratch_path(spark, "advanced")
     key = F.concat_ws("|", "airport", "flight_type", "flight_number", F.date_format("scheduled_datetime", "yyyy-MM-dd HH:mm"))
-    typed = typed_sightings(feeds.raw_boards(spark, sf_dir)).select(key.alias("flight"), F.col("_rank").cast("int").alias("rank"), "status")
+    typed = typed_sightings(feeds.raw_boards(spark, sf_dir)).select(
+        key.alias("flight"), F.col("scheduled_datetime").cast("timestamp").alias("due"), F.col("_rank").cast("int").alias("rank"), "status"
+    )
     typed.write.parquet(incoming)
     stream = jobs.file_stream(spark, incoming, typed.schema, per_trigger=4)
-    jobs.run_available(jobs.advanced_sightings(stream, "flight", "rank", ["status"]), jobs.appended(out), "update")
+    jobs.run_available(jobs.advanced_sightings(stream, ["flight"], "due", "rank", ["status"], "90 days"), jobs.appended(out), "update")
     return _latest_batches(spark, out, ["flight"]).select("flight", "status")
 
 

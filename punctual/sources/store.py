@@ -90,7 +90,8 @@ def load_batch(spark: SparkSession, path: str, rows: DataFrame, ordinal: str, no
     stored = read_store(spark, path, STORE_SCHEMA).filter(F.col("flight_date").isin(touched))
     after, rejected = load_actions(stored, rows, ordinal, now)
     merged = written(after.withColumn("flight_date", F.to_date("scheduled_datetime")), "merged")
-    writer = merged.drop("action").repartition("flight_date").write.mode("overwrite")
+    # rebalancing gathers each date's rows but splits a date that is much larger than the others
+    writer = merged.drop("action").hint("rebalance", "flight_date").write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy("flight_date").parquet(path)
     return load_counters(merged, rejected)
 

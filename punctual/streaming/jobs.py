@@ -5,12 +5,10 @@ Event times are cast to TIMESTAMP (the session runs in UTC) because watermarks d
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from punctual.operators import quality
 from punctual.operators.alerts import sliding_rates
@@ -66,33 +64,14 @@ def ingest(stream: DataFrame, path: str, prepare: Callable[[DataFrame], DataFram
 # ------------------------------------------------------------------ sightings
 
 
-def advanced_sightings(stream: DataFrame, key: str, rank: str, payload: list[str], expire_minutes: int | None = None) -> DataFrame:
-    """Rows that are more advanced than anything seen of their key before, with state per key.
+def advanced_sightings(stream: DataFrame, keys: list[str], time: str, rank: str, payload: list[str], keep: str) -> DataFrame:
+    """The most advanced row of each key, as a stream of updates.
 
-    Emits an update each time a key advances; the last update of a key is its most advanced state.
+    The smallest rank wins, then the smallest payload. Copies of a key are reduced before the
+    shuffle, and a key is forgotten `keep` after its event time.
     """
-    fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    columns = [key, rank, *payload]
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in columns)
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire_minutes else GroupStateTimeout.NoTimeout
-
-    def advance(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best, row = (state.get[0] if state.exists else None), None
-        for batch in batches:
-            top = batch.sort_values([rank, *payload]).iloc[:1]
-            if best is None or top[rank].iloc[0] < best:
-                best, row = int(top[rank].iloc[0]), top[columns]
-        if best is not None:
-            state.update((best,))
-            if expire_minutes:
-                state.setTimeoutDuration(expire_minutes * 60_000)
-        if row is not None:
-            yield row
-
-    return stream.select(*columns).groupBy(key).applyInPandasWithState(advance, schema, "best int", "update", timeout)
+    seen = stream.withWatermark(time, keep).groupBy(*keys, time).agg(F.min(F.struct(rank, *payload)).alias("_best"))
+    return seen.select(*keys, time, "_best.*")
 
 
 # ------------------------------------------------------------------ outcomes
