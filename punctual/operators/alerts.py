@@ -77,6 +77,12 @@ def silent_labels(samples: DataFrame, as_of: Column, metric: str = "scraped_rows
     return firing.select(F.lit("AirportBoardEmpty").alias("rule"), F.lit("warning").alias("severity"), "labels", F.col("peak").alias("value"))
 
 
+def rolling_peaks(samples: DataFrame, by: list[str], width: str, slide: str) -> DataFrame:
+    """Largest value per series over windows of `width` ending at every multiple of `slide`."""
+    windows = samples.groupBy(*by, F.window("ts", width, slide)).agg(F.max("value").alias("peak"))
+    return windows.select(*by, F.col("window.end").alias("until"), "peak")
+
+
 def counter_increase(samples: DataFrame, as_of: Column, metric: str = "prediction_log_failures_total", minutes: int = 15) -> DataFrame:
     """Counters that rose in the last minutes."""
     age = _seconds(as_of) - _seconds(F.col("ts"))

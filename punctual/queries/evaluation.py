@@ -11,10 +11,13 @@ from punctual.functions.numeric import TARGET_TRANSFORMS, hash_uniform, late_fla
 from punctual.functions.text import flight_key, slug
 from punctual.operators import calibration, gate, metrics, rates, splits
 from punctual.operators.ranks import rank_values
+from punctual.plans import modelling
 from punctual.queries import feeds
 from punctual.queries.registry import query, table
-from punctual.session import written
+from punctual.session import scratch_path, written
 from punctual.settings import GateSettings
+from punctual.sources import predictions
+from punctual.sources.store import write_splits
 
 SAMPLES = 100
 SEED = 42
@@ -444,6 +447,66 @@ def order_statistics(spark, sf_dir):
     return found.select("rank", F.round("value", 6).alias("value"))
 
 
+@query(
+    "rolling_origin_baseline",
+    """WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS rn, count(*) OVER () // 5 AS size, count(*) OVER () AS n FROM orders),
+    f AS (SELECT *, CASE WHEN rn < n - 4 * size THEN 0 ELSE (rn - (n - 4 * size)) // size + 1 END AS fold, CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS y FROM r),
+    g AS (SELECT k.fold, f.o_orderpriority, avg(y) AS p FROM f JOIN (VALUES (1), (2), (3), (4)) k(fold) ON f.fold < k.fold GROUP BY ALL)
+    SELECT f.fold, f.o_orderpriority AS priority, count(*) AS n, round(avg(p), 6) AS p, round(avg((p - y) ** 2), 6) AS brier FROM f JOIN g ON g.fold = f.fold AND g.o_orderpriority = f.o_orderpriority GROUP BY ALL""",
+)
+def rolling_origin_baseline(spark, sf_dir):
+    """Every fold scored by the group rates of the folds before it."""
+    orders = table(spark, sf_dir, "orders").withColumn("y", (F.col("o_totalprice") > 250000).cast("int"))
+    rows = written(splits.rolling_folds(orders, "o_orderdate", "o_orderkey", 4), "folds")
+    out = None
+    for i in range(1, 5):
+        fit, test = rows.filter(F.col("fold") < i), rows.filter(F.col("fold") == i)
+        rate = rates.group_rate(fit, ["o_orderpriority"], "y", "p")
+        scored = rates.lookup_or_global(test, rate, fit.agg(F.avg("y").alias("p")), ["o_orderpriority"], ["p"])
+        out = scored if out is None else out.unionByName(scored)
+    grouped = out.groupBy("fold", F.col("o_orderpriority").alias("priority"))
+    found = grouped.agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
+    return _round(found, "p", "brier")
+
+
+@query(
+    "split_files",
+    f"WITH {BASE} SELECT split, count(*) AS n, round(avg(delay_minutes), 6) AS mean_delay FROM base GROUP BY 1",
+)
+def split_files(spark, sf_dir):
+    """Splits handed over as one Parquet folder each."""
+    path = scratch_path(spark, "splits")
+    write_splits(base_frame(spark, sf_dir).select("row_id", "split", "delay_minutes"), path)
+    back = spark.read.parquet(path).groupBy("split")
+    return _round(back.agg(F.count(F.lit(1)).alias("n"), F.avg("delay_minutes").alias("mean_delay")), "mean_delay")
+
+
+@query(
+    "drift_reference",
+    f"""WITH {BASE} SELECT row_id FROM base WHERE scheduled_datetime BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' ORDER BY md5('42|' || row_id), row_id LIMIT 150""",
+)
+def drift_reference(spark, sf_dir):
+    """A sample of training rows inside a model's window, both ends included."""
+    first, last = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-05", "2024-01-20"))
+    rows = written(base_frame(spark, sf_dir).select("row_id", "scheduled_datetime"), "frame")
+    return predictions.drift_reference(rows, "scheduled_datetime", "row_id", first, last, 150, SEED).select("row_id")
+
+
+@query(
+    "largest_line_parts",
+    """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, unnest(list_sort([{'o': -abs(l_quantity - 25), 'f': 'l_quantity', 'v': round(l_quantity - 25, 3)}, {'o': -abs((l_discount - 0.05) * 500), 'f': 'l_discount', 'v': round((l_discount - 0.05) * 500, 3)},
+      {'o': -abs((l_tax - 0.04) * 600), 'f': 'l_tax', 'v': round((l_tax - 0.04) * 600, 3)}])[1:2]) AS s FROM lineitem)
+    SELECT s.f AS feature, count(*) AS n, round(sum(abs(s.v)), 3) AS total FROM x GROUP BY 1""",
+)
+def largest_line_parts(spark, sf_dir):
+    """The two largest of three contributions of every order line, counted by feature."""
+    parts = {"l_quantity": F.col("l_quantity") - 25, "l_discount": (F.col("l_discount") - 0.05) * 500, "l_tax": (F.col("l_tax") - 0.04) * 600}
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    lines = table(spark, sf_dir, "lineitem").select(*keys, *[c.alias(n) for n, c in parts.items()])
+    top = modelling.top_factors(lines, keys, 2).select(F.explode("factors").alias("f")).select("f.*")
+    return top.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.abs("contribution")), 3).alias("total"))
+
+
 # ------------------------------------------------------------------ gate
 
 

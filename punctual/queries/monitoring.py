@@ -265,6 +265,19 @@ def lineitem_drift(spark, sf_dir):
     return _shown(summary)
 
 
+@query(
+    "lineitem_ks",
+    f"""WITH {drift_sql(_ORDERS.format('<'), _ORDERS.format('>='), ['l_quantity', 'l_extendedprice'], [])}, c AS (SELECT feature, count(num) FILTER (side = 'ref') AS n, count(num) FILTER (side = 'cur') AS m FROM lg GROUP BY 1),
+    x AS (SELECT feature, ks, ks * sqrt(n * m / (n + m)) AS x FROM ks JOIN c USING (feature))
+    SELECT feature, round(ks, 6) AS ks, round(CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(least(list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * x * x))), 1.0), 0.0) END, 6) AS ks_pvalue FROM x""",
+)
+def lineitem_ks(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    old, new = (_orders_frame(orders, table(spark, sf_dir, "lineitem"), late) for late in (False, True))
+    counts = written(drift.value_counts(old, new, ["l_quantity", "l_extendedprice"], []), "value_counts")
+    return _round(drift.ks_test(counts), "ks", "ks_pvalue")
+
+
 _SCENARIO = "(SELECT {0} AS Scheduled_Hour_of_Day, {1} AS has_inbound, {2} AS scheduled_turnaround_min FROM log WHERE created_at {3} TIMESTAMP '2024-01-22')"
 _SCENARIOS = {
     "night": ("hour % 5", "TRY_CAST(has_inbound AS DOUBLE)", "turn"),
@@ -407,6 +420,17 @@ def silent_airports(spark, sf_dir):
     return _round(alerts.silent_labels(samples, _ts("2024-01-30 23:00:00")), "value").select("rule", "labels", "value")
 
 
+@query(
+    "rolling_peaks",
+    """WITH w AS (SELECT user_id % 20 AS board, value, unnest(range(4)) AS k, time_bucket(INTERVAL 3 HOUR, ts) AS t FROM events)
+    SELECT board, strftime(t + INTERVAL 12 HOUR - to_hours(CAST(k * 3 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS until, round(max(value), 6) AS peak FROM w GROUP BY ALL""",
+)
+def rolling_peaks(spark, sf_dir):
+    samples = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("board"), "value", "ts")
+    peaks = alerts.rolling_peaks(samples, ["board"], "12 hours", "3 hours")
+    return _round(peaks, "peak").select("board", feeds.stamp("until"), "peak")
+
+
 _WINDOWS = """w AS (SELECT e.*, s.start FROM events e, LATERAL (SELECT unnest([time_bucket(INTERVAL 15 MINUTE, ts), time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 30 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 45 MINUTE]) AS start) s)"""
 
 
