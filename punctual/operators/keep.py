@@ -57,11 +57,6 @@ def latest_wins(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFra
     return keep_best(both, keys, [F.desc("_src")]).drop("_src")
 
 
-def delete_before(df: DataFrame, column: str, cutoff: Column) -> DataFrame:
-    """Rows at or after the cutoff."""
-    return df.filter(F.col(column) >= cutoff)
-
-
 def nth_distinct(df: DataFrame, group: list[str], time: str, name: str) -> DataFrame:
     """Ordinal of each distinct time within its group."""
     distinct = df.select(*group, time).distinct()

@@ -320,6 +320,14 @@ def reference_sample(spark, sf_dir):
     return splits.sample_rows(table(spark, sf_dir, "documents"), "doc_id", 200, SEED).select("doc_id")
 
 
+@query(
+    "sampled_share",
+    f"""SELECT o_orderkey FROM orders WHERE {feeds.uniform_sql(42, 'o_orderkey')} < 0.1""",
+)
+def sampled_share(spark, sf_dir):
+    return splits.sample_share(table(spark, sf_dir, "orders"), "o_orderkey", 0.1, SEED).select("o_orderkey")
+
+
 @query(
     "random_split",
     f"""SELECT CASE WHEN {feeds.uniform_sql(42, 'event_id')} < 0.2 THEN 'test' ELSE 'train' END AS split, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1""",

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
 from punctual.functions.numeric import delay_class, delay_class_long, right_closed_bin
-from punctual.operators import explore, lineage, mining
+from punctual.operators import explore, gate, lineage, mining
 from punctual.operators.ranks import exact_quantiles
 from punctual.plans import features
 from punctual.plans.clean import training_rows
@@ -323,10 +322,8 @@ def delay_hours_by_block(spark, sf_dir):
     f"""WITH {BASE} SELECT split, CASE WHEN max(scheduled_datetime) >= TIMESTAMP '2024-01-24' THEN 'champion was trained on part of the gate window' ELSE '-' END AS note FROM base GROUP BY 1""",
 )
 def overlap_note(spark, sf_dir):
-    from punctual.operators.gate import overlap_note as note
-
     last = base_frame(spark, sf_dir).groupBy("split").agg(F.max("scheduled_datetime").alias("trained_to"))
     gate_from = F.lit("2024-01-24").cast("timestamp_ntz")
-    return last.select("split", F.coalesce(note(F.col("trained_to"), gate_from), F.lit("-")).alias("note"))
+    return last.select("split", F.coalesce(gate.overlap_note(F.col("trained_to"), gate_from), F.lit("-")).alias("note"))
 
 

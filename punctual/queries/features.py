@@ -8,11 +8,12 @@ from punctual.functions import clock
 from punctual.functions.text import json_input, json_number
 from punctual.operators import asof, quality, rates
 from punctual.operators.keep import keep_best, nth_distinct
+from punctual.operators.splits import time_split
 from punctual.plans import features
-from punctual.plans.clean import training_rows
+from punctual.plans.clean import clean_flights, training_rows
 from punctual.queries import feeds
 from punctual.queries.registry import query, table
-from punctual.settings import FeatureSet, feature_set
+from punctual.settings import FLIGHT_KEY, FeatureSet
 from punctual.sources.boards import request_set
 
 KEY = ["airport", "flight_number", "scheduled_datetime"]
@@ -252,8 +253,6 @@ _SPLIT = "CASE WHEN scheduled_datetime < TIMESTAMP '2024-01-21' THEN 'train' WHE
     SELECT split, unnest([{', '.join(f"'{c}'" for c in _COVERED)}]) AS feature, round(unnest([{', '.join(_COVERED)}]), 6) AS known FROM s""",
 )
 def feature_coverage(spark, sf_dir):
-    from punctual.operators.splits import time_split
-
     rows = time_split(frame(spark, sf_dir), "scheduled_datetime", "2024-01-21", "2024-01-24")
     return quality.feature_coverage(rows, _COVERED).withColumn("known", F.round("known", 6))
 
@@ -361,6 +360,21 @@ def unnamed_request_features(spark, sf_dir):
     )
 
 
+@query(
+    "context_assembled",
+    f"""WITH {feeds.FLIGHTS}, early AS (SELECT DISTINCT airport, flight_type, flight_number, scheduled_datetime FROM ranked WHERE seen % 2 = 0),
+    late AS (SELECT * FROM ranked WHERE seen % 2 = 1 QUALIFY row_number() OVER (PARTITION BY airport, flight_type, flight_number, scheduled_datetime ORDER BY rk, seen DESC) = 1)
+    SELECT CASE coalesce(l.rk, 8) WHEN 0 THEN 'cancelled' WHEN 1 THEN 'departed' WHEN 2 THEN 'landed' WHEN 6 THEN 'delayed' WHEN 8 THEN 'scheduled' ELSE 'unknown' END AS status, count(*) AS n
+    FROM early e FULL JOIN late l USING (airport, flight_type, flight_number, scheduled_datetime) GROUP BY 1""",
+)
+def context_assembled(spark, sf_dir):
+    """History from first sightings and fresh flights from final ones; the fresh copy of a flight wins."""
+    raw = feeds.raw_boards(spark, sf_dir)
+    old, fresh = (clean_flights(raw.filter(F.col("seen") % 2 == k), "seen") for k in (0, 1))
+    both = features.context_window(old, fresh, FLIGHT_KEY)
+    return both.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "latest_event_per_user",
     """SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) = 1""",
@@ -369,5 +383,3 @@ def latest_event_per_user(spark, sf_dir):
     best = keep_best(table(spark, sf_dir, "events"), ["user_id"], [F.desc("value"), F.desc("event_id")])
     return best.select("user_id", "event_id", "event_type", "value")
 
-
-__all__ = ["FEATURES", "feature_set", "frame"]

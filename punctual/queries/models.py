@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from punctual.operators import calibration, metrics, rates, splits
+from punctual.operators import calibration, metrics, quality, rates, splits
 from punctual.plans import modelling
 from punctual.queries import feeds
 from punctual.queries.evaluation import SAMPLES, SEED, _round, base_frame
@@ -63,6 +63,19 @@ def category_indexes(spark, sf_dir):
     return long.distinct().withColumn("idx", F.col("idx").cast("long"))
 
 
+@query(
+    "unknown_to_the_model",
+    """WITH v AS (SELECT 'p_brand' AS feature, p_brand AS value, p_retailprice > 1000 AS new FROM part UNION ALL SELECT 'p_name', p_name, p_retailprice > 1000 FROM part)
+    SELECT feature, value, count(*) AS n FROM v WHERE new AND (feature, value) NOT IN (SELECT (feature, value) FROM v WHERE NOT new) GROUP BY ALL""",
+)
+def unknown_to_the_model(spark, sf_dir):
+    """Categories of dearer parts that an encoder fitted on the cheaper ones has not seen."""
+    part, names = table(spark, sf_dir, "part"), ("p_brand", "p_name")
+    dear = F.col("p_retailprice") > 1000
+    encoder = modelling.Encoder.fit(part.filter(~dear), FeatureSet((), names))
+    return quality.unseen_categories(part.filter(dear), modelling.known_categories(encoder, part), list(names))
+
+
 @query("leaf_quantile_ranges")
 def leaf_quantile_ranges(spark, sf_dir):
     features = feature_set(["calendar", "identity", "rotation", "rates"])

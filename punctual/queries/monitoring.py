@@ -463,6 +463,19 @@ def error_runs(spark, sf_dir):
     return alerts.exceeded_for(rates, "start", F.col("error_share") > 0.3, 900, 1800)
 
 
+@query(
+    "request_alerts",
+    f"""WITH {_WINDOWS}, r AS (SELECT start, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) > 0.05 AS e, quantile_cont(value / 200, 0.95) > 0.5 AS l FROM w GROUP BY start),
+    x AS (SELECT 'ApiHighErrorRate' AS rule, start FROM r WHERE e UNION ALL SELECT 'ApiSlowP95', start FROM r WHERE l),
+    g AS (SELECT rule, start, epoch(start) - 900 * row_number() OVER (PARTITION BY rule ORDER BY start) AS grp FROM x)
+    SELECT rule, CAST(min(epoch(start)) AS BIGINT) AS opens, CAST(max(epoch(start)) AS BIGINT) AS closes, count(*) AS n FROM g GROUP BY rule, grp HAVING max(epoch(start)) - min(epoch(start)) >= 600""",
+)
+def request_alerts(spark, sf_dir):
+    """Events as requests: when the error share or the p95 latency stayed above its limit."""
+    requests = table(spark, sf_dir, "events").withColumn("seconds", F.col("value") / 200)
+    return alerts.request_alerts(requests, "ts", F.col("event_type") == "error", "seconds", "1 hour", "15 minutes", 900)
+
+
 @query(
     "value_runs",
     """WITH x AS (SELECT user_id, ts, value > 20 AS ok, sum(CASE WHEN value > 20 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM events)

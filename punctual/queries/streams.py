@@ -12,7 +12,7 @@ from punctual.queries.evaluation import _round
 from punctual.queries.loading import _LOADED, _dimension, _with_ids
 from punctual.queries.monitoring import _WINDOWS, _world
 from punctual.queries.registry import query, table
-from punctual.session import scratch_path
+from punctual.session import scratch_path, written
 from punctual.sources import boards, store
 from punctual.streaming import jobs
 
@@ -33,7 +33,7 @@ def stream_ingest(spark, sf_dir):
     raw = feeds.raw_boards(spark, sf_dir).withColumn("k", (F.col("seen") % 2).cast("int"))
     departures = raw.filter(~F.lower("flight_type").contains("arrival"))
     departures.repartition(2, "k").sortWithinPartitions("k").write.partitionBy("k").parquet(incoming)
-    dim = _dimension(spark, raw.withColumn("airport", F.trim("airport"))).cache()
+    dim = written(_dimension(spark, raw.withColumn("airport", F.trim("airport"))), "airports")
 
     def prepare(rows):
         place = F.col("destination_or_origin")
