@@ -65,15 +65,16 @@ def category_indexes(spark, sf_dir):
 
 @query(
     "unknown_to_the_model",
-    """WITH v AS (SELECT 'p_brand' AS feature, p_brand AS value, p_retailprice > 1000 AS new FROM part UNION ALL SELECT 'p_name', p_name, p_retailprice > 1000 FROM part)
+    """WITH v AS (SELECT 'register' AS feature, 'EP' || user_id AS value, ts >= TIMESTAMP '2024-01-02' AS new FROM events UNION ALL SELECT 'event_type', event_type, ts >= TIMESTAMP '2024-01-02' FROM events)
     SELECT feature, value, count(*) AS n FROM v WHERE new AND (feature, value) NOT IN (SELECT (feature, value) FROM v WHERE NOT new) GROUP BY ALL""",
 )
 def unknown_to_the_model(spark, sf_dir):
-    """Categories of dearer parts that an encoder fitted on the cheaper ones has not seen."""
-    part, names = table(spark, sf_dir, "part"), ("p_brand", "p_name")
-    dear = F.col("p_retailprice") > 1000
-    encoder = modelling.Encoder.fit(part.filter(~dear), FeatureSet((), names))
-    return quality.unseen_categories(part.filter(dear), modelling.known_categories(encoder, part), list(names))
+    """Categories of later events that an encoder fitted on the first day has not seen."""
+    names = ("register", "event_type")
+    events = table(spark, sf_dir, "events").withColumn("register", F.concat(F.lit("EP"), F.col("user_id").cast("string")))
+    later = F.col("ts") >= F.lit("2024-01-02").cast("timestamp_ntz")
+    encoder = modelling.Encoder.fit(events.filter(~later), FeatureSet((), names))
+    return quality.unseen_categories(events.filter(later), modelling.known_categories(encoder, events), list(names))
 
 
 @query("leaf_quantile_ranges")
