@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punctual.llm.bpe import round_trip
 from punctual.llm.languages import identify_languages, learn_languages
+from punctual.llm.packing import pack_texts
 from punctual.llm.quality import grade_texts, labelled_sample, learn_grades
 from punctual.llm.rules import repetition
 
@@ -35,6 +38,17 @@ def remainder(by: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % by
 
 
+@query("op1_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+@query("op5_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
+
+
 @query("op7_quality_classifier")
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
