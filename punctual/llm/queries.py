@@ -13,6 +13,7 @@ from punctual.llm.languages import identify_languages, learn_languages
 from punctual.llm.packing import pack_texts
 from punctual.llm.quality import grade_texts, labelled_sample, learn_grades
 from punctual.llm.rules import repetition
+from punctual.llm.vectors import near_duplicate_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,3 +68,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@query("op10_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
