@@ -13,6 +13,7 @@ from punctual.llm.languages import identify_languages, learn_languages
 from punctual.llm.packing import pack_texts
 from punctual.llm.quality import grade_texts, labelled_sample, learn_grades
 from punctual.llm.rules import repetition
+from punctual.llm.substrings import deduplicate_substrings
 from punctual.llm.vectors import near_duplicate_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +46,11 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+@query("op3_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op5_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
