@@ -55,12 +55,12 @@ def consult(
     n_blocks: int,
     keys_of: Callable[[pa.Table], np.ndarray],
     answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
-    finish: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table],
+    finish: Callable[[pa.Table, Callable[[np.ndarray], np.ndarray]], pa.Table],
     schema: StructType,
     short: bool = False,
 ) -> DataFrame:
     """keys_of(rows): the block's keys, repeats included. answer(key's number, block, count): one value for each key of each block, of a bucket.
-    finish(rows, reduced keys, answers): the rows of the result, given the block's distinct keys in order and their answers."""
+    finish(rows, look_up): the rows of the result; look_up gives the answers to keys of the block."""
     how = Keys(min(MOST_BUCKETS, n_blocks), short)
 
     def ask(rows: pa.Table) -> pa.Table:
@@ -98,7 +98,8 @@ def consult(
             return schema_table
         replies = replies.sort_by("bucket").combine_chunks()
         values = np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in replies["reply"])])
-        return finish(rows, np.unique(how.reduced(keys_of(rows))), values)
+        keys = np.unique(how.reduced(keys_of(rows)))
+        return finish(rows, lambda wanted: values[np.searchsorted(keys, how.reduced(wanted))])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
