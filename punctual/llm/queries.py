@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.llm.bpe import round_trip
+from punctual.llm.counts import build_trees, edit_trees, redactions
 from punctual.llm.jaccard import jaccard_components
 from punctual.llm.languages import identify_languages, learn_languages
 from punctual.llm.packing import pack_texts
@@ -57,6 +58,14 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op4_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counted = build_trees(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    edited = edit_trees(counted, path, redactions, keep=["doc_id", "n_tokens"])
+    return edited.select("doc_id", "n_tokens", "n_edits", "n_tokens_after", "n_encoded")
+
+
 @query("op5_packing")
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -155,9 +155,12 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
 
 
 def add_columns(
-    docs: DataFrame, text: str, fields: list[StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], keep: list[str] | None = None, limit: int = SLICE_BYTES
+    docs: DataFrame, text: str, fields: list[StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], keep: list[str] | None = None, limit: int = SLICE_BYTES, also: Sequence[str] = ()
 ) -> DataFrame:
-    """Append what `make()` computes from slices of rows. keep: the columns that stay (default all); a column named as a new one is replaced."""
+    """Append what `make()` computes from slices of rows. keep: the columns that stay (default all); a column named as a new one is replaced.
+
+    also: further columns that are read. Texts go through Arrow whole, a slice of about `limit` bytes at a time.
+    """
     new = {f.name.lower() for f in fields}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     names = [*keep, *(f.name for f in fields)]
@@ -168,4 +171,4 @@ def add_columns(
             for part in slices(batch, text, limit):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *compute(part)], names=names)
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, StructType([*(docs.schema[c] for c in keep), *fields]))
+    return docs.select(*dict.fromkeys([*keep, text, *also])).mapInArrow(run, StructType([*(docs.schema[c] for c in keep), *fields]))
