@@ -15,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 BLOCK_BYTES = 4 << 20
 MOST_BUCKETS = 1 << 16
 ASKED = StructType([StructField("block", LongType()), StructField("bucket", IntegerType()), StructField("keys", BinaryType()), StructField("counts", BinaryType())])
-REPLY = StructType([StructField("block", LongType()), StructField("bucket", IntegerType()), StructField("reply", BinaryType())])
+REPLY = StructType([StructField("block", LongType()), StructField("bucket", IntegerType()), StructField("reply", BinaryType()), StructField("summary", ArrayType(LongType()))])
 
 
 class Keys(NamedTuple):
@@ -50,22 +51,24 @@ def blocked(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> tuple
     return docs.withColumn("block", F.pmod(F.xxhash64(*scalar), F.lit(n))), n
 
 
-def consult(
+def replies(
     blocks: DataFrame,
     n_blocks: int,
-    keys_of: Callable[[pa.Table], np.ndarray],
+    keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray | None]],
     answer: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
-    finish: Callable[[pa.Table, Callable[[np.ndarray], np.ndarray]], pa.Table],
-    schema: StructType,
     short: bool = False,
+    summary: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
-    """keys_of(rows): the block's keys, repeats included. answer(key's number, block, count): one value for each key of each block, of a bucket.
-    finish(rows, look_up): the rows of the result; look_up gives the answers to keys of the block."""
+    """(block, bucket, reply, summary). keys_of(rows): a block's keys with repeats, and a weight of each (None: 1). answer(number of the key, block, weight):
+    one value for each key of each block, of a bucket. summary(keys, total weights): whole numbers about a bucket, on one of its rows."""
     how = Keys(min(MOST_BUCKETS, n_blocks), short)
 
     def ask(rows: pa.Table) -> pa.Table:
         block = rows["block"][0].as_py()
-        keys, counts = np.unique(how.reduced(keys_of(rows)), return_counts=True)
+        keys, weights = keys_of(rows)
+        keys, place, counts = np.unique(how.reduced(keys), return_inverse=True, return_counts=True)
+        if weights is not None:
+            counts = np.bincount(place, weights=weights, minlength=len(keys))
         bucket = how.bucket_of_reduced(keys).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         ends = np.append(cuts[1:], len(keys))
@@ -82,28 +85,47 @@ def consult(
 
     def reply(rows: pa.Table) -> pa.Table:
         size = np.dtype(np.uint32 if short else np.uint64)
-        rows = rows.combine_chunks()
         parts = [np.frombuffer(x.as_buffer(), size) for x in rows["keys"]]
         length = np.array(list(map(len, parts)))
         counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in rows["counts"]])
-        _, number = np.unique(np.concatenate(parts), return_inverse=True)
+        keys, number = np.unique(np.concatenate(parts), return_inverse=True)
         values = answer(number, np.repeat(rows["block"].to_numpy(), length), counts)
+        about = [None] * rows.num_rows
+        if summary is not None:
+            about[0] = summary(keys, np.bincount(number, weights=counts)).tolist()
         ends = np.cumsum(length)
-        return pa.table({"block": rows["block"], "bucket": rows["bucket"], "reply": pa.array([values[b - n : b].tobytes() for b, n in zip(ends, length, strict=True)], pa.binary())})
+        back = pa.array([values[b - n : b].tobytes() for b, n in zip(ends, length, strict=True)], pa.binary())
+        return pa.table({"block": rows["block"], "bucket": rows["bucket"], "reply": back, "summary": pa.array(about, pa.list_(pa.int64()))})
+
+    return blocks.groupBy("block").applyInArrow(ask, ASKED).groupBy("bucket").applyInArrow(reply, REPLY)
 
-    kind = answer(np.zeros(1, np.int64), np.zeros(1, np.int64), np.ones(1, np.uint32)).dtype
 
-    def meet(rows: pa.Table, replies: pa.Table) -> pa.Table:
+def meet(
+    blocks: DataFrame,
+    answers: DataFrame,
+    n_blocks: int,
+    keys_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray | None]],
+    kind: type,
+    finish: Callable[[pa.Table, Callable[[np.ndarray], np.ndarray]], pa.Table],
+    schema: StructType,
+    short: bool = False,
+) -> DataFrame:
+    """finish(rows, look_up): the rows of the result from a block's rows; look_up gives the answers (of numpy type `kind`) to keys of the block."""
+    how = Keys(min(MOST_BUCKETS, n_blocks), short)
+    nothing = to_arrow_schema(schema).empty_table()
+
+    def run(rows: pa.Table, back: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return schema_table
-        replies = replies.sort_by("bucket").combine_chunks()
-        values = np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in replies["reply"])])
-        keys = np.unique(how.reduced(keys_of(rows)))
+            return nothing
+        back = back.sort_by("bucket")
+        values = np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in back["reply"])])
+        keys = np.unique(how.reduced(keys_of(rows)[0]))
         return finish(rows, lambda wanted: values[np.searchsorted(keys, how.reduced(wanted))])
 
-    from pyspark.sql.pandas.types import to_arrow_schema
+    return blocks.groupBy("block").cogroup(answers.select("block", "bucket", "reply").groupBy("block")).applyInArrow(run, schema)
+
 
-    schema_table = to_arrow_schema(schema).empty_table()
-    asked = blocks.groupBy("block").applyInArrow(ask, ASKED)
-    replies = asked.groupBy("bucket").applyInArrow(reply, REPLY)
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(meet, schema)
+def column(rows: pa.Table, name: str) -> pa.Array:
+    """A column of a table as one array."""
+    one = rows[name].combine_chunks()
+    return one.combine_chunks() if isinstance(one, pa.ChunkedArray) else one

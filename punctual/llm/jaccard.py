@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from punctual.llm.components import connected_components
-from punctual.llm.exchange import blocked, consult
+from punctual.llm.exchange import blocked, column, meet, replies
 from punctual.llm.words import ODD, mix, windows, words
 from punctual.session import written
 
@@ -67,12 +67,11 @@ def shingle_sets(docs: DataFrame, key: str, text: str, percent: int = PERCENT, s
     the first n - need + 1, and one that no other text holds can't be it."""
     blocks, n_blocks = blocked(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "text")
 
-    def texts_of(rows: pa.Table) -> pa.Array:
-        column = rows["text"].combine_chunks()
-        return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    def keys_of(rows: pa.Table) -> tuple[np.ndarray, None]:
+        return _sets(column(rows, "text"), size)[1], None
 
     def finish(rows: pa.Table, look_up) -> pa.Table:
-        _, hashes, at = _sets(texts_of(rows), size)
+        _, hashes, at = _sets(column(rows, "text"), size)
         common = look_up(hashes)
         n = np.diff(at)
         same, group, prefix, sets = [], [], [], []
@@ -91,7 +90,8 @@ def shingle_sets(docs: DataFrame, key: str, text: str, percent: int = PERCENT, s
             sets.append(raw)
         return pa.table({"key": rows["key"], "n_shingles": n.astype(np.int64), "same": pa.array(same, pa.string()), "group": pa.array(group, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.binary())})
 
-    return consult(blocks, n_blocks, lambda rows: _sets(texts_of(rows), size)[1], _frequency, finish, StructType([StructField("key", LongType()), *FOUND]), short=True)
+    schema = StructType([StructField("key", LongType()), *FOUND])
+    return meet(blocks, replies(blocks, n_blocks, keys_of, _frequency, short=True), n_blocks, keys_of, np.uint8, finish, schema, short=True)
 
 
 VERIFIED = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("inter", LongType()), StructField("total", LongType())])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from punctual.llm.bpe import round_trip
 from punctual.llm.counts import build_trees, edit_trees, redactions
+from punctual.llm.entropy import learn_entropy, score_texts
 from punctual.llm.jaccard import jaccard_components
 from punctual.llm.languages import identify_languages, learn_languages
 from punctual.llm.packing import pack_texts
@@ -71,6 +72,13 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
 
 
+@query("op6_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"))
+    model = learn_entropy(docs.where("not held_out"))
+    return score_texts(docs.withColumn("train", ~F.col("held_out")), model, keep=["doc_id", "held_out"])
+
+
 @query("op7_quality_classifier")
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
-from punctual.llm.exchange import blocked, consult
+from punctual.llm.exchange import blocked, column, meet, replies
 from punctual.llm.tokens import spread_out
 from punctual.llm.words import BASE, SPACE, Words, mix, sums, words
 
@@ -80,16 +80,12 @@ def deduplicate_substrings(docs: DataFrame, text: str = "text", key: str = "doc_
         order = pc.sort_indices(pa.table({"k": rows[key], "t": plain}), sort_keys=[("k", "ascending"), ("t", "ascending")], null_placement="at_start")
         return rows.take(order).combine_chunks()
 
-    def whole(rows: pa.Table) -> pa.Array:
-        column = rows[text].combine_chunks()
-        return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-    def keys_of(rows: pa.Table) -> np.ndarray:
-        return _chunks(whole(rows))[3]
+    def keys_of(rows: pa.Table) -> tuple[np.ndarray, None]:
+        return _chunks(column(rows, text))[3], None
 
     def finish(rows: pa.Table, look_up) -> pa.Table:
         rows = ordered(rows)
-        texts = whole(rows)
+        texts = column(rows, text)
         w, cut, size, digest = _chunks(texts)
         code = look_up(digest)
         later = np.ones(len(digest), bool)
@@ -120,4 +116,4 @@ def deduplicate_substrings(docs: DataFrame, text: str = "text", key: str = "doc_
         columns |= {"n_chunks": np.diff(chunk_first), "n_repeated_chunks": sums(repeated, chunk_first), "removed_words": sums(size * gone, chunk_first)}
         return pa.table(columns)
 
-    return consult(blocks, n, keys_of, _answer, finish, schema)
+    return meet(blocks, replies(blocks, n, keys_of, _answer), n, keys_of, np.uint8, finish, schema)
