@@ -15,9 +15,10 @@ from punctual.llm.words import SPACE, Words, add_columns, mix, words
 DIMENSIONS = 1 << 22
 MAX_LABELLED = 16384  # rows that the model is fitted on at most
 MIN_DOCUMENTS = 4  # of the sample, that hold a feature with a weight of its own
-PREFIX = 5  # bytes of a word's beginning that are a feature too
-EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.15, 1e-4
-TAIL_GRADE, MIN_TAIL = 2, 0.5
+PREFIXES = (3, 4, 6)  # bytes of a word's beginning that are features too
+MIN_SIGNIFICANCE = 3.0  # standard deviations between a feature's share of low grades and all documents', for a weight of its own
+EPOCHS, BATCH, RATE, DECAY = 60, 128, 0.3, 1e-3
+TAIL_GRADE, MIN_TAIL = 2, 0.7
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 UPPER = np.zeros(256, bool)
@@ -40,9 +41,9 @@ def _hashed(w: Words) -> tuple[np.ndarray, np.ndarray]:
         start += (end - start > 1) & PUNCTUATION[w.data[start]] if len(start) else 0
         end -= (end - start > 1) & PUNCTUATION[w.data[end - 1]] if len(start) else 0
     whole = w.spans.hashes(start, end)
-    begin = mix(w.spans.hashes(start, np.minimum(end, start + PREFIX)) + np.uint64(1))
+    begins = [mix(w.spans.hashes(start, np.minimum(end, start + n)) + np.uint64(n)) for n in PREFIXES]
     of = w.text.astype(np.int64)
-    key = np.concatenate([of * DIMENSIONS + (h >> np.uint64(42)).astype(np.int64) for h in (whole, begin)])
+    key = np.concatenate([of * DIMENSIONS + (h >> np.uint64(42)).astype(np.int64) for h in (whole, *begins)])
     key = np.unique(key)
     return key // DIMENSIONS, key % DIMENSIONS
 
@@ -72,7 +73,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _fit(indptr: np.ndarray, index: np.ndarray, shape: np.ndarray, grade: np.ndarray, n_grades: int) -> GradeModel:
     """Adaptive gradient steps on the log likelihood of P(grade <= k) = sigmoid(threshold_k - score)."""
-    kept = np.flatnonzero(np.bincount(index, minlength=DIMENSIONS) >= MIN_DOCUMENTS)
+    held = np.bincount(index, minlength=DIMENSIONS)
+    low = (grade < n_grades - 1).astype(float)
+    found, rate = np.bincount(index, weights=np.repeat(low, np.diff(indptr)), minlength=DIMENSIONS), low.mean()
+    strength = np.abs(found - held * rate) / np.sqrt(np.maximum(held * rate * (1 - rate), 1e-9))
+    kept = np.flatnonzero((held >= MIN_DOCUMENTS) & (strength >= MIN_SIGNIFICANCE))
     place = np.full(DIMENSIONS, -1, np.int32)
     place[kept] = np.arange(len(kept), dtype=np.int32)
     mean, spread = shape.mean(axis=0), np.maximum(shape.std(axis=0), 1e-6)

@@ -141,11 +141,12 @@ def repeated(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about `limit` bytes of text, one row at least."""
+    """Cut a batch so that each part holds about `limit` bytes of a text column, or a quarter as many list elements, one row at least."""
     if not batch.num_rows:
         return
-    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    size = np.cumsum(lengths)
+    column = batch.column(text)
+    length = pc.multiply(pc.list_value_length(column), 4) if pa.types.is_list(column.type) else pc.binary_length(column)
+    size = np.cumsum(pc.fill_null(length, 0).to_numpy(zero_copy_only=False).astype(np.int64))
     row = 0
     while row < batch.num_rows:
         before = size[row - 1] if row else 0
