@@ -30,7 +30,7 @@ def _cuts(w: Words) -> np.ndarray:
         far = 1 << bit
         gear[far:] = gear[far:] + (gear[:-far] << np.uint64(far))
     chosen = np.zeros(n_words, bool)
-    inner = w.start > 0
+    inner = w.start - w.at[w.text] >= 1 << WINDOW_BITS  # the window holds bytes of the same text only
     chosen[inner] = mix(gear[w.start[inner] - 1] & np.uint64((1 << (1 << WINDOW_BITS)) - 1)) % np.uint64(ONE_IN) == 0
     first = w.first[:-1][w.counts > 0]
     chosen[first] = True

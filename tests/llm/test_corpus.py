@@ -263,7 +263,7 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
         seen[name] = {r["doc_id"]: r for r in docs.collect()}
     good = {i for i, _ in clean}
     first = set(seen["quality classifier"])
-    assert len(good & first) >= 0.98 * len(good) and len({i for i, _ in rows[:400]} - good & first) >= 0.9 * 80
+    assert len(good & first) >= 0.98 * len(good) and len(({i for i, _ in rows[:400]} - good) & first) <= 4
     second = set(seen["quality rules"])
     assert not second & {1300, 1301, 1302, 1303} and good & first == good & second
     texts = {i: r["text"] for i, r in seen["quality rules"].items()}
