@@ -18,8 +18,9 @@ from punctual.session import written
 
 PERCENT = 85  # of the union, that the intersection has to be
 WORDS = 4
-PIVOT_ROUNDS = 6
-SMALL_LIST = 24  # lists of no more members are compared pair by pair
+PIVOT_ROUNDS = 4
+PIVOTS = 6  # of a list in a round
+SMALL_LIST = 32  # lists of no more members are compared pair by pair
 
 
 def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,9 +123,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Words are runs without white space, A-Z in lower case; shingles are runs of `size` words, or the whole of a shorter text. Two documents link when
     100 * intersection >= percent * union. Documents with equal sets become one member; members with equal prefixes and size one group.
     Groups are listed under each shared prefix shingle and band of sizes; lists with the same groups are dropped but one. A list of
-    many is not compared pair by pair: all its members are verified against one pivot, and those that the pivot's component makes needless, or
-    that the distance to the pivot rules out (distances obey the triangle inequality), leave; the rest gets another pivot, and what stays in the end is
-    compared in pairs. So no link between components is lost, and copies are not expanded. Null, empty and blank texts have empty sets and link with nothing;
+    many is not compared pair by pair: all its members are verified against a few pivots, which then leave with those members that the first pivot's
+    component makes needless, or whose distance to it rules out a link (distances obey the triangle inequality); the rest gets other pivots, and what
+    stays in the end is compared in pairs of different components. So no link between components is lost, and copies are not expanded. Null, empty and blank texts have empty sets and link with nothing;
     repeated rows are copies; an empty table gives an empty result.
     """
     found = written(shingle_sets(docs, key, text, percent, size), "shingles")
@@ -157,25 +158,29 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         most = lists.groupBy("list").count().agg(F.max("count")).first()[0] or 0
         if most <= SMALL_LIST:
             break
-        # every list's pivot, and all members against it
-        pivots = lists.groupBy("list").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep"), F.col("n"))).alias("p")).select("list", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n"))
-        against = lists.join(pivots, "list")
-        pairs = against.where((F.col("rep") != F.col("pivot")) & fits).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-        verified = written(_verified(pairs, sets), "verified")
+        # a few pivots of every list, and all members against them; the first pivot's distances are kept
+        drawn = F.xxhash64("rep", F.lit(turn))
+        pivots = lists.groupBy("list", F.pmod(drawn, F.lit(PIVOTS)).alias("nth")).agg(F.min(F.struct(drawn.alias("h"), F.col("rep"), F.col("n"))).alias("p"))
+        pivots = written(pivots.select("list", "nth", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
+        pairs = lists.join(pivots, "list").where((F.col("rep") != F.col("pivot")) & fits)
+        verified = written(_verified(pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), sets), "verified")
         new = verified.where(linked).select("a", "b")
-        links = written(new if links is None else links.unionAll(new), "links")
+        links = new if links is None else links.unionAll(new)
         labels = written(connected_components(links), "labels")
-        # who is still needed
+        # who is still needed: pivots have met everyone
+        first = pivots.groupBy("list").agg(F.min(F.struct("nth", "pivot", "pivot_n")).alias("p")).select("list", "p.pivot", "p.pivot_n")
+        rest = lists.join(pivots.select("list", F.col("pivot").alias("rep")), ["list", "rep"], "left_anti").join(first, "list")
+        seen = verified.select("a", "b", (1 - F.col("inter") / F.col("total")).alias("d"))
+        rest = rest.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(seen, ["a", "b"], "left")
         label = lambda c, name: labels.select(F.col("node").alias(c), F.col("component").alias(name))
-        seen = verified.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), (1 - F.col("inter") / F.col("total")).alias("d"))
+        rest = rest.join(label("rep", "c"), "rep", "left").join(label("pivot", "pc"), "pivot", "left")
         bound = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")  # no distance is less than the sizes ask for
-        state = against.join(seen, ["rep", "pivot"], "left").join(label("rep", "c"), "rep", "left").join(label("pivot", "pc"), "pivot", "left")
-        state = state.where("rep <> pivot").select("list", "rep", "n", "d", bound.alias("bound"), (F.coalesce("c", "rep") == F.coalesce("pc", "pivot")).alias("inside"), F.coalesce("c", "rep").alias("c"))
-        outside = state.where("not inside").groupBy("list").agg(F.min(F.coalesce("d", "bound")).alias("nearest"))
-        state = state.join(outside, "list").where(~F.col("inside") | F.col("d").isNull() | (F.col("d") >= F.col("nearest") - far - 1e-9))
-        state = written(state.select("list", "rep", "n", "c"), "state")
-        open_lists = state.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("list")
-        lists = written(state.join(open_lists, "list", "left_semi").select("list", "rep", "n"), "lists")
+        rest = rest.select("list", "rep", "n", "d", bound.alias("bound"), (F.coalesce("c", "rep") == F.coalesce("pc", "pivot")).alias("inside"), F.coalesce("c", "rep").alias("c"))
+        rest = written(rest, "rest")
+        outside = rest.where("not inside").groupBy("list").agg(F.min(F.coalesce("d", "bound")).alias("nearest"))
+        rest = rest.join(outside, "list").where(~F.col("inside") | F.col("d").isNull() | (F.col("d") >= F.col("nearest") - far - 1e-9))
+        open_lists = rest.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("list")
+        lists = written(rest.join(open_lists, "list", "left_semi").select("list", "rep", "n"), "lists")
     # what is left, in pairs of different components
     now = lists
     if labels is not None:
