@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from punctual.llm.components import connected_components
 from punctual.llm.exchange import blocked, column, meet, replies
@@ -18,9 +18,12 @@ from punctual.session import written
 
 PERCENT = 85  # of the union, that the intersection has to be
 WORDS = 4
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 PIVOTS = 6  # of a list in a round
-SMALL_LIST = 32  # lists of no more members are compared pair by pair
+BLOCK = 512  # members of a list that one task compares with as many others; longer lists meet pivots first
+TOKENS_AT_ONCE = 4096
+EXACT = 128
+FEW = 16  # frequencies up to this are counted by text
 
 
 def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,9 +47,10 @@ def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _frequency(number: np.ndarray, block: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """In how many texts a shingle is, on a scale of a byte: 0 for one, then twelve steps for each doubling."""
-    total = np.bincount(number, weights=counts)
-    return np.minimum(255, np.round(12 * np.log2(total[number]))).astype(np.uint8)
+    """In how many texts a shingle is, in a byte: exact up to EXACT, then eight steps for each doubling."""
+    total = np.bincount(number, weights=counts)[number]
+    above = EXACT + np.round(8 * np.log2(np.maximum(total, EXACT) / EXACT))
+    return np.where(total <= EXACT, total, np.minimum(255, above)).astype(np.uint8)
 
 
 def _need(n: int, percent: int) -> int:
@@ -59,6 +63,7 @@ FOUND = [
     StructField("same", StringType()),  # digest of the set; null if the text can't link with any other
     StructField("group", LongType()),  # hash of the prefix and the size
     StructField("prefix", ArrayType(LongType())),  # shingles of the prefix that stand in other texts too
+    StructField("few", ArrayType(IntegerType())),  # how many shingles are in 1, 2 ... FEW texts
     StructField("shingles", BinaryType()),
 ]
 
@@ -75,21 +80,23 @@ def shingle_sets(docs: DataFrame, key: str, text: str, percent: int = PERCENT, s
         _, hashes, at = _sets(column(rows, "text"), size)
         common = look_up(hashes)
         n = np.diff(at)
-        same, group, prefix, sets = [], [], [], []
+        same, group, prefix, few, sets = [], [], [], [], []
         for i in range(len(n)):
             mine, often = hashes[at[i] : at[i + 1]], common[at[i] : at[i + 1]]
             length = len(mine) - _need(len(mine), percent) + 1 if len(mine) else 0
             order = np.lexsort((mine, often))[:length]
-            shared = mine[order][often[order] > 0]
+            shared = mine[order][often[order] > 1]
             if not len(shared):
-                same.append(None), group.append(None), prefix.append(None), sets.append(None)
+                for made in (same, group, prefix, few, sets):
+                    made.append(None)
                 continue
+            few.append(np.bincount(often[often <= FEW], minlength=FEW + 1)[1:])
             raw = mine.tobytes()
             same.append(hashlib.md5(raw).hexdigest())
             group.append(int(np.frombuffer(hashlib.md5(len(mine).to_bytes(8, "little") + mine[order].tobytes()).digest()[:8], np.int64)[0]))
             prefix.append(shared.view(np.int64))
             sets.append(raw)
-        return pa.table({"key": rows["key"], "n_shingles": n.astype(np.int64), "same": pa.array(same, pa.string()), "group": pa.array(group, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.binary())})
+        return pa.table({"key": rows["key"], "n_shingles": n.astype(np.int64), "same": pa.array(same, pa.string()), "group": pa.array(group, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "few": pa.array(few, pa.list_(pa.int32())), "shingles": pa.array(sets, pa.binary())})
 
     schema = StructType([StructField("key", LongType()), *FOUND])
     return meet(blocks, replies(blocks, n_blocks, keys_of, _frequency, short=True), n_blocks, keys_of, np.uint8, finish, schema, short=True)
@@ -117,23 +124,76 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, VERIFIED)
 
 
+MATCH = StructType([StructField("rep", LongType()), StructField("least", LongType())])
+
+
+def _compare(group: pa.Table, percent: int) -> pa.Table:
+    """Links between members of different components in one block pair of a list: each linked member with the least it reaches here."""
+    rep, known, block = group["rep"].to_numpy(), group["c"].to_numpy(), group["block"].to_numpy()
+    apart = known[:, None] != known[None, :]
+    if group["left"][0].as_py() != group["right"][0].as_py():
+        apart &= block[:, None] != block[None, :]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["shingles"]]
+    n = np.array(list(map(len, sets)), np.int64)
+    small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+    wanted = np.triu(apart & (100 * small >= percent * large), 1)
+    none = pa.table({"rep": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})
+    if not wanted.any():
+        return none
+    of = np.repeat(np.arange(len(n)), n)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(count > 1)  # others are in no intersection
+    place = np.full(len(count), -1, np.int64)
+    place[common] = np.arange(len(common))
+    token = place[token]
+    of, token = of[token >= 0], token[token >= 0]
+    order = np.argsort(token, kind="stable")
+    of, token = of[order], token[order]
+    inter = np.zeros((len(n), len(n)), np.float64)
+    for at in range(0, len(common), TOKENS_AT_ONCE):
+        a, b = np.searchsorted(token, [at, at + TOKENS_AT_ONCE])
+        held = np.zeros((len(n), min(TOKENS_AT_ONCE, len(common) - at)), np.float32)
+        held[of[a:b], token[a:b] - at] = 1
+        inter += held @ held.T
+    inter = inter.astype(np.int64)
+    i, j = np.nonzero(wanted & (100 * inter >= percent * (n[:, None] + n[None, :] - inter)))
+    least = rep.copy()
+    while len(i):
+        new = least.copy()
+        low = np.minimum(least[i], least[j])
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        if (new == least).all():
+            break
+        least = new
+    held = least != rep
+    return pa.table({"rep": rep[held], "least": least[held]}) if held.any() else none
+
+
+def _without_repeats(lists: DataFrame) -> DataFrame:
+    """One of all lists with the same members, of those with two or more."""
+    kinds = lists.groupBy("list").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64(F.col("rep") + 1) % (1 << 40)).alias("s")).where("size > 1")
+    return lists.join(kinds.groupBy("size", "x", "s").agg(F.min("list").alias("list")).select("list"), "list", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = WORDS) -> DataFrame:
     """One row per document: `key`, n_shingles, component_id (least key reachable by links; null keys stay null) and n_copies (rows with its set).
 
     Words are runs without white space, A-Z in lower case; shingles are runs of `size` words, or the whole of a shorter text. Two documents link when
     100 * intersection >= percent * union. Documents with equal sets become one member; members with equal prefixes and size one group.
-    Groups are listed under each shared prefix shingle and band of sizes; lists with the same groups are dropped but one. A list of
-    many is not compared pair by pair: all its members are verified against a few pivots, which then leave with those members that the first pivot's
-    component makes needless, or whose distance to it rules out a link (distances obey the triangle inequality); the rest gets other pivots, and what
-    stays in the end is compared in pairs of different components. So no link between components is lost, and copies are not expanded. Null, empty and blank texts have empty sets and link with nothing;
+    Groups are listed under each shared prefix shingle and band of sizes; lists with the same groups are dropped but one. In a list of more
+    than BLOCK members all are verified against a few pivots, which then leave with those members that the first pivot's component makes needless, or whose
+    differences from it rule out a link with any that stays; the rest gets other pivots. What stays is compared block by block within tasks, which send
+    only the least member that each one reaches. So no link between components is lost, and copies are not expanded. Null, empty and blank texts have empty sets and link with nothing;
     repeated rows are copies; an empty table gives an empty result.
     """
     found = written(shingle_sets(docs, key, text, percent, size), "shingles")
     able = found.where("same is not null and key is not null")
-    members = able.groupBy("same").agg(F.min("key").alias("rep"), F.count("*").alias("n_copies"))
+    members = found.where("same is not null").groupBy("same").agg(F.min("key").alias("rep"), F.count("key").alias("n_copies"), F.count("*").alias("texts")).where("rep is not null")
     members = written(members, "members")
-    chosen = able.join(members.select("same", F.col("rep").alias("key")), ["same", "key"], "left_semi").dropDuplicates(["same"])
-    member = chosen.select(F.col("key").alias("rep"), "group", F.col("n_shingles").alias("n"))
+    chosen = able.join(members.select("same", F.col("rep").alias("key"), "texts"), ["same", "key"]).dropDuplicates(["same"])
+    own = F.when(F.col("texts") <= FEW, F.element_at("few", F.col("texts").cast("int"))).otherwise(0)  # shingles that no other set holds
+    member = chosen.select(F.col("key").alias("rep"), "group", F.col("n_shingles").alias("n"), own.alias("own"))
     sets = chosen.select(F.col("key").alias("rep"), "shingles")
     sets = written(sets, "sets")
     groups = written(chosen.groupBy("group").agg(F.min("key").alias("of"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")), "groups")
@@ -145,52 +205,62 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     listed = listed.select(F.xxhash64("token", "band").alias("list"), "group").distinct()
     kinds = listed.groupBy("list").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("group")).alias("x"), F.sum(F.xxhash64(F.col("group") + 1) % (1 << 40)).alias("s")).where("size > 1")
     kinds = kinds.groupBy("size", "x", "s").agg(F.min("list").alias("list")).select("list")
-    of_groups = listed.join(kinds, "list", "left_semi").join(member, "group").select("list", "rep", "n")
+    of_groups = listed.join(kinds, "list", "left_semi").join(member, "group").select("list", "rep", "n", "own")
     crowded = member.groupBy("group").agg(F.count("*").alias("c")).where("c > 1").select("group")
-    own = member.join(crowded, "group", "left_semi").select(F.xxhash64("group", F.lit("own")).alias("list"), "rep", "n")
-    lists = written(of_groups.unionAll(own), "lists")
+    within = member.join(crowded, "group", "left_semi").select(F.xxhash64("group", F.lit("within")).alias("list"), "rep", "n", "own")
+    lists = written(of_groups.unionAll(within), "lists")
+    sizes = written(lists.groupBy("list").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "sizes")
+    long = written(lists.join(sizes, "list", "left_semi"), "long")
+    lists = lists.join(sizes, "list", "left_anti")
 
-    fits = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
     linked = F.lit(100) * F.col("inter") >= F.lit(percent) * F.col("total")
-    far = 1 - percent / 100
+    share = (100 - percent) / (100 + percent)  # of both sizes: the most shingles that only one of two linked sets holds
     links, labels = None, None
     for turn in range(PIVOT_ROUNDS):
-        most = lists.groupBy("list").count().agg(F.max("count")).first()[0] or 0
-        if most <= SMALL_LIST:
+        most = long.groupBy("list").count().agg(F.max("count")).first()[0] or 0
+        if most <= BLOCK:
             break
-        # a few pivots of every list, and all members against them; the first pivot's distances are kept
+        # a few pivots of every list, and all members against them
         drawn = F.xxhash64("rep", F.lit(turn))
-        pivots = lists.groupBy("list", F.pmod(drawn, F.lit(PIVOTS)).alias("nth")).agg(F.min(F.struct(drawn.alias("h"), F.col("rep"), F.col("n"))).alias("p"))
-        pivots = written(pivots.select("list", "nth", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")), "pivots")
-        pairs = lists.join(pivots, "list").where((F.col("rep") != F.col("pivot")) & fits)
+        pivots = long.groupBy("list", F.pmod(drawn, F.lit(PIVOTS)).alias("nth")).agg(F.min(F.struct(drawn.alias("h"), F.col("rep"))).alias("p"))
+        pivots = written(pivots.select("list", "nth", F.col("p.rep").alias("pivot")), "pivots")
+        pairs = long.join(pivots, "list").where(F.col("rep") != F.col("pivot"))
         verified = written(_verified(pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), sets), "verified")
         new = verified.where(linked).select("a", "b")
         links = new if links is None else links.unionAll(new)
         labels = written(connected_components(links), "labels")
-        # who is still needed: pivots have met everyone
-        first = pivots.groupBy("list").agg(F.min(F.struct("nth", "pivot", "pivot_n")).alias("p")).select("list", "p.pivot", "p.pivot_n")
-        rest = lists.join(pivots.select("list", F.col("pivot").alias("rep")), ["list", "rep"], "left_anti").join(first, "list")
-        seen = verified.select("a", "b", (1 - F.col("inter") / F.col("total")).alias("d"))
-        rest = rest.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(seen, ["a", "b"], "left")
+        # Who is still needed: pivots have met everyone. Let d(x) be the shingles that only one of x and the list's first pivot holds. Of two
+        # members, d(x) + d(y) less twice what these have in common is what only one of them holds, and a set's own shingles aren't common.
+        # So x and y can link only if f(x) <= g(y) and f(y) <= g(x), with f = d - share * n and g = 2 * (d - own) - f.
+        first = pivots.groupBy("list").agg(F.min(F.struct("nth", "pivot")).alias("p")).select("list", "p.pivot")
+        rest = long.select("list", "rep", "n", "own").join(pivots.select("list", F.col("pivot").alias("rep")), ["list", "rep"], "left_anti").join(first, "list")
+        seen = verified.select("a", "b", (F.col("total") - F.col("inter")).alias("d"))
+        rest = rest.withColumns({"a": F.least("rep", "pivot"), "b": F.greatest("rep", "pivot")}).join(seen, ["a", "b"])
         label = lambda c, name: labels.select(F.col("node").alias(c), F.col("component").alias(name))
         rest = rest.join(label("rep", "c"), "rep", "left").join(label("pivot", "pc"), "pivot", "left")
-        bound = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")  # no distance is less than the sizes ask for
-        rest = rest.select("list", "rep", "n", "d", bound.alias("bound"), (F.coalesce("c", "rep") == F.coalesce("pc", "pivot")).alias("inside"), F.coalesce("c", "rep").alias("c"))
+        f = F.col("d") - F.lit(share) * F.col("n") - 1e-6
+        rest = rest.withColumn("f", f).withColumn("g", 2 * (F.col("d") - F.col("own")) - F.col("f"))
+        rest = rest.select("list", "rep", "n", "own", "f", "g", (F.coalesce("c", "rep") == F.coalesce("pc", "pivot")).alias("inside"), F.coalesce("c", "rep").alias("c"))
         rest = written(rest, "rest")
-        outside = rest.where("not inside").groupBy("list").agg(F.min(F.coalesce("d", "bound")).alias("nearest"))
-        rest = rest.join(outside, "list").where(~F.col("inside") | F.col("d").isNull() | (F.col("d") >= F.col("nearest") - far - 1e-9))
+        widest = rest.groupBy("list").agg(F.max("g").alias("most"))
+        outside = written(rest.where("not inside").join(widest, "list").where("f <= most"), "outside")
+        needs = outside.groupBy("list").agg(F.min("f").alias("low"), F.max("g").alias("high"))
+        inside = rest.where("inside").join(needs, "list").where("g >= low and f <= high")
+        columns = ["list", "rep", "n", "own", "c"]
+        rest = outside.select(columns).unionAll(inside.select(columns))
         open_lists = rest.groupBy("list").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("list")
-        lists = written(rest.join(open_lists, "list", "left_semi").select("list", "rep", "n"), "lists")
-    # what is left, in pairs of different components
-    now = lists
+        long = written(_without_repeats(rest.join(open_lists, "list", "left_semi").drop("c")), "long")
+    # what is left: whole lists, in blocks, each with as many others as it has
+    now = lists.unionByName(long).select("list", "rep")
     if labels is not None:
-        now = now.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        now = now.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("list", "rep", F.coalesce("component", "rep").alias("c"))
     else:
-        now = now.withColumn("component", F.lit(None).cast("long"))
-    now = now.select("list", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    other = now.select("list", F.col("rep").alias("b"), F.col("n").alias("pivot_n"), F.col("c").alias("cb"))
-    pairs = now.join(other, "list").where((F.col("rep") < F.col("b")) & (F.col("c") != F.col("cb")) & fits).select(F.col("rep").alias("a"), "b").distinct()
-    last = _verified(pairs, sets).where(linked).select("a", "b")
+        now = now.withColumn("c", F.col("rep"))
+    blocks = now.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("list", "blocks")
+    placed = now.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("list", "rep", "c", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    found_here = placed.join(sets, "rep").groupBy("list", "left", "right").applyInArrow(lambda group: _compare(group, percent), MATCH)
+    last = found_here.select(F.col("rep").alias("a"), F.col("least").alias("b"))
     links = last if links is None else links.unionAll(last)
     labels = connected_components(links)
     by_set = members.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("same", "n_copies", F.coalesce("component", "rep").alias("component"))

@@ -73,10 +73,10 @@ def test_jaccard_query(spark):
     check_jaccard(texts, QUERIES["op2_ngram_jaccard"](spark, SF).collect())
 
 
-@pytest.mark.parametrize("small", [2, 24])
-def test_jaccard_of_crowded_groups(spark, monkeypatch, small):
+@pytest.mark.parametrize("block", [8, 512])
+def test_jaccard_of_crowded_groups(spark, monkeypatch, block):
     """Groups of near copies on both sides of the limit, a passage that many texts share, short texts, exact copies."""
-    monkeypatch.setattr(jaccard, "SMALL_LIST", small)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     texts = [t for seed in range(3) for t in near_copies(seed, 60, 90, 7)]
     shared = prose(77, 60)
     texts += [f"{prose(200 + i, 12)} {shared} {prose(300 + i, i % 9)}" for i in range(60)]
