@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.operators.ranks import exact_quantiles, running_sum
@@ -84,10 +84,12 @@ def rolling_peaks(samples: DataFrame, by: list[str], width: str, slide: str) ->
 
 
 def counter_increase(samples: DataFrame, as_of: Column, metric: str = "prediction_log_failures_total", minutes: int = 15) -> DataFrame:
-    """Counters that rose in the last minutes."""
+    """Counters that rose in the last minutes; one that fell started again at zero."""
     age = _seconds(as_of) - _seconds(F.col("ts"))
-    recent = samples.filter((F.col("name") == metric) & (age >= 0) & (age < minutes * 60)).groupBy("labels")
-    rise = recent.agg((F.max_by("value", "ts") - F.min_by("value", "ts")).alias("value")).filter("value > 0")
+    recent = samples.filter((F.col("name") == metric) & (age >= 0) & (age < minutes * 60))
+    earlier = F.lag("value").over(Window.partitionBy("labels").orderBy("ts"))  # a series' samples of some minutes
+    step = F.when(F.col("value") < F.col("_earlier"), F.col("value")).otherwise(F.col("value") - F.col("_earlier"))
+    rise = recent.withColumn("_earlier", earlier).groupBy("labels").agg(F.sum(step).alias("value")).filter("value > 0")
     return rise.select(F.lit("PredictionLogFailing").alias("rule"), F.lit("warning").alias("severity"), "labels", "value")
 
 
@@ -127,9 +129,9 @@ def condition_runs(samples: DataFrame, by: list[str], time: str, condition: Colu
     return spans.filter(F.col("closes") - F.col("opens") >= hold_seconds * 1_000_000).drop("run_off")
 
 
-def all_alerts(samples: DataFrame, as_of: Column) -> DataFrame:
+def all_alerts(samples: DataFrame, as_of: Column, counter_minutes: int = 15) -> DataFrame:
     """Firing rows of every rule that reads metric samples."""
-    parts = [stale_alerts(samples, as_of), silent_labels(samples, as_of), counter_increase(samples, as_of)]
+    parts = [stale_alerts(samples, as_of), silent_labels(samples, as_of), counter_increase(samples, as_of, minutes=counter_minutes)]
     out = level_alerts(samples, as_of)
     for part in parts:
         out = out.unionByName(part)

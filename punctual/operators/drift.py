@@ -109,8 +109,9 @@ def detect_drift(
 
 
 def guarded(summary: DataFrame, min_rows: int) -> DataFrame:
-    """Drift results only when there are enough recent rows to judge."""
-    return summary.filter(F.col("current_rows") >= min_rows)
+    """Drift results where there are enough recent rows to judge; elsewhere only the number of rows."""
+    enough = F.col("current_rows") >= min_rows
+    return summary.withColumns({c: F.when(enough, F.col(c)) for c in ("psi", "ks", "ks_pvalue", "drifted")})
 
 
 def retrain_decision(

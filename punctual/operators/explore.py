@@ -47,7 +47,7 @@ def late_and_median(df: DataFrame, group: str, delay: str, min_rows: int = 40) -
     return table.join(medians, group).withColumn("band", band)
 
 
-def binned_response(df: DataFrame, x: str, y: str, edges: list[float], few_values: bool = True) -> DataFrame:
+def binned_response(df: DataFrame, x: str, y: str, edges: list[float], few_values: bool = False) -> DataFrame:
     """Median x and y per right-closed bin of x."""
     rows = df.withColumn("bin", right_closed_bin(F.col(x), edges)).filter("bin is not null")
     xs = exact_quantiles(rows, ["bin"], x, {"x": 0.5}, few_values=few_values).drop("n")

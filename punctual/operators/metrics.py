@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from punctual.functions.numeric import hash_hex, poisson_weight
 from punctual.functions.text import slug
+from punctual.operators.draws import calibration_draws, mean_draws, ranked_draws
 from punctual.operators.ranks import exact_quantiles, running_sum, slice_edges
 from punctual.session import written
 
@@ -131,16 +132,6 @@ def replicates(df: DataFrame, row_id: str, samples: int, seed: int) -> DataFrame
     return drawn.withColumn("replicate", F.col("_k") * 4 + F.col("_i")).filter(F.col("replicate") < samples).drop("_k", "_h", "_i")
 
 
-def weighted_mean(term: str) -> Column:
-    return F.sum(F.col("times") * F.col(term)) / F.sum(F.when(F.col(term).isNotNull(), F.col("times")))
-
-
-def mean_draws(df: DataFrame, row_id: str, terms: dict[str, Column], samples: int, seed: int) -> DataFrame:
-    """One row per replicate with the weighted mean of every term."""
-    narrow = df.select(row_id, *[c.alias(n) for n, c in terms.items()])
-    return replicates(narrow, row_id, samples, seed).groupBy("replicate").agg(*[weighted_mean(n).alias(n) for n in terms])
-
-
 def interval(column: str, confidence: float = 0.95) -> list[Column]:
     """Percentile interval of bootstrap draws; missing draws are left out."""
     tail = (1 - confidence) / 2
@@ -199,14 +190,17 @@ def estimates(df: DataFrame, row_id: str, y: str, models: Models, samples: int,
     points = _long(df.agg(*[F.avg(t).alias(k) for k, t in terms.items()]), names, "value", [])
     draws = _long(mean_draws(df, row_id, terms, samples, seed), names, "value", ["replicate"])
     if ranked and models.task != "intervals":
-        inputs = [row_id, y, *dict.fromkeys(c for cols in models.columns.values() for c in cols)]
-        drawn = replicates(df.select(*inputs), row_id, samples, seed)
-        long = _per_model(df, models, y, [])
-        ranked_by = F.abs(F.col("y") - F.col("pred")) if models.task == "regression" else F.col("p")
-        edges = slice_edges(long.select(ranked_by.alias("v")), "v")  # draws repeat these values, so their slices do too
-        points = reduce(DataFrame.unionByName, [points, *_ranked(long, models.task, ["model"], None, edges)])
-        drawn = _per_model(drawn, models, y, ["replicate", "times"])
-        draws = reduce(DataFrame.unionByName, [draws, *_ranked(drawn, models.task, ["replicate", "model"], "times", edges)])
+        long = written(_per_model(df, models, y, [row_id]), "outputs")
+        score = F.abs(F.col("y") - F.col("pred")) if models.task == "regression" else F.col("p")
+        scored = long.select("model", F.col(row_id).cast("string").alias("id"), F.col("y").cast("double").alias("y"), score.cast("double").alias("score")).where("score is not null and y is not null")
+        points = reduce(DataFrame.unionByName, [points, *_ranked(long, models.task, ["model"], None, slice_edges(scored, "score"))])
+        by_rank = ranked_draws(scored, samples, seed)
+        if models.task == "regression":
+            found = [by_rank.select("replicate", "model", F.lit("medae").alias("metric"), F.col("median").alias("value"))]
+        else:
+            found = [by_rank.select("replicate", "model", F.lit("pr_auc").alias("metric"), F.col("precision").alias("value"))]
+            found.append(calibration_draws(scored, samples, seed).select("replicate", "model", F.lit("ece").alias("metric"), F.col("ece").alias("value")))
+        draws = reduce(DataFrame.unionByName, [draws, *found])
     return written(points, "points"), written(draws, "draws")
 
 

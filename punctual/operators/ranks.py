@@ -7,23 +7,32 @@ per group) are handed to each slice as one extra row.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+SLICE_VALUES = 20_000
+MOST_SLICES = 4096
 
 
-def slice_edges(df: DataFrame, value: str, slices: int = SLICES) -> list[float]:
-    """At most `slices - 1` cut points of the value axis, close to its quantiles."""
-    probs = [i / slices for i in range(1, slices)]
-    row = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 1000).alias("edges")).first()
-    return sorted(set(row["edges"] or []))
+def slice_edges(df: DataFrame, value: str, per_slice: int = SLICE_VALUES) -> list[float]:
+    """Cut points of the value axis with about `per_slice` distinct values between them, however often each occurs."""
+    distinct = df.select(F.col(value).cast("double").alias("v")).where("v is not null").distinct()
+    probs = [i / MOST_SLICES for i in range(1, MOST_SLICES)]
+    row = distinct.agg(F.count("*").alias("n"), F.percentile_approx("v", probs, 2 * MOST_SLICES).alias("edges")).first()
+    slices = min(MOST_SLICES, -(-row["n"] // per_slice))
+    if slices < 2:
+        return []
+    return sorted({row["edges"][round(i * MOST_SLICES / slices) - 1] for i in range(1, slices)})
 
 
 def slice_of(value: Column, edges: list[float]) -> Column:
     """How many cut points lie below the value."""
     if not edges:
         return F.lit(0)
+    if len(edges) <= 64:
+        return reduce(lambda a, b: a + b, [F.coalesce((value > F.lit(float(e))).cast("int"), F.lit(0)) for e in edges])
     cuts = F.array(*[F.lit(float(e)) for e in edges])
     return F.size(F.filter(cuts, lambda e: e < value))
 

@@ -12,7 +12,7 @@ from punctual.operators import asof, rates
 from punctual.operators.keep import keep_best, latest_wins, nth_distinct
 from punctual.plans.clean import training_rows
 from punctual.session import written
-from punctual.settings import FeatureSet, FeatureSettings
+from punctual.settings import Inputs, FeatureSettings
 
 SCHEDULED = "scheduled_datetime"
 
@@ -102,7 +102,7 @@ def model_frame(flights: DataFrame, s: FeatureSettings = FeatureSettings(), airp
     return frame.withColumn("is_delayed", late_flag(F.col("delay_minutes")))
 
 
-def prepare_input(df: DataFrame, features: FeatureSet, keep: list[str] | None = None) -> DataFrame:
+def prepare_input(df: DataFrame, features: Inputs, keep: list[str] | None = None) -> DataFrame:
     """Model inputs with stable types: doubles, and text with `nan` for unknown; absent columns are null."""
     numbers = [
         (F.col(c).cast("string").try_cast("double") if c in df.columns else F.lit(None).cast("double")).alias(c)

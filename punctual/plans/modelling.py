@@ -21,7 +21,7 @@ from punctual.operators.ranks import exact_quantiles
 from punctual.operators.splits import rolling_folds
 from punctual.plans.features import prepare_input
 from punctual.session import written
-from punctual.settings import FeatureSet
+from punctual.settings import Inputs
 
 OUTPUT = ["p_delay_over_15", "likely_delayed", "p10", "p50", "p90"]
 PROBS = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
@@ -75,13 +75,13 @@ def indicator(name: str, s: Scale) -> Column:
 class Encoder:
     """Fitted input preparation: scaled numbers, missing indicators, one-hot categories."""
 
-    features: FeatureSet
+    features: Inputs
     scales: dict[str, Scale]
     encoders: PipelineModel | None
     labels: dict[str, list[str]]
 
     @staticmethod
-    def fit(df: DataFrame, features: FeatureSet) -> Encoder:
+    def fit(df: DataFrame, features: Inputs) -> Encoder:
         scales = fit_scales(df, features.numerical) if features.numerical else {}
         if not features.categorical:
             return Encoder(features, scales, None, {})
@@ -121,6 +121,7 @@ class TreeSettings:
     min_rows: int = 20
     bins: int = 64
     transform: str = "none"
+    few_values: bool = False  # of the target, as whole minutes in the plausible range are
 
 
 @dataclass(frozen=True)
@@ -139,8 +140,7 @@ class LeafQuantiles:
         tree = DecisionTreeRegressor(
             featuresCol="features", labelCol="_y", leafCol="leaf", maxDepth=s.depth, minInstancesPerNode=s.min_rows, maxBins=s.bins, seed=seed
         ).fit(rows)
-        # whole-minute targets keep few values per leaf under every transform
-        found = exact_quantiles(tree.transform(rows).select("leaf", "_y"), ["leaf"], "_y", PROBS, few_values=True)
+        found = exact_quantiles(tree.transform(rows).select("leaf", "_y"), ["leaf"], "_y", PROBS, few_values=s.few_values)
         leaves = [(float(r["leaf"]), *[float(r[q]) for q in PROBS]) for r in found.collect()]  # 2^depth rows at most
         return LeafQuantiles(encoder, tree, leaves, s)
 
@@ -191,7 +191,7 @@ def predict_probability(model, encoder: Encoder, df: DataFrame, name: str) -> Da
 # ------------------------------------------------------------------ out of fold, choices, bundle
 
 
-def fold_encoders(df: DataFrame, features: FeatureSet, folds: int) -> dict[int, Encoder]:
+def fold_encoders(df: DataFrame, features: Inputs, folds: int) -> dict[int, Encoder]:
     """The encoder of each fold's training rows, shared by every model tried on the fold."""
     return {i: Encoder.fit(df.filter(F.col("fold") < i), features) for i in range(1, folds + 1)}
 
@@ -212,7 +212,7 @@ def choose_transform(errors: dict[str, float], min_gain: float = 0.01) -> str:
 class Bundle:
     """Everything one scoring run needs."""
 
-    features: FeatureSet
+    features: Inputs
     encoder: Encoder
     ranges: LeafQuantiles
     classifier: object
@@ -233,7 +233,7 @@ class Bundle:
 
 def fit_bundle(
     frame: DataFrame,
-    features: FeatureSet,
+    features: Inputs,
     *,
     time: str = "scheduled_datetime",
     key: str = "row_number",
@@ -285,16 +285,16 @@ def fit_bundle(
 # ------------------------------------------------------------------ tuning
 
 
-def tune(frame: DataFrame, features: FeatureSet, folds: int, grid: dict[str, list], kind: str, *, target: str = "delay_minutes", label: str = "is_delayed") -> DataFrame:
+def tune(frame: DataFrame, features: Inputs, folds: int, grid: dict[str, list], kind: str, *, target: str = "delay_minutes", label: str = "is_delayed", fixed: dict | None = None) -> DataFrame:
     """(candidate, score) of every combination of the grid by rolling-origin error, best first.
 
-    `kind` is range (MAE), boost or logistic (Brier). `frame` has `fold`; each fit is a Spark job.
+    `kind` is range (MAE), boost or logistic (Brier). `frame` has `fold`; each fit is a Spark job. `fixed` holds for all candidates.
     """
     settings = {"range": TreeSettings, "boost": BoostSettings, "logistic": LogisticSettings}[kind]
     results = []
     encoders = fold_encoders(frame, features, folds)
     for values in product(*grid.values()):
-        candidate = settings(**dict(zip(grid, values)))
+        candidate = settings(**(fixed or {}), **dict(zip(grid, values)))
 
         def step(encoder: Encoder, fit: DataFrame, test: DataFrame, c=candidate) -> DataFrame:
             if kind == "range":

@@ -15,11 +15,11 @@ from punctual.plans import modelling
 from punctual.queries import feeds
 from punctual.queries.registry import query, table
 from punctual.session import scratch_path, written
-from punctual.settings import GateSettings
+from punctual.settings import EvaluationSettings, GateSettings
 from punctual.sources import predictions
 from punctual.sources.store import write_splits
 
-SAMPLES = 100
+SAMPLES = EvaluationSettings().bootstrap_samples
 SEED = 42
 GROUPS = ["airline", "scheduled_time_of_day"]
 TRAIN_END, VAL_END = "2024-01-21", "2024-01-24"
@@ -551,7 +551,7 @@ _GATE = f"""{SCORED}, gf AS (SELECT row_id, delay_minutes AS y, is_delayed AS de
 
 def _gate_checks(spark, sf_dir):
     numbers = gate.gate_numbers(gate_frame(spark, sf_dir), "row_id", SAMPLES, SEED)
-    return gate.gate_checks(numbers, GateSettings(min_rows=100))
+    return gate.gate_checks(numbers, GateSettings())
 
 
 @query("gate_checks", f"WITH {_GATE} SELECT ord, rule, round(value, 6) AS value, CAST(ok AS INTEGER) AS passed FROM checks")

@@ -95,7 +95,7 @@ def _bin_sql(c):
 def previous_delay_response(spark, sf_dir):
     flights = feeds.cleaned(spark, sf_dir)
     rotated = features.add_rotation(training_rows(flights), flights).select("prev_departure_delay_min", "delay_minutes")
-    return _round(explore.binned_response(written(rotated, "rotated"), "prev_departure_delay_min", "delay_minutes", _EDGES), "x", "y")
+    return _round(explore.binned_response(written(rotated, "rotated"), "prev_departure_delay_min", "delay_minutes", _EDGES, few_values=True), "x", "y")
 
 
 @query(

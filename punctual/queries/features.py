@@ -13,7 +13,7 @@ from punctual.plans import features
 from punctual.plans.clean import clean_flights, training_rows
 from punctual.queries import feeds
 from punctual.queries.registry import query, table
-from punctual.settings import FLIGHT_KEY, FeatureSet
+from punctual.settings import FLIGHT_KEY, Inputs
 from punctual.sources.boards import request_set
 
 KEY = ["airport", "flight_number", "scheduled_datetime"]
@@ -296,7 +296,7 @@ def prepared_inputs(spark, sf_dir):
             "register": F.when(F.col("user_id") % 6 != 0, F.concat(F.lit("EP"), F.col("user_id").cast("string"))),
         }
     )
-    inputs = FeatureSet(("k", "bad_number", "absent"), ("event_type", "register", "absent_text"))
+    inputs = Inputs(("k", "bad_number", "absent"), ("event_type", "register", "absent_text"))
     return features.prepare_input(events, inputs, keep=["event_id"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from punctual.functions.numeric import hash_uniform
 from punctual.plans.clean import clean_flights, training_rows
 from punctual.queries.registry import table
-from punctual.session import spread, written
+from punctual.session import written
 
 AIRLINES = ["ماهان", "آتا", "كيش اير", "قشم  ایر", "معراج", "وارش"]
 AIRPORTS = ["فرودگاه مهرآباد", "فرودگاه مشهد", "فرودگاه شيراز", "فرودگاه  تبريز ", "فرودگاه کرمان"]
@@ -30,7 +30,7 @@ def _facts(events: DataFrame) -> DataFrame:
 
 
 def flight_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spread(table(spark, sf_dir, "events")))
+    return _facts(table(spark, sf_dir, "events"))
 
 
 def raw_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +230,7 @@ def _prediction_rows(flights: DataFrame) -> DataFrame:
     hour = F.hour("scheduled_datetime").cast("string")
     turn = F.when(u < 0.7, F.floor(u * 200).cast("string")).otherwise("null")
     return both.select(
-        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("id"),
+        digest.alias("id"),
         F.when(t < 0.1, "loadtest").when(t < 0.4, "replay").otherwise("client").alias("traffic_source"),
         F.when(u >= 0.05, F.col("own_key")).alias("flight_key"),
         "airport",
@@ -262,7 +262,7 @@ LOG = f"""{FLIGHTS},
 pr AS (SELECT *, airport || '|' || flight_number || '|' || strftime(scheduled_datetime, '%Y-%m-%d %H:%M') AS own_key
   FROM flights, (VALUES (0), (1)) AS s(attempt) WHERE flight_type = 'Domestic Departure'),
 pv AS (SELECT *, {uniform_sql(21, 'own_key')} AS u, {uniform_sql(22, 'own_key', 'model_version')} AS tr FROM ({_versions_sql()})),
-log AS (SELECT CAST(('0x' || substr(md5(own_key || '|' || model_version || '|' || attempt), 1, 15)) AS BIGINT) AS id,
+log AS (SELECT md5(own_key || '|' || model_version || '|' || attempt) AS id,
     CASE WHEN tr < 0.1 THEN 'loadtest' WHEN tr < 0.4 THEN 'replay' ELSE 'client' END AS traffic_source,
     CASE WHEN u >= 0.05 THEN own_key END AS flight_key, airport, airline, scheduled_datetime AS scheduled_time, model_version, p AS p_delay, p >= 0.5 AS likely_delayed,
     p10 + CASE WHEN attempt = 0 THEN 3 ELSE 0 END AS q10, p50 + CASE WHEN attempt = 0 THEN 3 ELSE 0 END AS q50, p90 + CASE WHEN attempt = 0 THEN 3 ELSE 0 END AS q90,

@@ -3,26 +3,30 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from punctual.operators import calibration, metrics, quality, rates, splits
+from punctual.operators.ranks import position_ids
 from punctual.plans import modelling
 from punctual.queries import feeds
 from punctual.queries.evaluation import SAMPLES, SEED, _round, base_frame
 from punctual.queries.features import FEATURES, frame
 from punctual.queries.registry import query, table
 from punctual.session import written
-from punctual.settings import FeatureSet, ablation_steps, feature_set
+from punctual.settings import EvaluationSettings, Inputs, growing_inputs, inputs_of
 
 TIME = "scheduled_datetime"
+FOLDS = EvaluationSettings().folds
+MINUTES = modelling.TreeSettings(few_values=True)  # delays are whole minutes in the plausible range
 
 
 def model_rows(spark, sf_dir):
-    """The feature frame with a long row number from the flight's hash, stored."""
-    rows = frame(spark, sf_dir)
-    digest = F.md5(F.concat_ws("|", "airport", "flight_number", F.date_format(TIME, "yyyy-MM-dd HH:mm")))
-    return written(rows.withColumn("row_number", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")), "frame")
+    """The feature frame with a row number of its own for each flight, stored."""
+    rows = frame(spark, sf_dir).withColumn("_flight", F.concat_ws("|", "airport", "flight_number", F.date_format(TIME, "yyyy-MM-dd HH:mm")))
+    rows = written(rows, "flights")
+    return written(rows.join(position_ids(rows, "_flight", name="row_number"), "_flight").drop("_flight"), "frame")
 
 
 def _parts(rows):
@@ -57,7 +61,7 @@ def scaled_inputs(spark, sf_dir):
 def category_indexes(spark, sf_dir):
     """One-hot positions of every category, the most common first."""
     part = table(spark, sf_dir, "part")
-    encoder = modelling.Encoder.fit(part, FeatureSet((), ("p_brand", "p_type")))
+    encoder = modelling.Encoder.fit(part, Inputs((), ("p_brand", "p_type")))
     coded = encoder.transform(part)
     long = coded.selectExpr("stack(2, 'p_brand', p_brand, i_p_brand, 'p_type', p_type, i_p_type) as (feature, value, idx)")
     return long.distinct().withColumn("idx", F.col("idx").cast("long"))
@@ -73,21 +77,21 @@ def unknown_to_the_model(spark, sf_dir):
     names = ("register", "event_type")
     events = table(spark, sf_dir, "events").withColumn("register", F.concat(F.lit("EP"), F.col("user_id").cast("string")))
     later = F.col("ts") >= F.lit("2024-01-02").cast("timestamp_ntz")
-    encoder = modelling.Encoder.fit(events.filter(~later), FeatureSet((), names))
+    encoder = modelling.Encoder.fit(events.filter(~later), Inputs((), names))
     return quality.unseen_categories(events.filter(later), modelling.known_categories(encoder, events), list(names))
 
 
 @query("leaf_quantile_ranges")
 def leaf_quantile_ranges(spark, sf_dir):
-    features = feature_set(["calendar", "identity", "rotation", "rates"])
+    features = inputs_of(["calendar", "identity", "rotation", "rates"])
     fit, test = _parts(model_rows(spark, sf_dir))
     fit, test = (modelling.prepare_input(p, features, ["row_number", "delay_minutes"]) for p in (fit, test))
-    model = modelling.LeafQuantiles.fit(fit, modelling.Encoder.fit(fit, features), "delay_minutes", modelling.TreeSettings())
+    model = modelling.LeafQuantiles.fit(fit, modelling.Encoder.fit(fit, features), "delay_minutes", MINUTES)
     return model.predict(test).select("row_number", "delay_minutes", "q10", "q50", "q90")
 
 
 def _bundle(rows, groups):
-    return modelling.fit_bundle(rows, feature_set(groups), folds=3, boost=modelling.BoostSettings(rounds=5), transforms=("none", "log"))
+    return modelling.fit_bundle(rows, inputs_of(groups), folds=FOLDS, tree=MINUTES)
 
 
 @query("scored_requests")
@@ -100,30 +104,35 @@ def scored_requests(spark, sf_dir):
 
 @query("rolling_origin_predictions")
 def rolling_origin_predictions(spark, sf_dir):
-    features = feature_set(["calendar", "rotation"])
+    features = inputs_of(["calendar", "rotation"])
     rows = modelling.prepare_input(model_rows(spark, sf_dir), features, ["row_number", TIME, "is_delayed"])
-    rows = written(splits.rolling_folds(rows, TIME, "row_number", 3), "folds")
+    rows = written(splits.rolling_folds(rows, TIME, "row_number", FOLDS), "folds")
 
     def step(encoder, fit, test):
         model = modelling.fit_classifier(fit, encoder, "is_delayed", modelling.LogisticSettings())
         return modelling.predict_probability(model, encoder, test, "p").select("row_number", "fold", "is_delayed", "p")
 
-    return modelling.out_of_fold(rows, modelling.fold_encoders(rows, features, 3), step)
+    return modelling.out_of_fold(rows, modelling.fold_encoders(rows, features, FOLDS), step)
 
 
 @query("tuning_scores")
 def tuning_scores(spark, sf_dir):
-    features = feature_set(["calendar", "rotation"])
+    features = inputs_of(["calendar", "rotation"])
     rows = modelling.prepare_input(model_rows(spark, sf_dir), features, ["row_number", TIME, "delay_minutes", "is_delayed"])
-    rows = written(splits.rolling_folds(rows, TIME, "row_number", 2), "folds")
-    depth = modelling.tune(rows, features, 2, {"depth": [2, 4]}, "range").withColumn("kind", F.lit("range"))
-    strength = modelling.tune(rows, features, 2, {"c": [0.01, 1.0], "l1": [False]}, "logistic").withColumn("kind", F.lit("logistic"))
-    return depth.unionByName(strength)
+    rows = written(splits.rolling_folds(rows, TIME, "row_number", FOLDS), "folds")
+    grids = {
+        "range": {"depth": [2, 4, 6]},
+        "boost": {"depth": [2, 3]},
+        "logistic": {"c": [0.01, 0.1, 1.0, 10.0], "l1": [False]},
+    }
+    fixed = {"range": {"few_values": True}}
+    tried = [modelling.tune(rows, features, FOLDS, grid, kind, fixed=fixed.get(kind)).withColumn("kind", F.lit(kind)) for kind, grid in grids.items()]
+    return reduce(lambda a, b: a.unionByName(b), tried)
 
 
 @query("factor_contributions")
 def factor_contributions(spark, sf_dir):
-    features = feature_set(["calendar", "identity", "rotation"])
+    features = inputs_of(["calendar", "identity", "rotation"])
     fit, test = _parts(model_rows(spark, sf_dir))
     fit, test = (modelling.prepare_input(p, features, ["row_number", "is_delayed"]) for p in (fit, test))
     encoder = modelling.Encoder.fit(fit, features)
@@ -135,7 +144,7 @@ def factor_contributions(spark, sf_dir):
 
 @query("factor_importance")
 def factor_importance(spark, sf_dir):
-    features = feature_set(["calendar", "identity", "rotation"])
+    features = inputs_of(["calendar", "identity", "rotation"])
     rows = modelling.prepare_input(model_rows(spark, sf_dir), features, ["row_number", "is_delayed"])
     encoder = modelling.Encoder.fit(rows, features)
     model = modelling.fit_classifier(rows, encoder, "is_delayed", modelling.LogisticSettings())
@@ -148,10 +157,10 @@ def ablation_report(spark, sf_dir):
     fit, test = _parts(model_rows(spark, sf_dir))
     outputs = test.select("row_number", "delay_minutes", "is_delayed")
     points, classes = {}, {}
-    for i, (label, features) in enumerate(ablation_steps()):
+    for i, (label, features) in enumerate(growing_inputs().items()):
         f, t = (modelling.prepare_input(p, features, ["row_number", "delay_minutes", "is_delayed"]) for p in (fit, test))
         encoder = modelling.Encoder.fit(f, features)
-        tree = modelling.LeafQuantiles.fit(f, encoder, "delay_minutes", modelling.TreeSettings())
+        tree = modelling.LeafQuantiles.fit(f, encoder, "delay_minutes", MINUTES)
         logit = modelling.fit_classifier(f, encoder, "is_delayed", modelling.LogisticSettings())
         scored = modelling.predict_probability(logit, encoder, tree.predict(t), f"p{i}")
         scored = scored.select("row_number", F.col("q50").alias(f"m{i}"), f"p{i}", (F.col(f"p{i}") >= 0.5).cast("int").alias(f"l{i}"))
@@ -173,14 +182,14 @@ def ablation_report(spark, sf_dir):
 def learning_curve(spark, sf_dir):
     """Test error of the tree and of the grouped median per training window, with the paired change."""
     rows = model_rows(spark, sf_dir)
-    features = feature_set(["calendar", "identity", "rotation"])
+    features = inputs_of(["calendar", "identity", "rotation"])
     keep = ["row_number", "delay_minutes", TIME]
     windows, reached = splits.training_windows(rows, TIME, date(2024, 1, 24), [1, 2, 3])
     test = modelling.prepare_input(_parts(rows)[1], features, keep)
     out = None
     for w in reached:
         fit = modelling.prepare_input(windows.filter(F.col("weeks") == w), features, keep)
-        model = modelling.LeafQuantiles.fit(fit, modelling.Encoder.fit(fit, features), "delay_minutes", modelling.TreeSettings())
+        model = modelling.LeafQuantiles.fit(fit, modelling.Encoder.fit(fit, features), "delay_minutes", MINUTES)
         grouped = rates.group_quantiles(fit, ["airline", "scheduled_time_of_day"], "delay_minutes", {"g": 0.5}, few_values=True)
         overall = rates.group_quantiles(fit, [], "delay_minutes", {"g": 0.5}, few_values=True)
         scored = rates.lookup_or_global(model.predict(test), grouped, overall, ["airline", "scheduled_time_of_day"], ["g"])

@@ -11,6 +11,7 @@ from punctual.queries import feeds
 from punctual.queries.evaluation import _round
 from punctual.queries.registry import query, table
 from punctual.session import scratch_path, written
+from punctual.settings import MonitorSettings
 from punctual.sources import predictions
 
 
@@ -136,17 +137,31 @@ def daily_upserted(spark, sf_dir):
 
 @query(
     "dashboard_series",
-    f"""WITH {feeds.LOG}, j AS (SELECT strftime(day, '%Y-%m-%d') AS day, d.model_version, mae, offline_mae FROM daily d LEFT JOIN offline USING (model_version))
-      SELECT day, model_version, 'live MAE' AS series, round(mae, 1) AS value FROM j UNION ALL SELECT day, model_version, 'offline MAE', round(offline_mae, 1) FROM j
-      ORDER BY day DESC, model_version DESC, series LIMIT 30""",
+    f"""WITH {feeds.LOG}, j AS (SELECT strftime(day, '%Y-%m-%d') AS day, d.*, offline_mae, offline_coverage FROM daily d LEFT JOIN offline USING (model_version))
+      SELECT day, model_version, unnest(['live MAE', 'offline MAE', 'live Brier', 'live coverage', 'offline coverage']) AS series,
+        round(unnest([mae, offline_mae, brier, coverage, offline_coverage]), 4) AS value FROM j""",
 )
 def dashboard_series(spark, sf_dir):
     log, outcomes, _ = _world(spark, sf_dir)
     daily, rows = _daily(log, outcomes)
     joined = performance.with_offline(daily, _offline(rows))
-    long = joined.selectExpr("cast(day as string) as day", "model_version", "stack(2, 'live MAE', mae, 'offline MAE', offline_mae) as (series, value)")
-    shown = long.withColumn("value", F.round("value", 1))
-    return shown.orderBy(F.desc("day"), F.desc("model_version"), "series").limit(30)
+    listed = "'live MAE', mae, 'offline MAE', offline_mae, 'live Brier', brier, 'live coverage', coverage, 'offline coverage', offline_coverage"
+    long = joined.selectExpr("cast(day as string) as day", "model_version", f"stack(5, {listed}) as (series, value)")
+    return long.withColumn("value", F.round("value", 4))
+
+
+@query(
+    "dashboard_daily",
+    f"""WITH {feeds.LOG} SELECT strftime(day, '%Y-%m-%d') AS day, model_version, predicted_flights, matched_flights, round(mae, 4) AS mae, round(brier, 4) AS brier, round(coverage, 4) AS coverage
+      FROM daily ORDER BY day DESC, model_version DESC LIMIT 30""",
+)
+def dashboard_daily(spark, sf_dir):
+    """The newest 30 rows of the daily table."""
+    log, outcomes, _ = _world(spark, sf_dir)
+    daily, _ = _daily(log, outcomes)
+    newest = daily.orderBy(F.desc("day"), F.desc("model_version")).limit(30)
+    shown = newest.select(F.col("day").cast("string").alias("day"), "model_version", "predicted_flights", "matched_flights", "mae", "brier", "coverage")
+    return shown.withColumns({c: F.round(c, 4) for c in ("mae", "brier", "coverage")})
 
 
 @query(
@@ -229,10 +244,16 @@ def _log_drift(spark, sf_dir):
     return drift.detect_drift(_inputs(log, ~cut), _inputs(log, cut), NUMERIC, ["airline"])
 
 
-@query("input_drift", f"WITH {feeds.LOG}, {_DRIFT} {_DRIFT_SHOWN}")
+@query(
+    "input_drift",
+    f"""WITH {feeds.LOG}, {_DRIFT}, n AS (SELECT feature, count(*) FILTER (side = 'cur') AS current_rows FROM lg GROUP BY 1)
+      SELECT feature, current_rows, CASE WHEN current_rows >= 200 THEN round(psi, 6) END AS psi, CASE WHEN current_rows >= 200 THEN round(ks, 6) END AS ks,
+      CASE WHEN current_rows >= 200 THEN CASE WHEN psi >= 0.25 THEN 1 ELSE 0 END END AS drifted FROM n JOIN psi USING (feature) LEFT JOIN ks USING (feature)""",
+)
 def input_drift(spark, sf_dir):
     summary, _ = _log_drift(spark, sf_dir)
-    return _shown(drift.guarded(summary, 1))
+    guarded = drift.guarded(summary, MonitorSettings().drift_min_rows)
+    return _round(guarded, "psi", "ks").select("feature", "current_rows", "psi", "ks", F.col("drifted").cast("int").alias("drifted"))
 
 
 @query(
@@ -312,8 +333,8 @@ for _name, (_h, _i, _t) in _SCENARIOS.items():
     "retrain_decision",
     f"""WITH {feeds.LOG}, {_STREAK}, {_DRIFT}, s AS (SELECT coalesce(max(streak), 0) AS streak FROM streak), d AS (SELECT coalesce(string_agg(feature, ', ' ORDER BY feature), '') AS names FROM psi WHERE psi >= 0.25),
       t AS (SELECT count(*) AS n FROM log WHERE created_at >= TIMESTAMP '2024-02-10' - INTERVAL 3 DAY)
-      SELECT streak, names AS drifted, array_to_string(list_filter([CASE WHEN streak >= 1 THEN 'live MAE degraded for ' || streak || ' days' END, CASE WHEN names <> '' THEN 'input drift in ' || names END], lambda x: x IS NOT NULL), '; ') AS reason,
-      CASE WHEN (streak >= 1 OR names <> '') AND n = 0 THEN 1 ELSE 0 END AS retrain FROM s, d, t""",
+      SELECT streak, names AS drifted, array_to_string(list_filter([CASE WHEN streak >= 3 THEN 'live MAE degraded for ' || streak || ' days' END, CASE WHEN names <> '' THEN 'input drift in ' || names END], lambda x: x IS NOT NULL), '; ') AS reason,
+      CASE WHEN (streak >= 3 OR names <> '') AND n = 0 THEN 1 ELSE 0 END AS retrain FROM s, d, t""",
 )
 def retrain_decision(spark, sf_dir):
     log, outcomes, _ = _world(spark, sf_dir)
@@ -322,7 +343,8 @@ def retrain_decision(spark, sf_dir):
     cut = F.col("created_at") >= _ts("2024-01-22")
     summary, _ = drift.detect_drift(_inputs(log, ~cut), _inputs(log, cut), NUMERIC, ["airline"])
     triggers = log.select(F.col("created_at").alias("triggered_at"))
-    decided = drift.retrain_decision(streak, summary, triggers, _ts("2024-02-10"), degraded_days=1)
+    s = MonitorSettings()
+    decided = drift.retrain_decision(streak, summary, triggers, _ts("2024-02-10"), degraded_days=s.degraded_days, cooldown_days=s.cooldown_days)
     return decided.withColumn("retrain", F.col("retrain").cast("int"))
 
 
@@ -363,6 +385,7 @@ _METRICS = [
     "ingest_last_success_timestamp_seconds", "monitor_performance_last_run_timestamp_seconds", "scraped_rows", "prediction_log_failures_total",
 ]
 AS_OF = "2024-01-30 23:30:00"
+COUNTER_MINUTES = 7 * 24 * 60  # the given events are sparse; the rule itself looks back 15 minutes
 
 
 def _samples(spark, sf_dir):
@@ -378,14 +401,14 @@ def _samples(spark, sf_dir):
         .when(name == "drift_features_over_threshold", (i % 2).cast("double"))
         .when(name.contains("timestamp"), seconds)
         .when(name == "scraped_rows", F.when((user % 20 == 8) & (F.to_date("ts") >= F.lit("2024-01-28").cast("date")), 0.0).otherwise(F.floor("value").cast("double")))
-        .otherwise(i.cast("double"))
+        .otherwise((i % 50).cast("double"))  # counters that fall back to zero now and then
     )
     return e.select(name.alias("name"), F.concat(F.lit("airport="), user.cast("string")).alias("labels"), value.alias("value"), "ts")
 
 
 _SAMPLES = f"""samples AS (SELECT name, labels, CASE WHEN name IN ('up', 'scrape_page_failed', 'ingest_validation_failed') THEN event_id % 2 WHEN name = 'live_mae_degraded_days' THEN event_id % 5
       WHEN name = 'live_interval_coverage' THEN value / 100 WHEN name = 'drift_features_over_threshold' THEN event_id % 2 WHEN contains(name, 'timestamp') THEN epoch_us(ts) / 1e6
-      WHEN name = 'scraped_rows' THEN CASE WHEN user_id % 20 = 8 AND CAST(ts AS DATE) >= DATE '2024-01-28' THEN 0.0 ELSE floor(value) END ELSE event_id END AS value, ts
+      WHEN name = 'scraped_rows' THEN CASE WHEN user_id % 20 = 8 AND CAST(ts AS DATE) >= DATE '2024-01-28' THEN 0.0 ELSE floor(value) END ELSE event_id % 50 END AS value, ts
     FROM (SELECT *, {feeds._sql_list(_METRICS)}[user_id % 10 + 1] AS name, 'airport=' || user_id AS labels FROM events) WHERE ts <= TIMESTAMP '{AS_OF}'),
   seen AS (SELECT *, row_number() OVER (PARTITION BY name, labels ORDER BY ts DESC) AS rn, epoch_us(TIMESTAMP '{AS_OF}') / 1e6 - epoch_us(ts) / 1e6 AS age FROM samples),
   rules(rule, metric, severity, hold) AS (VALUES ('ApiDown', 'up', 'critical', 120), ('ScrapePageFailed', 'scrape_page_failed', 'warning', 0), ('ScrapeValidationFailed', 'ingest_validation_failed', 'warning', 0),
@@ -397,13 +420,14 @@ _SAMPLES = f"""samples AS (SELECT name, labels, CASE WHEN name IN ('up', 'scrape
     UNION ALL SELECT 'IngestStale', 'warning', labels, epoch_us(TIMESTAMP '{AS_OF}') / 1e6 - max(value) FROM samples WHERE name = 'ingest_last_success_timestamp_seconds' GROUP BY labels HAVING epoch_us(TIMESTAMP '{AS_OF}') / 1e6 - max(value) > 7 * 3600
     UNION ALL SELECT 'MonitoringStale', 'warning', labels, epoch_us(TIMESTAMP '{AS_OF}') / 1e6 - max(value) FROM samples WHERE name = 'monitor_performance_last_run_timestamp_seconds' GROUP BY labels HAVING epoch_us(TIMESTAMP '{AS_OF}') / 1e6 - max(value) > 26 * 3600
     UNION ALL SELECT 'AirportBoardEmpty', 'warning', labels, max(value) FROM seen WHERE name = 'scraped_rows' AND age < 7 * 86400 GROUP BY labels HAVING max(value) FILTER (age < 12 * 3600) = 0 AND max(value) > 0
-    UNION ALL SELECT 'PredictionLogFailing', 'warning', labels, arg_max(value, ts) - arg_min(value, ts) FROM seen WHERE name = 'prediction_log_failures_total' AND age < 900 GROUP BY labels HAVING arg_max(value, ts) - arg_min(value, ts) > 0)"""
+    UNION ALL SELECT 'PredictionLogFailing', 'warning', labels, sum(CASE WHEN value < earlier THEN value ELSE value - earlier END) FROM (SELECT *, lag(value) OVER (PARTITION BY labels ORDER BY ts) AS earlier FROM seen WHERE name = 'prediction_log_failures_total' AND age < {COUNTER_MINUTES * 60})
+      GROUP BY labels HAVING sum(CASE WHEN value < earlier THEN value ELSE value - earlier END) > 0)"""
 
 
 @query("firing_alerts", f"WITH {_SAMPLES} SELECT rule, severity, labels, round(value, 3) AS value FROM fire")
 def firing_alerts(spark, sf_dir):
     samples = _samples(spark, sf_dir)
-    return alerts.all_alerts(samples, _ts(AS_OF)).withColumn("value", F.round("value", 3))
+    return alerts.all_alerts(samples, _ts(AS_OF), COUNTER_MINUTES).withColumn("value", F.round("value", 3))
 
 
 @query(
