@@ -2,19 +2,24 @@ from datetime import date, datetime
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from punctual.operators import alerts, drift, performance
 from punctual.sources import predictions
 
 
-def test_streak_skips_unjudged_days(spark):
-    maes = [30.0, 19.0, 26.0, None, 27.0]
-    daily = spark.createDataFrame([("1", date(2025, 6, i + 1), m) for i, m in enumerate(maes)], "model_version string, day date, mae double")
-    offline = spark.createDataFrame([("1", 20.0)], "model_version string, offline_mae double")
-    assert performance.degraded_streak(daily, offline).first()["streak"] == 2
-    none = offline.withColumn("offline_mae", F.lit(None).cast("double"))
-    assert performance.degraded_streak(daily, none).first()["streak"] == 0
+@pytest.mark.parametrize(
+    ("maes", "streak"),
+    [([9.0, 14.0, None, 13.1, 12.6], 3), ([14.0, 12.4], 0), ([None, None], None), ([12.5, 12.51], 1), ([20.0] * 6, 6)],
+)
+def test_streak_counts_judged_days_over_the_tolerance(spark, maes, streak):
+    daily = spark.createDataFrame([("m", date(2024, 3, i + 3), m) for i, m in enumerate(maes)], "model_version string, day date, mae double")
+    offline = spark.createDataFrame([("m", 10.0)], "model_version string, offline_mae double")
+    found = performance.degraded_streak(daily, offline).first()
+    assert (found and found["streak"]) == streak
+    unknown = performance.degraded_streak(daily, offline.withColumn("offline_mae", F.lit(None).cast("double"))).first()
+    assert not unknown or unknown["streak"] == 0
 
 
 def test_daily_numbers_use_the_latest_prediction(spark):
@@ -37,36 +42,43 @@ def test_daily_numbers_use_the_latest_prediction(spark):
 
 def inputs(n, seed):
     rng = np.random.default_rng(seed)
-    return pd.DataFrame(
-        {
-            "hour": rng.integers(5, 24, n).astype(float),
-            "turn": rng.normal(60, 15, n),
-            "inbound": rng.integers(0, 2, n).astype(float),
-            "airline": rng.choice(["a", "b", "c"], n),
-        }
-    )
+    return pd.DataFrame({"load": rng.gamma(4.0, 20.0, n), "slot": rng.integers(0, 12, n).astype(float), "dual": (rng.random(n) < 0.3).astype(float), "carrier": rng.choice(["k", "l", "m", "n"], n, p=[0.4, 0.3, 0.2, 0.1])})
+
+
+CHANGES = {
+    "none": (lambda d: d, set()),
+    "scaled": (lambda d: d.withColumn("load", F.col("load") * 1.8), {"load"}),
+    "squeezed": (lambda d: d.withColumn("slot", F.floor(F.col("slot") / 4).cast("double")), {"slot"}),
+    "lost": (lambda d: d.withColumn("load", F.lit(None).cast("double")), {"load"}),
+    "renamed": (lambda d: d.withColumn("carrier", F.concat(F.col("carrier"), F.lit("2"))), {"carrier"}),
+    "flipped": (lambda d: d.withColumn("dual", 1 - F.col("dual")), {"dual"}),
+}
 
 
-def drifted(spark, change):
-    reference, current = spark.createDataFrame(inputs(5000, 1)), spark.createDataFrame(inputs(1000, 2))
-    summary, shares = drift.detect_drift(reference, change(current), ["hour", "turn", "inbound"], ["airline"])
-    return {r["feature"] for r in summary.filter("drifted").collect()}, shares
+@pytest.mark.parametrize("name", CHANGES)
+def test_drift_is_found_where_it_was_put(spark, name):
+    change, expected = CHANGES[name]
+    reference, current = spark.createDataFrame(inputs(6000, 11)), spark.createDataFrame(inputs(1500, 12))
+    summary, shares = drift.detect_drift(reference, change(current), ["load", "slot", "dual"], ["carrier"])
+    assert {r["feature"] for r in summary.filter("drifted").collect()} == expected
+    totals = shares.groupBy("feature").agg(F.sum("reference").alias("r"), F.sum("current").alias("c")).collect()
+    assert all(abs(t["r"] - 1) < 1e-9 and abs(t["c"] - 1) < 1e-9 for t in totals)
+    few = drift.guarded(summary, 2000).collect()
+    assert len(few) == 4 and all(r["psi"] is None and r["current_rows"] == 1500 for r in few)
 
 
-def test_drift_fires_for_the_changed_input_only(spark):
-    assert drifted(spark, lambda d: d)[0] == set()
-    assert drifted(spark, lambda d: d.withColumn("hour", F.col("hour") % 5))[0] == {"hour"}
-    found, shares = drifted(spark, lambda d: d.withColumn("turn", F.lit(None).cast("double")))
-    assert found == {"turn"}
-    assert shares.filter("feature = 'turn' and bin = '(missing)'").first()["current"] == 1.0
-    assert drifted(spark, lambda d: d.withColumn("airline", F.lit("new")))[0] == {"airline"}
-    assert {r["bin"] for r in shares.filter("feature = 'inbound'").collect()} == {"0.0", "1.0"}
+def test_counters_that_start_again_still_rise(spark):
+    minutes = {"falls": [5, 0, 2], "rises": [7, 9], "rests": [4, 4], "drops": [6, 0]}
+    rows = [("prediction_log_failures_total", k, float(v), datetime(2024, 3, 3, 10, i)) for k, vs in minutes.items() for i, v in enumerate(vs)]
+    samples = spark.createDataFrame(rows, "name string, labels string, value double, ts timestamp_ntz")
+    found = alerts.counter_increase(samples, F.lit("2024-03-03 10:05:00").cast("timestamp_ntz")).collect()
+    assert {r["labels"]: r["value"] for r in found} == {"falls": 2.0, "rises": 2.0}
 
 
 def test_ks_statistic(spark):
-    a, b = inputs(400, 3)["turn"], inputs(300, 4)["turn"] + 5
-    reference, current = (spark.createDataFrame(pd.DataFrame({"turn": x})) for x in (a, b))
-    row = drift.ks_test(drift.value_counts(reference, current, ["turn"], [])).first()
+    a, b = inputs(400, 3)["load"], inputs(300, 4)["load"] + 12
+    reference, current = (spark.createDataFrame(pd.DataFrame({"load": x})) for x in (a, b))
+    row = drift.ks_test(drift.value_counts(reference, current, ["load"], [])).first()
     grid = np.concatenate([a, b])
     gap = np.abs((a.to_numpy()[:, None] <= grid).mean(0) - (b.to_numpy()[:, None] <= grid).mean(0)).max()
     assert abs(row["ks"] - gap) < 1e-12 and 0 <= row["ks_pvalue"] < 0.05
