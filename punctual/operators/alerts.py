@@ -94,10 +94,11 @@ def counter_increase(samples: DataFrame, as_of: Column, metric: str = "predictio
 
 
 def sliding_rates(requests: DataFrame, time: str, failed: Column, width: str, slide: str) -> DataFrame:
-    """Requests and share failed per sliding window. Works on a stream too."""
-    windows = requests.withColumn("_failed", failed.cast("double")).groupBy(F.window(time, width, slide))
+    """Requests and share failed per sliding window, and per handler where the column `handler` is there. Works on a stream too."""
+    by = ["handler"] if "handler" in requests.columns else []
+    windows = requests.withColumn("_failed", failed.cast("double")).groupBy(*by, F.window(time, width, slide))
     counted = windows.agg(F.count(F.lit(1)).alias("requests"), F.avg("_failed").alias("error_share"))
-    return counted.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "requests", "error_share")
+    return counted.select(*by, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "requests", "error_share")
 
 
 def sliding_latency(requests: DataFrame, time: str, latency: str, width: str, slide: str) -> DataFrame:

@@ -192,11 +192,11 @@ def reliability_right_closed(spark, sf_dir):
 
 ATTRIBUTES = {"airline": "airline", "to": "destination_or_origin", "from": "airport", "time": "scheduled_time_of_day", "delay": "delay_class"}
 _ITEMS = [f"'{k}=' || {c}" for k, c in ATTRIBUTES.items()]
-_MINED = f"""{DAYS}, m AS (SELECT *, CASE WHEN delay_minutes <= -0.001 THEN 'Early' WHEN delay_minutes <= 15 THEN 'On Time' ELSE 'Late' END AS delay_class FROM dep WHERE airline IS NOT NULL AND destination_or_origin IS NOT NULL AND airport IS NOT NULL),
+_MINED = f"""{DAYS}, m AS MATERIALIZED (SELECT *, CASE WHEN delay_minutes <= -0.001 THEN 'Early' WHEN delay_minutes <= 15 THEN 'On Time' ELSE 'Late' END AS delay_class FROM dep WHERE airline IS NOT NULL AND destination_or_origin IS NOT NULL AND airport IS NOT NULL),
   tot AS (SELECT count(*) AS n FROM m),
-  cubes AS (SELECT {', '.join(ATTRIBUTES.values())}, count(*) AS freq FROM m GROUP BY CUBE ({', '.join(ATTRIBUTES.values())})),
-  sets AS (SELECT list_sort(list_filter([{', '.join(_ITEMS)}], lambda x: x IS NOT NULL)) AS items, freq FROM cubes, tot WHERE freq >= ceil(0.02 * n)),
-  itemsets AS (SELECT array_to_string(items, ' + ') AS items, len(items) AS size, freq FROM sets WHERE len(items) > 0)"""
+  cubes AS MATERIALIZED (SELECT {', '.join(ATTRIBUTES.values())}, count(*) AS freq FROM m GROUP BY CUBE ({', '.join(ATTRIBUTES.values())})),
+  sets AS MATERIALIZED (SELECT list_sort(list_filter([{', '.join(_ITEMS)}], lambda x: x IS NOT NULL)) AS items, freq FROM cubes WHERE freq >= ceil(0.02 * (SELECT n FROM tot))),
+  itemsets AS MATERIALIZED (SELECT array_to_string(items, ' + ') AS items, len(items) AS size, freq FROM sets WHERE len(items) > 0)"""
 
 
 def _mined(spark, sf_dir):
@@ -213,9 +213,9 @@ def frequent_itemsets(spark, sf_dir):
 @query(
     "association_rules",
     f"""WITH {_MINED}, parts AS (SELECT items, freq, unnest(range(1, CAST(2 ** len(items) AS BIGINT) - 1)) AS mask FROM sets WHERE len(items) >= 2),
-    ac AS (SELECT freq, array_to_string(list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1), ' + ') AS antecedent, array_to_string(list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 0), ' + ') AS consequent FROM parts)
-    SELECT antecedent, consequent, ac.freq AS n, round(ac.freq / a.freq, 6) AS confidence, round((ac.freq / a.freq) / (c.freq / tot.n), 6) AS lift FROM ac JOIN itemsets a ON a.items = antecedent JOIN itemsets c ON c.items = consequent, tot
-    WHERE (ac.freq / a.freq) / (c.freq / tot.n) >= 1.05""",
+    ac AS MATERIALIZED (SELECT freq, array_to_string(list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1), ' + ') AS antecedent, array_to_string(list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 0), ' + ') AS consequent FROM parts)
+    SELECT antecedent, consequent, ac.freq AS n, round(ac.freq / a.freq, 6) AS confidence, round((ac.freq / a.freq) / (c.freq / (SELECT n FROM tot)), 6) AS lift FROM ac JOIN itemsets a ON a.items = antecedent JOIN itemsets c ON c.items = consequent
+    WHERE (ac.freq / a.freq) / (c.freq / (SELECT n FROM tot)) >= 1.05""",
 )
 def association_rules(spark, sf_dir):
     rows = _mined(spark, sf_dir)
@@ -230,15 +230,16 @@ _LONG = {"airline": "airline", "from": "airport", "to": "destination_or_origin",
 
 @query(
     "delay_rules",
-    f"""WITH {DAYS}, m0 AS (SELECT *, CASE WHEN delay_minutes <= 15 THEN 'On time' WHEN delay_minutes <= 60 THEN 'Late' ELSE 'Very late' END AS delay_long FROM dep),
-    m AS (SELECT {', '.join(f'CASE WHEN count({c}) OVER (PARTITION BY {c}) >= 30 THEN {c} END AS {c}' for c in _LONG.values())} FROM m0), tot AS (SELECT count(*) AS n FROM m),
-    cubes AS (SELECT {', '.join(_LONG.values())}, count(*) AS freq, grouping({', '.join(_LONG.values())}) AS g FROM m GROUP BY CUBE ({', '.join(_LONG.values())})),
-    clean AS (SELECT * FROM cubes WHERE {' AND '.join(f'(({c} IS NULL) = ((g >> {len(_LONG) - 1 - i}) & 1 = 1))' for i, c in enumerate(_LONG.values()))}),
-    one AS (SELECT * FROM clean, tot WHERE delay_long IS NOT NULL AND freq >= ceil(0.02 * n)),
-    k AS (SELECT one.*, a.freq AS fa, c.freq AS fc FROM one JOIN clean a ON a.delay_long IS NULL AND {' AND '.join(f'a.{c} IS NOT DISTINCT FROM one.{c}' for c in _LONG.values() if c != 'delay_long')}
-      JOIN clean c ON c.delay_long = one.delay_long AND {' AND '.join(f'c.{x} IS NULL' for x in _LONG.values() if x != 'delay_long')})
-    SELECT array_to_string(list_sort(list_filter([{', '.join(f"'{n}=' || {c}" for n, c in _LONG.items() if n != 'delay')}], lambda x: x IS NOT NULL)), ' + ') || ' → delay=' || delay_long AS rule,
-      freq AS departures, round(freq / fa, 6) AS confidence, round((freq / fa) / (fc / n), 6) AS lift FROM k WHERE g <> {sum(1 << (len(_LONG) - 1 - i) for i, c in enumerate(_LONG.values()) if c != 'delay_long')} AND (freq / fa) / (fc / n) >= 1.1""",
+    f"""WITH {DAYS}, m0 AS MATERIALIZED (SELECT *, CASE WHEN delay_minutes <= 15 THEN 'On time' WHEN delay_minutes <= 60 THEN 'Late' ELSE 'Very late' END AS delay_long FROM dep),
+    m AS MATERIALIZED (SELECT {', '.join(f'CASE WHEN count({c}) OVER (PARTITION BY {c}) >= 30 THEN {c} END AS {c}' for c in _LONG.values())} FROM m0), tot AS (SELECT count(*) AS n FROM m),
+    cubes AS MATERIALIZED (SELECT {', '.join(_LONG.values())}, count(*) AS freq, grouping({', '.join(_LONG.values())}) AS g FROM m GROUP BY CUBE ({', '.join(_LONG.values())})),
+    clean AS MATERIALIZED (SELECT delay_long, freq, concat_ws(' + ', {', '.join(f"'{n}=' || {c}" for n, c in sorted(_LONG.items()) if n != 'delay')}) AS left_side FROM cubes
+      WHERE {' AND '.join(f'(({c} IS NULL) = ((g >> {len(_LONG) - 1 - i}) & 1 = 1))' for i, c in enumerate(_LONG.values()))}),
+    one AS MATERIALIZED (SELECT * FROM clean WHERE delay_long IS NOT NULL AND left_side <> '' AND freq >= ceil(0.02 * (SELECT n FROM tot))),
+    k AS (SELECT one.*, a.freq AS fa, c.freq AS fc FROM one JOIN (SELECT * FROM clean WHERE delay_long IS NULL) a ON a.left_side = one.left_side
+      JOIN (SELECT * FROM clean WHERE left_side = '') c ON c.delay_long = one.delay_long)
+    SELECT left_side || ' → delay=' || delay_long AS rule, freq AS departures, round(freq / fa, 6) AS confidence, round((freq / fa) / (fc / (SELECT n FROM tot)), 6) AS lift
+      FROM k WHERE (freq / fa) / (fc / (SELECT n FROM tot)) >= 1.1""",
 )
 def delay_rules(spark, sf_dir):
     """Rules for the delay class over attribute values with at least 30 departures."""
@@ -317,6 +318,21 @@ def delay_hours_by_block(spark, sf_dir):
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("delay_minutes"), 6).alias("mean_delay"))
 
 
+@query(
+    "model_error_by_segment",
+    f"""WITH {BASE}, x AS (SELECT abs(delay_minutes - p50) AS error, delay_minutes BETWEEN p10 AND p90 AS inside, scheduled_time_of_day, airline FROM base WHERE split = 'test')
+      SELECT 'block' AS segment, scheduled_time_of_day AS value, count(*) AS n, round(avg(error), 6) AS error, round(avg(CASE WHEN inside THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM x GROUP BY 2
+      UNION ALL SELECT 'airline', airline, count(*), round(avg(error), 6), round(avg(CASE WHEN inside THEN 1.0 ELSE 0.0 END), 6) FROM x WHERE airline IS NOT NULL GROUP BY 2""",
+)
+def model_error_by_segment(spark, sf_dir):
+    """The model's absolute error and coverage per time of day and per airline."""
+    test = base_frame(spark, sf_dir).filter("split = 'test'")
+    y = F.col("delay_minutes")
+    measures = {"error": F.abs(y - F.col("p50")), "coverage": y.between(F.col("p10"), F.col("p90"))}
+    found = explore.segment_errors(test, {"block": F.col("scheduled_time_of_day"), "airline": F.col("airline")}, measures)
+    return _round(found, "error", "coverage")
+
+
 @query(
     "overlap_note",
     f"""WITH {BASE} SELECT split, CASE WHEN max(scheduled_datetime) >= TIMESTAMP '2024-01-24' THEN 'champion was trained on part of the gate window' ELSE '-' END AS note FROM base GROUP BY 1""",

@@ -100,12 +100,16 @@ def skip_reasons(spark, sf_dir):
 # ------------------------------------------------------------------ upserts
 
 
-def _prepared(spark, sf_dir, k):
-    """Loader rows of the first (k = 0) or final (k = 1) sightings with airport ids."""
-    raw = feeds.raw_boards(spark, sf_dir).filter(F.col("seen") % 2 == k)
+def _prepared(spark, sf_dir):
+    """Loader rows of both sightings, prepared once; `load` is 0 for the first and 1 for the final one."""
+    raw = feeds.raw_boards(spark, sf_dir)
     place = F.col("destination_or_origin")
     raw = raw.withColumns({"destination": place, "origin": place})
-    return written(boards.prepare_rows(raw, F.lit("2024-01-01").cast("timestamp_ntz")), "prepared")
+    ready = boards.prepare_rows(raw, F.lit("2024-01-01").cast("timestamp_ntz"))
+    path = scratch_path(spark, "prepared")
+    ready.withColumn("load", (F.col("seen") % 2).cast("int")).write.partitionBy("load").parquet(path)
+    both = spark.read.parquet(path)
+    return both.filter("load = 0").drop("load"), both.filter("load = 1").drop("load")
 
 
 def _dimension(spark, rows):
@@ -117,14 +121,15 @@ def _with_ids(rows, dimension):
     return rows.join(dimension.withColumnRenamed("name", "airport"), "airport", "left")
 
 
-def _loads(spark, sf_dir):
-    first, final = (_prepared(spark, sf_dir, k) for k in (0, 1))
-    dim = _dimension(spark, first)
+def _loads(spark, sf_dir, kind="departures"):
+    first, final = _prepared(spark, sf_dir)
+    dim = written(_dimension(spark, first), "airports")
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     empty = spark.createDataFrame([], store.STORE_SCHEMA)
-    deps = [_with_ids(r.filter(F.col("table") == "departures"), dim) for r in (first, final)]
-    stored, _ = store.load_actions(empty, deps[0], "seen", F.lit("2024-01-31 00:00:00").cast("timestamp"))
-    return store.load_actions(stored.drop("action"), deps[1], "seen", now), dim
+    rows = [_with_ids(r.filter(F.col("table") == kind), dim) for r in (first, final)]
+    stored, _ = store.load_actions(empty, rows[0], "seen", F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    stored = written(stored.drop("action"), "stored")
+    return store.load_actions(stored, rows[1], "seen", now), dim
 
 
 _LOADED = f"""{feeds.RAW}, prep AS (SELECT seen, seen % 2 AS k, TRY_CAST(scheduled_time AS TIMESTAMP) AS t, nullif(trim(flight_number), '') AS num,
@@ -153,6 +158,29 @@ def upsert_rows(spark, sf_dir):
     )
 
 
+_ARRIVED = _LOADED.replace("AND NOT arr QUALIFY", "AND arr QUALIFY")
+
+
+@query(
+    "arrival_upsert_rows",
+    f"""WITH {_ARRIVED} SELECT num AS flight_number, {feeds.sql_stamp('t', 'scheduled_datetime')}, apt AS airport, action, trim(status) AS status FROM merged""",
+)
+def arrival_upsert_rows(spark, sf_dir):
+    (after, _), dim = _loads(spark, sf_dir, "arrivals")
+    named = after.join(dim.withColumnRenamed("name", "airport"), "airport_id")
+    return named.select("flight_number", feeds.stamp("scheduled_datetime"), "airport", "action", "status")
+
+
+@query(
+    "arrival_upsert_counters",
+    f"""WITH {_ARRIVED} SELECT action, '-' AS reason, count(*) AS n FROM merged WHERE action <> 'kept' GROUP BY 1
+      UNION ALL SELECT 'skipped', reason, count(*) FROM prep WHERE k = 1 AND arr AND reason IS NOT NULL GROUP BY 2""",
+)
+def arrival_upsert_counters(spark, sf_dir):
+    loaded, _ = _loads(spark, sf_dir, "arrivals")
+    return store.load_summary(store.load_counters(*loaded)).withColumn("reason", F.coalesce("reason", F.lit("-")))
+
+
 @query(
     "upsert_counters",
     f"""WITH {_LOADED} SELECT action, '-' AS reason, count(*) AS n FROM merged WHERE action <> 'kept' GROUP BY 1
@@ -182,7 +210,7 @@ def load_verdict(spark, sf_dir):
 def stored_twice(spark, sf_dir):
     """Three loads into a stored table: first sightings, final ones, and the final ones again."""
     path = scratch_path(spark, "departures")
-    early, late = (_prepared(spark, sf_dir, k) for k in (0, 1))
+    early, late = _prepared(spark, sf_dir)
     dim = _dimension(spark, early)
     first, final = (rows.filter(F.col("table") == "departures") for rows in (early, late))
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
@@ -348,6 +376,15 @@ def ontime_files(spark, sf_dir):
     )
 
 
+@query(
+    "ontime_audit",
+    f"""WITH {_ONTIME} SELECT count(*) // 2 AS records, count(*) AS flights FROM typed""",
+)
+def ontime_audit(spark, sf_dir):
+    """Records read and flights made of them."""
+    return ontime.audit(_records(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ pages
 
 
@@ -366,7 +403,7 @@ def page_outcomes(spark, sf_dir):
 )
 def page_failures(spark, sf_dir):
     hosts = table(spark, sf_dir, "pages").withColumn("airport", F.regexp_extract("url", "^https?://([^/]+)", 1))
-    parsed = pages.parse_pages(hosts)
+    parsed = written(pages.parse_pages(hosts).select("airport", "status", "rows", "error"), "parsed")
     failed = quality.failed_pages(parsed).groupBy("airport").agg(F.sum("pages").alias("pages"))
     return failed.join(quality.page_metrics(parsed), "airport").select("airport", "pages", "scraped_rows", "scrape_page_failed")
 

@@ -467,6 +467,16 @@ def sliding_error_share(spark, sf_dir):
     return _round(rows, "error_share").select(feeds.stamp("start"), "requests", "error_share")
 
 
+@query(
+    "handler_error_share",
+    f"""WITH {_WINDOWS} SELECT {feeds.sql_stamp('start')}, '/h' || (user_id % 4) AS handler, count(*) AS requests, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_share FROM w GROUP BY ALL""",
+)
+def handler_error_share(spark, sf_dir):
+    requests = table(spark, sf_dir, "events").withColumn("handler", F.concat(F.lit("/h"), (F.col("user_id") % 4).cast("string")))
+    rows = alerts.sliding_rates(requests, "ts", F.col("event_type") == "error", "1 hour", "15 minutes")
+    return _round(rows, "error_share").select(feeds.stamp("start"), "handler", "requests", "error_share")
+
+
 @query(
     "sliding_latency",
     f"WITH {_WINDOWS} SELECT {feeds.sql_stamp('start')}, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM w GROUP BY start",
@@ -512,13 +522,14 @@ def value_runs(spark, sf_dir):
 @query(
     "scored_traffic",
     f"""WITH {feeds.LOG}, known AS (SELECT DISTINCT airport FROM flights WHERE scheduled_datetime < TIMESTAMP '2024-01-02' AND airport <> 'فرودگاه مشهد')
-    SELECT coalesce(k.airport, 'other') AS airport, CASE WHEN likely_delayed THEN 1 ELSE 0 END AS likely, traffic_source, count(*) AS n FROM log LEFT JOIN known k USING (airport) GROUP BY ALL""",
+    SELECT coalesce(k.airport, 'other') AS airport, CASE WHEN likely_delayed THEN 1 ELSE 0 END AS likely, traffic_source, CASE WHEN hour(created_at) % 2 = 0 THEN 'single' ELSE 'batch' END AS endpoint, count(*) AS n FROM log LEFT JOIN known k USING (airport) GROUP BY ALL""",
 )
 def scored_traffic(spark, sf_dir):
     flights = feeds.cleaned(spark, sf_dir)
-    log = feeds.prediction_log(flights).withColumn("likely", F.col("likely_delayed").cast("int"))
+    endpoint = F.when(F.hour("created_at") % 2 == 0, "single").otherwise("batch")
+    log = feeds.prediction_log(flights).withColumns({"likely": F.col("likely_delayed").cast("int"), "endpoint": endpoint})
     early = flights.filter((F.col("scheduled_datetime") < _ts("2024-01-02")) & (F.col("airport") != "فرودگاه مشهد"))
-    return explore.traffic_counts(log, early.select("airport").distinct(), ["likely", "traffic_source"])
+    return explore.traffic_counts(log, early.select("airport").distinct(), ["likely", "traffic_source", "endpoint"])
 
 
 _LIMITS = [0, 5, 10, 15, 30, 60, 120, 240]

@@ -10,10 +10,11 @@ from punctual.plans.clean import training_rows, typed_sightings
 from punctual.queries import feeds
 from punctual.queries.evaluation import _round
 from punctual.queries.loading import _LOADED, _dimension, _with_ids
-from punctual.queries.monitoring import _WINDOWS, _world
+from punctual.queries.monitoring import _WINDOWS, SINCE, UNTIL, _ts, _world
 from punctual.queries.registry import query, table
 from punctual.session import scratch_path, written
-from punctual.sources import boards, store
+from punctual.settings import MonitorSettings
+from punctual.sources import boards, predictions, store
 from punctual.streaming import jobs
 
 
@@ -28,23 +29,21 @@ def _latest_batches(spark, path, keys):
     f"""WITH {_LOADED} SELECT num AS flight_number, {feeds.sql_stamp('t', 'scheduled_datetime')}, apt AS airport, trim(status) AS status FROM merged""",
 )
 def stream_ingest(spark, sf_dir):
-    """First sightings arrive as one batch, final ones as the next; each is validated and upserted."""
-    incoming, target = scratch_path(spark, "incoming"), scratch_path(spark, "departures")
-    raw = feeds.raw_boards(spark, sf_dir).withColumn("k", (F.col("seen") % 2).cast("int"))
+    """First sightings arrive in several files, final ones after the first run; the second run goes on from its checkpoint."""
+    incoming, target, mark = (scratch_path(spark, n) for n in ("incoming", "departures", "ingest"))
+    raw = written(feeds.raw_boards(spark, sf_dir), "raw")
     departures = raw.filter(~F.lower("flight_type").contains("arrival"))
-    departures.repartition(2, "k").sortWithinPartitions("k").write.partitionBy("k").parquet(incoming)
     dim = written(_dimension(spark, raw.withColumn("airport", F.trim("airport"))), "airports")
 
     def prepare(rows):
         place = F.col("destination_or_origin")
-        rows = rows.drop("k").withColumns({"destination": place, "origin": place})
+        rows = rows.withColumns({"destination": place, "origin": place})
         return _with_ids(boards.prepare_rows(rows, F.lit("2024-01-01").cast("timestamp_ntz")), dim)
 
-    schema = departures.drop("k").schema
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     for k in (0, 1):
-        stream = jobs.file_stream(spark, f"{incoming}/k={k}", schema)
-        jobs.ingest(stream, target, prepare, "seen", now)
+        departures.filter(F.col("seen") % 2 == k).write.mode("append").parquet(incoming)
+        jobs.ingest(jobs.file_stream(spark, incoming, departures.schema), target, mark, prepare, "seen", now)
     loaded = store.read_store(spark, target, store.STORE_SCHEMA)
     named = loaded.join(dim.withColumnRenamed("name", "airport"), "airport_id")
     return named.select("flight_number", feeds.stamp("scheduled_datetime"), "airport", "status")
@@ -56,59 +55,62 @@ def stream_ingest(spark, sf_dir):
     SELECT flight, CASE min(rk) WHEN 0 THEN 'cancelled' WHEN 1 THEN 'departed' WHEN 2 THEN 'landed' WHEN 6 THEN 'delayed' WHEN 8 THEN 'scheduled' ELSE 'unknown' END AS status FROM b GROUP BY 1""",
 )
 def stream_sightings(spark, sf_dir):
-    """The most advanced state per flight, kept as state of a stream over typed sightings."""
-    incoming, out = scratch_path(spark, "sightings"), scratch_path(spark, "advanced")
+    """The most advanced state per flight, kept as state of a stream over typed sightings, in two runs."""
+    incoming, out, mark = (scratch_path(spark, n) for n in ("sightings", "advanced", "sightings-mark"))
     key = F.concat_ws("|", "airport", "flight_type", "flight_number", F.date_format("scheduled_datetime", "yyyy-MM-dd HH:mm"))
     typed = typed_sightings(feeds.raw_boards(spark, sf_dir)).select(
-        key.alias("flight"), F.col("scheduled_datetime").cast("timestamp").alias("due"), F.col("_rank").cast("int").alias("rank"), "status"
+        key.alias("flight"), F.col("scheduled_datetime").cast("timestamp").alias("due"), F.col("_rank").cast("int").alias("rank"), "status", F.col("seen").cast("long").alias("seen")
     )
-    typed.write.parquet(incoming)
-    stream = jobs.file_stream(spark, incoming, typed.schema, per_trigger=4)
-    jobs.run_available(jobs.advanced_sightings(stream, ["flight"], "due", "rank", ["status"], "90 days"), jobs.appended(out), "update")
+    typed = written(typed, "typed")
+    for k in (0, 1):
+        typed.filter(F.col("seen") % 2 == k).write.mode("append").parquet(incoming)
+        stream = jobs.file_stream(spark, incoming, typed.schema, per_trigger=4)
+        jobs.run_available(jobs.advanced_sightings(stream, ["flight"], "due", "rank", "seen", ["status"], "90 days"), jobs.appended(out), mark, "update")
     return _latest_batches(spark, out, ["flight"]).select("flight", "status")
 
 
 @query(
     "stream_outcomes",
-    f"""WITH {feeds.LOG} SELECT id AS prediction_id, delay AS actual_delay_min FROM log JOIN actual USING (flight_key)""",
+    f"""WITH {feeds.LOG} SELECT id AS prediction_id, delay AS actual_delay_min FROM log JOIN actual USING (flight_key) WHERE delay <= 180""",
 )
 def stream_outcomes(spark, sf_dir):
+    """Outcomes seen six hours after the schedule count if the flight left in the first three; later ones were seen too early."""
     log, _, _ = _world(spark, sf_dir)
     flights = feeds.cleaned(spark, sf_dir)
-    left, right, out = (scratch_path(spark, n) for n in ("predictions", "actuals", "matched"))
+    left, right, out, mark = (scratch_path(spark, n) for n in ("predictions", "actuals", "matched", "matched-mark"))
     asked = log.filter("flight_key is not null").select("id", "flight_key", F.col("scheduled_time").cast("timestamp").alias("scheduled_time"))
     asked.write.parquet(left)
     key = flight_key(F.col("airport"), F.col("flight_number"), F.col("scheduled_datetime"))
-    rows = training_rows(flights).select(key.alias("flight_key"), F.col("actual_datetime").cast("timestamp").alias("happened_at"), "delay_minutes")
+    due = F.col("scheduled_datetime").cast("timestamp")
+    seen = F.when(F.col("delay_minutes") <= 180, due + F.expr("interval 6 hours")).otherwise(due + F.expr("interval 2 hours"))
+    rows = training_rows(flights).select(key.alias("flight_key"), F.col("actual_datetime").cast("timestamp").alias("happened_at"), seen.alias("seen_at"), "delay_minutes")
     known = keep_best(rows, ["flight_key"], [F.asc("delay_minutes")])
     known.write.parquet(right)
     streams = [jobs.file_stream(spark, p, df.schema) for p, df in ((left, asked), (right, known))]
-    jobs.run_available(jobs.match_stream(*streams), jobs.appended(out))
+    jobs.run_available(jobs.match_stream(*streams), jobs.appended(out), mark)
     return spark.read.option("basePath", out).parquet(f"{out}/batch=*").select("prediction_id", "actual_delay_min")
 
 
 @query(
     "stream_daily_metrics",
-    """WITH s AS (SELECT CAST(ts AS DATE) AS day, 'v' || (user_id % 3) AS model_version, CASE WHEN event_type <> 'error' THEN value END AS y, 20 + user_id % 30 AS q50 FROM events)
-    SELECT strftime(day, '%Y-%m-%d') AS day, model_version, count(*) AS predicted, count(y) AS matched, round(avg(abs(q50 - y)), 6) AS mae, round(avg(CASE WHEN y IS NOT NULL THEN CASE WHEN y BETWEEN q50 - 15 AND q50 + 60 THEN 1.0 ELSE 0.0 END END), 6) AS coverage FROM s GROUP BY ALL""",
+    f"""WITH {feeds.LOG} SELECT strftime(day, '%Y-%m-%d') AS day, model_version, predicted_flights, matched_flights, round(mae, 6) AS mae, round(brier, 6) AS brier, round(coverage, 6) AS coverage,
+      round(no_outcome_share, 6) AS no_outcome_share, round(no_inbound_share, 6) AS no_inbound_share FROM daily""",
 )
 def stream_daily_metrics(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    stream = jobs.file_stream(spark, f"{sf_dir}/events*.parquet", events.schema)
-    q50 = (F.col("user_id") % 30 + 20).cast("double")
-    scored = stream.select(
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.concat(F.lit("v"), (F.col("user_id") % 3).cast("string")).alias("model_version"),
-        F.when(F.col("event_type") != "error", F.col("value")).alias("actual_delay_min"),
-        q50.alias("q50"),
-        (q50 - 15).alias("q10"),
-        (q50 + 60).alias("q90"),
-    )
-    out = scratch_path(spark, "daily")
-    jobs.run_available(jobs.daily_metrics(scored, "ts"), jobs.appended(out), "update")
-    latest = _latest_batches(spark, out, ["day", "model_version"])
-    shown = latest.select(F.col("day").cast("string").alias("day"), "model_version", "predicted", "matched", "mae", "coverage")
-    return _round(shown, "mae", "coverage")
+    """Scored predictions come in two runs; the latest one of each flight is kept as state, its day's numbers follow."""
+    log, outcomes, _ = _world(spark, sf_dir)
+    scored = predictions.scored_flights(log, outcomes, _ts(SINCE), _ts(UNTIL))
+    scored = written(scored.withColumns({c: F.col(c).cast("timestamp") for c in ("scheduled_time", "created_at")}), "scored")
+    incoming, out, mark = (scratch_path(spark, n) for n in ("scored", "latest", "latest-mark"))
+    halves = F.pmod(F.xxhash64("id"), F.lit(2))
+    for k in (0, 1):
+        scored.filter(halves == k).write.mode("append").parquet(incoming)
+        stream = jobs.file_stream(spark, incoming, scored.schema, per_trigger=8)
+        jobs.run_available(jobs.latest_predictions(stream, "scheduled_time", "60 days"), jobs.appended(out), mark, "update")
+    latest = _latest_batches(spark, out, ["model_version", "flight_key", "scheduled_time"])
+    daily = jobs.daily_metrics(latest, "scheduled_time", MonitorSettings().min_daily_outcomes)
+    shares = ["mae", "brier", "coverage", "no_outcome_share", "no_inbound_share"]
+    return _round(daily.withColumn("day", F.col("day").cast("string")), *shares).select("day", "model_version", "predicted_flights", "matched_flights", *shares)
 
 
 @query(
@@ -120,6 +122,6 @@ def stream_error_share(spark, sf_dir):
     stream = jobs.file_stream(spark, f"{sf_dir}/events*.parquet", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
     rates = jobs.request_rates(stream, "ts", F.col("event_type") == "error", "1 hour", "15 minutes")
     out = scratch_path(spark, "rates")
-    jobs.run_available(rates, jobs.appended(out), "update")
+    jobs.run_available(rates, jobs.appended(out), scratch_path(spark, "rates-mark"), "update")
     latest = _latest_batches(spark, out, ["start"])
     return _round(latest, "error_share").select(feeds.stamp("start"), "requests", "error_share")

@@ -85,3 +85,8 @@ def to_flights(records: DataFrame, ordinal: str | None = None) -> DataFrame:
 
 def load_months(spark: SparkSession, paths: list[str], airports: list[str] | None = None) -> DataFrame:
     return to_flights(touching(read_months(spark, paths), airports))
+
+
+def audit(records: DataFrame) -> DataFrame:
+    """One row: records read, and the flights they hold, a departure and an arrival each."""
+    return records.agg(F.count("*").alias("records"), (2 * F.count("*")).alias("flights"))

@@ -10,22 +10,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.operators import quality
+from punctual.operators import performance, quality
 from punctual.operators.alerts import sliding_rates
-from punctual.session import scratch_path
-from punctual.settings import LATE_AFTER_MINUTES
 from punctual.sources import store
 
 
-def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
-    """Process everything there is, batch by batch, then stop."""
-    spark = stream.sparkSession
+def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Process what has come since the last run with this checkpoint, batch by batch, then stop."""
     writer = stream.writeStream.outputMode(mode).foreachBatch(batch).trigger(availableNow=True)
-    writer.option("checkpointLocation", checkpoint or scratch_path(spark, "stream")).start().awaitTermination()
+    writer.option("checkpointLocation", checkpoint).start().awaitTermination()
 
 
 def appended(path: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer with one folder per batch id: a batch that is run again replaces its own rows."""
+    """Batch writer with one folder per batch: a batch that is run again replaces its own rows.
+
+    Batch ids go on from run to run with the checkpoint, so keep one checkpoint for a path.
+    """
 
     def write(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -50,42 +50,42 @@ def validate(raw: DataFrame, min_rows: int = 0) -> None:
         raise BatchRejected("; ".join(problems))
 
 
-def ingest(stream: DataFrame, path: str, prepare: Callable[[DataFrame], DataFrame], ordinal: str, now: Column, min_rows: int = 0, check: bool = True) -> None:
-    """Validate each batch, then upsert it into the table at `path`. Replaying a batch changes nothing."""
+def ingest(stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame], ordinal: str, now: Column, min_rows: int = 0, check: bool = True) -> None:
+    """Validate each new batch, then upsert it into the table at `path`. Replaying a batch changes nothing."""
 
     def load(raw: DataFrame, batch_id: int) -> None:
         if check:
             validate(raw, min_rows)
         store.load_batch(raw.sparkSession, path, prepare(raw), ordinal, now)
 
-    run_available(stream, load)
+    run_available(stream, load, checkpoint)
 
 
 # ------------------------------------------------------------------ sightings
 
 
-def advanced_sightings(stream: DataFrame, keys: list[str], time: str, rank: str, payload: list[str], keep: str) -> DataFrame:
-    """The most advanced row of each key, as a stream of updates.
+def advanced_sightings(stream: DataFrame, keys: list[str], time: str, rank: str, order: str, payload: list[str], keep: str) -> DataFrame:
+    """The most advanced row of each key, as a stream of updates: the smallest rank wins, then the latest by the number `order`.
 
-    The smallest rank wins, then the smallest payload. Copies of a key are reduced before the
-    shuffle, and a key is forgotten `keep` after its event time.
+    Copies of a key are reduced before the shuffle, and a key is forgotten `keep` after its event time.
     """
-    seen = stream.withWatermark(time, keep).groupBy(*keys, time).agg(F.min(F.struct(rank, *payload)).alias("_best"))
-    return seen.select(*keys, time, "_best.*")
+    best = F.struct(rank, (-F.col(order)).alias("_order"), *payload)
+    seen = stream.withWatermark(time, keep).groupBy(*keys, time).agg(F.min(best).alias("_best"))
+    return seen.select(*keys, time, "_best.*").drop("_order")
 
 
 # ------------------------------------------------------------------ outcomes
 
 
-def match_stream(predictions: DataFrame, outcomes: DataFrame, lookback: str = "8 days", delay: str = "3 hours") -> DataFrame:
-    """Predictions (id, flight_key, scheduled_time) joined to outcomes (flight_key, happened_at, delay_minutes).
+def match_stream(predictions: DataFrame, outcomes: DataFrame, final_after: str = "3 hours", lookback: str = "8 days") -> DataFrame:
+    """Predictions (id, flight_key, scheduled_time) joined to outcomes (flight_key, happened_at, seen_at, delay_minutes).
 
-    An outcome counts when it happens within the lookback of the schedule; both sides forget older
-    rows by their watermarks.
+    An outcome is final `final_after` its flight's schedule: one seen earlier doesn't count. It must happen within the lookback; both sides
+    forget older rows by their watermarks.
     """
     left = predictions.withWatermark("scheduled_time", lookback).alias("p")
-    right = outcomes.withColumnRenamed("flight_key", "o_key").withWatermark("happened_at", delay).alias("o")
-    in_time = F.expr(f"happened_at >= scheduled_time - interval 1 day and happened_at <= scheduled_time + interval {lookback}")
+    right = outcomes.withColumnRenamed("flight_key", "o_key").withWatermark("seen_at", lookback).alias("o")
+    in_time = F.expr(f"seen_at >= scheduled_time + interval {final_after} and seen_at <= scheduled_time + interval {lookback}")
     joined = left.join(right, (F.col("flight_key") == F.col("o_key")) & in_time)
     return joined.select(F.col("id").alias("prediction_id"), F.col("delay_minutes").alias("actual_delay_min"))
 
@@ -93,22 +93,25 @@ def match_stream(predictions: DataFrame, outcomes: DataFrame, lookback: str = "8
 # ------------------------------------------------------------------ windowed metrics
 
 
-def daily_metrics(scored: DataFrame, time: str, watermark: str = "8 days") -> DataFrame:
-    """Per day and model version: predictions, matched ones, MAE and coverage."""
-    y = F.col("actual_delay_min")
-    windows = scored.withWatermark(time, watermark).groupBy(F.window(time, "1 day"), "model_version")
-    counted = windows.agg(
-        F.count(F.lit(1)).alias("predicted"),
-        F.count(y).alias("matched"),
-        F.avg(F.abs(F.col("q50") - y)).alias("mae"),
-        F.avg(y.between(F.col("q10"), F.col("q90")).cast("double")).alias("coverage"),
-        F.avg((y > LATE_AFTER_MINUTES).cast("double")).alias("late_share"),
-    )
-    return counted.select(F.to_date(F.col("window.start")).alias("day"), "model_version", "predicted", "matched", "mae", "coverage", "late_share")
+def latest_predictions(scored: DataFrame, time: str, watermark: str = "8 days") -> DataFrame:
+    """The latest prediction of each model version and flight, as a stream of updates. `id` breaks ties of created_at."""
+    columns = ["p_delay", "q10", "q50", "q90", "has_inbound", "actual_delay_min"]
+    newest = F.max_by(F.struct(*columns), F.struct("created_at", "id"))
+    grouped = scored.withWatermark(time, watermark).groupBy("model_version", "flight_key", time).agg(newest.alias("_row"))
+    return grouped.select("model_version", "flight_key", time, "_row.*")
+
+
+def daily_metrics(latest: DataFrame, time: str, min_outcomes: int) -> DataFrame:
+    """Per day and model version the numbers of performance.daily_performance, from rows of latest_predictions.
+
+    Meant for foreachBatch: `latest` holds the newest update of each flight of the days that a batch touched.
+    """
+    rows = latest.withColumns({"scheduled_time": F.col(time), "created_at": F.col(time), "id": F.lit(0)})
+    return performance.daily_performance(rows, min_outcomes)
 
 
 def request_rates(requests: DataFrame, time: str, failed: Column, width: str = "5 minutes", slide: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
-    """Sliding request counts and error shares of a request stream."""
+    """Sliding request counts and error shares of a request stream, per handler if the column `handler` is there."""
     return sliding_rates(requests.withWatermark(time, watermark), time, failed, width, slide)
 
 
