@@ -26,7 +26,11 @@ def add_seasons(df: DataFrame) -> DataFrame:
 
 
 def add_rotation(targets: DataFrame, context: DataFrame, s: FeatureSettings = FeatureSettings()) -> DataFrame:
-    """What the same aircraft did before, as far as it was known `lead_minutes` before the schedule."""
+    """What the same aircraft did before, as far as it was known `lead_minutes` before the schedule.
+
+    All of it depends on aircraft, airport and schedule: it is looked up for the distinct ones, and the wide targets are joined once.
+    """
+    asked = targets.filter(F.col("register").isNotNull()).select("register", "airport", SCHEDULED).distinct()
     registered = context.filter("register is not null")
     arrivals = registered.filter("direction = 'arrival'")
     departures = registered.filter("direction = 'departure'")
@@ -34,7 +38,7 @@ def add_rotation(targets: DataFrame, context: DataFrame, s: FeatureSettings = Fe
     legs = departures.select("register", F.col(SCHEDULED).alias("left_due"), F.col("actual_datetime").alias("left_at"), "delay_minutes")
 
     out = asof.asof_join(
-        targets, arrivals, ["register", "airport"], SCHEDULED, "due", ["landed"], s.inbound_window_hours, match="_in"
+        asked, arrivals, ["register", "airport"], SCHEDULED, "due", ["landed"], s.inbound_window_hours, match="_in"
     )
     out = asof.asof_join(
         out, legs, ["register"], SCHEDULED, "left_due", ["left_at", "delay_minutes"], s.previous_window_hours, match="_prev"
@@ -53,7 +57,11 @@ def add_rotation(targets: DataFrame, context: DataFrame, s: FeatureSettings = Fe
     ordinal = nth_distinct(
         departures.withColumn("_date", F.to_date(SCHEDULED)), ["register", "_date"], SCHEDULED, "nth_flight_of_day_for_aircraft"
     )
-    return out.join(ordinal.drop("_date"), ["register", SCHEDULED], "left")
+    names = [f"_{c}" for c in ("register", "airport", SCHEDULED)]
+    found = out.join(ordinal.drop("_date"), ["register", SCHEDULED], "left").withColumnsRenamed(dict(zip(("register", "airport", SCHEDULED), names)))
+    same = (F.col("register") == F.col(names[0])) & F.col("airport").eqNullSafe(F.col(names[1])) & (F.col(SCHEDULED) == F.col(names[2]))
+    joined = targets.join(found, same, "left").drop(*names)
+    return joined.withColumn("has_inbound", F.coalesce("has_inbound", F.lit(0)))
 
 
 def add_congestion(targets: DataFrame, context: DataFrame) -> DataFrame:

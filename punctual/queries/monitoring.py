@@ -265,10 +265,12 @@ def drift_shares(spark, sf_dir):
     return _round(shares, "reference", "current")
 
 
-def _orders_frame(orders, lines, late):
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    cut = F.col("o_orderdate") >= _ts("1999-01-01")
-    return rows.filter(cut if late else ~cut).select("l_quantity", "l_extendedprice", "l_discount", "o_orderpriority", "l_returnflag")
+def _orders_sides(spark, sf_dir, columns):
+    """Lines of early and of late orders, joined once."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    rows = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    both = written(rows.select(*columns, (F.col("o_orderdate") >= _ts("1999-01-01")).alias("late")), "lines")
+    return both.filter("not late").drop("late"), both.filter("late").drop("late")
 
 
 _ORDERS = "(SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate {0} TIMESTAMP '1999-01-01')"
@@ -279,9 +281,7 @@ _ORDERS = "(SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE
     f"WITH {drift_sql(_ORDERS.format('<'), _ORDERS.format('>='), ['l_quantity', 'l_extendedprice', 'l_discount'], ['o_orderpriority', 'l_returnflag'])} {_DRIFT_SHOWN}",
 )
 def lineitem_drift(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    lines = table(spark, sf_dir, "lineitem")
-    old, new = (_orders_frame(orders, lines, late) for late in (False, True))
+    old, new = _orders_sides(spark, sf_dir, ["l_quantity", "l_extendedprice", "l_discount", "o_orderpriority", "l_returnflag"])
     summary, _ = drift.detect_drift(old, new, ["l_quantity", "l_extendedprice", "l_discount"], ["o_orderpriority", "l_returnflag"])
     return _shown(summary)
 
@@ -293,8 +293,7 @@ def lineitem_drift(spark, sf_dir):
     SELECT feature, round(ks, 6) AS ks, round(CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(least(list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * x * x))), 1.0), 0.0) END, 6) AS ks_pvalue FROM x""",
 )
 def lineitem_ks(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    old, new = (_orders_frame(orders, table(spark, sf_dir, "lineitem"), late) for late in (False, True))
+    old, new = _orders_sides(spark, sf_dir, ["l_quantity", "l_extendedprice"])
     counts = written(drift.value_counts(old, new, ["l_quantity", "l_extendedprice"], []), "value_counts")
     return _round(drift.ks_test(counts), "ks", "ks_pvalue")
 
