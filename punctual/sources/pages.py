@@ -6,9 +6,11 @@ import gzip
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Table header text -> field; the day header has no cell of its own
 HEADERS = {
@@ -146,28 +148,26 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
     `html` is text or gzipped bytes; a page without content keeps the status `fetch_failed`.
     """
-    keep = [f for f in pages.schema.fields if f.name not in (html, "status", "rows", "error", "flights")]
-    names = [f.name for f in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c for c in pages.columns if c not in (html, "status", "rows", "error", "flights")]
+    made = StructType.fromDDL(f"status string, rows int, error string, flights array<{FLIGHT}>")
+    kinds = [f.type for f in to_arrow_schema(made)]
+
+    def outcome(page) -> tuple:
+        if page is None:
+            return "fetch_failed", 0, None, []
+        try:
+            flights = parse_page(page if isinstance(page, str) else gzip.decompress(page).decode("utf-8"))
+        except LayoutChanged as problem:
+            return "layout_changed", 0, str(problem), []
+        return "ok", len(flights), None, flights
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            outcomes = []
-            for page in batch[html]:
-                if page is None:
-                    outcomes.append(("fetch_failed", 0, None, []))
-                    continue
-                if not isinstance(page, str):
-                    page = gzip.decompress(bytes(page)).decode("utf-8")
-                try:
-                    flights = parse_page(page)
-                    outcomes.append(("ok", len(flights), None, flights))
-                except LayoutChanged as problem:
-                    outcomes.append(("layout_changed", 0, str(problem), []))
-            found = pd.DataFrame(outcomes, columns=["status", "rows", "error", "flights"], index=batch.index)
-            yield pd.concat([batch[names], found], axis=1)
-
-    return pages.select(*names, html).mapInPandas(parse, f"{schema}, status string, rows int, error string, flights array<{FLIGHT}>")
+            columns = zip(*map(outcome, batch.column(html).to_pylist())) if batch.num_rows else [()] * len(kinds)
+            found = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], names=[*names, *made.names])
+
+    return pages.select(*names, html).mapInArrow(parse, StructType([*(pages.schema[c] for c in names), *made]))
 
 
 def page_flights(parsed: DataFrame, airport: str = "airport") -> DataFrame:
