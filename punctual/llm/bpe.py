@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField
 
-from punctual.llm.tokens import Ragged, SegmentIds
+from punctual.llm.tokens import MEMO, Ragged, SegmentIds
 from punctual.llm.words import add_columns, sums
 
 WORDS_AT_ONCE = 50_000
@@ -60,6 +60,8 @@ class Bpe:
         self.bytes = Ragged(np.frombuffer(b"".join(tokens), np.uint8), np.array(list(map(len, tokens)), np.int32))
         names = [f"{i} ".encode() for i in range(len(tokens))]
         self.names = Ragged(np.frombuffer(b"".join(names), np.uint8), np.array(list(map(len, names)), np.int32))
+        self.words: dict[str, int] = {}  # pre-tokens merged before, and their ids
+        self.ids = Ragged(np.zeros(0, np.int32), np.zeros(0, np.int32))
         self.known = SegmentIds(self._segments)
         pairs, high = [], []
         for token, rank in ranks.items():
@@ -95,13 +97,17 @@ class Bpe:
         return tok[np.lexsort((pos, word))], np.bincount(word, minlength=len(words))
 
     def _segments(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words) > MEMO:
+            self.words, self.ids = {}, Ragged(np.zeros(0, np.int32), np.zeros(0, np.int32))
         parts = [self.pattern.findall(s) for s in segs]
-        words = list(dict.fromkeys(chain.from_iterable(parts)))
-        merged = [self._merge(words[at : at + WORDS_AT_ONCE]) for at in range(0, len(words), WORDS_AT_ONCE)]
-        ids = Ragged(np.concatenate([m[0] for m in merged] or [np.zeros(0, np.int32)]), np.concatenate([m[1] for m in merged] or [np.zeros(0, np.int64)]))
-        place = {w: i for i, w in enumerate(words)}
+        new = list(dict.fromkeys(w for w in chain.from_iterable(parts) if w not in self.words))
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            some = new[at : at + WORDS_AT_ONCE]
+            ids, size = self._merge(some)
+            self.words.update(zip(some, range(len(self.words), len(self.words) + len(some)), strict=True))
+            self.ids = Ragged(np.concatenate([self.ids.pool, ids.astype(np.int32)]), np.concatenate([self.ids.size, size.astype(np.int32)]))
         count = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat, size = ids.pick(np.fromiter(map(place.__getitem__, chain.from_iterable(parts)), np.int64, count.sum()))
+        flat, size = self.ids.pick(np.fromiter(map(self.words.__getitem__, chain.from_iterable(parts)), np.int64, count.sum()))
         return flat, sums(size, np.concatenate([[0], np.cumsum(count)]))
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,12 +16,12 @@ from punctual.llm.exchange import blocked, column, meet, replies
 from punctual.llm.words import BASE, mix, slices, sums, words
 from punctual.session import written
 
-FREQUENT = 63  # words that are a class each
-ENDINGS = 32  # classes of all other words, by a hash of their last two bytes
+FREQUENT = 39  # words that are a class each
+ENDINGS = 24  # classes of all other words, by a hash of their last two bytes
 CLASSES = FREQUENT + ENDINGS + 1  # and the end
 END_CLASS = CLASSES - 1
-ROWS = (1 << 11, 1 << 11, 1 << 10, 1 << 12)  # hashed: last word, last two, the one before the last, classes of both
-ROUNDS, BATCH, RATE = 2, 8192, 0.12
+ROWS = (1 << 12, 1 << 12, 1 << 11)  # hashed: the last word, the classes of the last two, the word before the last (a skip)
+ROUNDS, BATCH, RATE = 1, 8192, 0.12
 CANDIDATES = 2000  # frequent words that a task tells of
 END = np.uint64(0xE0D0E0D0E0D0E000)
 START = np.uint64(0x57A2700000000000)
@@ -67,7 +68,7 @@ def _sequence(texts: pa.Array, frequent: np.ndarray, rank: np.ndarray) -> Sequen
         prior[inside], prior_kind[inside] = key[inside - step], kind[inside - step]
         back.append((prior, prior_kind))
     (one, one_kind), (two, two_kind) = back
-    hashed = (mix(one), mix(one * np.uint64(BASE) + two), mix(two + np.uint64(7)), mix((one_kind * CLASSES + two_kind).astype(np.uint64)))
+    hashed = (mix(one), mix((one_kind * CLASSES + two_kind).astype(np.uint64)), mix(two + np.uint64(7)))
     begin, columns = 0, []
     for h, n in zip(hashed, ROWS, strict=True):
         columns.append(begin + (h % np.uint64(n)).astype(np.int64))
@@ -99,14 +100,11 @@ def _train(batches: Iterator[pa.RecordBatch], model: EntropyModel) -> Iterator[p
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(y)), y] -= 1
                 for j in range(f.shape[1]):
-                    order = np.argsort(f[:, j], kind="stable")
-                    rows = f[order, j]
-                    first = np.flatnonzero(np.diff(rows, prepend=-1))
-                    step = np.add.reduceat(p[order], first, axis=0)
-                    rows = rows[first]
+                    summed = pd.DataFrame(p, copy=False).groupby(f[:, j], sort=True).sum()
+                    rows, step = summed.index.to_numpy(), summed.to_numpy()
                     squares[rows] += (step * step).mean(axis=1)
                     weights[rows] -= RATE * step / np.sqrt(squares[rows])[:, None]
-                    seen[rows] += np.diff(np.append(first, len(order)))
+                    seen += np.bincount(f[:, j], minlength=len(seen))
                 step = p.sum(axis=0)
                 squares[-1] += (step * step).mean()
                 weights[-1] -= RATE * step / np.sqrt(squares[-1])

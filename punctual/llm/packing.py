@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from punctual.llm.tokens import SegmentIds
+from punctual.llm.tokens import SegmentIds, spread_out
 from punctual.llm.words import slices
 
 OPEN_ITEMS = 1024  # examples a task chooses from
+JOINED = 200  # new segments that are encoded as one text
 LOCAL_BITS = 40  # of a sequence id below the partition's number
 
 
@@ -191,11 +192,29 @@ def tokenizer_ids(path: str) -> SegmentIds:
         from tokenizers import Tokenizer
 
         coder = Tokenizer.from_file(path)
+        special = {t.content for t in coder.get_added_tokens_decoder().values()}
+        vocabulary = coder.get_vocab(with_added_tokens=True)
+        width = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of a token: byte-level tokens have a sign for each
+        for token, number in vocabulary.items():
+            width[number] = len(token.encode()) if token in special else len(token)
 
         def encode(segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [e.ids for e in coder.encode_batch_fast(segs, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((i for x in ids for i in x), np.int32, size.sum()), size
+            # segments that begin with a blank and end with another sign can follow each other: no token crosses such a place
+            joined = np.fromiter((s[:1] == " " and not s[-1:].isspace() for s in segs), bool, len(segs))
+            alone, runs = np.flatnonzero(~joined).tolist(), np.flatnonzero(joined).tolist()
+            groups = [[segs[i] for i in runs[at : at + JOINED]] for at in range(0, len(runs), JOINED)]
+            done = [np.array(e.ids, np.int32) for e in coder.encode_batch_fast([segs[i] for i in alone] + ["".join(g) for g in groups], add_special_tokens=False)]
+            size = np.zeros(len(segs), np.int64)
+            size[alone] = [len(x) for x in done[: len(alone)]]
+            for k, (group, ids) in enumerate(zip(groups, done[len(alone) :], strict=True)):
+                ends = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in group])
+                size[runs[k * JOINED : k * JOINED + len(group)]] = np.diff(np.searchsorted(np.cumsum(width[ids]), ends, side="right"), prepend=0)
+            # the groups' ids are in the order of the segments; those encoded alone go between them
+            begin = np.cumsum(size) - size
+            out = np.empty(size.sum(), np.int32)
+            for row, place in ((joined, np.concatenate([np.zeros(0, np.int32), *done[len(alone) :]])), (~joined, np.concatenate([np.zeros(0, np.int32), *done[: len(alone)]]))):
+                out[spread_out(begin[row], size[row])] = place
+            return out, size
 
         _coders[path] = SegmentIds(encode)
     return _coders[path]

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
 #: Blanks before which a text may not be cut: they follow white space.
 UNSAFE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+UNSAFE_ASCII = [w for w in UNSAFE if w.isascii()]
 SAFE_CUT = re.compile(r"(?<=\S)(?= )")
-MEMO = 600_000
+MEMO = 1_000_000  # distinct pieces that a worker remembers
 
 
 def segments(text: str) -> list[str]:
@@ -19,7 +20,7 @@ def segments(text: str) -> list[str]:
 
     Byte-level BPE splits texts there in any context: only the first sign of a pre-token can be a blank, unless all of it is white space.
     """
-    if text.startswith(" ") or any(w in text for w in UNSAFE):
+    if text.startswith(" ") or any([w in text for w in (UNSAFE_ASCII if text.isascii() else UNSAFE)]):
         first, *rest = SAFE_CUT.split(text)
         return [first, *(s[1:] for s in rest)]
     return text.split(" ")
@@ -70,17 +71,26 @@ class SegmentIds:
         parts = [segments(t) for t in texts]
         heads = [p[0] for p in parts]
         rest = [p[1:] for p in parts]
-        self._learn(self.first, list(dict.fromkeys(h for h in heads if h not in self.first)), "")
-        self._learn(self.later, list(dict.fromkeys(s for s in chain.from_iterable(rest) if s not in self.later)), " ")
+        flat = list(chain.from_iterable(rest))
         count = np.fromiter(map(len, parts), np.int64, len(parts))
         begin = np.cumsum(count) - count
         out = np.empty(count.sum(), np.int64)
         head = np.zeros(len(out), bool)
         head[begin] = True
-        out[head] = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
-        out[~head] = np.fromiter(map(self.later.__getitem__, chain.from_iterable(rest)), np.int64, len(out) - len(heads))
+        out[head] = self._places(self.first, heads, "")
+        out[~head] = self._places(self.later, flat, " ")
         return out, count, parts
 
+    def _places(self, seen: dict[str, int], segs: list[str], blank: str) -> np.ndarray:
+        """Entries of the segments; new ones are learned."""
+        at = np.fromiter(map(seen.get, segs, repeat(-1)), np.int64, len(segs))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            words = [segs[i] for i in new]
+            self._learn(seen, list(dict.fromkeys(words)), blank)
+            at[new] = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+        return at
+
     def texts(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, and where each text's begin (one more entry at the end)."""
         entry, count, _ = self.entries(texts)

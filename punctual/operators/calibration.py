@@ -19,9 +19,10 @@ MIN_FLAGGED = 20
 
 
 def conformal_margin(df: DataFrame, y: str, low: str, high: str, coverage: float) -> float:
-    """How far to widen [low, high] so it covers `coverage` of new rows.
+    """Split-conformal margin of a range: what both ends are moved out by, so that new rows fall inside with probability `coverage`.
 
-    The score at 0-based rank ceil((n - 1) * level), level = min(1, ceil((n + 1) * coverage) / n).
+    Fixed values: of the n signed distances from the range, the one at 0-based rank ceil((n - 1) * level), where
+    level = min(1, ceil((n + 1) * coverage) / n).
     """
     scores = df.select(F.greatest(F.col(low) - F.col(y), F.col(y) - F.col(high)).alias("score")).filter("score is not null")
     n = scores.count()

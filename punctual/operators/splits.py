@@ -38,12 +38,12 @@ def split_summary(df: DataFrame, time: str) -> DataFrame:
 
 
 def recent_cut_dates(df: DataFrame, time: str, test_dates: int, val_dates: int) -> tuple[date, date]:
-    """The cut dates that put the last dates with data in test and the ones before in val."""
+    """First dates of val and of test, when test takes the newest dates that have rows and val those before."""
     need = test_dates + val_dates
     rows = df.select(F.to_date(time).alias("d")).filter("d is not null").distinct().orderBy(F.desc("d")).limit(need + 1).collect()
     dates = sorted((r["d"] for r in rows), reverse=True)
     if len(dates) <= need:
-        raise ValueError(f"need more than {need} dates with data, have {len(dates)}")
+        raise ValueError(f"the rows have {len(dates)} dates: {need} are for testing and none is left for training")
     return dates[need - 1], dates[test_dates - 1]
 
 

@@ -134,7 +134,7 @@ def parse_page(html: str) -> list[dict]:
             if not cells:
                 continue
             if len(cells) != len(fields):
-                raise LayoutChanged(f"row has {len(cells)} cells but the header has {len(fields)} columns")
+                raise LayoutChanged(f"a row of {len(cells)} cells stands under {len(fields)} headers")
             values = {f: _text(c["text"]) for f, c in zip(fields, cells)}
             logo = next((c["src"] for f, c in zip(fields, cells) if f == "airline"), None)
             if "airline" in values and not values["airline"] and logo:
