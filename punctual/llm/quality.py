@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
+from punctual.llm.exchange import column
 from punctual.llm.words import SPACE, Words, add_columns, mix, words
+from punctual.session import written
 
 DIMENSIONS = 1 << 22
 MAX_LABELLED = 16384  # rows that the model is fitted on at most
@@ -71,15 +73,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _fit(indptr: np.ndarray, index: np.ndarray, shape: np.ndarray, grade: np.ndarray, n_grades: int) -> GradeModel:
-    """Adaptive gradient steps on the log likelihood of P(grade <= k) = sigmoid(threshold_k - score)."""
-    held = np.bincount(index, minlength=DIMENSIONS)
-    low = (grade < n_grades - 1).astype(float)
-    found, rate = np.bincount(index, weights=np.repeat(low, np.diff(indptr)), minlength=DIMENSIONS), low.mean()
-    strength = np.abs(found - held * rate) / np.sqrt(np.maximum(held * rate * (1 - rate), 1e-9))
-    kept = np.flatnonzero((held >= MIN_DOCUMENTS) & (strength >= MIN_SIGNIFICANCE))
-    place = np.full(DIMENSIONS, -1, np.int32)
-    place[kept] = np.arange(len(kept), dtype=np.int32)
+def _fit(indptr: np.ndarray, place: np.ndarray, shape: np.ndarray, grade: np.ndarray, n_grades: int, kept: np.ndarray) -> GradeModel:
+    """Adaptive gradient steps on the log likelihood of P(grade <= k) = sigmoid(threshold_k - score).
+
+    place: of each row's features, among `kept`.
+    """
     mean, spread = shape.mean(axis=0), np.maximum(shape.std(axis=0), 1e-6)
     x = (shape - mean) / spread
     v, g2 = np.zeros(len(kept)), np.full(len(kept), 1e-3)
@@ -95,8 +93,7 @@ def _fit(indptr: np.ndarray, index: np.ndarray, shape: np.ndarray, grade: np.nda
             size = (indptr[rows + 1] - indptr[rows]).astype(np.int64)
             of = np.repeat(np.arange(len(rows)), size)
             at = np.repeat(indptr[rows], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            f = place[index[at]]
-            of, f = of[f >= 0], f[f >= 0]
+            f = place[at]
             score = np.bincount(of, weights=v[f], minlength=len(rows)) + x[rows] @ u
             edges = np.concatenate([[-np.inf], cut, [np.inf]])
             high, low = _sigmoid(edges[grade[rows] + 1] - score), _sigmoid(edges[grade[rows]] - score)
@@ -121,7 +118,10 @@ def _fit(indptr: np.ndarray, index: np.ndarray, shape: np.ndarray, grade: np.nda
 
 
 def learn_grades(rated: DataFrame, n_grades: int, text: str = "text", grade: str = "grade") -> GradeModel:
-    """Fit on rows with a grade from 0 to n_grades - 1. Callers bound the rows (see labelled_sample); their features go to the driver."""
+    """Fit on rows with a grade from 0 to n_grades - 1. Callers bound the rows (see labelled_sample).
+
+    Features are counted and chosen on Spark; the driver gets the rows' chosen features and fits. Without rows all texts get the highest grade.
+    """
     fields = [StructField("feature", ArrayType(IntegerType())), StructField("shape", ArrayType(FloatType()))]
 
     def compute(part: pa.RecordBatch) -> list[pa.Array]:
@@ -132,13 +132,32 @@ def learn_grades(rated: DataFrame, n_grades: int, text: str = "text", grade: str
             pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * N_SHAPE), pa.array(shape.ravel().astype(np.float32))),
         ]
 
-    got = add_columns(rated.select(text, F.col(grade).cast("int").alias("grade")), text, fields, lambda: compute, ["grade"]).toArrow().combine_chunks()
-    if not got.num_rows:
-        return GradeModel(np.zeros(DIMENSIONS, np.float32), np.stack([np.zeros(N_SHAPE), np.zeros(N_SHAPE), np.ones(N_SHAPE)]), np.full(n_grades - 1, -20.0))
-    features = pa.chunked_array(got["feature"]).combine_chunks() if got["feature"].num_chunks != 1 else got["feature"].chunk(0)
-    shapes = got["shape"].chunk(0) if got["shape"].num_chunks == 1 else pa.chunked_array(got["shape"]).combine_chunks()
-    size = features.value_lengths().to_numpy()
-    return _fit(np.concatenate([[0], np.cumsum(size)]), features.flatten().to_numpy(), shapes.flatten().to_numpy().reshape(-1, N_SHAPE).astype(float), got["grade"].to_numpy(), n_grades)
+    rows = written(add_columns(rated.select(text, F.col(grade).cast("int").alias("grade")), text, fields, lambda: compute, ["grade"]), "features")
+    low = (F.col("grade") < n_grades - 1).cast("double")
+    n, rate = rows.agg(F.count("*"), F.avg(low)).first()
+    if not n:
+        nothing = np.zeros(N_SHAPE)
+        return GradeModel(np.zeros(DIMENSIONS, np.float32), np.stack([nothing, nothing, nothing + 1]), np.full(n_grades - 1, -20.0))
+    counted = rows.select(F.explode("feature").alias("feature"), low.alias("low")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("low").alias("low"))
+    strength = F.abs(F.col("low") - F.col("n") * rate) / F.sqrt(F.greatest(F.col("n") * rate * (1 - rate), F.lit(1e-9)))
+    kept = np.sort(counted.where((F.col("n") >= MIN_DOCUMENTS) & (strength >= MIN_SIGNIFICANCE)).select("feature").toArrow()["feature"].to_numpy())
+    shared = rated.sparkSession.sparkContext.broadcast(kept)
+
+    def narrow(batches):
+        chosen = shared.value
+        for batch in batches:
+            lists = batch.column("feature")
+            of = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            flat = lists.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(chosen, flat), max(0, len(chosen) - 1))
+            known = chosen[at] == flat if len(chosen) else np.zeros(len(flat), bool)
+            first = np.searchsorted(of[known], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("shape"), pa.ListArray.from_arrays(pa.array(first), pa.array(at[known].astype(np.int32)))], names=["grade", "shape", "feature"])
+
+    got = rows.mapInArrow(narrow, StructType([rows.schema["grade"], rows.schema["shape"], rows.schema["feature"]])).toArrow().combine_chunks()
+    features, shapes = (column(got, c) for c in ("feature", "shape"))
+    at = np.concatenate([[0], np.cumsum(features.value_lengths().to_numpy())])
+    return _fit(at, features.flatten().to_numpy(), shapes.flatten().to_numpy().reshape(-1, N_SHAPE).astype(float), got["grade"].to_numpy(), n_grades, kept)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> DataFrame:
