@@ -18,9 +18,10 @@ from punctual.session import written
 
 PERCENT = 85  # of the union, that the intersection has to be
 WORDS = 4
-PIVOT_ROUNDS = 2
-PIVOTS = 6  # of a list in a round
-BLOCK = 512  # members of a list that one task compares with as many others; longer lists meet pivots first
+PIVOT_LIST = 3  # longer lists meet pivots first
+PIVOTS = 3  # of a list in a round
+PIVOT_ROUNDS = 2  # the second one for lists longer than a block
+BLOCK = 512  # members of a list that one task compares with as many others
 TOKENS_AT_ONCE = 4096
 EXACT = 128
 FEW = 16  # frequencies up to this are counted by text
@@ -182,8 +183,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Words are runs without white space, A-Z in lower case; shingles are runs of `size` words, or the whole of a shorter text. Two documents link when
     100 * intersection >= percent * union. Documents with equal sets become one member; members with equal prefixes and size one group.
     Groups are listed under each shared prefix shingle and band of sizes; lists with the same groups are dropped but one. In a list of more
-    than BLOCK members all are verified against a few pivots, which then leave with those members that the first pivot's component makes needless, or whose
-    differences from it rule out a link with any that stays; the rest gets other pivots. What stays is compared block by block within tasks, which send
+    than PIVOT_LIST members all are verified against a few pivots, which then leave with those members that the first pivot's component makes needless, or whose
+    differences from it rule out a link with any that stays; a list that is
+    still longer than BLOCK gets other pivots. What stays is compared block by block within tasks, which send
     only the least member that each one reaches. So no link between components is lost, and copies are not expanded. Null, empty and blank texts have empty sets and link with nothing;
     repeated rows are copies; an empty table gives an empty result.
     """
@@ -209,7 +211,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     crowded = member.groupBy("group").agg(F.count("*").alias("c")).where("c > 1").select("group")
     within = member.join(crowded, "group", "left_semi").select(F.xxhash64("group", F.lit("within")).alias("list"), "rep", "n", "own")
     lists = written(of_groups.unionAll(within), "lists")
-    sizes = written(lists.groupBy("list").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "sizes")
+    sizes = written(lists.groupBy("list").agg(F.count("*").alias("size")).where(F.col("size") > PIVOT_LIST), "sizes")
     long = written(lists.join(sizes, "list", "left_semi"), "long")
     lists = lists.join(sizes, "list", "left_anti")
 
@@ -218,7 +220,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links, labels = None, None
     for turn in range(PIVOT_ROUNDS):
         most = long.groupBy("list").count().agg(F.max("count")).first()[0] or 0
-        if most <= BLOCK:
+        if most <= (BLOCK if turn else PIVOT_LIST):
             break
         # a few pivots of every list, and all members against them
         drawn = F.xxhash64("rep", F.lit(turn))
