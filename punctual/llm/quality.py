@@ -31,7 +31,8 @@ N_SHAPE = 7
 
 
 class GradeModel(NamedTuple):
-    weights: np.ndarray  # by hashed feature, float32
+    features: np.ndarray  # hashed features with a weight, in order
+    weights: np.ndarray  # of each, float32
     shape: np.ndarray  # weights, means and deviations of the shape features, [3, N_SHAPE]
     thresholds: np.ndarray  # ordered; one fewer than the grades
 
@@ -112,9 +113,7 @@ def _fit(indptr: np.ndarray, place: np.ndarray, shape: np.ndarray, grade: np.nda
             u -= RATE * move / np.sqrt(u2)
             c2 += by_cut**2
             cut = np.maximum.accumulate(cut - RATE * by_cut / np.sqrt(c2))
-    weights = np.zeros(DIMENSIONS, np.float32)
-    weights[kept] = v
-    return GradeModel(weights, np.stack([u, mean, spread]), cut)
+    return GradeModel(kept, v.astype(np.float32), np.stack([u, mean, spread]), cut)
 
 
 def learn_grades(rated: DataFrame, n_grades: int, text: str = "text", grade: str = "grade") -> GradeModel:
@@ -137,7 +136,7 @@ def learn_grades(rated: DataFrame, n_grades: int, text: str = "text", grade: str
     n, rate = rows.agg(F.count("*"), F.avg(low)).first()
     if not n:
         nothing = np.zeros(N_SHAPE)
-        return GradeModel(np.zeros(DIMENSIONS, np.float32), np.stack([nothing, nothing, nothing + 1]), np.full(n_grades - 1, -20.0))
+        return GradeModel(np.zeros(0, np.int32), np.zeros(0, np.float32), np.stack([nothing, nothing, nothing + 1]), np.full(n_grades - 1, -20.0))
     counted = rows.select(F.explode("feature").alias("feature"), low.alias("low")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("low").alias("low"))
     strength = F.abs(F.col("low") - F.col("n") * rate) / F.sqrt(F.greatest(F.col("n") * rate * (1 - rate), F.lit(1e-9)))
     kept = np.sort(counted.where((F.col("n") >= MIN_DOCUMENTS) & (strength >= MIN_SIGNIFICANCE)).select("feature").toArrow()["feature"].to_numpy())
@@ -177,13 +176,19 @@ def grade_texts(docs: DataFrame, model: GradeModel, text: str = "text", keep: li
     rows agree. Without any labelled row every text gets the highest grade and is kept.
     """
     fields = [StructField("expected_grade", DoubleType()), StructField("tail_probability", DoubleType())]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the features that the bounded sample gave weights
 
-    def compute(part: pa.RecordBatch) -> list[pa.Array]:
+    def make():
         m = shared.value
-        of, feature, shape = _features(part.column(text))
-        score = np.bincount(of, weights=m.weights[feature], minlength=part.num_rows) + ((shape - m.shape[1]) / m.shape[2]) @ m.shape[0]
-        above = 1 - _sigmoid(m.thresholds[None, :] - score[:, None])  # P(grade > k)
-        return [pa.array(above.sum(axis=1)), pa.array(above[:, min(TAIL_GRADE, above.shape[1]) - 1])]
+        weight = np.zeros(DIMENSIONS, np.float32)
+        weight[m.features] = m.weights
+
+        def compute(part: pa.RecordBatch) -> list[pa.Array]:
+            of, feature, shape = _features(part.column(text))
+            score = np.bincount(of, weights=weight[feature], minlength=part.num_rows) + ((shape - m.shape[1]) / m.shape[2]) @ m.shape[0]
+            above = 1 - _sigmoid(m.thresholds[None, :] - score[:, None])  # P(grade > k)
+            return [pa.array(above.sum(axis=1)), pa.array(above[:, min(TAIL_GRADE, above.shape[1]) - 1])]
+
+        return compute
 
-    return add_columns(docs, text, fields, lambda: compute, keep).withColumn("kept", F.col("tail_probability") >= MIN_TAIL)
+    return add_columns(docs, text, fields, make, keep).withColumn("kept", F.col("tail_probability") >= MIN_TAIL)
