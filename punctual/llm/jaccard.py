@@ -204,7 +204,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     step = math.log(100 / percent) if percent < 100 else 1e9
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + 1e-9)
     listed = groups.select("group", "n", F.explode("prefix").alias("token")).select("group", F.explode(F.array(band, band + 1)).alias("band"), "token")
-    listed = listed.select(F.xxhash64("token", "band").alias("list"), "group").distinct()
+    listed = listed.select(F.xxhash64("token", "band").alias("list"), "group")  # a group has a token once
     kinds = listed.groupBy("list").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("group")).alias("x"), F.sum(F.xxhash64(F.col("group") + 1) % (1 << 40)).alias("s")).where("size > 1")
     kinds = kinds.groupBy("size", "x", "s").agg(F.min("list").alias("list")).select("list")
     of_groups = listed.join(kinds, "list", "left_semi").join(member, "group").select("list", "rep", "n", "own")
