@@ -1,7 +1,8 @@
-"""Language-model scores by a hashed maximum-entropy model with a class-factored softmax, trained by distributed gradient updates."""
+"""Language-model scores by a hashed maximum-entropy model with a class-factored softmax and a softmax within each class, trained by distributed gradient updates."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,12 +17,14 @@ from punctual.llm.exchange import blocked, column, meet, replies
 from punctual.llm.words import BASE, mix, slices, sums, words
 from punctual.session import written
 
-FREQUENT = 39  # words that are a class each
-ENDINGS = 24  # classes of all other words, by a hash of their last two bytes
+FREQUENT = 63  # words that are a class each
+ENDINGS = 32  # classes of all other words, by a hash of their last two bytes
 CLASSES = FREQUENT + ENDINGS + 1  # and the end
 END_CLASS = CLASSES - 1
-ROWS = (1 << 12, 1 << 12, 1 << 11)  # hashed: the last word, the classes of the last two, the word before the last (a skip)
-ROUNDS, BATCH, RATE = 1, 8192, 0.12
+GROUPS = 64  # of the words of an ending class, by their hash
+ROWS = (1 << 11, 1 << 11, 1 << 10, 1 << 12)  # hashed: last word, last two, the one before the last (a skip), classes of both
+ROWS_FOR, MOST_TIMES = 32 << 20, 16  # bytes of text; the rows grow with the root of the corpus, as each task sends its model, so many times at most
+ROUNDS, BATCH, RATE = 2, 8192, 0.12
 CANDIDATES = 2000  # frequent words that a task tells of
 END = np.uint64(0xE0D0E0D0E0D0E000)
 START = np.uint64(0x57A2700000000000)
@@ -31,14 +34,18 @@ PARTS = 32  # in which weights are summed up
 class EntropyModel(NamedTuple):
     frequent: np.ndarray  # keys of the words that are classes, in order
     rank: np.ndarray  # the class of each
+    rows: tuple[int, ...]  # of each hashed feature
     weights: np.ndarray  # [rows, classes], float32; the last row is the bias
+    inner: np.ndarray  # [rows, groups], float32: of a feature and an ending class together; the last ENDINGS rows are the classes' biases
 
 
 class Sequence(NamedTuple):
     key: np.ndarray  # of each token; the last byte is its ending class
     kind: np.ndarray  # its class
     at: np.ndarray  # where each text's tokens begin
-    features: np.ndarray  # [token, len(ROWS)]
+    features: np.ndarray  # [token, len(ROWS) + 1], the bias last
+    rare: np.ndarray  # the tokens of the ending classes
+    inner: np.ndarray  # [rare token, len(ROWS) + 1]
 
 
 def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +56,12 @@ def _keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(key, w.first[1:], END), w.first + np.arange(len(w.first))
 
 
-def _sequence(texts: pa.Array, frequent: np.ndarray, rank: np.ndarray) -> Sequence:
+def _group(key: np.ndarray) -> np.ndarray:
+    return ((key >> np.uint64(8)) % np.uint64(GROUPS)).astype(np.int64)
+
+
+def _sequence(texts: pa.Array, model: EntropyModel) -> Sequence:
+    frequent, rank = model.frequent, model.rank
     key, at = _keys(texts)
     kind = FREQUENT + (key & np.uint64(255)).astype(np.int64)
     if len(frequent):
@@ -68,51 +80,77 @@ def _sequence(texts: pa.Array, frequent: np.ndarray, rank: np.ndarray) -> Sequen
         prior[inside], prior_kind[inside] = key[inside - step], kind[inside - step]
         back.append((prior, prior_kind))
     (one, one_kind), (two, two_kind) = back
-    hashed = (mix(one), mix((one_kind * CLASSES + two_kind).astype(np.uint64)), mix(two + np.uint64(7)))
-    begin, columns = 0, []
-    for h, n in zip(hashed, ROWS, strict=True):
+    hashed = (mix(one), mix(one * np.uint64(BASE) + two), mix(two + np.uint64(7)), mix((one_kind * CLASSES + two_kind).astype(np.uint64)))
+    rare = np.flatnonzero((kind >= FREQUENT) & (kind < END_CLASS))
+    ending = kind[rare] - FREQUENT
+    begin, columns, inner = 0, [], []
+    for h, n in zip(hashed, model.rows, strict=True):
         columns.append(begin + (h % np.uint64(n)).astype(np.int64))
+        inner.append(begin + (mix(h[rare] + (ending + 1).astype(np.uint64) * np.uint64(BASE)) % np.uint64(n)).astype(np.int64))
         begin += n
-    return Sequence(key, kind, at, np.stack(columns, axis=1))
+    columns.append(np.full(len(key), begin))
+    inner.append(begin + ending)
+    return Sequence(key, kind, at, np.stack(columns, axis=1), rare, np.stack(inner, axis=1))
 
 
 def _logits(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     out = weights[features[:, 0]]
     for j in range(1, features.shape[1]):
         out += weights[features[:, j]]
-    out += weights[-1]
     out -= out.max(axis=1, keepdims=True)
     return out
 
 
+def _log10(weights: np.ndarray, features: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log10 probability of each token's choice."""
+    log = np.empty(len(chosen))
+    for at in range(0, len(chosen), BATCH):
+        z, y = _logits(weights, features[at : at + BATCH]), chosen[at : at + BATCH]
+        log[at : at + BATCH] = (z[np.arange(len(z)), y] - np.log(np.exp(z).sum(axis=1))) / np.log(10)
+    return log
+
+
+class _Steps:
+    """Adaptive gradient steps on a copy of a table of weights."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights.copy()
+        self.squares = np.full(len(weights), 1e-2, np.float32)
+        self.seen = np.zeros(len(weights), np.float32)
+
+    def take(self, features: np.ndarray, chosen: np.ndarray) -> None:
+        for at in range(0, len(chosen), BATCH):
+            f, y = features[at : at + BATCH], chosen[at : at + BATCH]
+            p = _logits(self.weights, f)
+            np.exp(p, out=p)
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(y)), y] -= 1
+            for j in range(f.shape[1]):
+                grouped = pd.DataFrame(p, copy=False).groupby(f[:, j], sort=True)
+                summed = grouped.sum()
+                rows, step = summed.index.to_numpy(), summed.to_numpy()
+                self.squares[rows] += (step * step).mean(axis=1)
+                self.weights[rows] -= RATE * step / np.sqrt(self.squares[rows])[:, None]
+                self.seen[rows] += grouped.size().to_numpy()
+
+    def sent(self, first_part: int) -> pa.RecordBatch:
+        rows = np.array_split(np.arange(len(self.weights)), PARTS)
+        sums_ = [(self.weights[r] * self.seen[r, None]).astype(np.float32).tobytes() for r in rows]
+        parts = pa.array(np.arange(first_part, first_part + PARTS, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([parts, pa.array(sums_, pa.binary()), pa.array([self.seen[r].tobytes() for r in rows], pa.binary())], names=["part", "weights", "seen"])
+
+
 def _train(batches: Iterator[pa.RecordBatch], model: EntropyModel) -> Iterator[pa.RecordBatch]:
-    """Adaptive gradient steps over the task's own texts; sends its weights with the number of steps each row took, packed in PARTS."""
-    weights = model.weights.copy()
-    squares = np.full(len(weights), 1e-2, np.float32)
-    seen = np.zeros(len(weights), np.float32)
+    """Adaptive gradient steps over the task's own texts; sends its weights with the number of steps each row took, packed in PARTS for either table."""
+    outer, inner = _Steps(model.weights), _Steps(model.inner)
     for batch in batches:
         for part in slices(batch, "text", 1 << 19):
-            s = _sequence(part.column("text"), model.frequent, model.rank)
-            for at in range(0, len(s.kind), BATCH):
-                f, y = s.features[at : at + BATCH], s.kind[at : at + BATCH]
-                p = _logits(weights, f)
-                np.exp(p, out=p)
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(y)), y] -= 1
-                for j in range(f.shape[1]):
-                    summed = pd.DataFrame(p, copy=False).groupby(f[:, j], sort=True).sum()
-                    rows, step = summed.index.to_numpy(), summed.to_numpy()
-                    squares[rows] += (step * step).mean(axis=1)
-                    weights[rows] -= RATE * step / np.sqrt(squares[rows])[:, None]
-                    seen += np.bincount(f[:, j], minlength=len(seen))
-                step = p.sum(axis=0)
-                squares[-1] += (step * step).mean()
-                weights[-1] -= RATE * step / np.sqrt(squares[-1])
-                seen[-1] += len(y)
-    if seen[-1]:
-        rows = np.array_split(np.arange(len(weights)), PARTS)
-        sums_ = [(weights[r] * seen[r, None]).astype(np.float32).tobytes() for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(sums_, pa.binary()), pa.array([seen[r].tobytes() for r in rows], pa.binary())], names=["part", "weights", "seen"])
+            s = _sequence(part.column("text"), model)
+            outer.take(s.features, s.kind)
+            inner.take(s.inner, _group(s.key[s.rare]))
+    if outer.seen[-1]:
+        yield outer.sent(0)
+        yield inner.sent(PARTS)
 
 
 SENT = StructType([StructField("part", IntegerType()), StructField("weights", BinaryType()), StructField("seen", BinaryType())])
@@ -159,23 +197,27 @@ def _frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def learn_entropy(texts: DataFrame, text: str = "text", rounds: int = ROUNDS) -> EntropyModel:
     """Train on all rows. In each round every task takes gradient steps from the shared weights over its own texts; the new weights are averaged by the
-    number of tokens that moved them. The model's size is fixed."""
+    number of tokens that moved them. The model grows with the root of the corpus, to MOST_TIMES its least size."""
     texts = texts.select(F.col(text).alias("text"))
     frequent, rank = _frequent_words(texts)
-    weights = np.zeros((sum(ROWS) + 1, CLASSES), np.float32)
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    times = min(MOST_TIMES, 1 << max(0, round(math.log2(max(1, size) / ROWS_FOR) / 2)))
+    n_rows = tuple(n * times for n in ROWS)
+    tables = [np.zeros((sum(n_rows) + 1, CLASSES), np.float32), np.zeros((sum(n_rows) + ENDINGS, GROUPS), np.float32)]
     for _ in range(rounds):
-        shared = texts.sparkSession.sparkContext.broadcast(EntropyModel(frequent, rank, weights))
+        shared = texts.sparkSession.sparkContext.broadcast(EntropyModel(frequent, rank, n_rows, *tables))
         sent = texts.mapInArrow(lambda batches, shared=shared: _train(batches, shared.value), SENT)
         got = sent.repartition(PARTS, "part").mapInArrow(_add_up, SENT).toArrow()
-        new = weights.copy()
-        rows = np.array_split(np.arange(len(weights)), PARTS)
+        new = [t.copy() for t in tables]
+        rows = [np.array_split(np.arange(len(t)), PARTS) for t in tables]
         for part, w, seen in zip(got["part"].to_pylist(), got["weights"], got["seen"], strict=True):
+            which, part = divmod(part, PARTS)
             seen = np.frombuffer(seen.as_buffer(), np.float32)
-            total = np.frombuffer(w.as_buffer(), np.float32).reshape(-1, CLASSES)
+            total = np.frombuffer(w.as_buffer(), np.float32).reshape(len(seen), -1)
             moved = seen > 0
-            new[rows[part][moved]] = total[moved] / seen[moved, None]
-        weights = new
-    return EntropyModel(frequent, rank, weights)
+            new[which][rows[which][part][moved]] = total[moved] / seen[moved, None]
+        tables = new
+    return EntropyModel(frequent, rank, n_rows, *tables)
 
 
 SCORED = [StructField(c, LongType()) for c in ("n_tokens", "n_known", "train_tokens")] + [StructField(c, DoubleType()) for c in ("base_score", "score")]
@@ -185,7 +227,8 @@ def score_texts(docs: DataFrame, model: EntropyModel, text: str = "text", train:
     """Add n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the model's log10 probability) to every row.
 
     Words are in lower case (A-Z); each text has one end more. Counts are those of the rows where the column `train` is true. The model gives a token's class by the
-    classes' softmax; a word within its ending class by its count less a discount, which goes to the unknown words of that class together.
+    classes' softmax; a discount of all counts goes to the unknown words of an ending class together. A known word's group, of GROUPS in its ending class,
+    is given by that class's softmax, the word within its group by its count less the discount.
     Null and empty texts are an end alone. Null `train` counts as false. Rows are scored one by one, an empty table gives an empty result, and columns
     named like a result, or `block`, are replaced.
     """
@@ -203,40 +246,42 @@ def score_texts(docs: DataFrame, model: EntropyModel, text: str = "text", train:
     frequent = model.frequent
 
     def summary(keys: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Tokens, types, types seen once and twice; then tokens and types of each ending class without the frequent words."""
+        """Tokens, types, types seen once and twice; then tokens and types of each group of an ending class without the frequent words."""
         held = total > 0
         rare = held & ~np.isin(keys, frequent) & (keys != END)
-        ending = (keys[rare] & np.uint64(255)).astype(np.int64)
-        by = [np.bincount(ending, weights=x, minlength=ENDINGS) for x in (total[rare], np.ones(rare.sum()))]
+        group = (keys[rare] & np.uint64(255)).astype(np.int64) * GROUPS + _group(keys[rare])
+        by = [np.bincount(group, weights=x, minlength=ENDINGS * GROUPS) for x in (total[rare], np.ones(rare.sum()))]
         return np.concatenate([[total.sum(), held.sum(), (total == 1).sum(), (total == 2).sum()], *by]).astype(np.int64)
 
     answers = written(replies(blocks, n_blocks, keys_of, counts, summary=summary), "counts")
     whole = answers.where("summary is not null").select(F.posexplode("summary").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    about = np.zeros(4 + 2 * ENDINGS)
+    about = np.zeros(4 + 2 * ENDINGS * GROUPS)
     for row in whole:
         about[row["i"]] = row["x"]
     n_train, n_types, once, twice = about[:4]
     discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-    tokens, types = about[4 : 4 + ENDINGS], about[4 + ENDINGS :]
-    with np.errstate(divide="ignore"):
-        log_tokens = np.where(tokens > 0, np.log10(np.maximum(tokens, 1)), 0)
-        log_unknown = np.where(tokens > 0, np.log10(np.maximum(discount * types, 1e-300)) - log_tokens, 0)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    tokens, types = about[4:].reshape(2, ENDINGS, GROUPS)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unknown = np.where(tokens.any(axis=1), discount * types.sum(axis=1) / tokens.sum(axis=1), 1)
+        log_unknown = np.log10(np.maximum(unknown, 1e-300))
+        log_known = np.log10(np.maximum(1 - unknown, 1e-300))[:, None] - np.log10(np.maximum(tokens - discount * types, 1e-300))
+    inner = model.inner.copy()
+    inner[-ENDINGS:][tokens == 0] = -1e9  # a group without words takes no probability
+    shared = docs.sparkSession.sparkContext.broadcast(model._replace(inner=inner))
 
     def finish(rows: pa.Table, look_up) -> pa.Table:
         m = shared.value
         out = {f.name: [] for f in SCORED}
         for part in rows.combine_chunks().to_batches():
             for piece in slices(part, text, 1 << 19):
-                s = _sequence(piece.column(text), m.frequent, m.rank)
+                s = _sequence(piece.column(text), m)
                 c = look_up(s.key).astype(np.float64)
-                log = np.empty(len(c))
-                for at in range(0, len(c), BATCH):
-                    z = _logits(m.weights, s.features[at : at + BATCH])
-                    log[at : at + BATCH] = (z[np.arange(len(z)), s.kind[at : at + BATCH]] - np.log(np.exp(z).sum(axis=1))) / np.log(10)
-                rare = (s.kind >= FREQUENT) & (s.kind < END_CLASS)
-                ending = s.kind[rare] - FREQUENT
-                log[rare] += np.where(c[rare] > 0, np.log10(np.maximum(c[rare] - discount, 1e-300)) - log_tokens[ending], log_unknown[ending])
+                log = _log10(m.weights, s.features, s.kind)
+                ending, known = s.kind[s.rare] - FREQUENT, c[s.rare] > 0
+                log[s.rare[~known]] += log_unknown[ending[~known]]
+                rare, ending = s.rare[known], ending[known]
+                group = _group(s.key[rare])
+                log[rare] += _log10(m.inner, s.inner[known], group) + log_known[ending, group] + np.log10(c[rare] - discount)
                 out["n_tokens"].append(np.diff(s.at))
                 out["n_known"].append(sums(c > 0, s.at))
                 out["train_tokens"].append(np.full(piece.num_rows, int(n_train)))

@@ -168,6 +168,17 @@ def test_language_model_learns_order(spark):
     assert got[1000] > got[1001] + 1
 
 
+def test_language_model_sees_which_word_of_a_class(spark):
+    """Rare words of one ending class follow each other in a fixed order; the frequent words between the chains tell nothing."""
+    rng = random.Random(8)
+    name = lambda i: f"w{i % 90}zz"
+    rows = [(i, " ".join(rng.choice([" ".join(f"f{rng.randrange(63)}" for _ in range(12)), " ".join(name(s + j) for j in range(4))]) for s in rng.choices(range(90), k=60)), True) for i in range(400)]
+    rows += [(1000, " ".join(name(j) for j in range(40)), False), (1001, " ".join(name(37 * j) for j in range(40)), False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
+    got = {r["doc_id"]: r["score"] for r in score_texts(docs, learn_entropy(docs.where("train"))).where("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001] + 10
+
+
 def test_language_model_of_odd_rows(spark):
     docs = odd_documents(spark).selectExpr("*", "lang = 'en' as train")
     got = score_texts(docs, learn_entropy(docs.where("train"))).collect()
