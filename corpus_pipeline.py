@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near copies stays, once if its row is repeated; so do rows without a doc_id."""
-    ids = jaccard_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    """Near copies share 80 % of their five-word shingles. The document with the least doc_id of each group stays, once if its row is repeated; so do rows without a doc_id."""
+    ids = jaccard_components(docs, percent=80, size=5).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
     ids = written(ids, "kept-ids")
     once = docs.join(ids.where("_rows = 1"), "doc_id", "left_semi")
     more = docs.join(ids.where("_rows > 1"), "doc_id", "left_semi").dropDuplicates()

@@ -288,6 +288,19 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
     assert {r["doc_id"] for r in pieces} == set(last)
 
 
+def test_near_copies_stage_takes_five_words_at_80_percent(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words_of = {r["doc_id"]: re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode().translate(LOWER)) for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in words_of.items()}
+    holders = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    pairs = [(i, j) for i, s in sets.items() for j, n in collections.Counter(j for x in s for j in holders[x] if j < i).items() if 100 * n >= 80 * (len(s) + len(sets[j]) - n)]
+    want = {i for i, c in least_labels(sets, pairs).items() if i == c}
+    assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == want
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     odd = odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
     for name, docs in (("odd", odd), ("empty", empty(odd))):
