@@ -1,7 +1,9 @@
-"""Substring deduplication by content-defined chunks: a gear rolling hash sets the cuts, chunks are matched by digest."""
+"""Substring deduplication by content-defined chunks: a gear rolling hash sets the cuts, runs of chunks are matched by digest."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,12 +12,12 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from punctual.llm.exchange import blocked, column, meet, replies
 from punctual.llm.tokens import spread_out
-from punctual.llm.words import BASE, SPACE, Words, mix, sums, words
+from punctual.llm.words import BASE, BASE_INVERSE, ODD, SPACE, Words, mix, powers, sums, words
 
 WINDOW_BITS = 4  # the gear hash that decides on a cut sees 2 ** 4 bytes
 ONE_IN = 4  # words, on average, that begin a chunk
 MOST_WORDS = 12  # in a chunk
-MIN_WORDS = 20  # in a run of repeated chunks that is removed
+MIN_WORDS = 20  # in a run of chunks that is looked for elsewhere, at least
 GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 _BLANK = np.where(SPACE, 32, np.arange(256)).astype(np.uint8)
 
@@ -51,6 +53,34 @@ def _chunks(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]
     return w, cut, size, mix((total[cut + size] - total[cut]) ^ size.astype(np.uint64))
 
 
+class Runs(NamedTuple):
+    begin: np.ndarray  # first chunk
+    end: np.ndarray  # the chunk after the last
+    digest: np.ndarray
+
+
+def _runs(w: Words, cut: np.ndarray, digest: np.ndarray) -> Runs:
+    """From each chunk the shortest run of chunks of its text with MIN_WORDS words; and the shortest at each text's end, if it is none of these.
+
+    Equal runs are equal word by word, as their digests chain the chunks'. A run at the end has words to spare at its own end, so it equals none of the others.
+    """
+    n = len(cut)
+    bounds = np.append(cut, len(w.start))
+    last = np.searchsorted(cut, w.first[1:])  # of each text: the chunk after its last
+    begin = np.arange(n)
+    end = np.searchsorted(bounds, cut + MIN_WORDS)
+    whole = end <= (last[w.text[cut]] if n else end)
+    begin, end = begin[whole], end[whole]
+    long = w.counts >= MIN_WORDS
+    tail = np.searchsorted(bounds, w.first[1:][long] - MIN_WORDS, side="right") - 1
+    tail_end = last[long]
+    other = np.searchsorted(bounds, bounds[tail] + MIN_WORDS) < tail_end
+    begin, end = np.append(begin, tail[other]), np.append(end, tail_end[other])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest * powers(BASE, n), dtype=np.uint64)])
+    chained = (total[end] - total[begin]) * powers(BASE_INVERSE, n + 1)[begin]
+    return Runs(begin, end, mix(chained ^ ((end - begin).astype(np.uint64) * ODD)))
+
+
 def _answer(number: np.ndarray, block: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """0: the key is in one place only; 1: its first block is this one; 2: an earlier block has it."""
     n = int(number.max()) + 1 if len(number) else 0
@@ -63,11 +93,11 @@ def _answer(number: np.ndarray, block: np.ndarray, counts: np.ndarray) -> np.nda
 def deduplicate_substrings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every row with its text less the passages that stand elsewhere before, and n_chunks, n_repeated_chunks and removed_words.
 
-    A chunk is repeated if an equal one stands in an earlier block of the corpus, or earlier in its own (by `key`, nulls first, then text and place). Runs of
-    repeated chunks of MIN_WORDS words or more are cut out, so a repeated passage of over 50 words loses all but its ragged ends in
-    all places but one, and a text that repeats another one ends empty. Chunks are matched by 64 bits of their words; a run needs two or
-    more such matches in a row. White space goes with the word before it. Null and empty texts stay as they are, with zero
-    chunks; rows are never dropped; a column named like a result, or `block`, is replaced.
+    Runs of chunks of MIN_WORDS words or a little more are compared, not chunks alone. A run is repeated if an equal one stands in an earlier block of the
+    corpus, or earlier in its own (by `key`, nulls first, then text and place). The words of repeated runs are cut out and no others, so a repeated
+    passage of over 50 words loses all but its ragged ends in all places but one, and a text that repeats another one ends empty. Repeated
+    chunks are those in repeated runs; runs are matched by 64 bits of their words. White space goes with the word before it. Null and
+    empty texts stay as they are, with zero chunks; rows are never dropped; a column named like a result, or `block`, is replaced.
     """
     made = ("n_chunks", "n_repeated_chunks", "removed_words")
     docs = docs.drop(*made, "block")
@@ -81,21 +111,21 @@ def deduplicate_substrings(docs: DataFrame, text: str = "text", key: str = "doc_
         return rows.take(order).combine_chunks()
 
     def keys_of(rows: pa.Table) -> tuple[np.ndarray, None]:
-        return _chunks(column(rows, text))[3], None
+        w, cut, _, digest = _chunks(column(rows, text))
+        return _runs(w, cut, digest).digest, None
 
     def finish(rows: pa.Table, look_up) -> pa.Table:
         rows = ordered(rows)
         texts = column(rows, text)
         w, cut, size, digest = _chunks(texts)
-        code = look_up(digest)
-        later = np.ones(len(digest), bool)
-        later[np.unique(digest, return_index=True)[1]] = False
+        runs = _runs(w, cut, digest)
+        code = look_up(runs.digest)
+        later = np.ones(len(code), bool)
+        later[np.unique(runs.digest, return_index=True)[1]] = False
         repeated = (code == 2) | ((code == 1) & later)
         of = w.text[cut] if len(cut) else cut
-        change = np.flatnonzero((np.diff(repeated, prepend=~repeated[:1]) != 0) | (np.diff(of, prepend=-1) != 0)) if len(cut) else cut
-        run = np.repeat(np.arange(len(change)), np.diff(np.append(change, len(cut))))
-        run_words = np.bincount(run, weights=size, minlength=len(change)) if len(cut) else np.zeros(0)
-        gone = repeated & (run_words[run] >= MIN_WORDS)
+        n_chunks = len(cut) + 1
+        gone = np.cumsum(np.bincount(runs.begin[repeated], minlength=n_chunks) - np.bincount(runs.end[repeated], minlength=n_chunks))[:-1] > 0
         # bytes of a chunk: from its first word to the next chunk's, or the text's end; white space at a text's head goes with the first
         begin = w.start[cut] if len(cut) else cut
         new_text = np.diff(of, prepend=-1) != 0 if len(cut) else np.zeros(0, bool)
@@ -113,7 +143,7 @@ def deduplicate_substrings(docs: DataFrame, text: str = "text", key: str = "doc_
         chunk_first = np.searchsorted(of, np.arange(len(texts) + 1))
         columns = {c: rows[c] for c in names}
         columns[text] = pa.array(values, texts.type)
-        columns |= {"n_chunks": np.diff(chunk_first), "n_repeated_chunks": sums(repeated, chunk_first), "removed_words": sums(size * gone, chunk_first)}
+        columns |= {"n_chunks": np.diff(chunk_first), "n_repeated_chunks": sums(gone, chunk_first), "removed_words": sums(size * gone, chunk_first)}
         return pa.table(columns)
 
     return meet(blocks, replies(blocks, n, keys_of, _answer), n, keys_of, np.uint8, finish, schema)

@@ -127,6 +127,23 @@ def test_chunks_withstand_insertions():
     assert len(one & other) > 0.95 * len(one)
 
 
+def test_only_repeated_windows_go(spark):
+    """Common short phrases in ever new order, some passages among them: every word that goes lies in 20 words that stand elsewhere too."""
+    rng = random.Random(31)
+    phrases = [f"p{i}a p{i}b p{i}c" for i in range(25)]
+    passage = prose(1001, 60)
+    texts = {i: " ".join(rng.choice(phrases) for _ in range(40)) for i in range(120)}
+    texts |= {200 + i: f"{prose(700 + i, 30)} {passage} {' '.join(rng.choice(phrases) for _ in range(20))}" for i in range(6)}
+    where = collections.Counter(tuple(t.split()[k : k + 20]) for t in texts.values() for k in range(len(t.split()) - 19))
+    got = substrings.deduplicate_substrings(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    assert sum(r["removed_words"] for r in got) >= 5 * 20
+    for r in got:
+        w = texts[r["doc_id"]].split()
+        may = {j for k in range(len(w) - 19) if where[tuple(w[k : k + 20])] > 1 for j in range(k, k + 20)}
+        must = collections.Counter(x for j, x in enumerate(w) if j not in may)
+        assert not must - collections.Counter(r["text"].split()), r["doc_id"]
+
+
 def test_substring_query(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r["doc_id"]: r["text"] or "" for r in QUERIES["op3_substring_dedup"](spark, SF).collect()}
