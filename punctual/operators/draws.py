@@ -1,8 +1,9 @@
 """Paired bootstrap draws of many replicates at once, in numpy, from hashes of the rows' ids.
 
 Means and binned metrics are summed where the rows are read: a task sends a few numbers per replicate. Metrics that need ranks cut the
-values into slices; a first pass sums the weights per slice, and only then rows move, once, to the slice their value lies in. A slice of
-one value needs no second pass, so a value that many rows share never meets in one task.
+values into slices of about equal numbers of rows; a value with more rows than a slice should have is a slice alone. A first pass sums the
+weights per slice, and only then rows move, once, to the slice their value lies in. A slice of one value needs no second pass, so
+rows that share a value never meet in one task beyond a slice's number, be there few values or many.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from punctual.functions.numeric import poisson_limits
-from punctual.operators.ranks import slice_edges, slice_of
+from punctual.operators.ranks import slice_of
 from punctual.session import written
 
 ROWS_AT_ONCE = 1024
-SLICE_VALUES = 4000
+SLICE_VALUES = 4000  # rows in a slice of several values, about
+MOST_SLICES = 2048  # beyond, slices have more rows
 LIMITS = np.array([int(x, 16) for x in poisson_limits()], np.uint32)
 
 
@@ -145,9 +147,26 @@ def _slice_ranks(rows: pa.Table, carry: pa.Table, samples: int, seed: int) -> pa
     return pa.table({"model": [rows["model"][0].as_py()] * samples, "replicate": pa.array(np.arange(samples, dtype=np.int32)), "low": pa.array(values[0], from_pandas=True), "high": pa.array(values[1], from_pandas=True), "steps": steps})
 
 
+def _edges(long: DataFrame) -> list[float]:
+    """Cut points of the scores: slices of several values have about SLICE_VALUES rows, or a MOST_SLICES-th of all; a value with more is cut off on both sides."""
+    known = long.select(F.col("score").cast("double").alias("v")).where("v is not null and not isnan(v)")
+    counts = written(known.groupBy("v").agg(F.count("*").alias("n")), "value-counts")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    most = max(SLICE_VALUES, -(-total // MOST_SLICES))
+    if total <= most:
+        return []
+    hot = {r["v"]: r["n"] for r in counts.where(F.col("n") > most).collect()}  # fewer than total / most
+    edges = {float(e) for v in hot for e in (np.nextafter(v, -np.inf), v)}
+    slices = -(-(total - sum(hot.values())) // most)
+    if slices > 1:
+        rest = known.join(F.broadcast(counts.where(F.col("n") > most)), "v", "left_anti")
+        edges |= set(rest.agg(F.percentile_approx("v", [i / slices for i in range(1, slices)], 4 * MOST_SLICES).alias("edges")).first()["edges"])
+    return sorted(edges)
+
+
 def ranked_draws(long: DataFrame, samples: int, seed: int) -> DataFrame:
     """(model, replicate, median, precision) of rows (model, id, y, score): the weighted median of the scores and the average precision."""
-    edges = slice_edges(long, "score", SLICE_VALUES)
+    edges = _edges(long)
     cells = written(cell_draws(long, edges, samples, seed), "cells")
     group = Window.partitionBy("model", "replicate")
     up = group.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

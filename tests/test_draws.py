@@ -56,6 +56,24 @@ def test_ranked_draws_equal_brute_force(spark, rows, monkeypatch, per_slice):
                 assert ece[model, b] == pytest.approx(gap)
 
 
+def test_rows_that_share_few_values_do_not_meet(spark, monkeypatch):
+    rng = random.Random(4)
+    made = [(m, f"r{i}", float(i % 3 == 0), rng.choice([0.1, 0.2, 0.2, 0.7, rng.random()])) for m in "ab" for i in range(500)]
+    frame = spark.createDataFrame(made, "model string, id string, y double, score double").repartition(3)
+    want = sorted(tuple(r) for r in draws.ranked_draws(frame, SAMPLES, SEED).collect())
+    whole = draws._slice_ranks
+
+    def bounded(rows, carry, samples, seed):
+        assert rows.num_rows <= 3 * 20, "many rows in one task"
+        return whole(rows, carry, samples, seed)
+
+    monkeypatch.setattr(draws, "SLICE_VALUES", 20)
+    monkeypatch.setattr(draws, "_slice_ranks", bounded)
+    found = sorted(tuple(r) for r in draws.ranked_draws(frame, SAMPLES, SEED).collect())
+    assert [r[:2] for r in found] == [r[:2] for r in want]
+    assert np.array([r[2:] for r in found]) == pytest.approx(np.array([r[2:] for r in want]))
+
+
 def test_means_leave_nulls_out(spark):
     frame = spark.createDataFrame([(f"r{i}", float(i) if i % 3 else None) for i in range(50)], "id string, x double")
     w = draws.weights([f"r{i}" for i in range(50)], SAMPLES, SEED)
