@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from punctual.llm.words import Words, add_columns, mix, slices, words
+from punctual.llm.tokens import spread_out
+from punctual.llm.words import Words, add_columns, mix, slices, sums, words
 
 BUCKETS = 1 << 16
 ORDERS = (3, 4)  # bytes in an n-gram; words carry a blank on either side
 UNIT_WORDS = 8  # words that are taken to be in one language
 STEPS = 12
-MOST_LANGUAGES = 3
 PENALTY = 3.0  # for each further language: times the log of the number of units
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -94,6 +94,39 @@ def _mixture(unit: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[
     return out, log
 
 
+def _sets(unit: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Proportions in each text: from the likeliest language on, the one that raises the penalised likelihood most is added, until none does."""
+    n, n_lang = len(first) - 1, unit.shape[1]
+    size = np.diff(first)
+    of = np.repeat(np.arange(n), size)
+    alone = np.stack([sums(unit[:, j], first) for j in range(n_lang)], axis=1)
+    allowed = np.zeros((n, n_lang))
+    allowed[np.arange(n), alone.argmax(axis=1)] = 1
+    best, log = allowed.copy(), alone.max(axis=1)
+    price = PENALTY * np.log(size + 1)
+    active = size > 0
+    while active.any():
+        top = np.where(allowed[of] > 0, unit, -np.inf).max(axis=1)
+        gain, added = np.zeros(n), np.zeros(n, np.int64)
+        new, new_log = best.copy(), log.copy()
+        for j in range(n_lang):
+            most = sums(np.maximum(top, unit[:, j]), first) - log  # no proportions give more than each unit's likeliest language
+            some = np.flatnonzero(active & (allowed[:, j] == 0) & (most > price))
+            if not len(some):
+                continue
+            wider = allowed[some]
+            wider[:, j] = 1
+            share, wider_log = _mixture(unit[spread_out(first[some], size[some])], np.concatenate([[0], np.cumsum(size[some])]), wider)
+            more = wider_log - log[some] - price[some]
+            better = more > gain[some]
+            at = some[better]
+            gain[at], added[at], new[at], new_log[at] = more[better], j, share[better], wider_log[better]
+        active = gain > 0
+        allowed[active, added[active]] = 1
+        best, log = new, new_log
+    return best
+
+
 def _units(w: Words, log_likelihood: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n_lang = log_likelihood.shape[2]
     by_word = np.zeros((len(w.start), n_lang))
@@ -117,18 +150,7 @@ def _infer(part: pa.RecordBatch, text: str, model: LanguageModel) -> list[pa.Arr
     if not n_lang:
         return [pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array([[]] * n, pa.list_(pa.string())), pa.array([[]] * n, pa.list_(pa.float64()))]
     unit, first = _units(w, model.log_likelihood)
-    everything = np.ones((n, n_lang))
-    share, _ = _mixture(unit, first, everything)
-    rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
-    best, best_log = None, None
-    for k in range(1, min(MOST_LANGUAGES, n_lang) + 1):
-        now, log = _mixture(unit, first, (rank < k).astype(float))
-        log = log - PENALTY * (k - 1) * np.log(np.diff(first) + 1)
-        if best is None:
-            best, best_log = now, log
-        else:
-            better = log > best_log
-            best[better], best_log = now[better], np.maximum(log, best_log)
+    best = _sets(unit, first)
     names = np.asarray(model.languages, object)
     top = best.argmax(axis=1)
     found = letters & (np.diff(first) > 0)
@@ -145,8 +167,8 @@ def _infer(part: pa.RecordBatch, text: str, model: LanguageModel) -> list[pa.Arr
 def identify_languages(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add lang_pred, score (its proportion), languages and proportions, inferred from each row's text alone.
 
-    A text is a mixture of languages, UNIT_WORDS words at a time. Proportions come from expectation-maximisation over all languages; then the
-    likeliest one to MOST_LANGUAGES of them are fitted alone, and the set with the best log likelihood less the penalty stays. Null texts, texts
+    A text is a mixture of languages, UNIT_WORDS words at a time. Languages are added one by one while the log likelihood less the penalty grows,
+    as many as there are; proportions come from expectation-maximisation over those chosen. Null texts, texts
     without a letter and any text when no language was learned give `und`, score 0 and empty lists; equal shares go to the first language by name.
     """
     fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("languages", ArrayType(StringType())), StructField("proportions", ArrayType(DoubleType()))]

@@ -275,3 +275,14 @@ def test_mixtures_and_undetermined_texts(spark, odd):
     assert {r["lang_pred"] for r in languages.identify_languages(odd, nothing).collect()} == {"und"}
     assert languages.identify_languages(empty(odd), model).count() == 0
     assert ODD[0] is None
+
+
+def test_a_text_in_four_languages_keeps_all(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = languages.learn_languages(docs)
+    some = {r["lang"]: r["text"] for r in docs.where("n_chars between 2000 and 3000").collect()}
+    assert len(some) >= 4
+    frame = spark.createDataFrame([(1, "\n".join(some[x] for x in sorted(some))), *((2 + i, some[x]) for i, x in enumerate(sorted(some)))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in languages.identify_languages(frame, model).collect()}
+    assert sorted(got[1]["languages"]) == sorted(some) and abs(sum(got[1]["proportions"]) - 1) < 0.02 and got[1]["score"] < 0.5
+    assert [got[2 + i]["languages"][0] for i in range(len(some))] == sorted(some)
