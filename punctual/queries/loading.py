@@ -247,7 +247,9 @@ def airport_dimension(spark, sf_dir):
       strftime(CAST(t AS DATE) + (TRY_CAST(actual_time AS TIMESTAMP) - date_trunc('day', TRY_CAST(actual_time AS TIMESTAMP))), '%H:%M') AS actual_clock FROM w""",
 )
 def stored_flight_scan(spark, sf_dir):
-    rows = _prepared(spark, sf_dir, 1).filter("skip_reason is null")
+    """Final sightings of both sides, scanned with their airports' names."""
+    _, rows = _prepared(spark, sf_dir)
+    rows = rows.filter("skip_reason is null")
     dim = _dimension(spark, rows)
     known = _with_ids(rows, dim)
     sides = [store.last_per_key(known.filter(F.col("table") == side), store.KEYS, "seen") for side in ("arrivals", "departures")]
