@@ -31,3 +31,26 @@ def manifest_sql(arity: int = 3) -> str:
       ends AS (SELECT h.row, h.proof, h.folded, s.digest AS root FROM high h JOIN upper_nodes s ON s.lvl = h.lvl AND s.idx = h.idx WHERE s.n = 1)
     SELECT b.doc_id, b.leaf, r.digest AS subroot, e.root, sha256(e.proof) AS proof_sha256, e.folded AS folded_root, e.folded = e.root AS verified
     FROM base b JOIN ends e ON e.row = b.row JOIN subroots r ON r.of = b.tree"""
+
+
+def codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Codes of `embeddings`: every part against every entry in each round."""
+    distance = "list_sum(list_transform(list_zip(v.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+    def assigned(r: int) -> str:
+        return f"a{r} AS MATERIALIZED (SELECT v.row, v.p, v.x, unnest(min({{'d': {distance}, 'e': b.e}})) FROM v JOIN b{r} b USING (p) GROUP BY v.row, v.p, v.x)"
+
+    def moved(r: int) -> str:
+        sums = f"SELECT p, e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, len(x) + 1) r(i) GROUP BY p, e, i"
+        means = f"SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM ({sums}) GROUP BY p, e"
+        return f"b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN ({means}) m USING (p, e))"
+
+    steps = ", ".join(f"{assigned(r)}, {moved(r)}" for r in range(rounds))
+    return f"""WITH kept AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row, [CAST(floor({scale} * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS x
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+      v AS (SELECT row, p, x[p * (len(x) // {parts}) + 1 : (p + 1) * (len(x) // {parts})] AS x FROM kept, range({parts}) r(p)),
+      b0 AS (SELECT p, row - 1 AS e, x AS c FROM v WHERE row <= {entries}),
+      {steps}, {assigned(rounds)},
+      coded AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY row),
+      books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row), books"""

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.llm.bpe import round_trip
+from punctual.llm.codes import ball_codes
 from punctual.llm.counts import build_trees, edit_trees, redactions
 from punctual.llm.entropy import learn_entropy, score_texts
 from punctual.llm.jaccard import jaccard_components
 from punctual.llm.languages import identify_languages, learn_languages
 from punctual.llm.manifest import merkle_manifest, without_newlines
-from punctual.llm.oracles import manifest_sql
+from punctual.llm.oracles import codes_sql, manifest_sql
 from punctual.llm.packing import pack_texts
 from punctual.llm.quality import grade_texts, labelled_sample, learn_grades
 from punctual.llm.rules import repetition
@@ -106,6 +107,11 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_vector_codes", codes_sql())
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_codes(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_merkle_manifest", manifest_sql())
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"), without_newlines())
