@@ -54,3 +54,14 @@ def codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int =
       coded AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY row),
       books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
     SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row), books"""
+
+
+def warc_sql() -> str:
+    """What the archives of `pages` say: SHA-1 in base 32 is made of 20 bits at a time."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+    bits = "('0x' || substr(h, 1 + 5 * g, 5))::BIGINT"
+    group = " || ".join(f"substr({letters}, 1 + (({bits} >> {at}) & 31)::INT, 1)" for at in (15, 10, 5, 0))
+    return f"""WITH hashed AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+      best AS (SELECT h, max(page_id) AS first FROM hashed GROUP BY h)
+    SELECT page_id, payload_bytes, array_to_string([{group} FOR g IN range(8)], '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM hashed JOIN best USING (h)"""

@@ -15,12 +15,14 @@ from punctual.llm.entropy import learn_entropy, score_texts
 from punctual.llm.jaccard import jaccard_components
 from punctual.llm.languages import identify_languages, learn_languages
 from punctual.llm.manifest import merkle_manifest, without_newlines
-from punctual.llm.oracles import codes_sql, manifest_sql
+from punctual.llm.oracles import codes_sql, manifest_sql, warc_sql
 from punctual.llm.packing import pack_texts
 from punctual.llm.quality import grade_texts, labelled_sample, learn_grades
 from punctual.llm.rules import repetition
 from punctual.llm.substrings import deduplicate_substrings
 from punctual.llm.vectors import near_duplicate_vectors
+from punctual.llm.warc import read_warc, write_warc
+from punctual.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,6 +114,13 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_codes(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_warc", warc_sql())
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "archives")
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op13_merkle_manifest", manifest_sql())
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"), without_newlines())
