@@ -180,6 +180,11 @@ def _dealer(bounds: list[tuple], gather: bool) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
+def one_each(files: DataFrame) -> DataFrame:
+    """A list of files with a task for each; left to Spark, so few bytes would be one task."""
+    return files.coalesce(1).repartition(max(1, files.count()))
+
+
 def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z", file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES, level: int = LEVEL, least_payload: int = LEAST_PAYLOAD) -> DataFrame:
     """Write a record per row of `pages` to gzipped WARC files in `folder`; returns the manifest (file, sha256, records, bytes), which is written last.
 
@@ -228,7 +233,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
                     files.move(f"{root}/{row['temporary']}", f"{root}/{row['file']}")
             yield batch.drop_columns(["temporary"])
 
-    named = done.repartition("file").mapInArrow(commit, StructType([f for f in FILES if f.name != "temporary"]))
+    named = one_each(done).mapInArrow(commit, StructType([f for f in FILES if f.name != "temporary"]))
     named.write.parquet(f"{folder.rstrip('/')}/_manifest")
     return spark.read.parquet(f"{folder.rstrip('/')}/_manifest")
 
@@ -301,4 +306,4 @@ def read_warc(spark: SparkSession, folder: str, key: str = "page_id", payload: s
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
     listed = spark.read.parquet(f"{folder.rstrip('/')}/_manifest")
-    return listed.repartition("file").mapInArrow(run, schema)
+    return one_each(listed).mapInArrow(run, schema)
