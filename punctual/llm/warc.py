@@ -101,7 +101,7 @@ class Roller:
             self.name = f"part-{self.shard:06d}-{self.number:05d}.warc.gz"
             self.temporary = f"_temporary/{self.attempt}-{self.name}"
             self.files.create_dir(f"{self.root}/_temporary", recursive=True)
-            self.out, self.hash, self.records, self.bytes = self.files.open_output_stream(f"{self.root}/{self.temporary}"), hashlib.sha256(), 0, 0
+            self.out, self.hash, self.records, self.bytes = self.files.open_output_stream(f"{self.root}/{self.temporary}", compression=None), hashlib.sha256(), 0, 0
         self.out.write(member)
         self.hash.update(member)
         self.records, self.bytes = self.records + 1, self.bytes + len(member)
@@ -288,7 +288,7 @@ def read_warc(spark: SparkSession, folder: str, key: str = "page_id", payload: s
         for batch in batches:
             for listed in batch.to_pylist():
                 rows, held, n = [], 0, 0
-                with files.open_input_stream(f"{root}/{listed['file']}") as stream:
+                with files.open_input_stream(f"{root}/{listed['file']}", compression=None) as stream:
                     for member in members(stream):
                         h = parsed(member)
                         page, to = h.get("page-id"), h.get("refers-to-page-id")
