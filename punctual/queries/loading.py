@@ -12,7 +12,7 @@ from punctual.operators.ranks import position_ids
 from punctual.queries import feeds
 from punctual.queries.registry import query, table
 from punctual.session import scratch_path, written
-from punctual.sources import boards, ontime, pages, store
+from punctual.sources import boards, months, ontime, pages, store
 
 # ------------------------------------------------------------------ board times
 
@@ -378,6 +378,39 @@ def ontime_files(spark, sf_dir):
     )
 
 
+def _zipped(spark, sf_dir):
+    """All records in zips, a member per month in each."""
+    path = scratch_path(spark, "zips")
+    rows = _records(spark, sf_dir).drop("line").withColumns({"month": F.substring("FlightDate", 1, 7), "Extra": F.lit('a "quoted", é cell')})
+    held = written(months.write_zips(rows.repartition(4, "FlightDate"), path, "month"), "zip-members")
+    return path, held
+
+
+@query(
+    "zipped_month_flights",
+    f"""WITH {_ONTIME} SELECT airport, direction, CAST(t AS DATE)::VARCHAR AS day, count(*) AS n, count(CASE WHEN ok AND late BETWEEN -60 AND 720 THEN 1 END) AS delays,
+      round(sum(CASE WHEN ok AND late BETWEEN -60 AND 720 THEN late END), 6) AS delay_sum FROM ontime WHERE airport IN ('ATL', 'JFK') OR other IN ('ATL', 'JFK') GROUP BY ALL""",
+)
+def zipped_month_flights(spark, sf_dir):
+    """Zipped month files read by their members; flights that touch neither airport are left out as they are read."""
+    path, _ = _zipped(spark, sf_dir)
+    flights = ontime.load_zipped_months(spark, [path], ["ATL", "JFK"])
+    day = F.to_date("scheduled_datetime").cast("string").alias("day")
+    return flights.groupBy("airport", "direction", day).agg(
+        F.count(F.lit(1)).alias("n"), F.count("delay_minutes").alias("delays"), F.round(F.sum("delay_minutes"), 6).alias("delay_sum")
+    )
+
+
+@query(
+    "zipped_month_audit",
+    """SELECT count(*) AS records, 2 * count(*) AS flights, count(*)::BIGINT AS written FROM events""",
+)
+def zipped_month_audit(spark, sf_dir):
+    """Records read from all members, the flights they hold, and what the members' writers say."""
+    path, held = _zipped(spark, sf_dir)
+    return ontime.audit(ontime.read_zipped_months(spark, [path])).withColumn("written", held.agg(F.sum("rows")).scalar())
+
+
 @query(
     "ontime_audit",
     f"""WITH {_ONTIME} SELECT count(*) // 2 AS records, count(*) AS flights FROM typed""",

@@ -11,6 +11,7 @@ from punctual.functions.text import valid_tail
 from punctual.operators.keep import keep_best
 from punctual.plans.clean import CLEANED
 from punctual.settings import FLIGHT_KEY
+from punctual.sources.months import read_zips
 
 SCHEMA = (
     "FlightDate string, Reporting_Airline string, Tail_Number string, Flight_Number_Reporting_Airline int, "
@@ -21,8 +22,16 @@ NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
 
 
 def read_months(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """The needed columns of (unpacked) month files, matched by header name."""
-    rows = spark.read.csv(paths, header=True, encoding="ISO-8859-1", quote='"', escape='"')
+    """The needed columns of unpacked or gzipped month files, matched by header name."""
+    return _typed(spark.read.csv(paths, header=True, encoding="ISO-8859-1", quote='"', escape='"'))
+
+
+def read_zipped_months(spark: SparkSession, paths: list[str], airports: list[str] | None = None) -> DataFrame:
+    """The same of zipped month files: zips, or folders that hold some. Flights that touch none of `airports` aren't read out of the file's task."""
+    return _typed(read_zips(spark, paths, NAMES, airports))
+
+
+def _typed(rows: DataFrame) -> DataFrame:
     types = dict(part.split() for part in SCHEMA.split(", "))
     return rows.select(*[F.col(n).try_cast("double").cast(t).alias(n) if t == "int" else F.col(n).try_cast(t).alias(n) for n, t in types.items()])
 
@@ -87,6 +96,10 @@ def load_months(spark: SparkSession, paths: list[str], airports: list[str] | Non
     return to_flights(touching(read_months(spark, paths), airports))
 
 
+def load_zipped_months(spark: SparkSession, paths: list[str], airports: list[str] | None = None) -> DataFrame:
+    return to_flights(read_zipped_months(spark, paths, airports))
+
+
 def audit(records: DataFrame) -> DataFrame:
     """One row: records read, and the flights they hold, a departure and an arrival each."""
     return records.agg(F.count("*").alias("records"), (2 * F.count("*")).alias("flights"))
