@@ -14,6 +14,8 @@ from punctual.operators import performance, quality
 from punctual.operators.alerts import sliding_rates
 from punctual.sources import store
 
+LATENCY_QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
 
 def run_available(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Process what has come since the last run with this checkpoint, batch by batch, then stop."""
@@ -77,16 +79,16 @@ def advanced_sightings(stream: DataFrame, keys: list[str], time: str, rank: str,
 # ------------------------------------------------------------------ outcomes
 
 
-def match_stream(predictions: DataFrame, outcomes: DataFrame, final_after: str = "3 hours", lookback: str = "8 days") -> DataFrame:
+def match_stream(predictions: DataFrame, outcomes: DataFrame, final_after: str = "3 hours", lookback: str = "8 days", unmatched: bool = False) -> DataFrame:
     """Predictions (id, flight_key, scheduled_time) joined to outcomes (flight_key, happened_at, seen_at, delay_minutes).
 
     An outcome is final `final_after` its flight's schedule: one seen earlier doesn't count. It must happen within the lookback; both sides
-    forget older rows by their watermarks.
+    forget older rows by their watermarks. With `unmatched`, a prediction without an outcome comes with null once both watermarks have passed its lookback.
     """
     left = predictions.withWatermark("scheduled_time", lookback).alias("p")
     right = outcomes.withColumnRenamed("flight_key", "o_key").withWatermark("seen_at", lookback).alias("o")
     in_time = F.expr(f"seen_at >= scheduled_time + interval {final_after} and seen_at <= scheduled_time + interval {lookback}")
-    joined = left.join(right, (F.col("flight_key") == F.col("o_key")) & in_time)
+    joined = left.join(right, (F.col("flight_key") == F.col("o_key")) & in_time, "left_outer" if unmatched else "inner")
     return joined.select(F.col("id").alias("prediction_id"), F.col("delay_minutes").alias("actual_delay_min"))
 
 
@@ -115,6 +117,24 @@ def request_rates(requests: DataFrame, time: str, failed: Column, width: str = "
     return sliding_rates(requests.withWatermark(time, watermark), time, failed, width, slide)
 
 
+def sketch_error(k: int) -> float:
+    """How far, as a share of all rows, a quantile's rank in a sketch of size k is off in 1 of 100 cases; up to k rows are exact."""
+    return 2.296 / k**0.9723
+
+
+def latency_sketches(requests: DataFrame, time: str, latency: str, width: str, slide: str, watermark: str, k: int = 800) -> DataFrame:
+    """p50, p95 and p99 per sliding window of a stream, once the watermark has passed the window: (start, end, n, p50, p95, p99).
+
+    A row is added to one sketch, of its pane of `slide`; the sketches of a window's panes are merged. A sketch holds a few times k numbers however
+    many rows it has seen, and its ranks are off by sketch_error(k). `width` is a multiple of `slide`.
+    """
+    rows = requests.where(F.col(latency).isNotNull()).withWatermark(time, watermark)
+    panes = rows.groupBy(F.window(time, slide).alias("pane")).agg(F.kll_sketch_agg_double(F.col(latency).cast("double"), F.lit(k)).alias("sketch"))
+    merged = panes.groupBy(F.window("pane", width, slide).alias("w")).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    at = {name: F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(name) for name, q in LATENCY_QUANTILES.items()}
+    return merged.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.kll_sketch_get_n_double("sketch").alias("n"), *at.values())
+
+
 def file_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
     """A stream over Parquet files: a folder, or a pattern of files."""
     reader = spark.readStream.schema(schema)

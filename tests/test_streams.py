@@ -1,7 +1,10 @@
 """Streams that stop and go on."""
 
+import datetime
 import random
 
+import pytest
+
 from punctual.streaming import jobs
 
 
@@ -42,3 +45,43 @@ def test_an_outcome_counts_once_it_is_final(spark, tmp_path):
     streams = [jobs.file_stream(spark, p, df.schema) for p, df in zip(paths, (asked, known))]
     jobs.run_available(jobs.match_stream(*streams), jobs.appended(paths[2]), paths[3])
     assert [tuple(r)[:2] for r in spark.read.parquet(paths[2]).collect()] == [("p1", 5.0)]
+
+
+def test_predictions_without_an_outcome_come_once_it_can_come_no_more(spark, tmp_path):
+    def predictions(rows):
+        return spark.createDataFrame(rows, "id string, flight_key string, scheduled_time string").selectExpr("id", "flight_key", "timestamp(scheduled_time) as scheduled_time")
+
+    def outcomes(rows):
+        return spark.createDataFrame(rows, "flight_key string, seen_at string, delay_minutes double").selectExpr("flight_key", "timestamp(seen_at) as happened_at", "timestamp(seen_at) as seen_at", "delay_minutes")
+
+    def run(asked, known):
+        for path, rows in (("asked", asked), ("known", known)):
+            rows.write.mode("append").parquet(str(tmp_path / path))
+        streams = [jobs.file_stream(spark, str(tmp_path / p), df.schema) for p, df in (("asked", asked), ("known", known))]
+        jobs.run_available(jobs.match_stream(*streams, unmatched=True), jobs.appended(str(tmp_path / "out")), str(tmp_path / "mark"))
+        return sorted(tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    first = run(predictions([("p1", "k1", "2024-05-01 10:00:00"), ("p2", "k2", "2024-05-01 11:00:00")]), outcomes([("k1", "2024-05-01 14:00:00", 5.0)]))
+    assert first == [("p1", 5.0)]
+    # both watermarks pass the lookback of p2: it comes without an outcome, and a late one changes nothing
+    second = run(predictions([("p3", "k3", "2024-06-01 10:00:00")]), outcomes([("k9", "2024-06-01 10:00:00", 1.0)]))
+    assert second == [("p1", 5.0), ("p2", None)]
+    assert run(predictions([("p4", "k4", "2024-06-01 10:00:00")]), outcomes([("k2", "2024-05-01 15:00:00", 7.0), ("k3", "2024-06-01 14:00:00", 2.0)])) == [("p1", 5.0), ("p2", None), ("p3", 2.0)]
+
+
+def test_sketched_quantiles_keep_their_bound(spark, tmp_path):
+    rng = random.Random(12)
+    k = 64
+    rows = [(f"2024-05-01 {10 + i % 2}:{i % 60:02d}:00", rng.expovariate(1.0)) for i in range(20_000)] + [("2024-05-01 10:30:00", None), ("2024-05-02 00:00:00", 0.0)]
+    frame = spark.createDataFrame(rows, "at string, seconds double").selectExpr("timestamp(at) as at", "seconds")
+    frame.write.parquet(str(tmp_path / "in"))
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), frame.schema)
+    jobs.run_available(jobs.latency_sketches(stream, "at", "seconds", "1 hour", "15 minutes", "10 minutes", k), jobs.appended(str(tmp_path / "out")), str(tmp_path / "mark"))
+    windows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(windows) == 11 and sum(w["n"] for w in windows) == 4 * 20_000  # a row is in four windows, its pane is counted once in each
+    for w in windows:
+        values = sorted(v for at, v in rows if v is not None and w["start"] <= datetime.datetime.fromisoformat(at) < w["end"])
+        for name, q in jobs.LATENCY_QUANTILES.items():
+            rank = sum(v <= w[name] for v in values) / len(values)
+            assert abs(rank - q) <= 2 * jobs.sketch_error(k) + 1 / len(values)
+    assert jobs.sketch_error(200) == pytest.approx(0.0133, abs=1e-4)
