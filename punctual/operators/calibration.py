@@ -8,12 +8,13 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.functions.numeric import logit
+from punctual.operators.isotonic import apply_isotonic, fit_isotonic, isotonic_intervals
 from punctual.operators.ranks import rank_values
+from punctual.session import written
 
 MIN_FLAGGED = 20
 
@@ -69,7 +70,7 @@ class Calibrator:
     method: str
     slope: float = 1.0
     intercept: float = 0.0
-    isotonic: object = None
+    isotonic: DataFrame | None = None  # intervals, a table
 
     @staticmethod
     def fit(df: DataFrame, y: str, p: str, method: str = "sigmoid") -> Calibrator:
@@ -79,14 +80,14 @@ class Calibrator:
             model = LogisticRegression(featuresCol="_f", labelCol="_y", regParam=0.0, maxIter=100, tol=1e-9).fit(shaped)
             return Calibrator(method, float(model.coefficients[0]), float(model.intercept))
         if method == "isotonic":
-            return Calibrator(method, isotonic=IsotonicRegression(featuresCol="_p", labelCol="_y").fit(rows))
+            return Calibrator(method, isotonic=written(isotonic_intervals(fit_isotonic(rows, "_p", "_y")), "isotonic-intervals"))
         raise ValueError(f"unknown calibration {method!r}")
 
     def transform(self, df: DataFrame, p: str, name: str) -> DataFrame:
         if self.method == "sigmoid":
             z = logit(F.col(p)) * self.slope + self.intercept
             return df.withColumn(name, 1 / (1 + F.exp(-z)))
-        fitted = self.isotonic.copy().setFeaturesCol(p).setPredictionCol(name).transform(df)
+        fitted = apply_isotonic(df, p, self.isotonic, name)
         return fitted.withColumn(name, F.greatest(F.least(F.col(name), F.lit(1.0)), F.lit(0.0)))
 
 

@@ -11,7 +11,7 @@ from punctual.operators import calibration, metrics, quality, rates, splits
 from punctual.operators.ranks import position_ids
 from punctual.plans import modelling
 from punctual.queries import feeds
-from punctual.queries.evaluation import SAMPLES, SEED, _round, base_frame
+from punctual.queries.evaluation import BASE, SAMPLES, SEED, _round, base_frame
 from punctual.queries.features import FEATURES, frame
 from punctual.queries.registry import query, table
 from punctual.session import written
@@ -209,10 +209,20 @@ def platt_calibrated(spark, sf_dir):
     return _round(fitted.transform(rows, "p", "calibrated"), "calibrated").select("row_id", "is_delayed", "p", "calibrated")
 
 
-@query("isotonic_calibrated")
+@query(
+    "isotonic_calibrated",
+    f"""WITH {BASE}, f AS (SELECT p AS x, count(*) AS n, sum(is_delayed) AS s FROM base WHERE split <> 'test' AND p IS NOT NULL GROUP BY 1),
+      c AS (SELECT x, n, s, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(s) OVER (ORDER BY x) AS cs FROM f),
+      m AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON b.i >= a.i),
+      least AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS v FROM m), rising AS (SELECT i, max(v) AS v FROM least GROUP BY i),
+      points AS (SELECT x, v, lead(x) OVER (ORDER BY x) AS nx, lead(v) OVER (ORDER BY x) AS nv FROM c JOIN rising USING (i))
+    SELECT row_id, is_delayed, p, round(CASE WHEN x IS NULL THEN (SELECT arg_min(v, x) FROM points) WHEN nx IS NULL THEN v ELSE v + (nv - v) * (p - x) / (nx - x) END, 6) AS calibrated
+    FROM base ASOF LEFT JOIN points ON base.p >= points.x""",
+)
 def isotonic_calibrated(spark, sf_dir):
+    """The rising function nearest to the outcomes, by pooled blocks; in SQL by the largest of the least means."""
     rows = written(base_frame(spark, sf_dir).select("row_id", "split", "is_delayed", "p"), "probabilities")
     fitted = calibration.Calibrator.fit(rows.filter("split <> 'test'"), "is_delayed", "p", "isotonic")
-    return fitted.transform(rows, "p", "calibrated").select("row_id", "is_delayed", "p", "calibrated")
+    return _round(fitted.transform(rows, "p", "calibrated"), "calibrated").select("row_id", "is_delayed", "p", "calibrated")
 
 
