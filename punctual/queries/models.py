@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from punctual.operators import calibration, metrics, quality, rates, splits
 from punctual.operators.ranks import position_ids
-from punctual.plans import modelling
+from punctual.plans import boosting, modelling
 from punctual.queries import feeds
 from punctual.queries.evaluation import BASE, SAMPLES, SEED, _round, base_frame
 from punctual.queries.features import FEATURES, frame
@@ -90,6 +90,43 @@ def leaf_quantile_ranges(spark, sf_dir):
     return model.predict(test).select("row_number", "delay_minutes", "q10", "q50", "q90")
 
 
+@query(
+    "boosted_first_round",
+    f"""WITH {BASE}, rows AS (SELECT row_id, split, delay_minutes::DOUBLE AS y, hour(scheduled_datetime) AS h, dayofweek(scheduled_datetime) AS d FROM base),
+      start AS (SELECT unnest(range(3)) AS i, unnest(quantile_cont(y, [0.1, 0.5, 0.9])) AS b, unnest([0.1, 0.5, 0.9]) AS q FROM rows WHERE split <> 'test'),
+      cells AS (SELECT i, q, f.c, f.v, count(*) AS n, sum(CASE WHEN y < b THEN 1 ELSE 0 END) - q * count(*) AS g FROM rows, start, LATERAL (VALUES (0, h), (1, d)) f(c, v) WHERE split <> 'test' GROUP BY i, q, f.c, f.v),
+      sides AS (SELECT i, c, v, sum(n) OVER w AS ln, sum(g) OVER w AS lg, sum(n) OVER a - sum(n) OVER w AS rn, sum(g) OVER a - sum(g) OVER w AS rg FROM cells WINDOW w AS (PARTITION BY i, c ORDER BY v), a AS (PARTITION BY i, c)),
+      cut AS (SELECT i, c, v FROM sides WHERE ln >= 20 AND rn >= 20 QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(lg * lg / ln + rg * rg / rn, 6) DESC, c, v) = 1),
+      parted AS (SELECT r.*, s.i, s.b, CASE c WHEN 0 THEN h ELSE d END <= v AS low FROM rows r, start s JOIN cut USING (i)),
+      leaf AS (SELECT i, low, quantile_cont(y - b, [0.1, 0.5, 0.9])[i + 1] AS step FROM parted WHERE split <> 'test' GROUP BY i, low),
+      found AS (SELECT row_id, list_sort(list(b + step)) AS p FROM parted JOIN leaf USING (i, low) GROUP BY row_id)
+    SELECT row_id, round(p[1], 6) AS q10, round(p[2], 6) AS q50, round(p[3], 6) AS q90 FROM found""",
+)
+def boosted_first_round(spark, sf_dir):
+    """Boosted quantiles after one round of one split each."""
+    rows = base_frame(spark, sf_dir).select("row_id", "split", "delay_minutes", F.hour(TIME).alias("hour"), F.dayofweek(TIME).alias("weekday"))
+    rows = written(rows, "rows")
+    once = boosting.QuantileBoostSettings(rounds=1, depth=1, step=1.0)
+    model = boosting.fit_boosted(rows.filter("split <> 'test'"), ["hour", "weekday"], "delay_minutes", once)
+    return _round(model.predict(rows), *boosting.PROBS).select("row_id", *boosting.PROBS)
+
+
+@query("range_model_losses")
+def range_model_losses(spark, sf_dir):
+    """Pinball loss on held-out departures of one tree and of boosted trees."""
+    features = inputs_of(["calendar", "identity", "rotation", "rates"])
+    parts = _parts(model_rows(spark, sf_dir))
+    fit, test = (written(modelling.prepare_input(p, features, ["row_number", "delay_minutes"]), "part") for p in parts)
+    single = modelling.LeafQuantiles.fit(fit, modelling.Encoder.fit(fit, features), "delay_minutes", MINUTES).predict(test)
+    orders = boosting.target_order(fit, list(features.categorical), "delay_minutes")
+    names = [*features.numerical, *features.categorical]
+    model = boosting.fit_boosted(boosting.scored(fit, orders), names, "delay_minutes", boosting.QuantileBoostSettings(rounds=15, depth=3, step=0.3))
+    boosted = model.predict(boosting.scored(test, orders))
+    loss = boosting.pinball(F.col("delay_minutes"), {q: F.col(q) for q in boosting.PROBS})
+    out = [df.agg(F.lit(name).alias("model"), F.count("delay_minutes").alias("n"), F.avg(loss).alias("pinball")) for name, df in (("tree", single), ("boosted", boosted))]
+    return out[0].unionByName(out[1])
+
+
 def _bundle(rows, groups):
     return modelling.fit_bundle(rows, inputs_of(groups), folds=FOLDS, tree=MINUTES)
 
