@@ -9,7 +9,7 @@ from itertools import product
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
@@ -99,7 +99,10 @@ class Encoder:
 
     def transform(self, df: DataFrame) -> DataFrame:
         columns = self.numbers
-        out = df.withColumn("_numbers", array_to_vector(F.array(*[c for _, c in columns.values()]))) if columns else df
+        out = df
+        if columns:  # with its size said, the vector isn't looked up in the rows
+            out = df.withColumn("_numbers", array_to_vector(F.array(*[c for _, c in columns.values()])))
+            out = VectorSizeHint(inputCol="_numbers", size=len(columns), handleInvalid="optimistic").transform(out)
         if self.encoders is not None:
             out = self.encoders.transform(out)
         parts = (["_numbers"] if columns else []) + [f"o_{c}" for c in self.features.categorical]

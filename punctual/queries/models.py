@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from punctual.operators import calibration, metrics, quality, rates, splits
 from punctual.operators.ranks import position_ids
-from punctual.plans import boosting, modelling
+from punctual.plans import boosting, explain, modelling
 from punctual.queries import feeds
 from punctual.queries.evaluation import BASE, SAMPLES, SEED, _round, base_frame
 from punctual.queries.features import FEATURES, frame
@@ -188,6 +188,36 @@ def factor_importance(spark, sf_dir):
     return modelling.importance(modelling.contributions(model, encoder, rows, ["row_number"]), ["row_number"])
 
 
+def _boosted(spark, sf_dir):
+    """A boosted classifier of late departures, its encoder and held-out rows with their explanations and log-odds."""
+    features = inputs_of(["calendar", "identity", "rotation"])
+    fit, test = _parts(model_rows(spark, sf_dir))
+    fit, test = (modelling.prepare_input(p, features, ["row_number", "is_delayed"]) for p in (fit, test))
+    encoder = modelling.Encoder.fit(fit, features)
+    model = modelling.fit_classifier(fit, encoder, "is_delayed", modelling.BoostSettings())
+    return model, encoder, written(test, "held-out")
+
+
+@query("boosted_explanations")
+def boosted_explanations(spark, sf_dir):
+    """The six inputs that matter most to each score of the boosted classifier."""
+    model, encoder, test = _boosted(spark, sf_dir)
+    parts = explain.tree_contributions(model, encoder, test, ["row_number"]).drop("base")
+    factors = modelling.top_factors(parts, ["row_number"], 6)
+    return factors.select("row_number", F.posexplode("factors").alias("rank", "f")).select("row_number", "rank", "f.feature", "f.contribution")
+
+
+@query("explanations_add_up", f"""WITH {BASE} SELECT count(*) AS n, count(*) AS equal FROM base WHERE scheduled_datetime >= TIMESTAMP '2024-01-24'""")
+def explanations_add_up(spark, sf_dir):
+    """Of the held-out departures, those whose base and contributions give the boosted classifier's own probability."""
+    model, encoder, test = _boosted(spark, sf_dir)
+    parts = explain.tree_contributions(model, encoder, test, ["row_number"])
+    total = reduce(lambda a, b: a + b, [F.col(c) for c in parts.columns if c != "row_number"])
+    own = modelling.predict_probability(model, encoder, test, "p").select("row_number", "p")
+    both = parts.select("row_number", (1 / (1 + F.exp(-total))).alias("q")).join(own, "row_number")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("p") - F.col("q")) < 1e-9).alias("equal"))
+
+
 @query("ablation_report")
 def ablation_report(spark, sf_dir):
     """MAE and Brier per cumulative feature set, paired against the first one."""
