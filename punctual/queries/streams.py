@@ -227,18 +227,16 @@ def stream_all_outcomes(spark, sf_dir):
       round(no_outcome_share, 6) AS no_outcome_share, round(no_inbound_share, 6) AS no_inbound_share FROM daily""",
 )
 def stream_daily_metrics(spark, sf_dir):
-    """Scored predictions come in two runs; the latest one of each flight is kept as state, its day's numbers follow."""
+    """Scored predictions come in two runs; each batch brings the numbers of the days it touches up to date."""
     log, outcomes, _ = _world(spark, sf_dir)
     scored = predictions.scored_flights(log, outcomes, _ts(SINCE), _ts(UNTIL))
     scored = written(scored.withColumns({c: F.col(c).cast("timestamp") for c in ("scheduled_time", "created_at")}), "scored")
-    incoming, out, mark = (scratch_path(spark, n) for n in ("scored", "latest", "latest-mark"))
+    incoming, out, mark = (scratch_path(spark, n) for n in ("scored", "days", "days-mark"))
     halves = F.pmod(F.xxhash64("id"), F.lit(2))
     for k in (0, 1):
         scored.filter(halves == k).write.mode("append").parquet(incoming)
-        stream = jobs.file_stream(spark, incoming, scored.schema, per_trigger=8)
-        jobs.run_available(jobs.latest_predictions(stream, "scheduled_time", "60 days"), jobs.appended(out), mark, "update")
-    latest = _latest_batches(spark, out, ["model_version", "flight_key", "scheduled_time"])
-    daily = jobs.daily_metrics(latest, "scheduled_time", MonitorSettings().min_daily_outcomes)
+        jobs.daily_metrics(jobs.file_stream(spark, incoming, scored.schema), out, mark, MonitorSettings().min_daily_outcomes)
+    daily = spark.read.parquet(f"{out}/daily")
     shares = ["mae", "brier", "coverage", "no_outcome_share", "no_inbound_share"]
     return _round(daily.withColumn("day", F.col("day").cast("string")), *shares).select("day", "model_version", "predicted_flights", "matched_flights", *shares)
 

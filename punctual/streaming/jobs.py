@@ -7,11 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from punctual.operators import performance, quality
 from punctual.operators.alerts import sliding_rates
+from punctual.operators.keep import keep_best
+from punctual.session import written
 from punctual.sources import store
 
 LATENCY_QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
@@ -95,21 +99,46 @@ def match_stream(predictions: DataFrame, outcomes: DataFrame, final_after: str =
 # ------------------------------------------------------------------ windowed metrics
 
 
-def latest_predictions(scored: DataFrame, time: str, watermark: str = "8 days") -> DataFrame:
-    """The latest prediction of each model version and flight, as a stream of updates. `id` breaks ties of created_at."""
-    columns = ["p_delay", "q10", "q50", "q90", "has_inbound", "actual_delay_min"]
-    newest = F.max_by(F.struct(*columns), F.struct("created_at", "id"))
-    grouped = scored.withWatermark(time, watermark).groupBy("model_version", "flight_key", time).agg(newest.alias("_row"))
-    return grouped.select("model_version", "flight_key", time, "_row.*")
+SCORED = ["model_version", "flight_key", "scheduled_time", "created_at", "id", "p_delay", "q10", "q50", "q90", "has_inbound", "actual_delay_min"]
 
 
-def daily_metrics(latest: DataFrame, time: str, min_outcomes: int) -> DataFrame:
-    """Per day and model version the numbers of performance.daily_performance, from rows of latest_predictions.
+def read_days(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table partitioned by `day`, empty before the first batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
-    Meant for foreachBatch: `latest` holds the newest update of each flight of the days that a batch touched.
+
+def write_days(rows: DataFrame, path: str) -> None:
+    """Replace the days that `rows` hold; other days stay. A day with very many rows is split over several tasks."""
+    writer = rows.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("day").parquet(path)
+
+
+def daily_metrics(scored: DataFrame, path: str, checkpoint: str, min_outcomes: int) -> None:
+    """Keep the daily numbers of performance.daily_performance up to date: each batch reckons the days it touches anew.
+
+    `path`/latest holds the newest prediction of each model version and flight, `path`/daily the numbers, both by day of the schedule. A batch reads and
+    replaces only the days it has rows of, whatever came before, and a batch that runs again gives the same tables. Rows without a schedule don't count.
     """
-    rows = latest.withColumns({"scheduled_time": F.col(time), "created_at": F.col(time), "id": F.lit(0)})
-    return performance.daily_performance(rows, min_outcomes)
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*SCORED, F.to_date("scheduled_time").alias("day")).filter("day is not null")
+        rows = written(rows, "scored-batch")
+        days = [r["day"] for r in rows.select("day").distinct().collect()]
+        if not days:
+            return
+        had = read_days(spark, f"{path}/latest", rows.schema).filter(F.col("day").isin(days))
+        latest = keep_best(had.unionByName(rows), ["model_version", "flight_key"], [F.desc("created_at"), F.desc("id")])
+        latest = written(latest, "latest-of-days")
+        write_days(latest, f"{path}/latest")
+        write_days(performance.daily_performance(latest, min_outcomes), f"{path}/daily")
+
+    run_available(scored, load, checkpoint)
 
 
 def request_rates(requests: DataFrame, time: str, failed: Column, width: str = "5 minutes", slide: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:

@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from punctual.streaming import jobs
 
@@ -85,3 +86,22 @@ def test_sketched_quantiles_keep_their_bound(spark, tmp_path):
             rank = sum(v <= w[name] for v in values) / len(values)
             assert abs(rank - q) <= 2 * jobs.sketch_error(k) + 1 / len(values)
     assert jobs.sketch_error(200) == pytest.approx(0.0133, abs=1e-4)
+
+
+def test_batches_bring_only_their_days_up_to_date(spark, tmp_path):
+    schema = "id string, model_version string, flight_key string, scheduled_time string, created_at string, p_delay double, q10 double, q50 double, q90 double, has_inbound string, actual_delay_min double"
+
+    def feed(*rows):
+        frame = spark.createDataFrame(rows, schema).withColumns({c: F.col(c).cast("timestamp") for c in ("scheduled_time", "created_at")})
+        frame.write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.daily_metrics(jobs.file_stream(spark, str(tmp_path / "in"), frame.schema), str(tmp_path / "out"), str(tmp_path / "mark"), 1)
+        return {str(r["day"]): (r["predicted_flights"], r["matched_flights"], r["mae"]) for r in spark.read.parquet(str(tmp_path / "out" / "daily")).collect()}
+
+    def row(key, day, created, q50, actual):
+        return (f"{key}{created}", "m", key, f"2024-05-{day:02d} 10:00:00", f"2024-05-{day:02d} {created:02d}:00:00", 0.5, 0.0, q50, 20.0, "1", actual)
+
+    assert feed(row("a", 1, 5, 10.0, 12.0), row("a", 1, 4, 99.0, 12.0), row("b", 2, 5, 10.0, 16.0)) == {"2024-05-01": (1, 1, 2.0), "2024-05-02": (1, 1, 6.0)}
+    second = tmp_path / "out" / "daily" / "day=2024-05-02"
+    before = sorted(p.name for p in second.iterdir())
+    assert feed(row("a", 1, 3, 77.0, 12.0), row("c", 1, 5, 10.0, None), (*row("x", 1, 5, 1.0, 1.0)[:3], None, *row("x", 1, 5, 1.0, 1.0)[4:])) == {"2024-05-01": (2, 1, 2.0), "2024-05-02": (1, 1, 6.0)}
+    assert sorted(p.name for p in second.iterdir()) == before
