@@ -93,10 +93,10 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = learn_languages(docs.where(remainder(5) != 0))
-    found = identify_languages(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", "languages", "proportions")
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder(5) == 0, F.lit(False)))
+    model = learn_languages(docs.where("not held_out"))
+    found = identify_languages(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "languages", "proportions")
 
 
 @query("op9_quality_rules")

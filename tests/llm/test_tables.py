@@ -261,3 +261,11 @@ def test_manifest_of_odd_documents(spark):
     row = merkle_manifest(one, without_newlines()).first()
     assert row["leaf"] == row["subroot"] == row["root"] and row["proof_sha256"] == h("") and row["verified"]
     assert one.select(field_digest(F.col("lang"))).first()[0] == h("-")
+
+
+def test_documents_without_an_id_are_not_held_out(spark, tmp_path):
+    docs = odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["op8_language_id"](spark, str(tmp_path)).collect()
+    assert len(found) == docs.count()
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
