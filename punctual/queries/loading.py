@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import functions as F
 
 from punctual.functions.text import logo_code
@@ -497,6 +499,20 @@ def board_page_flights(spark, sf_dir):
     return flights.select(*columns, F.coalesce("origin", F.lit("-")).alias("origin"))
 
 
+@query(
+    "saved_pages_parsed",
+    """SELECT page_id, html AS content, 'layout_changed' AS status, 0 AS flights, 'none of the flight tables is on the page' AS error FROM pages""",
+)
+def saved_pages_parsed(spark, sf_dir):
+    """All pages saved gzipped with a manifest, read back by it and parsed again."""
+    folder = scratch_path(spark, "saved-pages")
+    manifest = written(pages.save_pages(table(spark, sf_dir, "pages"), folder, "page_id"), "manifest")
+    stored = pages.saved_pages(spark, folder, manifest)
+    again = pages.reparse(spark, folder, manifest).select("page_id", "status", F.col("rows").alias("flights"), "error")
+    inflate = F.udf(lambda content: gzip.decompress(content).decode(), "string", useArrow=True)
+    return stored.select("page_id", inflate("html").alias("content")).join(again, "page_id")
+
+
 @query(
     "logo_codes",
     """SELECT page_id, upper(split_part(split_part(url, '/', -1), '.', 1)) AS code FROM pages""",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import re
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from punctual.sources.months import opened
 
 # Table header text -> field; the day header has no cell of its own
 HEADERS = {
@@ -178,6 +182,32 @@ def page_flights(parsed: DataFrame, airport: str = "airport") -> DataFrame:
     return rows.withColumns({"destination": F.when(departure, place), "origin": F.when(~departure, place)})
 
 
+def save_pages(pages: DataFrame, folder: str, key: str, html: str = "html") -> DataFrame:
+    """Write each page gzipped to a file of its own below `folder`; the manifest (file, other columns of `pages`) when read. Pages without content have no file.
+
+    Files are named by `key`, which tells pages apart, and lie in 256 folders; one that is written again is the same.
+    """
+    kept = [c for c in pages.columns if c != html]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = opened(folder)
+        for batch in batches:
+            names = []
+            for name, page in zip(batch.column(key).to_pylist(), batch.column(html).to_pylist()):
+                if page is None:
+                    names.append(None)
+                    continue
+                stem = re.sub(r"[^A-Za-z0-9_-]", lambda m: f"%{ord(m[0]):x}", str(name))
+                place = f"{root}/{zlib.crc32(stem.encode()) % 256:02x}"
+                files.create_dir(place, recursive=True)
+                with files.open_output_stream(f"{place}/{stem}.html.gz", compression=None) as out:
+                    out.write(gzip.compress(page.encode(), mtime=0))
+                names.append(f"{stem}.html.gz")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(batch.column(c) for c in kept)], names=["file", *kept])
+
+    return pages.mapInArrow(run, StructType([StructField("file", StringType()), *(pages.schema[c] for c in kept)]))
+
+
 def saved_pages(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """Pages of earlier runs with their gzipped content, as listed by `manifest` (airport, url, file)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html.gz").option("recursiveFileLookup", "true").load(folder)
