@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables; ALL_QUERIES=1 runs every one."""
 
 import os
+import sys
 
 import pytest
 
@@ -10,7 +11,7 @@ from tests.oracle import compare, connect
 SF = "/root/testdata/sf0.001"
 SOME = [
     "flights_cleaned", "feature_frame", "loader_rows", "upsert_rows", "ontime_flights", "board_page_flights", "regression_report",
-    "gate_checks", "daily_performance", "stored_flight_scan", "input_drift", "association_rules", "rolling_folds", "stream_daily_metrics", "firing_alerts",
+    "gate_checks", "daily_performance", "stored_flight_scan", "saved_pages_parsed", "input_drift", "association_rules", "rolling_folds", "stream_daily_metrics", "firing_alerts",
 ]
 NAMES = sorted(ORACLES) if os.environ.get("ALL_QUERIES") else SOME
 
@@ -26,9 +27,20 @@ def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, SF, QUERIES[name], ORACLES[name]) == ""
 
 
+BUILT = sorted(n for n, fn in QUERIES.items() if n not in NAMES and fn.__module__.endswith((".loading", ".cleaning")))  # ALL_QUERIES=1 runs the others too
+
+
+@pytest.fixture
+def nothing_is_stored(monkeypatch):
+    """Steps that store a table between hand it on as it is, so that building a query runs little."""
+    for name, module in list(sys.modules.items()):
+        if name.startswith("punctual.") and hasattr(module, "written"):
+            monkeypatch.setattr(module, "written", lambda df, name: df)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(NAMES)))
-def test_query_can_be_built(spark, name):
+@pytest.mark.parametrize("name", BUILT)
+def test_query_can_be_built(spark, nothing_is_stored, name):
     assert QUERIES[name](spark, SF).columns
 
 
