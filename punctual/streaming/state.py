@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from punctual.streaming.jobs import run_available
 
