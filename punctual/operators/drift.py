@@ -5,8 +5,11 @@ Both frames are reduced to counts per (feature, value) first, so cost follows di
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from punctual.operators.ranks import interpolated, running_sum, slice_edges
 from punctual.session import written
@@ -17,6 +20,7 @@ MISSING = "(missing)"
 OTHER = "(other)"
 MAX_CATEGORIES = 20
 BINS = 10
+EXACT_ROWS = 10_000  # rows of the larger side up to which the KS p-value is exact
 
 
 def _long(df: DataFrame, numerical: list[str], categorical: list[str], side: str) -> DataFrame:
@@ -85,14 +89,52 @@ def kolmogorov_tail(statistic: Column, n: Column, m: Column) -> Column:
     return F.when(x < 0.2, 1.0).otherwise(F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0)))
 
 
-def ks_test(counts: DataFrame, edges: list[float] | None = None) -> DataFrame:
-    """(feature, ks, ks_pvalue) over known values of numeric features; null where a side has none."""
+def lattice_tail(n: int, m: int, gap: int) -> float:
+    """Chance that two samples of one distribution, n and m rows, have a KS statistic of gap / (n * m) or more.
+
+    An order of the n + m rows is a path over a lattice; |i * m - j * n| >= gap lies outside. Per anti-diagonal, each point has the chance that a
+    random path to it has been outside: a mean of its two predecessors', weighted by how many paths come from each. All terms are
+    positive, so small chances keep their precision. Takes n + m steps over one array of n numbers.
+    """
+    if gap <= 0:
+        return 1.0
+    was_out = np.ones(n + 2)  # one place more in front: point i is at i + 1
+    was_out[1] = 0
+    low_before = 0
+    for s in range(1, n + m + 1):
+        low = max(0, s - m, (s * n - gap) // (n + m) + 1)
+        high = min(n, s, -((-s * n - gap) // (n + m)) - 1)
+        if high < low:
+            return 1.0
+        i = np.arange(low, high + 1)
+        inside = (i * was_out[low : high + 1] + (s - i) * was_out[low + 1 : high + 2]) / s
+        was_out[low_before + 1 : low + 1] = 1
+        was_out[low + 1 : high + 2] = inside
+        low_before = low
+    return float(was_out[n + 1])
+
+
+@F.pandas_udf(DoubleType())
+def _exact_pvalue(statistic: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """One row per feature; null statistics stay null."""
+    return pd.Series([None if pd.isna(d) else lattice_tail(int(min(a, b)), int(max(a, b)), round(d * a * b)) for d, a, b in zip(statistic, n, m)], dtype=float)
+
+
+def ks_test(counts: DataFrame, edges: list[float] | None = None, exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """(feature, ks, ks_pvalue, ks_method) over known values of numeric features; no row where a side has none.
+
+    The p-value is exact where neither side has more than `exact_rows` rows, else asymptotic; ks_method says which. Ties are
+    taken as any order, which makes the exact value an upper bound.
+    """
     known = counts.filter("num is not null").select("feature", "num", "ref", "cur")
     ranked = running_sum(known, ["feature"], "num", ["ref", "cur"], edges=edges)
     gap = F.max(F.abs(F.col("run_ref") / F.col("all_ref") - F.col("run_cur") / F.col("all_cur")))
     both = ranked.filter("all_ref > 0 and all_cur > 0").groupBy("feature")
     found = both.agg(gap.alias("ks"), F.max("all_ref").cast("double").alias("_n"), F.max("all_cur").cast("double").alias("_m"))
-    return found.select("feature", "ks", kolmogorov_tail(F.col("ks"), F.col("_n"), F.col("_m")).alias("ks_pvalue"))
+    few = F.greatest("_n", "_m") <= exact_rows
+    exact = _exact_pvalue(F.when(few, F.col("ks")), F.col("_n"), F.col("_m"))
+    pvalue = F.when(few, exact).otherwise(kolmogorov_tail(F.col("ks"), F.col("_n"), F.col("_m")))
+    return found.select("feature", "ks", pvalue.alias("ks_pvalue"), F.when(few, "exact").otherwise("asymptotic").alias("ks_method"))
 
 
 def detect_drift(

@@ -295,7 +295,24 @@ def lineitem_drift(spark, sf_dir):
 def lineitem_ks(spark, sf_dir):
     old, new = _orders_sides(spark, sf_dir, ["l_quantity", "l_extendedprice"])
     counts = written(drift.value_counts(old, new, ["l_quantity", "l_extendedprice"], []), "value_counts")
-    return _round(drift.ks_test(counts), "ks", "ks_pvalue")
+    return _round(drift.ks_test(counts, exact_rows=0), "ks", "ks_pvalue").drop("ks_method")
+
+
+_LENGTHS = "(SELECT CAST(n_chars AS DOUBLE) AS n_chars, CAST(quality AS DOUBLE) AS quality FROM documents JOIN labels USING (doc_id) WHERE toxic = {0})"
+
+
+@query(
+    "toxic_length_ks",
+    f"""WITH RECURSIVE {drift_sql(_LENGTHS.format(1), _LENGTHS.format(0), ['n_chars', 'quality'], [])}, c AS (SELECT feature, count(num) FILTER (side = 'ref') AS n, count(num) FILTER (side = 'cur') AS m FROM lg GROUP BY 1),
+    walk AS (SELECT feature, ks, n, m, CAST(round(ks * n * m) AS BIGINT) AS gap, 0 AS s, list_transform(range(n + 1), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE 1.0 END) AS p FROM ks JOIN c USING (feature) WHERE n <= 10000 AND m <= 10000
+      UNION ALL SELECT feature, ks, n, m, gap, s + 1, list_transform(range(n + 1), lambda i: CASE WHEN i > s + 1 OR s + 1 - i > m OR abs(i * m - (s + 1 - i) * n) >= gap THEN 1.0::DOUBLE ELSE (i * coalesce(p[i], 0) + (s + 1 - i) * p[i + 1]) / (s + 1) END) FROM walk WHERE s < n + m)
+    SELECT feature, round(ks, 6) AS ks, round(p[n + 1], 9) AS ks_pvalue, 'exact' AS ks_method FROM walk WHERE s = n + m""",
+)
+def toxic_length_ks(spark, sf_dir):
+    labelled = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double")).join(table(spark, sf_dir, "labels"), "doc_id")
+    sides = [labelled.where(F.col("toxic") == t).select("n_chars", F.col("quality").cast("double")) for t in (1, 0)]
+    found = drift.ks_test(written(drift.value_counts(*sides, ["n_chars", "quality"], []), "value_counts"))
+    return _round(found, "ks").withColumn("ks_pvalue", F.round("ks_pvalue", 9))
 
 
 _SCENARIO = "(SELECT {0} AS Scheduled_Hour_of_Day, {1} AS has_inbound, {2} AS scheduled_turnaround_min FROM log WHERE created_at {3} TIMESTAMP '2024-01-22')"
