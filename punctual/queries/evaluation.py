@@ -11,6 +11,7 @@ from punctual.functions.numeric import TARGET_TRANSFORMS, hash_uniform, late_fla
 from punctual.functions.text import flight_key, slug
 from punctual.operators import calibration, gate, metrics, rates, splits
 from punctual.operators.ranks import rank_values
+from punctual.operators.resamples import resampled_means, resamples
 from punctual.plans import modelling
 from punctual.queries import feeds
 from punctual.queries.registry import query, table
@@ -237,6 +238,26 @@ def bootstrap_draws(spark, sf_dir):
     return drawn.agg(F.sum("times").alias("rows_drawn"), F.count(F.lit(1)).alias("distinct_rows"), F.max("times").alias("most"))
 
 
+@query(
+    "resampled_rows",
+    f"WITH {BASE}, t AS (SELECT count(*) AS n FROM base WHERE split = 'test') SELECT CAST(b AS INTEGER) AS replicate, CAST(n AS BIGINT) AS rows_drawn FROM t, range({SAMPLES}) r(b) WHERE n > 0",
+)
+def resampled_rows(spark, sf_dir):
+    ids = base_frame(spark, sf_dir).filter("split = 'test'").select("row_id")
+    return resamples(ids, "row_id", SAMPLES, SEED).groupBy("replicate").agg(F.sum("times").alias("rows_drawn"))
+
+
+@query("resampled_errors")
+def resampled_errors(spark, sf_dir):
+    """Mean absolute errors of the model and of the grouped baseline over exact resamples, and how much less the model's is, with intervals."""
+    error = lambda c: F.abs(F.col("delay_minutes") - F.col(c))
+    rows = written(scored_test(spark, sf_dir).select("row_id", error("p50").alias("model"), error("g_p50").alias("grouped")), "errors")
+    drawn = resampled_means(rows, "row_id", ["model", "grouped"], SAMPLES, SEED).withColumn("gain", F.col("grouped") - F.col("model"))
+    long = drawn.select(F.explode(F.map_from_arrays(*[F.array(*[make(c) for c in ("model", "grouped", "gain")]) for make in (F.lit, F.col)])).alias("name", "x"))
+    found = long.groupBy("name").agg(F.avg("x").alias("mean"), *metrics.interval("x"))
+    return _round(found, "mean", "low", "high")
+
+
 # ------------------------------------------------------------------ baselines
 
 
