@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,9 @@ SETTINGS = {
 }
 
 
+_passing: ContextVar[list[str] | None] = ContextVar("passing tables", default=None)
+
+
 def get_session(app: str = "punctual", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -50,6 +56,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,3 +66,27 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table whose last reader is done."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete at the end what `written` stores inside. The function given stores a table that stays.
+
+    What leaves the block must read tables that stay, and those outside, alone: a lost executor's work is then repeated from them.
+    """
+    outer, paths = _passing.get(), []
+    token = _passing.set(paths)
+
+    def stays(df: DataFrame, name: str) -> DataFrame:
+        table = written(df, name)
+        path = paths.pop()
+        if outer is not None:
+            outer.append(path)
+        return table
+
+    try:
+        yield stays
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            remove(spark, path)
