@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from punctual.llm.components import connected_components
 from punctual.llm.exchange import blocked, column, meet, replies
 from punctual.llm.words import ODD, mix, windows, words
-from punctual.session import written
+from punctual.session import passing_tables, written
 
 PERCENT = 85  # of the union, that the intersection has to be
 WORDS = 4
@@ -189,17 +189,23 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     only the least member that each one reaches. So no link between components is lost, and copies are not expanded. Null, empty and blank texts have empty sets and link with nothing;
     repeated rows are copies; an empty table gives an empty result.
     """
-    found = written(shingle_sets(docs, key, text, percent, size), "shingles")
-    able = found.where("same is not null and key is not null")
-    members = found.where("same is not null").groupBy("same").agg(F.min("key").alias("rep"), F.count("key").alias("n_copies"), F.count("*").alias("texts")).where("rep is not null")
-    members = written(members, "members")
-    chosen = able.join(members.select("same", F.col("rep").alias("key"), "texts"), ["same", "key"]).dropDuplicates(["same"])
-    own = F.when(F.col("texts") <= FEW, F.element_at("few", F.col("texts").cast("int"))).otherwise(0)  # shingles that no other set holds
-    member = chosen.select(F.col("key").alias("rep"), "group", F.col("n_shingles").alias("n"), own.alias("own"))
-    sets = chosen.select(F.col("key").alias("rep"), "shingles")
-    sets = written(sets, "sets")
-    groups = written(chosen.groupBy("group").agg(F.min("key").alias("of"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix")), "groups")
-    member = written(member, "member")
+    with passing_tables(docs.sparkSession) as stays:
+        return stays(_components(docs, key, text, percent, size), "components")
+
+
+def _components(docs: DataFrame, key: str, text: str, percent: int, size: int) -> DataFrame:
+    """As jaccard_components; reads tables that pass."""
+    with passing_tables(docs.sparkSession) as stays:  # the sets of all texts go as soon as those of the members are stored
+        found = written(shingle_sets(docs, key, text, percent, size), "shingles")
+        able = found.where("same is not null and key is not null")
+        members = found.where("same is not null").groupBy("same").agg(F.min("key").alias("rep"), F.count("key").alias("n_copies"), F.count("*").alias("texts")).where("rep is not null")
+        members = stays(members, "members")
+        chosen = able.join(members.select("same", F.col("rep").alias("key"), "texts"), ["same", "key"]).dropDuplicates(["same"])
+        own = F.when(F.col("texts") <= FEW, F.element_at("few", F.col("texts").cast("int"))).otherwise(0)  # shingles that no other set holds
+        chosen = stays(chosen.select(F.col("key").alias("rep"), "group", F.col("n_shingles").alias("n"), own.alias("own"), "prefix", "shingles"), "sets")
+        found = stays(found.select("key", "n_shingles", "same"), "keys")
+    member, sets = chosen.select("rep", "group", "n", "own"), chosen.select("rep", "shingles")
+    groups = written(chosen.groupBy("group").agg(F.min("rep").alias("of"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "groups")
 
     step = math.log(100 / percent) if percent < 100 else 1e9
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + 1e-9)
