@@ -25,7 +25,7 @@ GROUPS = 64  # of the words of an ending class, by their hash
 ROWS = (1 << 11, 1 << 11, 1 << 10, 1 << 12)  # hashed: last word, last two, the one before the last (a skip), classes of both
 ROWS_FOR, MOST_TIMES = 32 << 20, 16  # bytes of text; the rows grow with the root of the corpus, as each task sends its model, so many times at most
 ROUNDS, BATCH, RATE = 2, 8192, 0.12
-CANDIDATES = 2000  # frequent words that a task tells of
+WORDS_AT_ONCE = 40_000  # a task counts so many different words before it tells of them
 END = np.uint64(0xE0D0E0D0E0D0E000)
 START = np.uint64(0x57A2700000000000)
 PARTS = 32  # in which weights are summed up
@@ -172,7 +172,10 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the most frequent words, and the classes they are. Which words these are need not be exact: any choice gives a model."""
+    """Keys of the most frequent words of all texts, ties by key, and the classes they are."""
+
+    def told(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -181,15 +184,16 @@ def _frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 key, _ = _keys(part.column("text"))
                 new, n = np.unique(key[key != END], return_counts=True)
                 keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(place, weights=np.concatenate([counts, n])).astype(np.int64)
-                if len(keys) > 20 * CANDIDATES:
-                    top = np.sort(np.argpartition(-counts, 10 * CANDIDATES)[: 10 * CANDIDATES])
-                    keys, counts = keys[top], counts[top]
-        top = np.argsort(-counts, kind="stable")[:CANDIDATES]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[top].view(np.int64)), pa.array(counts[top])], names=["key", "n"])
-
-    told = texts.mapInArrow(run, StructType([StructField("key", LongType()), StructField("n", LongType())]))
-    best = told.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+                total = np.zeros(len(keys), np.int64)
+                np.add.at(total, place, np.concatenate([counts, n]))
+                counts = total
+                if len(keys) > WORDS_AT_ONCE:  # partial counts, so that a task holds no more
+                    yield told(keys, counts)
+                    keys, counts = keys[:0], counts[:0]
+        yield told(keys, counts)
+
+    partial = texts.mapInArrow(run, StructType([StructField("key", LongType()), StructField("n", LongType())]))
+    best = partial.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     keys = best["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], order.astype(np.int64)
@@ -241,7 +245,7 @@ def score_texts(docs: DataFrame, model: EntropyModel, text: str = "text", train:
         return key, np.repeat(column(rows, train).fill_null(False).to_numpy(zero_copy_only=False), np.diff(at))
 
     def counts(number: np.ndarray, _: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(number, weights=weights)[number].astype(np.uint32)
+        return np.bincount(number, weights=weights)[number].astype(np.uint64)
 
     frequent = model.frequent
 
@@ -290,4 +294,4 @@ def score_texts(docs: DataFrame, model: EntropyModel, text: str = "text", train:
         return pa.table({**{c: rows[c] for c in keep}, **{c: np.concatenate(x) for c, x in out.items()}})
 
     schema = StructType([*(docs.schema[c] for c in keep), *SCORED])
-    return meet(blocks, answers, n_blocks, keys_of, np.uint32, finish, schema)
+    return meet(blocks, answers, n_blocks, keys_of, np.uint64, finish, schema)
