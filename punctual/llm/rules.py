@@ -11,10 +11,10 @@ from punctual.llm.words import add_columns, repeated, sums, windows, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-#: Most of a text's word characters that may lie in repeated n-grams of so many words.
-COVERAGE = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
-MAX_LINE_COVERAGE = 0.30
-MAX_SYMBOLS = 0.10
+#: Most of a text's word characters that may lie in repeated n-grams of so many words, and in repeated lines: fixed values, the published
+#: repetition limits of large web corpora.
+COVERAGE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+MAX_LINE_COVERAGE = 0.20
 FIELDS = [
     *(StructField(c, LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
     StructField("base_failed", BooleanType()),
@@ -59,7 +59,7 @@ def _measures(batch: pa.RecordBatch, text: str) -> list[pa.Array]:
         covered[size] = sums(chars * inside, w.first) / total
         n_repeat = sums(inside, w.first) if n_repeat is None else n_repeat
     failed = (n_words < 10) | (100 * n_repeat > 20 * n_words)
-    kept = ~failed & (line_covered <= MAX_LINE_COVERAGE) & (n_symbols <= MAX_SYMBOLS * total)
+    kept = ~failed & (line_covered <= MAX_LINE_COVERAGE)
     for size, most in COVERAGE.items():
         kept &= covered[size] <= most
     return [pa.array(x) for x in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat, failed, kept, *covered.values(), line_covered)]
@@ -69,7 +69,7 @@ def repetition(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     """Add counts, coverages and the verdicts `base_failed` and `kept` to every row.
 
     A text's n-gram coverage is the share of its word characters inside word n-grams that it holds twice or more; a line's, inside lines equal
-    to an earlier one. Null and empty texts have no words, so they fail the base rule. Rows are judged one by one: repeated rows
+    to an earlier one. A text is kept if it passes the base rule and no coverage is above its limit; symbols are counted, but decide nothing. Null and empty texts have no words, so they fail the base rule. Rows are judged one by one: repeated rows
     get equal results, an empty table gives an empty one, and a column named like a result is replaced by it.
     """
     return add_columns(docs, text, FIELDS, lambda: lambda batch: _measures(batch, text), keep)

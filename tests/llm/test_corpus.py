@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from punctual.llm import jaccard, substrings, vectors
+from punctual.llm import entropy, jaccard, substrings, vectors
 from punctual.llm.components import connected_components
 from punctual.llm.entropy import learn_entropy, score_texts
 from punctual.llm.queries import QUERIES
@@ -101,6 +102,14 @@ def test_jaccard_of_odd_rows(spark):
     assert jaccard.jaccard_components(empty(docs)).count() == 0
 
 
+def test_jaccard_leaves_only_its_result_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("punctual.session.shared_dir", lambda _: str(tmp_path))
+    docs = spark.createDataFrame([(i, prose(i % 7, 30)) for i in range(40)], "doc_id long, text string")
+    found = jaccard.jaccard_components(docs)
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == ["components"]
+    assert {r["component_id"] for r in found.collect()} == set(range(7))
+
+
 def test_repeated_passages_go(spark):
     passage = prose(1000, 55)
     texts = {i: f"{prose(i, 30)} {passage} {prose(900 + i, 25)}" for i in range(8)}
@@ -176,6 +185,15 @@ def test_language_model_query(spark):
     assert sum(r["score"] for r in new) > sum(r["base_score"] for r in new)
 
 
+def test_frequent_words_are_counted_over_all_tasks(spark, monkeypatch):
+    """A word that is rare in each task, behind many others, but frequent in all."""
+    monkeypatch.setattr(entropy, "WORDS_AT_ONCE", 50)
+    texts = [" ".join([f"t{task}w{i}" for i in range(300) for _ in range(2)] + ["common"]) for task in range(200)]
+    keys, classes = entropy._frequent_words(spark.createDataFrame([(t,) for t in texts], "text string").repartition(20))
+    wanted, _ = entropy._keys(pa.array(["common"]))
+    assert wanted[0] in keys and classes[list(keys).index(wanted[0])] == 0
+
+
 def test_language_model_learns_order(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(x for _ in range(30) for x in rng.choice([("salt", "pepper"), ("north", "south"), ("left", "right")]))) for i in range(400)]

@@ -196,6 +196,24 @@ def brute_rules(text):
     return len(words), sum(len(w.decode()) for w in words), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(inside)
 
 
+def brute_coverage(text):
+    """Share of word characters in repeated n-grams by size, and in lines equal to an earlier one."""
+    split = lambda t: re.findall("[^\x20\x09-\x0D]+", t)
+    words = split(text or "")
+    total = max(1, sum(map(len, words)))
+    covered = {}
+    for n in rules.COVERAGE:
+        often = collections.Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+        inside = {j for i in range(len(words) - n + 1) if often[tuple(words[i : i + n])] > 1 for j in range(i, i + n)}
+        covered[n] = sum(len(words[j]) for j in inside) / total
+    seen, lines = set(), 0
+    for line in (text or "").split("\n"):
+        if split(line):
+            lines += sum(map(len, split(line))) if line in seen else 0
+            seen.add(line)
+    return covered, lines / total
+
+
 def test_rules_equal_brute_force(spark, odd):
     rng = random.Random(8)
     made = [" ".join(rng.choice("ab#") for _ in range(rng.randrange(60))) for _ in range(150)] + ["a b\nc d\na b\n\n \na b ", "one\n" * 9, "q w e r t " * 30]
@@ -206,11 +224,27 @@ def test_rules_equal_brute_force(spark, odd):
         want = brute_rules(row["text"])
         assert tuple(row[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want, row["text"]
         assert row["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
-        assert not (row["base_failed"] and row["kept"])
-        assert all(0 <= row[c] <= 1 for c in row.asDict() if "covered" in c)
+        covered, lines = brute_coverage(row["text"])
+        assert [row[f"covered_{n}"] for n in covered] == pytest.approx(list(covered.values())) and row["line_covered"] == pytest.approx(lines)
+        within = all(covered[n] <= most + 1e-12 for n, most in rules.COVERAGE.items()) and lines <= rules.MAX_LINE_COVERAGE + 1e-12
+        assert row["kept"] == (not row["base_failed"] and within), row["text"]
     assert rules.repetition(empty(odd)).count() == 0
 
 
+def test_coverage_decides_beyond_the_base_rule(spark):
+    fresh = lambda n, k: " ".join(f"{k}x{i}" for i in range(n))
+    phrase, line = " ".join(f"repeatedphrase{i}" for i in range(8)), "alineoftwoverylongwords thatareneverthesameasothers"
+    texts = {
+        "clean": fresh(200, "a"),
+        "grams": f"{phrase} {fresh(100, 'b')} {phrase} {fresh(50, 'c')}",  # few words, many characters
+        "lines": "\n".join(f"{line}\n{fresh(12, k)}" for k in "defg"),
+        "symbols": " ".join(f"##{i}##" for i in range(200)),
+    }
+    frame = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in rules.repetition(frame).collect()}
+    assert got == {"clean": (False, True), "grams": (False, False), "lines": (False, False), "symbols": (False, True)}
+
+
 def test_rules_query_has_all_rows(spark):
     assert QUERIES["op9_quality_rules"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
