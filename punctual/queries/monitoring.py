@@ -560,16 +560,16 @@ def score_histogram(spark, sf_dir):
     return explore.cumulative_buckets(log, "q50", _LIMITS)
 
 
-_SHARES = [round(0.1 * i, 1) for i in range(1, 11)]
+_BUCKETS = [round(0.1 * i, 1) for i in range(1, 11)]
 
 
 @query(
     "probability_histogram",
-    f"""WITH {feeds.LOG} SELECT x.le, (SELECT count(*) FROM log WHERE p_delay <= x.le) AS n FROM (VALUES {', '.join(f'({v}::DOUBLE)' for v in _SHARES)}, ('inf'::DOUBLE)) AS x(le)""",
+    f"""WITH {feeds.LOG} SELECT x.le, (SELECT count(*) FROM log WHERE p_delay <= x.le) AS n FROM (VALUES {', '.join(f'({v}::DOUBLE)' for v in _BUCKETS)}, ('inf'::DOUBLE)) AS x(le)""",
 )
 def probability_histogram(spark, sf_dir):
     log = feeds.prediction_log(feeds.cleaned(spark, sf_dir))
-    return explore.cumulative_buckets(log, "p_delay", _SHARES)
+    return explore.cumulative_buckets(log, "p_delay", _BUCKETS)
 
 
 @query(
