@@ -95,7 +95,7 @@ def stream_flight_states(spark, sf_dir):
     middle = F.col("made") < _ts("2024-01-15")
 
     def build(stream):
-        return state.most_advanced(stream, ["flight"], "made", "rank", "seen", ["status"], F.col("due") + F.expr("interval 48 hours 30 seconds"), "1 hour")
+        return state.most_advanced(stream, ["flight"], "made", "rank", "seen", ["status"], F.col("due") + F.expr("interval 48 hours 30 seconds"), "1 hour", buckets=16_384)
 
     out = _runs(spark, [typed.filter(middle), typed.filter(~middle)], build, state.run_stateful)
     last = keep_best(out, ["flight"], [F.desc("batch"), F.desc("closed")])

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from punctual.streaming.jobs import run_available
 
@@ -51,7 +52,7 @@ class MostAdvanced(StatefulProcessor):
         self.best = handle.getValueState("best", self.state, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        had = self.best.get() if self.best.exists() else None
+        had = self.best.get()
         new = min(((r["_rank"], r["_order"], r["_until"], *(r[c] for c in self.payload)) for r in rows), key=lambda v: v[:2])
         if had is not None and tuple(had)[:2] <= new[:2]:
             return
@@ -73,17 +74,91 @@ class MostAdvanced(StatefulProcessor):
         pass
 
 
-def most_advanced(stream: DataFrame, keys: list[str], seen: str, rank: str, order: str, payload: list[str], until: Column, watermark: str, ttl_ms: int | None = None) -> DataFrame:
+class MostAdvancedOfBucket(StatefulProcessor):
+    """MostAdvanced for all keys of a bucket at once: one state row and one timer, of the first `until`, so a key costs no call of its own."""
+
+    def __init__(self, keys: list[str], payload: list[str], entry: StructType):
+        self.keys, self.payload, self.entry = keys, payload, entry
+        self.columns = [f.name for f in entry]
+        self.row = Row(*keys, "rank", *payload, "closed")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", StructType([StructField("entries", ArrayType(self.entry)), StructField("armed", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        entries, armed = self._load()
+        n, had, new, at = len(self.keys), entries, {}, None
+        for r in rows:
+            at = at or itemgetter(*(r.__fields__.index(c) for c in self.columns))
+            value = at(tuple(r))
+            name, rest = value[:n], value[n:]
+            if name not in new or rest[:2] < new[name][:2]:
+                new[name] = rest
+        changed = [(k, v) for k, v in new.items() if k not in had or v[:2] < had[k][:2]]
+        for k, v in changed:
+            entries[k] = (*v[:2], had[k][2] if k in had else v[2], *v[3:])
+        if changed:
+            self._store(entries, armed)
+        for k, v in changed:
+            yield self._row(k, v, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        entries, _ = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        over = [(k, v) for k, v in entries.items() if v[2] < now]
+        self._store({k: v for k, v in entries.items() if v[2] >= now}, None)
+        for k, v in over:
+            yield self._row(k, v, True)
+
+    def _load(self) -> tuple[dict, int | None]:
+        held, n = self.best.get(), len(self.keys)
+        if held is None:
+            return {}, None
+        return {tuple(e)[:n]: tuple(e)[n:] for e in held[0]}, held[1]
+
+    def _store(self, entries: dict, armed: int | None) -> None:
+        timer = min((v[2] for v in entries.values()), default=None)
+        if timer != armed:
+            if armed is not None:
+                self.handle.deleteTimer(armed)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+        if entries:
+            self.best.update(([(*k, *v) for k, v in entries.items()], timer))
+        else:
+            self.best.clear()
+
+    def _row(self, name, value, closed: bool) -> Row:
+        return self.row(*name, value[0], *value[3:], closed)
+
+    def close(self) -> None:
+        pass
+
+
+def most_advanced(
+    stream: DataFrame, keys: list[str], seen: str, rank: str, order: str, payload: list[str], until: Column, watermark: str, ttl_ms: int | None = None, buckets: int | None = None
+) -> DataFrame:
     """The most advanced row of each key as updates: the smallest rank wins, then the latest by the number `order`.
 
     When the watermark of the time `seen` passes the key's `until`, its last row comes once more with `closed` and its state goes. With `ttl_ms`, for
     streams that run on and on, state goes that long after its last change by the clock instead, and nothing is said of it. Rows without a rank, order or `until` are ignored.
+
+    Each key costs several calls between Python and its state store. Batches that touch very many keys take a number of `buckets`: keys are dealt over them by
+    hash and a bucket's keys share a state row, read and replaced as a whole, so it should stay in the thousands of keys. The rows that come are the same.
+    Keys are text, whole numbers, dates or times then, and the checkpoint keeps to one number of buckets.
     """
+    if buckets is not None and ttl_ms is not None:
+        raise ValueError("keys of a bucket go by the watermark, not by the clock")
     rows = stream.select(*keys, seen, F.col(rank).cast("int").alias("_rank"), (-F.col(order)).cast("long").alias("_order"), F.unix_millis(until.cast("timestamp")).alias("_until"), *payload)
     rows = rows.where("_rank is not null and _order is not null and _until is not null")
     state = StructType([rows.schema[c] for c in ("_rank", "_order", "_until", *payload)])
     state = StructType([StructField(f.name, f.dataType) for f in state])
     out = StructType([*(rows.schema[k] for k in keys), StructField("rank", rows.schema["_rank"].dataType), *(rows.schema[c] for c in payload), StructField("closed", BooleanType())])
+    if buckets is not None:
+        entry = StructType([*(StructField(k, rows.schema[k].dataType) for k in keys), *state])
+        dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+        return dealt.withWatermark(seen, watermark).groupBy("_bucket").transformWithState(MostAdvancedOfBucket(keys, payload, entry), out, "Update", "EventTime")
     processor = MostAdvanced(keys, payload, state, ttl_ms)
     if ttl_ms is not None:
         return rows.groupBy(*keys).transformWithState(processor, out, "Update", "ProcessingTime")
