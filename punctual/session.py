@@ -62,6 +62,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows read from files, dealt evenly over several tasks a core, for work that costs much more a row than moving it does.
+
+    A file is read by as many tasks as it has row groups, one often, and what follows a scan runs in the same tasks.
+    """
+    spark = df.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    return df if len(df.inputFiles()) >= tasks else df.repartition(tasks)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch table whose last reader is done."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
