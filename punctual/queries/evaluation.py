@@ -15,7 +15,7 @@ from punctual.operators.resamples import resampled_means, resamples
 from punctual.plans import modelling
 from punctual.queries import feeds
 from punctual.queries.registry import query, table
-from punctual.session import scratch_path, written
+from punctual.session import scratch_path, spread, written
 from punctual.settings import EvaluationSettings, GateSettings
 from punctual.sources import predictions
 from punctual.sources.store import write_splits
@@ -275,7 +275,8 @@ def group_quantiles_events(spark, sf_dir):
     """SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90, count(*) AS n FROM lineitem GROUP BY ALL""",
 )
 def price_quantiles(spark, sf_dir):
-    found = rates.group_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", PROBS)
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice"))
+    found = rates.group_quantiles(lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", PROBS)
     return _round(found, *PROBS)
 
 
@@ -305,7 +306,7 @@ def source_quality_rate(spark, sf_dir):
     f"WITH {BASE} SELECT split, count(*) AS n, strftime(min(scheduled_datetime), '%Y-%m-%d %H:%M:%S') AS first_time, strftime(max(scheduled_datetime), '%Y-%m-%d %H:%M:%S') AS last_time FROM base GROUP BY 1",
 )
 def split_summary(spark, sf_dir):
-    rows = base_frame(spark, sf_dir)
+    rows = written(base_frame(spark, sf_dir).select("split", "scheduled_datetime"), "split-times")
     splits.check_split(rows, "scheduled_datetime")
     found = splits.split_summary(rows, "scheduled_datetime")
     return found.select("split", "n", feeds.stamp("first_time"), feeds.stamp("last_time"))
