@@ -8,7 +8,6 @@ rows that share a value never meet in one task beyond a slice's number, be there
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -22,6 +21,11 @@ from punctual.functions.numeric import poisson_limits
 from punctual.operators.ranks import slice_of
 from punctual.session import written
 
+try:  # as hashlib's, without what OpenSSL costs for each short text
+    from _md5 import md5
+except ImportError:
+    from hashlib import md5
+
 ROWS_AT_ONCE = 1024
 SLICE_VALUES = 4000  # rows in a slice of several values, about
 MOST_SLICES = 2048  # beyond, slices have more rows
@@ -30,10 +34,14 @@ LIMITS = np.array([int(x, 16) for x in poisson_limits()], np.uint32)
 
 def weights(ids: list, samples: int, seed: int) -> np.ndarray:
     """Poisson(1) counts [row, replicate]: the same as the column expression gives for the same seed and ids."""
-    hashes = range(-(-samples // 4))
-    raw = b"".join(hashlib.md5(f"{seed}|{i}|{k}".encode()).digest() for i in ids for k in hashes)
-    drawn = np.frombuffer(raw, ">u4").reshape(len(ids), -1)[:, :samples]
-    return np.searchsorted(LIMITS, drawn.astype(np.uint32), side="right").astype(np.float64)
+    hashes = [f"|{k}".encode() for k in range(-(-samples // 4))]
+    places: dict = {}  # an id is drawn once, however many models bring it
+    which = [places.setdefault(i, len(places)) for i in ids]
+    begun = [f"{seed}|{i}".encode() for i in places]
+    raw = b"".join([md5(b + k).digest() for b in begun for k in hashes])
+    drawn = np.frombuffer(raw, ">u4").reshape(len(begun), -1)[:, :samples]
+    found = np.searchsorted(LIMITS, drawn.astype(np.uint32), side="right").astype(np.float64)
+    return found if len(begun) == len(ids) else found[which]
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
