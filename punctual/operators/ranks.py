@@ -34,7 +34,9 @@ def slice_of(value: Column, edges: list[float]) -> Column:
     if len(edges) <= 64:
         return reduce(lambda a, b: a + b, [F.coalesce((value > F.lit(float(e))).cast("int"), F.lit(0)) for e in edges])
     cuts = F.array(*[F.lit(float(e)) for e in edges])
-    return F.size(F.filter(cuts, lambda e: e < value))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(edges).bit_length()))])
+    # by halves, as cuts are sorted: a step is taken if the last cut it passes lies below; beyond the last cut there is null
+    return F.aggregate(steps, F.lit(0), lambda passed, step: passed + F.when(F.get(cuts, passed + step - 1) < value, step).otherwise(0))
 
 
 def running_sum(

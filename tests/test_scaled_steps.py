@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from punctual.operators import draws, resamples
+from punctual.operators import draws, ranks, resamples
 from punctual.queries import feeds
 from punctual.session import spread
 from punctual.sources import pages
@@ -89,3 +89,13 @@ def test_resampled_means_are_those_of_the_draws(spark):
     for k, (a, b, c) in want.items():
         assert c is None and found[k][2] is None and np.isclose(found[k][0], a) and (found[k][1] == b or np.isclose(found[k][1], b))
     assert "MergeJoin" not in query._jdf.queryExecution().executedPlan().toString()  # the draws themselves aren't joined
+
+
+def test_slices_are_found_by_halves(spark):
+    for n in (64, 65, 127, 128, 129, 1000):
+        edges = [i * 1.5 for i in range(n)]
+        values = [None, float("nan"), float("inf"), -float("inf"), -1.0, 0.0, 0.1, *(e + d for e in edges for d in (0.0, 0.25))]
+        df = spark.createDataFrame([(v,) for v in values], "v double").select("v", ranks.slice_of(F.col("v"), edges).alias("s"))
+        want = [0 if v is None else n if v != v else sum(e < v for e in edges) for v in values]
+        assert [r["s"] for r in df.collect()] == want and df.schema["s"].dataType.simpleString() == "int"
+        assert n <= 64 or "filter(" not in df._jdf.queryExecution().executedPlan().toString()  # which looks at every cut
