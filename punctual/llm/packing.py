@@ -85,15 +85,16 @@ class Packer:
             need = np.stack([item[:, 2], np.ones(len(item), np.int64), np.maximum(0, item[:, 1] + item[:, 2] - np.maximum(item[:, 1], item[:, 3]))], axis=1)
             scale = np.array(most, float)
             demand = need.mean(axis=0) / scale  # scarce dimensions weigh more
+            shares = need / scale
             waiting = np.ones(len(item), bool)
             left_over = 0 if everything else OPEN_ITEMS // 2
             while waiting.sum() > left_over:
                 left = np.array(most, np.int64)
                 pieces: list[tuple[int, int, int]] = []
                 while left[0] and left[1]:
-                    fits = waiting & (need <= left).all(axis=1)
+                    fits = waiting & (need[:, 0] <= left[0]) & (need[:, 1] <= left[1]) & (need[:, 2] <= left[2])
                     if fits.any():
-                        score = (need / scale) @ (demand * left / scale)
+                        score = shares @ (demand * left / scale)
                         k = int(np.where(fits, score, -1).argmax())
                         waiting[k] = False
                         pieces.append(tuple(map(int, item[k, :3])))
@@ -108,6 +109,7 @@ class Packer:
                         left -= np.array([size, 1, self._loss(start, size, loss_from)])
                         item[k, 1], item[k, 2] = start + size, length - size
                         need[k, 0], need[k, 2] = length - size, self._loss(start + size, length - size, loss_from)
+                        shares[k] = need[k] / scale
                     else:
                         break
                 if not pieces:  # more than a whole bin may hold, and not to be cut: a sequence of its own

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable, Sequence
-from itertools import chain, repeat
+from itertools import chain, count, islice
 
 import numpy as np
 
@@ -54,15 +55,14 @@ class SegmentIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.first: dict[str, int] = {}  # segments that begin a text
-        self.later: dict[str, int] = {}  # those after a blank, without it
+        number = count()  # of a segment's row in `ids`: one that is looked up and not there gets the next
+        self.first: dict[str, int] = defaultdict(number.__next__)  # segments that begin a text
+        self.later: dict[str, int] = defaultdict(number.__next__)  # those after a blank, without it
         self.ids = Ragged(np.zeros(0, np.int32), np.zeros(0, np.int32))
 
-    def _learn(self, seen: dict[str, int], segs: list[str], blank: str) -> None:
-        if segs:
-            ids, size = self.encode([blank + s for s in segs])
-            seen.update(zip(segs, range(len(self.ids.size), len(self.ids.size) + len(segs)), strict=True))
-            self.ids = Ragged(np.concatenate([self.ids.pool, ids.astype(np.int32)]), np.concatenate([self.ids.size, size.astype(np.int32)]))
+    def _learn(self, segs: list[str], blank: str) -> None:
+        ids, size = self.encode([blank + s for s in segs])
+        self.ids = Ragged(np.concatenate([self.ids.pool, ids.astype(np.int32)]), np.concatenate([self.ids.size, size.astype(np.int32)]))
 
     def entries(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Of all segments of the texts: their entries in `ids`; how many segments each text has; the segments."""
@@ -72,23 +72,25 @@ class SegmentIds:
         heads = [p[0] for p in parts]
         rest = [p[1:] for p in parts]
         flat = list(chain.from_iterable(rest))
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        begin = np.cumsum(count) - count
-        out = np.empty(count.sum(), np.int64)
+        many = np.fromiter(map(len, parts), np.int64, len(parts))
+        begin = np.cumsum(many) - many
+        out = np.empty(many.sum(), np.int64)
         head = np.zeros(len(out), bool)
         head[begin] = True
         out[head] = self._places(self.first, heads, "")
         out[~head] = self._places(self.later, flat, " ")
-        return out, count, parts
+        return out, many, parts
 
     def _places(self, seen: dict[str, int], segs: list[str], blank: str) -> np.ndarray:
         """Entries of the segments; new ones are learned."""
-        at = np.fromiter(map(seen.get, segs, repeat(-1)), np.int64, len(segs))
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            words = [segs[i] for i in new]
-            self._learn(seen, list(dict.fromkeys(words)), blank)
-            at[new] = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+        before = len(seen)
+        at = np.fromiter(map(seen.__getitem__, segs), np.int64, len(segs))
+        if len(seen) > before:
+            try:
+                self._learn(list(islice(reversed(seen), len(seen) - before))[::-1], blank)
+            except BaseException:  # numbers without ids must not be met again
+                self._forget()
+                raise
         return at
 
     def texts(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:

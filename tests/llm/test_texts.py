@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from punctual.llm import bpe, counts, languages, packing, quality, rules
+from punctual.llm import bpe, counts, languages, packing, quality, rules, tokens
 from punctual.llm.queries import QUERIES
 from tests.llm.helpers import ODD, SF, empty, odd_documents, prose
 
@@ -320,3 +320,36 @@ def test_a_text_in_four_languages_keeps_all(spark):
     got = {r["doc_id"]: r for r in languages.identify_languages(frame, model).collect()}
     assert sorted(got[1]["languages"]) == sorted(some) and abs(sum(got[1]["proportions"]) - 1) < 0.02 and got[1]["score"] < 0.5
     assert [got[2 + i]["languages"][0] for i in range(len(some))] == sorted(some)
+
+
+class _Counted(str):
+    hashed = 0
+
+    def __hash__(self):
+        _Counted.hashed += 1
+        return str.__hash__(self)
+
+
+def test_a_segment_is_looked_up_once(monkeypatch):
+    monkeypatch.setattr(tokens, "segments", lambda text: [_Counted(s) for s in text.split(" ")])
+    asked = []
+
+    def encode(segs):
+        asked.append(segs)
+        if "broken" in segs[-1]:
+            raise ValueError
+        return np.array([len(s) for s in segs]), np.ones(len(segs), np.int64)
+
+    ids = tokens.SegmentIds(encode)
+    texts = ["a bb ccc bb", "", "dd a a ccc"]
+    want = [1, 3, 4, 3, 0, 2, 2, 2, 4]
+    _Counted.hashed = 0
+    assert ids.texts(texts)[0].tolist() == want and asked == [["a", "", "dd"], [" bb", " ccc", " a"]]
+    assert _Counted.hashed <= 9 + 6  # of each segment, and once more of a new one
+    _Counted.hashed = 0
+    assert ids.texts(texts)[0].tolist() == want and len(asked) == 2 and _Counted.hashed == 9
+    with pytest.raises(ValueError):
+        ids.texts(["a broken"])
+    with pytest.raises(ValueError):  # what failed isn't taken for known
+        ids.texts(["a broken"])
+    assert ids.texts(texts)[0].tolist() == want
