@@ -15,7 +15,7 @@ from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, Str
 
 from punctual.llm.exchange import blocked, column, meet, replies
 from punctual.llm.words import BASE, mix, slices, sums, words
-from punctual.session import written
+from punctual.session import passing_shuffles, written
 
 FREQUENT = 63  # words that are a class each
 ENDINGS = 32  # classes of all other words, by a hash of their last two bytes
@@ -193,7 +193,8 @@ def _frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield told(keys, counts)
 
     partial = texts.mapInArrow(run, StructType([StructField("key", LongType()), StructField("n", LongType())]))
-    best = partial.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    with passing_shuffles(texts.sparkSession):
+        best = partial.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     keys = best["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], order.astype(np.int64)
@@ -211,7 +212,8 @@ def learn_entropy(texts: DataFrame, text: str = "text", rounds: int = ROUNDS) ->
     for _ in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast(EntropyModel(frequent, rank, n_rows, *tables))
         sent = texts.mapInArrow(lambda batches, shared=shared: _train(batches, shared.value), SENT)
-        got = sent.repartition(PARTS, "part").mapInArrow(_add_up, SENT).toArrow()
+        with passing_shuffles(texts.sparkSession):  # every task sent a whole model
+            got = sent.repartition(PARTS, "part").mapInArrow(_add_up, SENT).toArrow()
         new = [t.copy() for t in tables]
         rows = [np.array_split(np.arange(len(t)), PARTS) for t in tables]
         for part, w, seen in zip(got["part"].to_pylist(), got["weights"], got["seen"], strict=True):

@@ -19,6 +19,7 @@ SETTINGS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
+SHUFFLES_PASS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _passing: ContextVar[list[str] | None] = ContextVar("passing tables", default=None)
 
@@ -49,8 +50,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is executed inside go when it ends, instead of when the driver's garbage collector finds them unused.
+
+    For results that are stored or collected: executing the same DataFrame object again would shuffle again.
+    """
+    before = spark.conf.get(SHUFFLES_PASS, "false")
+    spark.conf.set(SHUFFLES_PASS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_PASS, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to a fresh Parquet table in the shared folder and read it back.
+    """Write `df` to a fresh Parquet table in the shared folder and read it back. The shuffles it took are deleted.
 
     For results several later steps read: each then scans only the columns and rows it needs.
     """
@@ -58,7 +73,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     if (passing := _passing.get()) is not None:
         passing.append(path)
-    df.write.parquet(path)
+    with passing_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

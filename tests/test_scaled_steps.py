@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from punctual.operators import draws, ranks, resamples
 from punctual.queries import feeds
-from punctual.session import spread
+from punctual.session import SHUFFLES_PASS, spread, written
 from punctual.sources import pages
 
 
@@ -99,3 +100,19 @@ def test_slices_are_found_by_halves(spark):
         want = [0 if v is None else n if v != v else sum(e < v for e in edges) for v in values]
         assert [r["s"] for r in df.collect()] == want and df.schema["s"].dataType.simpleString() == "int"
         assert n <= 64 or "filter(" not in df._jdf.queryExecution().executedPlan().toString()  # which looks at every cut
+
+
+def test_shuffles_of_a_stored_table_go(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    df = spark.range(20_000).groupBy((F.col("id") % 3000).alias("k")).count()
+    table = written(df, "counts")
+    for _ in range(50):  # they are deleted in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(SHUFFLES_PASS) == "false"
+    assert table.count() == 3000 and table.agg(F.sum("count")).first()[0] == 20_000 and df.count() == 3000
