@@ -40,26 +40,47 @@ class Scale:
     missing: float
 
 
+def _value_counts(df: DataFrame, numerical: tuple[str, ...], by: list[str]) -> DataFrame:
+    """(by..., feature, v, n): how often each value stands in each column, nulls too. What scales need of the rows, in one pass."""
+    listed = ", ".join(f"'{c}', cast(`{c}` as double)" for c in numerical)
+    long = df.selectExpr(*by, f"stack({len(numerical)}, {listed}) as (feature, v)")
+    return long.groupBy(*by, "feature", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _scales(counts: DataFrame, numerical: tuple[str, ...]) -> dict[int, dict[str, Scale]]:
+    """Scales by model and column of stored counts (model, feature, v, n); a row per model and column reaches the driver."""
+    by = ["model", "feature"]
+    medians = {(r["model"], r["feature"]): r["fill"] for r in exact_quantiles(counts, by, "v", {"fill": 0.5}, weight="n").collect()}
+    known = F.when(F.col("v").isNotNull(), F.col("n"))
+    means = counts.groupBy(*by).agg(F.sum("n").alias("all"), F.sum(known).alias("k"), F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum(known)).alias("m"))
+    apart = F.pow(F.col("v") - F.col("m"), 2) * F.col("n")
+    moments = counts.join(F.broadcast(means), by).groupBy(*by, "all", "k", "m").agg(F.try_divide(F.sum(apart), F.col("k")).alias("s"))
+    scales: dict[int, dict[str, Scale]] = {}
+    for r in moments.collect():
+        fill = float(medians.get((r["model"], r["feature"])) or 0.0)
+        share = (r["k"] or 0) / r["all"]
+        missing = 1 - share
+        m, s = r["m"] or 0.0, r["s"] or 0.0
+        mean = share * m + missing * fill
+        var = share * (s + (m - mean) ** 2) + missing * (fill - mean) ** 2
+        scales.setdefault(r["model"], {})[r["feature"]] = Scale(fill, mean, math.sqrt(var) or 1.0, missing)
+    return {i: {c: found[c] for c in numerical} for i, found in scales.items()}
+
+
 def fit_scales(df: DataFrame, numerical: tuple[str, ...]) -> dict[str, Scale]:
     """Median fill, and mean and deviation after filling. A column without values is filled with 0.
 
-    One aggregation plus exact medians of all columns at once; a row per column reaches the driver.
+    One pass counts the values; exact medians and moments of all columns come from the counts.
     """
-    listed = ", ".join(f"'{c}', cast(`{c}` as double)" for c in numerical)
-    long = df.selectExpr(f"stack({len(numerical)}, {listed}) as (feature, v)")
-    medians = {r["feature"]: r["fill"] for r in exact_quantiles(long, ["feature"], "v", {"fill": 0.5}).collect()}
-    moments = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.count("v").alias("k"), F.avg("v").alias("m"), F.var_pop("v").alias("s")
-    )
-    scales = {}
-    for r in moments.collect():
-        fill = float(medians.get(r["feature"]) or 0.0)
-        known, missing = r["k"] / r["n"], 1 - r["k"] / r["n"]
-        m, s = r["m"] or 0.0, r["s"] or 0.0
-        mean = known * m + missing * fill
-        var = known * (s + (m - mean) ** 2) + missing * (fill - mean) ** 2
-        scales[r["feature"]] = Scale(fill, mean, math.sqrt(var) or 1.0, missing)
-    return {c: scales[c] for c in numerical}
+    counts = written(_value_counts(df, numerical, []).withColumn("model", F.lit(0)), "values")
+    return _scales(counts, numerical)[0]
+
+
+def fold_scales(df: DataFrame, numerical: tuple[str, ...], folds: int) -> dict[int, dict[str, Scale]]:
+    """fit_scales of the rows before each fold. A row is counted once; the counts of a fold go to all models of later ones."""
+    later = F.explode(F.sequence(F.col("fold") + 1, F.lit(folds)))
+    counts = _value_counts(df.filter(F.col("fold") < folds), numerical, ["fold"]).withColumn("model", later)
+    return _scales(written(counts.groupBy("model", "feature", "v").agg(F.sum("n").alias("n")), "values"), numerical)
 
 
 def scaled(name: str, s: Scale) -> Column:
@@ -81,8 +102,10 @@ class Encoder:
     labels: dict[str, list[str]]
 
     @staticmethod
-    def fit(df: DataFrame, features: Inputs) -> Encoder:
-        scales = fit_scales(df, features.numerical) if features.numerical else {}
+    def fit(df: DataFrame, features: Inputs, scales: dict[str, Scale] | None = None) -> Encoder:
+        """`scales`: those of the rows, if they are known."""
+        if scales is None:
+            scales = fit_scales(df, features.numerical) if features.numerical else {}
         if not features.categorical:
             return Encoder(features, scales, None, {})
         names = list(features.categorical)
@@ -196,7 +219,8 @@ def predict_probability(model, encoder: Encoder, df: DataFrame, name: str) -> Da
 
 def fold_encoders(df: DataFrame, features: Inputs, folds: int) -> dict[int, Encoder]:
     """The encoder of each fold's training rows, shared by every model tried on the fold."""
-    return {i: Encoder.fit(df.filter(F.col("fold") < i), features) for i in range(1, folds + 1)}
+    scales = fold_scales(df, features.numerical, folds) if features.numerical else {}
+    return {i: Encoder.fit(df.filter(F.col("fold") < i), features, scales.get(i)) for i in range(1, folds + 1)}
 
 
 def out_of_fold(df: DataFrame, encoders: dict[int, Encoder], fit_predict) -> DataFrame:
@@ -288,14 +312,15 @@ def fit_bundle(
 # ------------------------------------------------------------------ tuning
 
 
-def tune(frame: DataFrame, features: Inputs, folds: int, grid: dict[str, list], kind: str, *, target: str = "delay_minutes", label: str = "is_delayed", fixed: dict | None = None) -> DataFrame:
+def tune(frame: DataFrame, features: Inputs, folds: int, grid: dict[str, list], kind: str, *, target: str = "delay_minutes", label: str = "is_delayed", fixed: dict | None = None, encoders: dict[int, Encoder] | None = None) -> DataFrame:
     """(candidate, score) of every combination of the grid by rolling-origin error, best first.
 
     `kind` is range (MAE), boost or logistic (Brier). `frame` has `fold`; each fit is a Spark job. `fixed` holds for all candidates.
+    `encoders`: the frame's fold_encoders, where several kinds share them.
     """
     settings = {"range": TreeSettings, "boost": BoostSettings, "logistic": LogisticSettings}[kind]
     results = []
-    encoders = fold_encoders(frame, features, folds)
+    encoders = fold_encoders(frame, features, folds) if encoders is None else encoders
     for values in product(*grid.values()):
         candidate = settings(**(fixed or {}), **dict(zip(grid, values)))
 

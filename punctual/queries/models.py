@@ -163,7 +163,8 @@ def tuning_scores(spark, sf_dir):
         "logistic": {"c": [0.01, 0.1, 1.0, 10.0], "l1": [False]},
     }
     fixed = {"range": {"few_values": True}}
-    tried = [modelling.tune(rows, features, FOLDS, grid, kind, fixed=fixed.get(kind)).withColumn("kind", F.lit(kind)) for kind, grid in grids.items()]
+    encoders = modelling.fold_encoders(rows, features, FOLDS)  # the kinds share them
+    tried = [modelling.tune(rows, features, FOLDS, grid, kind, fixed=fixed.get(kind), encoders=encoders).withColumn("kind", F.lit(kind)) for kind, grid in grids.items()]
     return reduce(lambda a, b: a.unionByName(b), tried)
 
 

@@ -10,8 +10,10 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from punctual.operators import draws, ranks, resamples
+from punctual.plans import modelling
 from punctual.queries import feeds
 from punctual.session import SHUFFLES_PASS, spread, written
+from punctual.settings import Inputs
 from punctual.sources import pages
 
 
@@ -116,3 +118,24 @@ def test_shuffles_of_a_stored_table_go(spark):
         time.sleep(0.1)
     assert not files() - before and spark.conf.get(SHUFFLES_PASS) == "false"
     assert table.count() == 3000 and table.agg(F.sum("count")).first()[0] == 20_000 and df.count() == 3000
+
+
+def test_scales_of_folds_come_from_one_count(spark, monkeypatch):
+    nan, rng = float("nan"), random.Random(4)
+    rows = [(i % 4, rng.choice([None, 1.5, -3.0, 7.25, 100.0 * i]), None if i % 4 < 2 else 1.0 * i, nan if i % 4 == 2 and i > 90 else 2.0, None) for i in range(120)]
+    df = spark.createDataFrame(rows, "fold int, a double, b double, c double, d double").withColumn("t", F.lit("x"))
+    names, stored = ("a", "b", "c", "d"), []
+    monkeypatch.setattr(modelling, "written", lambda df, name: stored.append(name) or written(df, name))
+    found = modelling.fold_encoders(df, Inputs(names, ("t",)), 3)
+    assert sorted(found) == [1, 2, 3] and stored == ["values"]  # one pass for all folds
+    assert modelling.fold_encoders(df, Inputs((), ("t",)), 2)[2].scales == {} and len(stored) == 1
+    monkeypatch.undo()
+    for i, encoder in found.items():
+        part = df.filter(F.col("fold") < i)
+        assert list(encoder.scales) == list(names)
+        for c, scale in encoder.scales.items():
+            n, k, fill = part.agg(F.count("*"), F.count(c), F.coalesce(F.percentile(c, 0.5), F.lit(0.0))).first()
+            filled = F.coalesce(F.col(c), F.lit(fill))
+            mean, std = part.agg(F.avg(filled), F.stddev_pop(filled)).first()
+            for one in (scale, modelling.fit_scales(part, (c,))[c]):
+                assert np.allclose([one.fill, one.mean, one.std, one.missing], [fill, mean, std or 1.0, 1 - k / n], equal_nan=True), (i, c)
