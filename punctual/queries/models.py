@@ -224,10 +224,12 @@ def ablation_report(spark, sf_dir):
     """MAE and Brier per cumulative feature set, paired against the first one."""
     fit, test = _parts(model_rows(spark, sf_dir))
     outputs = test.select("row_number", "delay_minutes", "is_delayed")
-    points, classes = {}, {}
-    for i, (label, features) in enumerate(growing_inputs().items()):
+    points, classes, sets = {}, {}, growing_inputs()
+    *_, every = sets.values()  # the last set has the columns of all: they are scaled once
+    scales = modelling.fit_scales(modelling.prepare_input(fit, every), every.numerical)
+    for i, (label, features) in enumerate(sets.items()):
         f, t = (modelling.prepare_input(p, features, ["row_number", "delay_minutes", "is_delayed"]) for p in (fit, test))
-        encoder = modelling.Encoder.fit(f, features)
+        encoder = modelling.Encoder.fit(f, features, {c: scales[c] for c in features.numerical})
         tree = modelling.LeafQuantiles.fit(f, encoder, "delay_minutes", MINUTES)
         logit = modelling.fit_classifier(f, encoder, "is_delayed", modelling.LogisticSettings())
         scored = modelling.predict_probability(logit, encoder, tree.predict(t), f"p{i}")
