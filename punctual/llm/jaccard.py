@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from punctual.llm.components import connected_components
 from punctual.llm.exchange import blocked, column, meet, replies
-from punctual.llm.words import ODD, mix, windows, words
+from punctual.llm.words import ODD, mix, sliced, windows, words
 from punctual.session import passing_tables, written
 
 PERCENT = 85  # of the union, that the intersection has to be
@@ -27,8 +27,14 @@ EXACT = 128
 FEW = 16  # frequencies up to this are counted by text
 
 
-def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of the texts: (text, hash), sorted by both, and where each text's begin."""
+def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of the texts, sorted by text and hash, and where each text's begin. Texts are handled a slice at a time: what is computed on the way takes far more memory than they do."""
+    parts = [_sets_of_slice(part, size) for part in sliced(texts)]
+    counts = np.concatenate([np.zeros(1, np.int64), *(np.diff(at) for _, at in parts)])
+    return np.concatenate([np.zeros(0, np.uint64), *(hashes for hashes, _ in parts)]), np.cumsum(counts)
+
+
+def _sets_of_slice(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     w = words(texts, lower=True)
     of = w.text
     hashes, first = windows(w.hash, of, size)
@@ -44,7 +50,7 @@ def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
     text, hashes = text[new], hashes[new]
-    return text, hashes, np.searchsorted(text, np.arange(len(w.counts) + 1))
+    return hashes, np.searchsorted(text, np.arange(len(w.counts) + 1))
 
 
 def _frequency(number: np.ndarray, block: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -75,10 +81,10 @@ def shingle_sets(docs: DataFrame, key: str, text: str, percent: int = PERCENT, s
     blocks, n_blocks = blocked(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), "text")
 
     def keys_of(rows: pa.Table) -> tuple[np.ndarray, None]:
-        return _sets(column(rows, "text"), size)[1], None
+        return _sets(column(rows, "text"), size)[0], None
 
     def finish(rows: pa.Table, look_up) -> pa.Table:
-        _, hashes, at = _sets(column(rows, "text"), size)
+        hashes, at = _sets(column(rows, "text"), size)
         common = look_up(hashes)
         n = np.diff(at)
         same, group, prefix, few, sets = [], [], [], [], []

@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from punctual.llm.exchange import blocked, column, meet, replies
 from punctual.llm.tokens import spread_out
-from punctual.llm.words import BASE, BASE_INVERSE, ODD, SPACE, Words, mix, powers, sums, words
+from punctual.llm.words import BASE, BASE_INVERSE, ODD, SPACE, Words, mix, powers, sliced, sums, words
 
 WINDOW_BITS = 4  # the gear hash that decides on a cut sees 2 ** 4 bytes
 ONE_IN = 4  # words, on average, that begin a chunk
@@ -111,18 +111,34 @@ def deduplicate_substrings(docs: DataFrame, text: str = "text", key: str = "doc_
         return rows.take(order).combine_chunks()
 
     def keys_of(rows: pa.Table) -> tuple[np.ndarray, None]:
-        w, cut, _, digest = _chunks(column(rows, text))
-        return _runs(w, cut, digest).digest, None
+        digests = [np.zeros(0, np.uint64)]
+        for part in sliced(column(rows, text)):  # what is computed on the way takes far more memory than the texts
+            w, cut, _, digest = _chunks(part)
+            digests.append(_runs(w, cut, digest).digest)
+        return np.concatenate(digests), None
 
     def finish(rows: pa.Table, look_up) -> pa.Table:
         rows = ordered(rows)
-        texts = column(rows, text)
-        w, cut, size, digest = _chunks(texts)
-        runs = _runs(w, cut, digest)
-        code = look_up(runs.digest)
+        parts, found = list(sliced(column(rows, text))), []
+        for texts in parts:
+            w, cut, size, digest = _chunks(texts)
+            found.append((w._replace(spans=None, hash=None), cut, size, _runs(w, cut, digest)))
+        digests = np.concatenate([runs.digest for *_, runs in found])
+        code = look_up(digests)
         later = np.ones(len(code), bool)
-        later[np.unique(runs.digest, return_index=True)[1]] = False
-        repeated = (code == 2) | ((code == 1) & later)
+        later[np.unique(digests, return_index=True)[1]] = False
+        repeated = np.split((code == 2) | ((code == 1) & later), np.cumsum([len(runs.digest) for *_, runs in found])[:-1])
+        values, counts = [], []
+        for texts, again, (w, cut, size, runs) in zip(parts, repeated, found, strict=True):
+            some, *numbers = without(texts, again, w, cut, size, runs)
+            values += some
+            counts.append(numbers)
+        columns = {c: rows[c] for c in names}
+        columns[text] = pa.array(values, rows[text].type)
+        return pa.table({**columns, **{c: np.concatenate(x) for c, x in zip(made, zip(*counts, strict=True), strict=True)}})
+
+    def without(texts: pa.Array, repeated: np.ndarray, w: Words, cut: np.ndarray, size: np.ndarray, runs: Runs) -> tuple[list[str | None], np.ndarray, np.ndarray, np.ndarray]:
+        """The texts less their repeated runs, and the columns `made`."""
         of = w.text[cut] if len(cut) else cut
         n_chunks = len(cut) + 1
         gone = np.cumsum(np.bincount(runs.begin[repeated], minlength=n_chunks) - np.bincount(runs.end[repeated], minlength=n_chunks))[:-1] > 0
@@ -141,9 +157,6 @@ def deduplicate_substrings(docs: DataFrame, text: str = "text", key: str = "doc_
         for i in np.flatnonzero(touched):
             values[i] = data[ends[i] - length[i] : ends[i]].decode()
         chunk_first = np.searchsorted(of, np.arange(len(texts) + 1))
-        columns = {c: rows[c] for c in names}
-        columns[text] = pa.array(values, texts.type)
-        columns |= {"n_chunks": np.diff(chunk_first), "n_repeated_chunks": sums(gone, chunk_first), "removed_words": sums(size * gone, chunk_first)}
-        return pa.table(columns)
+        return values, np.diff(chunk_first), sums(gone, chunk_first), sums(size * gone, chunk_first)
 
     return meet(blocks, replies(blocks, n, keys_of, _answer), n, keys_of, np.uint8, finish, schema)

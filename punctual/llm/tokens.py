@@ -14,6 +14,7 @@ UNSAFE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 UNSAFE_ASCII = [w for w in UNSAFE if w.isascii()]
 SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 MEMO = 1_000_000  # distinct pieces that a worker remembers
+SEGMENTS = 400_000  # distinct segments that it remembers; over that, those met once go
 
 
 def segments(text: str) -> list[str]:
@@ -48,17 +49,31 @@ class Ragged:
 
 
 class SegmentIds:
-    """Ids of whole texts from the ids of their distinct segments; those seen are remembered, up to a number."""
+    """Ids of whole texts from the ids of their distinct segments; up to SEGMENTS are remembered, those met often the longest."""
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode  # ids one after the other, and how many each has
         self._forget()
 
     def _forget(self) -> None:
-        number = count()  # of a segment's row in `ids`: one that is looked up and not there gets the next
-        self.first: dict[str, int] = defaultdict(number.__next__)  # segments that begin a text
-        self.later: dict[str, int] = defaultdict(number.__next__)  # those after a blank, without it
-        self.ids = Ragged(np.zeros(0, np.int32), np.zeros(0, np.int32))
+        self._remember({}, {}, Ragged(np.zeros(0, np.int32), np.zeros(0, np.int32)))
+
+    def _remember(self, first: dict[str, int], later: dict[str, int], ids: Ragged) -> None:
+        number = count(len(ids.size))  # of a segment's row in `ids`: one that is looked up and not there gets the next
+        self.first: dict[str, int] = defaultdict(number.__next__, first)  # segments that begin a text
+        self.later: dict[str, int] = defaultdict(number.__next__, later)  # those after a blank, without it
+        self.ids = ids
+        self.met = np.zeros(len(ids.size), np.int64)
+
+    def _forget_rare(self) -> None:
+        """Keep the segments met most often, half of SEGMENTS at most."""
+        least = 2
+        while (kept := self.met >= least).sum() > SEGMENTS // 2:
+            least *= 2
+        pool, size = self.ids.pick(np.flatnonzero(kept))
+        number, stays = (np.cumsum(kept) - 1).tolist(), kept.tolist()
+        first, later = ({s: number[i] for s, i in seen.items() if stays[i]} for seen in (self.first, self.later))
+        self._remember(first, later, Ragged(pool, size.astype(np.int32)))
 
     def _learn(self, segs: list[str], blank: str) -> None:
         ids, size = self.encode([blank + s for s in segs])
@@ -66,8 +81,8 @@ class SegmentIds:
 
     def entries(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Of all segments of the texts: their entries in `ids`; how many segments each text has; the segments."""
-        if len(self.first) + len(self.later) > MEMO:
-            self._forget()
+        if len(self.first) + len(self.later) > SEGMENTS:
+            self._forget_rare()
         parts = [segments(t) for t in texts]
         heads = [p[0] for p in parts]
         rest = [p[1:] for p in parts]
@@ -79,6 +94,9 @@ class SegmentIds:
         head[begin] = True
         out[head] = self._places(self.first, heads, "")
         out[~head] = self._places(self.later, flat, " ")
+        met = np.bincount(out, minlength=len(self.ids.size))
+        met[: len(self.met)] += self.met
+        self.met = met
         return out, many, parts
 
     def _places(self, seen: dict[str, int], segs: list[str], blank: str) -> np.ndarray:

@@ -155,6 +155,12 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         row = to
 
 
+def sliced(texts: pa.Array, limit: int = SLICE_BYTES // 2) -> Iterator[pa.Array]:
+    """A column of texts in parts of about `limit` bytes."""
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", limit):
+        yield part.column("text")
+
+
 def add_columns(
     docs: DataFrame, text: str, fields: list[StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], keep: list[str] | None = None, limit: int = SLICE_BYTES, also: Sequence[str] = ()
 ) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -344,3 +345,25 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").columns[0] == "doc_id"
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, spark.read.parquet(f"{tmp_path}/{name}/documents.parquet"), f"{tmp_path}/{name}").count() <= 200
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_blocks_take_little_memory():
+    """What is computed on the way to a block's shingles grows with a slice of its texts."""
+    rng = random.Random(11)
+    texts = [" ".join(rng.choices("abcdefgh", k=20) + [f"w{rng.randrange(10**6)}" for _ in range(280)]) for _ in range(2000)]
+    block = pa.array([*texts, None, "", "one two"])
+    assert peak_mb(lambda: jaccard._sets(block, 4)) < 75
+    hashes, at = jaccard._sets(block, 4)
+    for i in (0, 777, 1999, 2000, 2001, 2002):
+        alone, _ = jaccard._sets(block.slice(i, 1), 4)
+        assert hashes[at[i] : at[i + 1]].tolist() == alone.tolist()
+    assert len(at) == len(block) + 1 and np.diff(at)[2000:].tolist() == [0, 0, 1]

@@ -353,3 +353,27 @@ def test_a_segment_is_looked_up_once(monkeypatch):
     with pytest.raises(ValueError):  # what failed isn't taken for known
         ids.texts(["a broken"])
     assert ids.texts(texts)[0].tolist() == want
+
+
+def test_remembered_segments_are_few_and_the_frequent_stay(monkeypatch):
+    monkeypatch.setattr(tokens, "SEGMENTS", 400, raising=False)
+    learned = []
+
+    def encode(segs):
+        learned.extend(segs)
+        return np.concatenate([np.frombuffer(s.encode(), np.uint8) for s in segs]).astype(np.int32), np.array([len(s.encode()) for s in segs])
+
+    ids = tokens.SegmentIds(encode)
+    for i in range(40):
+        texts = [f"start often again {i}x{j} again" for j in range(50)]
+        got, at = ids.texts(texts)
+        assert bytes(got.astype(np.uint8)).decode() == "".join(texts) and np.diff(at).tolist() == [len(t) for t in texts]
+    assert len(ids.first) + len(ids.later) == len(ids.ids.size) <= 400 + 51
+    assert learned.count(" often") == learned.count("start") == learned.count(" again") == 1
+
+
+def test_segments_are_encoded_together_as_alone(tokenizer):
+    segs = [" a", " b.", " ", "", " c ", " d\n", " e\x1c", "\t", " 　", " été", " \U0001f600", "f", " 's", " <|endoftext|>", " x\u0085", " 12"] * 20
+    got, size = packing.tokenizer_ids(JSON).encode(segs)
+    want = [tokenizer.encode(s, add_special_tokens=False).ids for s in segs]
+    assert got.tolist() == [i for ids in want for i in ids] and size.tolist() == list(map(len, want))
