@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from punctual.llm.tokens import SegmentIds, spread_out
-from punctual.llm.words import slices
+from punctual.llm.words import flat, slices
 
 OPEN_ITEMS = 1024  # examples a task chooses from
 JOINED = 200  # new segments that are encoded as one text
 LOCAL_BITS = 40  # of a sequence id below the partition's number
+ASCII_SPACE = np.array([chr(c).isspace() and c < 128 for c in range(256)])
 
 
 class Limits(NamedTuple):
@@ -202,19 +203,23 @@ def tokenizer_ids(path: str) -> SegmentIds:
 
         def encode(segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
             # segments that begin with a blank and end with another sign can follow each other: no token crosses such a place
-            joined = np.fromiter((s[:1] == " " and not s[-1:].isspace() for s in segs), bool, len(segs))
+            data, at = flat(pa.array(segs, pa.large_string()))
+            length = np.diff(at)
+            joined, some = np.zeros(len(segs), bool), np.flatnonzero(length)
+            last = data[at[some + 1] - 1]
+            joined[some] = (data[at[some]] == 32) & ~ASCII_SPACE[last]
+            joined[[i for i in some[last > 127].tolist() if segs[i][-1].isspace()]] = False
             alone, runs = np.flatnonzero(~joined).tolist(), np.flatnonzero(joined).tolist()
             groups = [[segs[i] for i in runs[at : at + JOINED]] for at in range(0, len(runs), JOINED)]
             done = [np.array(e.ids, np.int32) for e in coder.encode_batch_fast([segs[i] for i in alone] + ["".join(g) for g in groups], add_special_tokens=False)]
             size = np.zeros(len(segs), np.int64)
             size[alone] = [len(x) for x in done[: len(alone)]]
-            for k, (group, ids) in enumerate(zip(groups, done[len(alone) :], strict=True)):
-                ends = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in group])
-                size[runs[k * JOINED : k * JOINED + len(group)]] = np.diff(np.searchsorted(np.cumsum(width[ids]), ends, side="right"), prepend=0)
+            together = np.concatenate([np.zeros(0, np.int32), *done[len(alone) :]])  # whole groups have whole tokens, so all can be cut at once
+            size[joined] = np.diff(np.searchsorted(np.cumsum(width[together]), np.cumsum(length[joined]), side="right"), prepend=0)
             # the groups' ids are in the order of the segments; those encoded alone go between them
             begin = np.cumsum(size) - size
             out = np.empty(size.sum(), np.int32)
-            for row, place in ((joined, np.concatenate([np.zeros(0, np.int32), *done[len(alone) :]])), (~joined, np.concatenate([np.zeros(0, np.int32), *done[: len(alone)]]))):
+            for row, place in ((joined, together), (~joined, np.concatenate([np.zeros(0, np.int32), *done[: len(alone)]]))):
                 out[spread_out(begin[row], size[row])] = place
             return out, size
 
