@@ -7,14 +7,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from punctual.llm.exchange import blocked, column, meet, replies
-from punctual.llm.words import BASE, mix, slices, sums, words
+from punctual.llm.words import BASE, mix, sliced, slices, sums, words
 from punctual.session import passing_shuffles, written
 
 FREQUENT = 63  # words that are a class each
@@ -24,7 +23,8 @@ END_CLASS = CLASSES - 1
 GROUPS = 64  # of the words of an ending class, by their hash
 ROWS = (1 << 11, 1 << 11, 1 << 10, 1 << 12)  # hashed: last word, last two, the one before the last (a skip), classes of both
 ROWS_FOR, MOST_TIMES = 32 << 20, 16  # bytes of text; the rows grow with the root of the corpus, as each task sends its model, so many times at most
-ROUNDS, BATCH, RATE = 2, 8192, 0.12
+ROUNDS, BATCH_BITS, RATE = 2, 13, 0.12
+BATCH = 1 << BATCH_BITS
 WORDS_AT_ONCE = 40_000  # a task counts so many different words before it tells of them
 END = np.uint64(0xE0D0E0D0E0D0E000)
 START = np.uint64(0x57A2700000000000)
@@ -94,19 +94,36 @@ def _sequence(texts: pa.Array, model: EntropyModel) -> Sequence:
 
 
 def _logits(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    out = weights[features[:, 0]]
+    out = weights.take(features[:, 0], axis=0)  # several times as fast as an index
     for j in range(1, features.shape[1]):
-        out += weights[features[:, j]]
-    out -= out.max(axis=1, keepdims=True)
+        out += weights.take(features[:, j], axis=0)
+    most = out
+    while most.shape[1] % 2 == 0:  # halves against each other: far faster than along the rows
+        most = np.maximum(most[:, : most.shape[1] // 2], most[:, most.shape[1] // 2 :])
+    out -= most.max(axis=1, keepdims=True)
     return out
 
 
+def _sums(p: np.ndarray, token: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Sums of p[token] over runs of `times` tokens, two by two."""
+    while True:
+        pairs = -(-times // 2)
+        place = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        left = np.repeat(np.cumsum(times) - times, pairs) + 2 * place
+        two = np.flatnonzero(2 * place + 1 < np.repeat(times, pairs))
+        out = p.take(token[left], axis=0)
+        out[two] = out.take(two, axis=0) + p.take(token[left[two] + 1], axis=0)
+        if not (pairs > 1).any():
+            return out
+        p, token, times = out, np.arange(len(out)), pairs
+
+
 def _log10(weights: np.ndarray, features: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The log10 probability of each token's choice."""
     log = np.empty(len(chosen))
     for at in range(0, len(chosen), BATCH):
         z, y = _logits(weights, features[at : at + BATCH]), chosen[at : at + BATCH]
-        log[at : at + BATCH] = (z[np.arange(len(z)), y] - np.log(np.exp(z).sum(axis=1))) / np.log(10)
+        log[at : at + BATCH] = (z[np.arange(len(z)), y] - np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))) / np.log(10)
     return log
 
 
@@ -123,15 +140,21 @@ class _Steps:
             f, y = features[at : at + BATCH], chosen[at : at + BATCH]
             p = _logits(self.weights, f)
             np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
+            p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
             p[np.arange(len(y)), y] -= 1
-            for j in range(f.shape[1]):
-                grouped = pd.DataFrame(p, copy=False).groupby(f[:, j], sort=True)
-                summed = grouped.sum()
-                rows, step = summed.index.to_numpy(), summed.to_numpy()
-                self.squares[rows] += (step * step).mean(axis=1)
-                self.weights[rows] -= RATE * step / np.sqrt(self.squares[rows])[:, None]
-                self.seen[rows] += grouped.size().to_numpy()
+            order = np.sort(((f << BATCH_BITS) + np.arange(len(f))[:, None]).ravel())
+            row, token = order >> BATCH_BITS, order & (BATCH - 1)
+            begin = np.flatnonzero(np.diff(row, prepend=-1))
+            rows, times = row[begin], np.diff(begin, append=len(row))
+            step = p.take(token[begin], axis=0)
+            often = times > 1
+            if often.any():  # most rows have one token, and need no sum
+                step[often] = _sums(p, token[np.repeat(often, times)], times[often])
+            squares = self.squares[rows] + np.einsum("ij,ij->i", step, step) / np.float32(step.shape[1])
+            self.squares[rows] = squares
+            step *= (np.float32(RATE) / np.sqrt(squares))[:, None]
+            self.weights[rows] = self.weights.take(rows, axis=0) - step
+            self.seen[rows] += times.astype(np.float32)
 
     def sent(self, first_part: int) -> pa.RecordBatch:
         rows = np.array_split(np.arange(len(self.weights)), PARTS)
@@ -243,7 +266,8 @@ def score_texts(docs: DataFrame, model: EntropyModel, text: str = "text", train:
     blocks, n_blocks = blocked(docs.select(*dict.fromkeys([*keep, text, train])), text)
 
     def keys_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        key, at = _keys(column(rows, text))
+        parts = [_keys(part) for part in sliced(column(rows, text))]  # what is computed on the way takes far more memory than the texts
+        key, at = np.concatenate([k for k, _ in parts]), np.append(0, np.cumsum(np.concatenate([np.diff(a) for _, a in parts])))
         return key, np.repeat(column(rows, train).fill_null(False).to_numpy(zero_copy_only=False), np.diff(at))
 
     def counts(number: np.ndarray, _: np.ndarray, weights: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -367,3 +368,24 @@ def test_blocks_take_little_memory():
         alone, _ = jaccard._sets(block.slice(i, 1), 4)
         assert hashes[at[i] : at[i + 1]].tolist() == alone.tolist()
     assert len(at) == len(block) + 1 and np.diff(at)[2000:].tolist() == [0, 0, 1]
+
+
+def test_language_model_steps_are_those_of_a_plain_softmax(monkeypatch):
+    """All rows of a batch in one step; and no group-by for each feature, which took most of the time."""
+    monkeypatch.setattr(pd.DataFrame, "groupby", None)
+    rng = np.random.default_rng(4)
+    start = rng.normal(size=(9, 96)).astype(np.float32)
+    features, chosen = np.stack([rng.integers(0, 5, 40), rng.integers(5, 8, 40), np.full(40, 8)], axis=1), rng.integers(0, 96, 40)
+    gradient = np.zeros(start.shape)
+    for f, c in zip(features, chosen, strict=True):
+        z = start[f].sum(axis=0)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        p[c] -= 1
+        for r in f:
+            gradient[r] += p
+    steps = entropy._Steps(start)
+    steps.take(features, chosen)
+    np.testing.assert_allclose(steps.weights, start - 0.12 * gradient / np.sqrt(1e-2 + (gradient**2).mean(axis=1, keepdims=True)), rtol=1e-3, atol=1e-4)
+    assert steps.seen.tolist() == np.bincount(features.ravel(), minlength=9).tolist()
+    every = np.stack([entropy._log10(start, features, np.full(40, c)) for c in range(96)])
+    np.testing.assert_allclose((10**every).sum(axis=0), 1, rtol=1e-5)
