@@ -13,6 +13,8 @@ from punctual.llm.rules import repetition
 from punctual.llm.substrings import deduplicate_substrings
 from punctual.session import written
 
+SENT_IDS = 1 << 21  # ids of near copies that are sent to all executors; of more, the documents are moved to them
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the best grade is high enough stay. The model learns from those of them that are labelled."""
@@ -27,11 +29,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near copies share 80 % of their five-word shingles. The document with the least doc_id of each group stays, once if its row is repeated; so do rows without a doc_id."""
-    ids = jaccard_components(docs, percent=80, size=5).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    ids = written(ids, "kept-ids")
-    once = docs.join(ids.where("_rows = 1"), "doc_id", "left_semi")
-    more = docs.join(ids.where("_rows > 1"), "doc_id", "left_semi").dropDuplicates()
-    return once.unionByName(more).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    equal = F.count_if(F.col("doc_id") == F.col("component_id"))
+    other = jaccard_components(docs, percent=80, size=5).groupBy("doc_id").agg(equal.alias("_rows")).where("doc_id is not null and _rows <> 1")
+    other = written(other, "other-ids")  # ids that go, or whose rows stay once
+    if other.count() <= SENT_IDS:
+        other = F.broadcast(other)
+    once = docs.join(other, "doc_id", "left_anti")
+    more = docs.join(other.where("_rows > 1"), "doc_id", "left_semi").dropDuplicates()
+    return once.unionByName(more).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

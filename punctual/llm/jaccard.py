@@ -206,7 +206,7 @@ def _components(docs: DataFrame, key: str, text: str, percent: int, size: int) -
         able = found.where("same is not null and key is not null")
         members = found.where("same is not null").groupBy("same").agg(F.min("key").alias("rep"), F.count("key").alias("n_copies"), F.count("*").alias("texts")).where("rep is not null")
         members = stays(members, "members")
-        chosen = able.join(members.select("same", F.col("rep").alias("key"), "texts"), ["same", "key"]).dropDuplicates(["same"])
+        chosen = able.join(members.select("same", F.col("rep").alias("key"), "texts"), ["same", "key"]).dropDuplicates(["same", "key"])  # dealt by both already: sets aren't moved again
         own = F.when(F.col("texts") <= FEW, F.element_at("few", F.col("texts").cast("int"))).otherwise(0)  # shingles that no other set holds
         chosen = stays(chosen.select(F.col("key").alias("rep"), "group", F.col("n_shingles").alias("n"), own.alias("own"), "prefix", "shingles"), "sets")
         found = stays(found.select("key", "n_shingles", "same"), "keys")
@@ -239,7 +239,8 @@ def _components(docs: DataFrame, key: str, text: str, percent: int, size: int) -
         pivots = long.groupBy("list", F.pmod(drawn, F.lit(PIVOTS)).alias("nth")).agg(F.min(F.struct(drawn.alias("h"), F.col("rep"))).alias("p"))
         pivots = written(pivots.select("list", "nth", F.col("p.rep").alias("pivot")), "pivots")
         pairs = long.join(pivots, "list").where(F.col("rep") != F.col("pivot"))
-        verified = written(_verified(pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), sets), "verified")
+        met = sets.join(long.select("rep"), "rep", "left_semi")  # few in a later round
+        verified = written(_verified(pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), met), "verified")
         new = verified.where(linked).select("a", "b")
         links = new if links is None else links.unionAll(new)
         labels = written(connected_components(links), "labels")

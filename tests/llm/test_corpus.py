@@ -338,6 +338,24 @@ def test_near_copies_stage_takes_five_words_at_80_percent(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == want
 
 
+def test_near_copies_stage_moves_no_text_for_a_few_copies(spark, monkeypatch):
+    texts = [prose(i, 60) for i in range(6)]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[0]), (4, texts[2]), (4, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[5]), (7, texts[5]), (7, texts[5]), (8, None), (None, texts[0]), (None, None)]
+    want = sorted([(1, texts[0]), (2, texts[1]), (4, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[5]), (8, ""), (0, texts[0]), (0, "")])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = lambda kept: sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if tables were large
+    try:
+        kept = corpus_pipeline.near_copies(spark, docs, "")
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert found(kept) == want
+        monkeypatch.setattr(corpus_pipeline, "SENT_IDS", 0, raising=False)
+        assert found(corpus_pipeline.near_copies(spark, docs, "")) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_pipeline_of_odd_rows(spark, tmp_path):
     odd = odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
     for name, docs in (("odd", odd), ("empty", empty(odd))):
