@@ -25,6 +25,7 @@ ROWS = (1 << 11, 1 << 11, 1 << 10, 1 << 12)  # hashed: last word, last two, the
 ROWS_FOR, MOST_TIMES = 32 << 20, 16  # bytes of text; the rows grow with the root of the corpus, as each task sends its model, so many times at most
 ROUNDS, BATCH_BITS, RATE = 2, 13, 0.12
 BATCH = 1 << BATCH_BITS
+RUN = 32  # rows that are summed one after the other
 WORDS_AT_ONCE = 40_000  # a task counts so many different words before it tells of them
 END = np.uint64(0xE0D0E0D0E0D0E000)
 START = np.uint64(0x57A2700000000000)
@@ -105,17 +106,22 @@ def _logits(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
 
 
 def _sums(p: np.ndarray, token: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Sums of p[token] over runs of `times` tokens, two by two."""
+    """Sums of p[token] over runs of `times` tokens, RUN of them at a time. The longest come first, so that each step adds one token to all that have more."""
     while True:
-        pairs = -(-times // 2)
-        place = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-        left = np.repeat(np.cumsum(times) - times, pairs) + 2 * place
-        two = np.flatnonzero(2 * place + 1 < np.repeat(times, pairs))
-        out = p.take(token[left], axis=0)
-        out[two] = out.take(two, axis=0) + p.take(token[left[two] + 1], axis=0)
-        if not (pairs > 1).any():
+        parts = -(-times // RUN)
+        place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        left = np.repeat(np.cumsum(times) - times, parts) + RUN * place
+        length = np.minimum(RUN, np.repeat(times, parts) - RUN * place)
+        order = np.argsort(-length, kind="stable")
+        left = left[order]
+        total = p.take(token[left], axis=0)
+        for step, k in enumerate(len(length) - np.cumsum(np.bincount(length))[1:-1], 1):
+            total[:k] += p.take(token[left[:k] + step], axis=0)
+        out = np.empty_like(total)
+        out[order] = total
+        if not (parts > 1).any():
             return out
-        p, token, times = out, np.arange(len(out)), pairs
+        p, token, times = out, np.arange(len(out)), parts
 
 
 def _log10(weights: np.ndarray, features: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -153,7 +159,7 @@ class _Steps:
             squares = self.squares[rows] + np.einsum("ij,ij->i", step, step) / np.float32(step.shape[1])
             self.squares[rows] = squares
             step *= (np.float32(RATE) / np.sqrt(squares))[:, None]
-            self.weights[rows] = self.weights.take(rows, axis=0) - step
+            self.weights[rows] = np.subtract(self.weights.take(rows, axis=0), step, out=step)
             self.seen[rows] += times.astype(np.float32)
 
     def sent(self, first_part: int) -> pa.RecordBatch:

@@ -407,3 +407,21 @@ def test_language_model_steps_are_those_of_a_plain_softmax(monkeypatch):
     assert steps.seen.tolist() == np.bincount(features.ravel(), minlength=9).tolist()
     every = np.stack([entropy._log10(start, features, np.full(40, c)) for c in range(96)])
     np.testing.assert_allclose((10**every).sum(axis=0), 1, rtol=1e-5)
+
+
+def test_language_model_sums_take_each_row_once():
+    class Counted(np.ndarray):
+        taken = 0
+
+        def take(self, indices, axis=None):
+            Counted.taken += len(indices)
+            return super().take(indices, axis=axis)
+
+    rng = np.random.default_rng(5)
+    p, times = rng.random((4000, 8)).astype(np.float32), np.array([1, 2, 31, 32, 33, 64, 65, 1100, 2000, 3, 1, 5])
+    token = rng.integers(0, len(p), times.sum())
+    got = entropy._sums(p.view(Counted), token, times)
+    ends = np.cumsum(times)
+    want = np.stack([p[token[b - n : b]].astype(float).sum(axis=0) for b, n in zip(ends, times)])
+    assert np.allclose(got, want, rtol=1e-5)
+    assert Counted.taken < 1.1 * len(token)
