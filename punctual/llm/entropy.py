@@ -25,7 +25,8 @@ ROWS = (1 << 11, 1 << 11, 1 << 10, 1 << 12)  # hashed: last word, last two, the
 ROWS_FOR, MOST_TIMES = 32 << 20, 16  # bytes of text; the rows grow with the root of the corpus, as each task sends its model, so many times at most
 ROUNDS, BATCH_BITS, RATE = 2, 13, 0.12
 BATCH = 1 << BATCH_BITS
-RUN = 32  # rows that are summed one after the other
+RUN = 32  # tokens of a row; the sums of rows with more are taken one by one
+AT_ONCE = 2048  # tokens or rows worked on together: few calls, and what they take stays in the caches
 WORDS_AT_ONCE = 40_000  # a task counts so many different words before it tells of them
 END = np.uint64(0xE0D0E0D0E0D0E000)
 START = np.uint64(0x57A2700000000000)
@@ -61,14 +62,17 @@ def _group(key: np.ndarray) -> np.ndarray:
     return ((key >> np.uint64(8)) % np.uint64(GROUPS)).astype(np.int64)
 
 
-def _sequence(texts: pa.Array, model: EntropyModel) -> Sequence:
+def _sequence(key: np.ndarray, at: np.ndarray, model: EntropyModel) -> Sequence:
+    """Of texts whose keys _keys gave."""
     frequent, rank = model.frequent, model.rank
-    key, at = _keys(texts)
     kind = FREQUENT + (key & np.uint64(255)).astype(np.int64)
     if len(frequent):
-        place = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
-        known = frequent[place] == key
-        kind[known] = rank[place[known]]
+        begins = np.zeros(1 << 16, bool)
+        begins[frequent >> np.uint64(48)] = True
+        maybe = np.flatnonzero(begins[key >> np.uint64(48)])  # few others are looked for
+        place = np.minimum(np.searchsorted(frequent, key[maybe]), len(frequent) - 1)
+        known = frequent[place] == key[maybe]
+        kind[maybe[known]] = rank[place[known]]
     kind[at[1:] - 1] = END_CLASS
     back = []
     for step in (1, 2):
@@ -91,76 +95,121 @@ def _sequence(texts: pa.Array, model: EntropyModel) -> Sequence:
         begin += n
     columns.append(np.full(len(key), begin))
     inner.append(begin + ending)
-    return Sequence(key, kind, at, np.stack(columns, axis=1), rare, np.stack(inner, axis=1))
+    return Sequence(key, kind, at, np.stack(columns).T, rare, np.stack(inner).T)
 
 
-def _logits(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    out = weights.take(features[:, 0], axis=0)  # several times as fast as an index
+def _room(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.empty((AT_ONCE, weights.shape[1]), np.float32), np.empty((AT_ONCE, weights.shape[1]), np.float32)
+
+
+def _joined(rows: np.ndarray, features: np.ndarray, out: np.ndarray, more: np.ndarray, join: np.ufunc = np.add) -> np.ndarray:
+    """The rows that a token's features name, joined, of AT_ONCE tokens at most; in `out`."""
+    out, more = out[: len(features)], more[: len(features)]
+    rows.take(features[:, 0], axis=0, out=out, mode="clip")  # other modes copy `out` first
     for j in range(1, features.shape[1]):
-        out += weights.take(features[:, j], axis=0)
-    most = out
-    while most.shape[1] % 2 == 0:  # halves against each other: far faster than along the rows
-        most = np.maximum(most[:, : most.shape[1] // 2], most[:, most.shape[1] // 2 :])
-    out -= most.max(axis=1, keepdims=True)
+        rows.take(features[:, j], axis=0, out=more, mode="clip")
+        join(out, more, out=out)
     return out
 
 
+def _exp(z: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """exp of z in `out`, and the sum of each row. Only if a sum would lose its figures, all rows of z are moved so that their largest is zero."""
+    ones = np.ones(z.shape[1], np.float32)
+    with np.errstate(over="ignore"):
+        np.exp(z, out=out)
+        total = out @ ones
+    if not (total.min() > 1e-20 and total.max() < 1e30):
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=out)
+        total = out @ ones
+    return total
+
+
 def _sums(p: np.ndarray, token: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Sums of p[token] over runs of `times` tokens, RUN of them at a time. The longest come first, so that each step adds one token to all that have more."""
-    while True:
-        parts = -(-times // RUN)
-        place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        left = np.repeat(np.cumsum(times) - times, parts) + RUN * place
-        length = np.minimum(RUN, np.repeat(times, parts) - RUN * place)
-        order = np.argsort(-length, kind="stable")
-        left = left[order]
-        total = p.take(token[left], axis=0)
-        for step, k in enumerate(len(length) - np.cumsum(np.bincount(length))[1:-1], 1):
-            total[:k] += p.take(token[left[:k] + step], axis=0)
-        out = np.empty_like(total)
-        out[order] = total
-        if not (parts > 1).any():
-            return out
-        p, token, times = out, np.arange(len(out)), parts
-
-
-def _log10(weights: np.ndarray, features: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The log10 probability of each token's choice."""
-    log = np.empty(len(chosen))
-    for at in range(0, len(chosen), BATCH):
-        z, y = _logits(weights, features[at : at + BATCH]), chosen[at : at + BATCH]
-        log[at : at + BATCH] = (z[np.arange(len(z)), y] - np.log(np.exp(z) @ np.ones(z.shape[1], np.float32))) / np.log(10)
+    """Sums of p[token] over runs of `times` tokens."""
+    taken, ends = p.take(token, axis=0), np.cumsum(times)
+    ones = np.ones(times.max(), p.dtype)
+    return np.stack([ones[:n] @ taken[end - n : end] for end, n in zip(ends.tolist(), times.tolist(), strict=True)])
+
+
+def _log10(weights: np.ndarray, features: np.ndarray, chosen: np.ndarray, exps: np.ndarray | None = None) -> np.ndarray:
+    """The log10 probability of each token's choice. exps: exp of the weights. Their products take the place of a token's own exps, unless they lose figures."""
+    log, (out, more) = np.empty(len(chosen)), _room(weights)
+    with np.errstate(over="ignore", invalid="ignore"):
+        exps = np.exp(weights) if exps is None else exps
+        for at in range(0, len(chosen), AT_ONCE):
+            f, y = features[at : at + AT_ONCE], chosen[at : at + AT_ONCE]
+            p = _joined(exps, f, out, more, np.multiply)
+            total, picked = p @ np.ones(p.shape[1], np.float32), p[np.arange(len(y)), y]
+            if picked.min() > 1e-20 and total.max() < 1e30:
+                log[at : at + AT_ONCE] = np.log10(picked.astype(np.float64) / total)
+            else:
+                z = _joined(weights, f, out, more)
+                total = _exp(z, more[: len(y)])
+                log[at : at + AT_ONCE] = (z[np.arange(len(y)), y] - np.log(total)) / np.log(10)
     return log
 
 
 class _Steps:
-    """Adaptive gradient steps on a copy of a table of weights."""
+    """Adaptive gradient steps on a copy of a table of weights. Tokens and rows are taken AT_ONCE at a time, in the same few arrays."""
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights.copy()
         self.squares = np.full(len(weights), 1e-2, np.float32)
         self.seen = np.zeros(len(weights), np.float32)
+        self._whole = self.weights.view(f"V{self.weights.strides[0]}").ravel()  # each row as one value: faster to set
+        self._p = np.empty((BATCH, weights.shape[1]), np.float32)
+        self._room = _room(weights)
 
     def take(self, features: np.ndarray, chosen: np.ndarray) -> None:
         for at in range(0, len(chosen), BATCH):
-            f, y = features[at : at + BATCH], chosen[at : at + BATCH]
-            p = _logits(self.weights, f)
-            np.exp(p, out=p)
-            p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
-            p[np.arange(len(y)), y] -= 1
-            order = np.sort(((f << BATCH_BITS) + np.arange(len(f))[:, None]).ravel())
-            row, token = order >> BATCH_BITS, order & (BATCH - 1)
-            begin = np.flatnonzero(np.diff(row, prepend=-1))
-            rows, times = row[begin], np.diff(begin, append=len(row))
-            step = p.take(token[begin], axis=0)
-            often = times > 1
-            if often.any():  # most rows have one token, and need no sum
-                step[often] = _sums(p, token[np.repeat(often, times)], times[often])
-            squares = self.squares[rows] + np.einsum("ij,ij->i", step, step) / np.float32(step.shape[1])
-            self.squares[rows] = squares
-            step *= (np.float32(RATE) / np.sqrt(squares))[:, None]
-            self.weights[rows] = np.subtract(self.weights.take(rows, axis=0), step, out=step)
+            f = features[at : at + BATCH]
+            p, whole = self._errors(f, chosen[at : at + BATCH])
+            bias = f[0, -1]
+            if (f[:, -1] == bias).all():  # a row of all tokens needs no sorting
+                self.seen[bias] += len(f)
+                self._move(f[:1, -1], whole[None])
+                f = f[:, :-1]
+            order = np.sort(((f.T << BATCH_BITS) + np.arange(len(f))).astype(np.uint32 if len(self.weights) <= 1 << 32 - BATCH_BITS else np.uint64).ravel())
+            row, token = order >> BATCH_BITS, (order & (BATCH - 1)).astype(np.int64)
+            begin = np.append(0, np.flatnonzero(row[1:] != row[:-1]) + 1)
+            rows, times = row[begin].astype(np.int64), np.diff(begin, append=len(row))
             self.seen[rows] += times.astype(np.float32)
+            many = times > RUN
+            if many.any():
+                self._move(rows[many], _sums(p, np.concatenate([token[b : b + n] for b, n in zip(begin[many], times[many], strict=True)]), times[many]))
+            few = np.flatnonzero(~many)
+            few = few[np.argsort(RUN - times[few].astype(np.uint8), kind="stable")]  # the longest first, so that each step adds one token to all that have more
+            out, more = self._room
+            for i in range(0, len(few), AT_ONCE):
+                which = few[i : i + AT_ONCE]
+                left, length = begin[which], times[which]
+                total = p.take(token[left], axis=0, out=out[: len(which)], mode="clip")
+                for step in range(1, length[0]):
+                    k = np.count_nonzero(length > step)
+                    total[:k] += p.take(token[left[:k] + step], axis=0, out=more[:k], mode="clip")
+                self._move(rows[which], total)
+
+    def _errors(self, features: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The softmax of a batch of tokens less one at what each chose; and its sum over the tokens."""
+        p, whole = self._p[: len(features)], np.zeros(self.weights.shape[1], np.float32)
+        for at in range(0, len(p), AT_ONCE):
+            part, y = p[at : at + AT_ONCE], chosen[at : at + AT_ONCE]
+            part *= np.reciprocal(_exp(_joined(self.weights, features[at : at + AT_ONCE], *self._room), part))[:, None]
+            part[np.arange(len(y)), y] -= 1
+            whole += np.ones(len(y), np.float32) @ part
+        return p, whole
+
+    def _move(self, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """A step of rows that differ, against their gradients, which are overwritten."""
+        for at in range(0, len(rows), AT_ONCE):
+            r, step = rows[at : at + AT_ONCE], gradient[at : at + AT_ONCE]
+            squares = self.squares[r] + np.einsum("ij,ij->i", step, step) / np.float32(step.shape[1])
+            self.squares[r] = squares
+            step *= (np.float32(RATE) / np.sqrt(squares))[:, None]
+            new = self.weights.take(r, axis=0, out=self._room[1][: len(r)], mode="clip")
+            new -= step
+            self._whole[r] = new.view(self._whole.dtype).ravel()
 
     def sent(self, first_part: int) -> pa.RecordBatch:
         rows = np.array_split(np.arange(len(self.weights)), PARTS)
@@ -174,7 +223,7 @@ def _train(batches: Iterator[pa.RecordBatch], model: EntropyModel) -> Iterator[p
     outer, inner = _Steps(model.weights), _Steps(model.inner)
     for batch in batches:
         for part in slices(batch, "text", 1 << 19):
-            s = _sequence(part.column("text"), model)
+            s = _sequence(*_keys(part.column("text")), model)
             outer.take(s.features, s.kind)
             inner.take(s.inner, _group(s.key[s.rare]))
     if outer.seen[-1]:
@@ -271,9 +320,16 @@ def score_texts(docs: DataFrame, model: EntropyModel, text: str = "text", train:
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new and c != "block"]
     blocks, n_blocks = blocked(docs.select(*dict.fromkeys([*keep, text, train])), text)
 
+    last: dict = {}  # the block at hand: its keys are asked for before it is finished
+
+    def hashed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        if last.get("rows") is not rows:
+            parts = [_keys(part) for part in sliced(column(rows, text))]  # what is computed on the way takes far more memory than the texts
+            last.update(rows=rows, keys=(np.concatenate([k for k, _ in parts]), np.append(0, np.cumsum(np.concatenate([np.diff(a) for _, a in parts])))))
+        return last["keys"]
+
     def keys_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        parts = [_keys(part) for part in sliced(column(rows, text))]  # what is computed on the way takes far more memory than the texts
-        key, at = np.concatenate([k for k, _ in parts]), np.append(0, np.cumsum(np.concatenate([np.diff(a) for _, a in parts])))
+        key, at = hashed(rows)
         return key, np.repeat(column(rows, train).fill_null(False).to_numpy(zero_copy_only=False), np.diff(at))
 
     def counts(number: np.ndarray, _: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -307,17 +363,23 @@ def score_texts(docs: DataFrame, model: EntropyModel, text: str = "text", train:
 
     def finish(rows: pa.Table, look_up) -> pa.Table:
         m = shared.value
+        with np.errstate(over="ignore"):
+            exps = np.exp(m.weights), np.exp(m.inner)
+        (key, at), done = hashed(rows), 0
         out = {f.name: [] for f in SCORED}
         for part in rows.combine_chunks().to_batches():
             for piece in slices(part, text, 1 << 19):
-                s = _sequence(piece.column(text), m)
-                c = look_up(s.key).astype(np.float64)
-                log = _log10(m.weights, s.features, s.kind)
+                begins = at[done : done + piece.num_rows + 1]
+                done += piece.num_rows
+                s = _sequence(key[begins[0] : begins[-1]], begins - begins[0], m)
+                different, number = np.unique(s.key, return_inverse=True)
+                c = look_up(different).astype(np.float64)[number]
+                log = _log10(m.weights, s.features, s.kind, exps[0])
                 ending, known = s.kind[s.rare] - FREQUENT, c[s.rare] > 0
                 log[s.rare[~known]] += log_unknown[ending[~known]]
                 rare, ending = s.rare[known], ending[known]
                 group = _group(s.key[rare])
-                log[rare] += _log10(m.inner, s.inner[known], group) + log_known[ending, group] + np.log10(c[rare] - discount)
+                log[rare] += _log10(m.inner, s.inner[known], group, exps[1]) + log_known[ending, group] + np.log10(c[rare] - discount)
                 out["n_tokens"].append(np.diff(s.at))
                 out["n_known"].append(sums(c > 0, s.at))
                 out["train_tokens"].append(np.full(piece.num_rows, int(n_train)))

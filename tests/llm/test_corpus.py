@@ -425,3 +425,31 @@ def test_language_model_sums_take_each_row_once():
     want = np.stack([p[token[b - n : b]].astype(float).sum(axis=0) for b, n in zip(ends, times)])
     assert np.allclose(got, want, rtol=1e-5)
     assert Counted.taken < 1.1 * len(token)
+
+
+def test_language_model_steps_work_in_the_same_few_arrays():
+    """Arrays of all rows of a batch, made anew for each step, took much of the time."""
+    rng = np.random.default_rng(7)
+    features = np.stack([*(rng.integers(9000 * j, 9000 * j + 9000, 60_000) for j in range(4)), np.full(60_000, 36_000)], axis=1)
+    steps, chosen = entropy._Steps(np.zeros((36_001, 96), np.float32)), rng.integers(0, 96, 60_000)
+    steps.take(features[:9000], chosen[:9000])
+    tracemalloc.start()
+    steps.take(features, chosen)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 << 20
+
+
+def test_language_model_scores_far_from_zero():
+    """Products of exps, sums of exps and exps alone that no float32 holds."""
+    rng = np.random.default_rng(9)
+    features, chosen = np.stack([rng.integers(0, 50, 5000), rng.integers(50, 90, 5000), np.full(5000, 90)], axis=1), rng.integers(0, 64, 5000)
+    for scale in (1, 30, 200):
+        weights = rng.normal(size=(91, 64), scale=scale).astype(np.float32)
+        z = weights[features].astype(float).sum(axis=1)
+        z -= z.max(axis=1, keepdims=True)
+        want = (z[np.arange(5000), chosen] - np.log(np.exp(z).sum(axis=1))) / np.log(10)
+        np.testing.assert_allclose(entropy._log10(weights, features, chosen), want, rtol=1e-4, atol=1e-4)
+        steps = entropy._Steps(weights)
+        steps.take(features, chosen)
+        assert np.isfinite(steps.weights).all()
