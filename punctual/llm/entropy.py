@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from punctual.llm.exchange import blocked, column, meet, replies
+from punctual.llm.exchange import BLOCK_BYTES, MOST_BUCKETS, blocked, column, meet, replies
 from punctual.llm.words import BASE, mix, sliced, slices, sums, words
 from punctual.session import passing_shuffles, written
 
@@ -27,7 +27,7 @@ ROUNDS, BATCH_BITS, RATE = 2, 13, 0.12
 BATCH = 1 << BATCH_BITS
 RUN = 32  # tokens of a row; the sums of rows with more are taken one by one
 AT_ONCE = 2048  # tokens or rows worked on together: few calls, and what they take stays in the caches
-WORDS_AT_ONCE = 40_000  # a task counts so many different words before it tells of them
+WORDS_AT_ONCE = 200_000  # a task counts so many different words, or twice as many parts of counts, before it tells of them
 END = np.uint64(0xE0D0E0D0E0D0E000)
 START = np.uint64(0x57A2700000000000)
 PARTS = 32  # in which weights are summed up
@@ -127,9 +127,12 @@ def _exp(z: np.ndarray, out: np.ndarray) -> np.ndarray:
 
 def _sums(p: np.ndarray, token: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Sums of p[token] over runs of `times` tokens."""
-    taken, ends = p.take(token, axis=0), np.cumsum(times)
-    ones = np.ones(times.max(), p.dtype)
-    return np.stack([ones[:n] @ taken[end - n : end] for end, n in zip(ends.tolist(), times.tolist(), strict=True)])
+    taken, out = np.asarray(p.take(token, axis=0)), np.empty((len(times), p.shape[1]), p.dtype)
+    ones, at = np.ones(times.max(), p.dtype), 0
+    for i, n in enumerate(times.tolist()):
+        np.dot(ones[:n], taken[at : at + n], out=out[i])
+        at += n
+    return out
 
 
 def _log10(weights: np.ndarray, features: np.ndarray, chosen: np.ndarray, exps: np.ndarray | None = None) -> np.ndarray:
@@ -170,7 +173,8 @@ class _Steps:
                 self.seen[bias] += len(f)
                 self._move(f[:1, -1], whole[None])
                 f = f[:, :-1]
-            order = np.sort(((f.T << BATCH_BITS) + np.arange(len(f))).astype(np.uint32 if len(self.weights) <= 1 << 32 - BATCH_BITS else np.uint64).ravel())
+            sort = np.uint32 if len(self.weights) <= 1 << 32 - BATCH_BITS else np.uint64
+            order = np.sort((f.T.astype(sort) << BATCH_BITS) + np.arange(len(f), dtype=sort), axis=1).ravel()  # no row is in two columns
             row, token = order >> BATCH_BITS, (order & (BATCH - 1)).astype(np.int64)
             begin = np.append(0, np.flatnonzero(row[1:] != row[:-1]) + 1)
             rows, times = row[begin].astype(np.int64), np.diff(begin, append=len(row))
@@ -196,7 +200,7 @@ class _Steps:
         for at in range(0, len(p), AT_ONCE):
             part, y = p[at : at + AT_ONCE], chosen[at : at + AT_ONCE]
             part *= np.reciprocal(_exp(_joined(self.weights, features[at : at + AT_ONCE], *self._room), part))[:, None]
-            part[np.arange(len(y)), y] -= 1
+            part.reshape(-1)[np.arange(0, part.size, part.shape[1]) + y] -= 1
             whole += np.ones(len(y), np.float32) @ part
         return p, whole
 
@@ -249,41 +253,69 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([seen.astype(np.float32).tobytes()], pa.binary())], names=["part", "weights", "seen"])
 
 
-def _frequent_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the most frequent words of all texts, ties by key, and the classes they are."""
+def _merged(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys, each once, and the sums of their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*counted, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[begin], np.add.reduceat(counts[order], begin) if len(begin) else counts
+
+
+TOLD = StructType([StructField("bucket", IntegerType()), StructField("keys", BinaryType()), StructField("counts", BinaryType())])
+COUNTED = StructType([StructField("key", LongType()), StructField("n", LongType())])
+
+
+def _frequent_words(texts: DataFrame, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the most frequent words of all texts, ties by key, and the classes they are. size: bytes of all texts."""
+    n_buckets = np.uint64(min(MOST_BUCKETS, max(1, math.ceil((_bytes(texts) if size is None else size) / BLOCK_BYTES))))
 
     def told(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
+        bucket = ((keys >> np.uint64(32)) * n_buckets >> np.uint64(32)).astype(np.int32)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(cuts[1:], len(keys))
+        packed = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (keys, counts)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), *packed], names=TOLD.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        counted, n_counted = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 key, _ = _keys(part.column("text"))
-                new, n = np.unique(key[key != END], return_counts=True)
-                keys, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                total = np.zeros(len(keys), np.int64)
-                np.add.at(total, place, np.concatenate([counts, n]))
-                counts = total
-                if len(keys) > WORDS_AT_ONCE:  # partial counts, so that a task holds no more
-                    yield told(keys, counts)
-                    keys, counts = keys[:0], counts[:0]
-        yield told(keys, counts)
-
-    partial = texts.mapInArrow(run, StructType([StructField("key", LongType()), StructField("n", LongType())]))
+                counted.append(np.unique(key[key != END], return_counts=True))
+                n_counted += len(counted[-1][0])
+                if n_counted > 2 * WORDS_AT_ONCE:
+                    counted = [_merged(counted)]
+                    n_counted = len(counted[0][0])
+                    if n_counted > WORDS_AT_ONCE:  # partial counts, so that a task holds no more
+                        yield told(*counted[0])
+                        counted, n_counted = [], 0
+        if counted:
+            yield told(*_merged(counted))
+
+    def best(rows: pa.Table) -> pa.Table:
+        """The most frequent words of a bucket."""
+        keys, counts = _merged([(np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)) for k, n in zip(rows["keys"], rows["counts"], strict=True)])
+        most = np.lexsort((keys.view(np.int64), -counts))[:FREQUENT]
+        return pa.table({"key": keys[most].view(np.int64), "n": counts[most]})
+
     with passing_shuffles(texts.sparkSession):
-        best = partial.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
-    keys = best["key"].to_numpy().view(np.uint64)
+        found = texts.mapInArrow(run, TOLD).groupBy("bucket").applyInArrow(best, COUNTED).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    keys = found["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], order.astype(np.int64)
 
 
+def _bytes(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+
 def learn_entropy(texts: DataFrame, text: str = "text", rounds: int = ROUNDS) -> EntropyModel:
     """Train on all rows. In each round every task takes gradient steps from the shared weights over its own texts; the new weights are averaged by the
     number of tokens that moved them. The model grows with the root of the corpus, to MOST_TIMES its least size."""
     texts = texts.select(F.col(text).alias("text"))
-    frequent, rank = _frequent_words(texts)
-    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    size = _bytes(texts)
+    frequent, rank = _frequent_words(texts, size)
     times = min(MOST_TIMES, 1 << max(0, round(math.log2(max(1, size) / ROWS_FOR) / 2)))
     n_rows = tuple(n * times for n in ROWS)
     tables = [np.zeros((sum(n_rows) + 1, CLASSES), np.float32), np.zeros((sum(n_rows) + ENDINGS, GROUPS), np.float32)]

@@ -196,6 +196,23 @@ def test_frequent_words_are_counted_over_all_tasks(spark, monkeypatch):
     assert wanted[0] in keys and classes[list(keys).index(wanted[0])] == 0
 
 
+def test_frequent_words_equal_a_count_by_hand(spark, monkeypatch):
+    """Over many buckets and partial counts, with ties; words move packed, not as a row each."""
+    rng = random.Random(10)
+    texts = [None, "", " ", *(" ".join(f"W{min(rng.randrange(1, 400), rng.randrange(1, 400))}" for _ in range(rng.randrange(200))) for _ in range(300))]
+    count = collections.Counter(w for t in texts for w in (t or "").lower().split())
+    hashed = dict(zip(count, entropy._keys(pa.array(list(count)))[0][::2].view(np.int64).tolist(), strict=True))
+    want = sorted(count, key=lambda w: (-count[w], hashed[w]))[:63]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    for held, size in ((10, 0), (10, 50 << 20), (200_000, 50 << 20)):
+        monkeypatch.setattr(entropy, "WORDS_AT_ONCE", held)
+        keys, rank = entropy._frequent_words(docs, size)
+        assert keys.view(np.int64)[np.argsort(rank)].tolist() == [hashed[w] for w in want]
+    keys, counts = entropy._merged([(np.array([3, 1], np.uint64), np.array([5, 6])), (np.zeros(0, np.uint64), np.zeros(0, np.int64)), (np.array([1], np.uint64), np.array([7]))])
+    assert keys.tolist() == [1, 3] and counts.tolist() == [13, 5]
+    assert len(entropy._frequent_words(empty(docs))[0]) == 0
+
+
 def test_language_model_learns_order(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(x for _ in range(30) for x in rng.choice([("salt", "pepper"), ("north", "south"), ("left", "right")]))) for i in range(400)]
